@@ -1,6 +1,6 @@
 """The queries of this subpackage, over the whole given tables with production parameters."""
 
-from visret.llm import decontam, licenses, simhash
+from visret.llm import decontam, lang_id, licenses, quality, simhash
 from visret.llm.common import read
 
 
@@ -8,6 +8,10 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_language_id(spark, sf_dir):
+    return lang_id.predict(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.groups(read(spark, sf_dir, "documents"))
 
@@ -16,5 +20,15 @@ def op9_license_scan(spark, sf_dir):
     return licenses.digest(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_benchmark_decontamination, op8_simhash_near_dedup, op9_license_scan)}
+def op10_quality_classifier(spark, sf_dir):
+    return quality.predict(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op4_benchmark_decontamination,
+    op6_language_id,
+    op8_simhash_near_dedup,
+    op9_license_scan,
+    op10_quality_classifier,
+)}
 ORACLE_SQL: dict[str, str] = {}
