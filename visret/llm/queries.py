@@ -1,6 +1,6 @@
 """The queries of this subpackage, over the whole given tables with production parameters."""
 
-from visret.llm import decontam, lang_id, licenses, quality, simhash
+from visret.llm import decontam, lang_id, licenses, packing, quality, simhash
 from visret.llm.common import read
 
 
@@ -12,6 +12,10 @@ def op6_language_id(spark, sf_dir):
     return lang_id.predict(read(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark, sf_dir):
+    return packing.digest(read(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.groups(read(spark, sf_dir, "documents"))
 
@@ -27,6 +31,7 @@ def op10_quality_classifier(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op4_benchmark_decontamination,
     op6_language_id,
+    op7_packing,
     op8_simhash_near_dedup,
     op9_license_scan,
     op10_quality_classifier,
