@@ -1,6 +1,7 @@
 """What several operators of this subpackage share."""
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -11,18 +12,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the shared folder that spark.checkpoint.dir names.
-
-    A folder of our own is set only where the session has none, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of our own only where the session has none,
+    as in tests."""
     if spark.sparkContext.getCheckpointDir() is None:
-        set_dir = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="visret-")
-        spark.sparkContext.setCheckpointDir(set_dir)
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="visret-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as a table in the shared folder and read again, and where that is."""
+    path = f"{shared_folder(df.sparkSession)}/visret-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a table that ``written`` made."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 #: Every byte to itself in lower case if it is an ASCII digit or letter or above 0x7F, else to a
 #: space: the words are then the runs of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing A-Z.
 ALNUM = bytes(

@@ -1,13 +1,21 @@
 """The queries of this subpackage, over the whole given tables with production parameters."""
 
-from visret.llm import decontam, lang_id, licenses, packing, quality, simhash
+from visret.llm import decontam, lang_id, licenses, packing, quality, simhash, token_scan, url_filter
 from visret.llm.common import read
 
 
+def op2_url_filter(spark, sf_dir):
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_token_counts(spark, sf_dir):
+    return token_scan.of_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     return lang_id.predict(read(spark, sf_dir, "documents"))
 
@@ -29,7 +37,9 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
+    op2_url_filter,
     op4_benchmark_decontamination,
+    op5_token_counts,
     op6_language_id,
     op7_packing,
     op8_simhash_near_dedup,

@@ -34,14 +34,16 @@ def packed(ids) -> bytes:
 class WordTokenizer:
     """For a tokenizer that drops white space: each stretch between ASCII white space has ids of
     its own, which are asked of the tokenizer once and remembered as little-endian unsigned 32-bit
-    bytes. Other tokenizers get whole texts."""
+    bytes. Other tokenizers get whole texts. With ``ordinary``, the strings of special tokens in a
+    text are text like any other."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = ordinary
         how = json.loads(self.tokenizer.to_str())
         cuts = [p.get("pattern", {}).get("Regex") for p in (how["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.by_stretch = cuts[:1] == [PATTERN]
-        self.special = [a["content"] for a in how["added_tokens"]]
+        self.special = [] if ordinary else [a["content"] for a in how["added_tokens"]]
         self.names = byte_names()
         self.stretches: dict[bytes, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -77,11 +79,11 @@ class WordTokenizer:
             yield b"".join([known[raw] for raw in split])
 
 
-MADE: dict[str, WordTokenizer] = {}
+MADE: dict[tuple[str, bool], WordTokenizer] = {}
 
 
-def tokenizer(path: str) -> WordTokenizer:
-    """One for each worker and path."""
-    if path not in MADE:
-        MADE[path] = WordTokenizer(path)
-    return MADE[path]
+def tokenizer(path: str, ordinary: bool = False) -> WordTokenizer:
+    """One for each worker, path and treatment of special tokens."""
+    if (path, ordinary) not in MADE:
+        MADE[path, ordinary] = WordTokenizer(path, ordinary)
+    return MADE[path, ordinary]
