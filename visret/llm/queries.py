@@ -1,6 +1,6 @@
 """The queries of this subpackage, over the whole given tables with production parameters."""
 
-from visret.llm import decontam, lang_id, licenses, packing, quality, simhash, token_scan, url_filter
+from visret.llm import decontam, html_text, lang_id, licenses, packing, quality, simhash, token_scan, url_filter
 from visret.llm.common import read
 
 
@@ -8,6 +8,10 @@ def op2_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op3_html_extraction(spark, sf_dir):
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op4_benchmark_decontamination(spark, sf_dir):
     return decontam.digest(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -38,6 +42,7 @@ def op10_quality_classifier(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op2_url_filter,
+    op3_html_extraction,
     op4_benchmark_decontamination,
     op5_token_counts,
     op6_language_id,
