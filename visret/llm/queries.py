@@ -1,9 +1,13 @@
 """The queries of this subpackage, over the whole given tables with production parameters."""
 
-from visret.llm import decontam, html_text, lang_id, licenses, packing, quality, simhash, token_scan, url_filter
+from visret.llm import decontam, html_text, lang_id, licenses, packing, quality, simhash, token_scan, url_filter, vector_dedup
 from visret.llm.common import read
 
 
+def op1_embedding_near_dedup(spark, sf_dir):
+    return vector_dedup.near_dups(read(spark, sf_dir, "embeddings"))
+
+
 def op2_url_filter(spark, sf_dir):
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -41,6 +45,7 @@ def op10_quality_classifier(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
+    op1_embedding_near_dedup,
     op2_url_filter,
     op3_html_extraction,
     op4_benchmark_decontamination,
