@@ -1,4 +1,561 @@
-"""The queries of the library's own operators and their SQL."""
+"""The library's operators as queries over the given tables, and the same in DuckDB SQL.
 
+Images are vectors (one each, or seven regions of one image), query texts are made from parts,
+paths from urls, annotations from line items. Searches take every row whose id is divisible by 100
+as a query, against all rows. Prompts are encoded by a lookup: a hash of the text picks a vector.
+"""
+
+from pyspark.sql import functions as F
+
+from visret.functions import parse
+from visret.functions.lexicon import PROMPTS, Lexicon
+from visret.functions.vectors import audit, l2_normalized, mean_vectors
+from visret.operators import candidates, catalog, curate, encode, evaluate, regions, rerank
+from visret.plans import search as plans
+from visret.sources import store
+
+K, CANDIDATES, QUOTA = 10, 100, 3
+LEXICON = Lexicon(
+    colors=("red", "blue", "small", "large", "hot", "cold", "old", "new"), intensifiers=("bright", "dark"),
+    garments=("widget", "bolt", "gear", "ring", "rod", "plate", "anvil", "gizmo"),
+    scenes={"plain hall": ("standard hall",), "sale hall": ("promo hall", "economy hall"), "sized hall": ("small hall", "medium hall", "large hall")},
+    styles={"house": ("brand#1", "brand#2", "brand#3", "brand#4"), "premium": ("brand#11", "brand#12", "brand#13", "brand#14")},
+    actions=("standing", "sitting"),
+    confusable={"bolt": ("gear", "rod", "ring"), "gear": ("bolt", "plate"), "ring": ("rod", "bolt"), "anvil": ("plate", "gizmo")},
+    otherwise=("bolt", "gear", "anvil"),
+)
+#: These expressions are Spark SQL and DuckDB SQL alike.
+TEXT = """'A ' || CASE WHEN p_size % 3 = 0 THEN 'bright ' ELSE '' END || p_name || CASE WHEN p_size % 2 = 0 THEN 's' ELSE '' END
+ || ' and a small gear' || CASE WHEN p_size % 4 = 0 THEN ', an  anvil' ELSE '' END || ' in a ' || lower(p_type) || ' hall for ' || lower(p_brand)
+ || CASE WHEN p_size % 5 = 0 THEN ', no hot rod, please' WHEN p_size % 5 = 1 THEN ' without cold ring' ELSE '' END
+ || CASE WHEN p_size % 3 = 1 THEN '. Standing' ELSE '' END"""
+PATH = """regexp_replace(url, '^[a-z]+://', '') || CASE page_id % 5 WHEN 0 THEN '.jpg' WHEN 1 THEN '.JPEG' WHEN 2 THEN '.png' WHEN 3 THEN '.WebP' ELSE '.gif' END"""
+LINE = "CASE page_id % 7 WHEN 0 THEN '# ' || path WHEN 1 THEN '  ' WHEN 2 THEN '../' || path WHEN 3 THEN './' || path ELSE path END"
+BOX = ("l_quantity * 7 / 4 - 10", "l_linenumber * 37 / 4.0", "l_quantity * 5 / 2 - 4", "l_linenumber * 30.5")
+CATEGORIES = ("shirt", "tie", "coat", "hat", "shoe", "skirt", "dress", "vest", "scarf", "belt")
+WIDTH, HEIGHT = "CAST(347 + {0} % 678 AS INT)", "CAST(471 + ({0} * 7) % 554 AS INT)"
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query, with its SQL if there is any."""
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def single(spark, sf_dir):
+    """Every vector as an image."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", catalog.image_id(F.col("vec_id").cast("string")).alias("image_id"), "embedding", "label")
+
+
+def vector_queries(images):
+    return images.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+
+
+def index(spark, sf_dir):
+    """Seven vectors as the regions of one image, the first of them as the whole; the last image
+    may have fewer."""
+    r = table(spark, sf_dir, "embeddings").select(
+        catalog.image_id(F.expr("cast(vec_id div 7 as string)")).alias("image_id"), F.expr("cast(vec_id % 7 as int)").alias("region_no"), "embedding")
+    return r.where("region_no = 0").select("image_id", "embedding"), r
+
+
+def lookup(spark, sf_dir):
+    """An encoder: md5 of the prompt picks one of the vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    n = vectors.count()
+
+    def encoder(prompts):
+        at = F.conv(F.substring(F.md5("prompt"), 1, 8), 16, 10).cast("long") % n
+        return prompts.withColumn("vec_id", at).join(vectors.select("vec_id", l2_normalized(F.col("embedding")).alias("vec")), "vec_id").select("prompt", "vec")
+
+    return encoder
+
+
+UNIT = "list_transform({0}::DOUBLE[], lambda x: x / greatest(sqrt(list_inner_product({0}::DOUBLE[], {0}::DOUBLE[])), 1e-12))"
+SINGLE = f"e AS (SELECT vec_id, substr(sha1(vec_id::VARCHAR), 1, 16) AS image_id, label, {UNIT.format('embedding')} AS v FROM embeddings)"
+Z = "CASE WHEN stddev_pop({x}) OVER (PARTITION BY {by}) < 1e-6 THEN 0.0 ELSE greatest(-4.0, least(4.0, ({x} - avg({x}) OVER (PARTITION BY {by})) / stddev_pop({x}) OVER (PARTITION BY {by}))) END"
+TOP = f"""{SINGLE}, scored AS (SELECT q.vec_id AS query_id, i.vec_id, i.image_id, round(list_inner_product(q.v, i.v), 12) AS cosine FROM e q, e i WHERE q.vec_id % 100 = 0),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, image_id) AS cand_rank FROM scored QUALIFY cand_rank <= {CANDIDATES})"""
+GLOBAL = f"{TOP}, whole AS (SELECT query_id, cand_rank AS rank, image_id, round({Z.format(x='cosine', by='query_id')}, 6) AS score FROM top)"
+
+
+@query(f"WITH {TOP} SELECT query_id, image_id, round(cosine, 6) AS cosine, cand_rank FROM top")
+def candidate_topk(spark, sf_dir):
+    images = single(spark, sf_dir)
+    return candidates.top_k(images, vector_queries(images), CANDIDATES).withColumn("cosine", F.round("cosine", 6))
+
+
+@query()
+def candidate_ann(spark, sf_dir):
+    images = single(spark, sf_dir)
+    return candidates.approximate(images, vector_queries(images), K).withColumn("cosine", F.round("cosine", 6))
+
+
+def globally(spark, sf_dir, k):
+    images = single(spark, sf_dir)
+    return rerank.ranked_globally(candidates.top_k(images, vector_queries(images), CANDIDATES), k)
+
+
+@query(f"WITH {GLOBAL} SELECT query_id, rank, image_id, score, score AS global_score, score AS conjunction_score FROM whole WHERE rank <= {K}")
+def search_global(spark, sf_dir):
+    return globally(spark, sf_dir, K).drop("facet_scores")
+
+
+@query(f"""WITH {GLOBAL} SELECT query_id, string_agg(rank || ':' || image_id || ':' || printf('%.6f', score), ',' ORDER BY rank) AS results
+FROM whole WHERE rank <= {K} GROUP BY query_id""")
+def search_results_nested(spark, sf_dir):
+    rows = plans.nested(globally(spark, sf_dir, K))
+    line = F.transform("results", lambda r: F.concat_ws(":", r["rank"].cast("string"), r["image_id"], F.format_string("%.6f", r["score"])))
+    return rows.select("query_id", F.array_join(line, ",").alias("results"))
+
+
+@query("SELECT vec_id, generate_subscripts(v, 1) - 1 AS pos, round(unnest(v), 6) AS x FROM (SELECT vec_id, " + UNIT.format("embedding") + " AS v FROM embeddings)")
+def l2_normalize(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(l2_normalized(F.col("embedding"))).alias("pos", "x"))
+    return v.withColumn("pos", F.col("pos").cast("long")).withColumn("x", F.round("x", 6))
+
+
+@query("""SELECT count(*) AS vectors, bool_and(len(list_filter(embedding, lambda x: isfinite(x))) = len(embedding)) AS all_finite,
+bool_and(abs(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) < 1e-3) AS all_unit,
+min(len(embedding)) AS min_dimension, max(len(embedding)) AS max_dimension FROM embeddings""")
+def vector_audit(spark, sf_dir):
+    return audit(table(spark, sf_dir, "embeddings"))
+
+
+ENSEMBLE = f"""{SINGLE}, means AS (SELECT label, pos, avg(x) AS x FROM (SELECT label, generate_subscripts(embedding, 1) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY label, pos),
+raw AS (SELECT label AS facet_no, list(x ORDER BY pos) AS m FROM means GROUP BY label), facets AS (SELECT facet_no, {UNIT.format('m')} AS v FROM raw)"""
+
+
+@query(f"WITH {ENSEMBLE} SELECT facet_no, generate_subscripts(v, 1) - 1 AS pos, round(unnest(v), 6) AS x FROM facets")
+def ensemble_vectors(spark, sf_dir):
+    v = label_facets(spark, sf_dir).select("facet_no", F.posexplode("vec").alias("pos", "x"))
+    return v.withColumn("pos", F.col("pos").cast("long")).withColumn("x", F.round("x", 6))
+
+
+def label_facets(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("facet_no"), "embedding")
+    return mean_vectors(e, ["facet_no"], "embedding")
+
+
+def scored(spark, sf_dir):
+    return candidates.facet_scores(single(spark, sf_dir), label_facets(spark, sf_dir))
+
+
+SCORES = f"{ENSEMBLE}, scores AS (SELECT image_id, facet_no, round(list_inner_product(e.v, f.v), 12) AS score FROM e, facets f), ranked AS (SELECT *, row_number() OVER (PARTITION BY facet_no ORDER BY score DESC, image_id) AS rank FROM scores)"
+PICKS = f"""{SCORES}, f AS (SELECT DISTINCT facet_no FROM facets), schedule AS (SELECT facet_no, row_number() OVER (ORDER BY turn, facet_no) AS step FROM f, range({QUOTA}) t(turn)),
+short AS (SELECT * FROM ranked WHERE rank <= {QUOTA} * (SELECT count(*) FROM f)),
+picks(pick_no, used, facet_no, image_id, score, rank) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], NULL::INT, NULL::VARCHAR, NULL::DOUBLE, NULL::BIGINT
+  UNION ALL
+  SELECT s.step, list_append(any_value(p.used), arg_min(r.image_id, r.rank)), s.facet_no, arg_min(r.image_id, r.rank), arg_min(r.score, r.rank), min(r.rank)
+  FROM picks p JOIN schedule s ON s.step = p.pick_no + 1 JOIN short r ON r.facet_no = s.facet_no WHERE NOT list_contains(p.used, r.image_id) GROUP BY s.step, s.facet_no)"""
+
+
+@query(f"WITH {SCORES} SELECT image_id, facet_no, round(score, 6) AS score FROM scores")
+def facet_scores(spark, sf_dir):
+    return scored(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH {SCORES} SELECT image_id, facet_no, rank FROM ranked")
+def facet_rankings(spark, sf_dir):
+    return curate.rankings(scored(spark, sf_dir)).select("image_id", "facet_no", "rank")
+
+
+def picked(spark, sf_dir):
+    facets = label_facets(spark, sf_dir).select("facet_no", F.lit(QUOTA).alias("quota"), F.lit("label").alias("axis"), F.col("facet_no").cast("string").alias("name"))
+    return curate.allocated(scored(spark, sf_dir), facets), facets
+
+
+@query(f"WITH RECURSIVE {PICKS} SELECT pick_no, image_id, facet_no, round(score, 6) AS score, rank FROM picks WHERE pick_no > 0")
+def quota_allocation(spark, sf_dir):
+    return picked(spark, sf_dir)[0].withColumn("score", F.round("score", 6))
+
+
+@query(f"WITH RECURSIVE {PICKS} SELECT 'label' AS axis, facet_no::VARCHAR AS label, count(*) AS n FROM picks WHERE pick_no > 0 GROUP BY facet_no")
+def selection_counts(spark, sf_dir):
+    return curate.counts(*picked(spark, sf_dir))
+
+
+@query(f"""WITH {SCORES} SELECT facet_no, round(max(score), 6) AS maximum, round(median(score), 6) AS median,
+string_agg(image_id, ',' ORDER BY rank) FILTER (rank <= 8) AS best FROM ranked GROUP BY facet_no""")
+def facet_report(spark, sf_dir):
+    rows = curate.report(scored(spark, sf_dir), label_facets(spark, sf_dir).select("facet_no"))
+    return rows.select("facet_no", "maximum", "median", F.array_join(F.transform("best", lambda b: b["image_id"]), ",").alias("best"))
+
+
+EVENT_Z = f"z AS (SELECT event_id, user_id, event_type, {Z.format(x='value', by='event_type')} AS z FROM events)"
+
+
+def event_z(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", rerank.standardized(F.col("value"), "event_type").alias("z"))
+
+
+@query(f"WITH {EVENT_Z} SELECT event_id, event_type, round(z, 6) AS z FROM z")
+def standardize_scores(spark, sf_dir):
+    return event_z(spark, sf_dir).select("event_id", "event_type", F.round("z", 6).alias("z"))
+
+
+@query(f"WITH {EVENT_Z} SELECT user_id, round(-0.35 * ln(avg(exp(-z / 0.35))), 6) AS conjunction FROM z GROUP BY user_id")
+def soft_min(spark, sf_dir):
+    return event_z(spark, sf_dir).groupBy("user_id").agg(F.round(rerank.soft_min(F.col("z")), 6).alias("conjunction"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS mean_seconds, round(median(value), 6) AS median_seconds, round(max(value), 6) AS max_seconds FROM events GROUP BY event_type")
+def latency_summary(spark, sf_dir):
+    return evaluate.time_summary(table(spark, sf_dir, "events"), ["event_type"], "value")
+
+
+@query("""WITH l AS (SELECT quality AS a, toxic AS b FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+w AS (SELECT count(*) AS n, count(*) FILTER (a = b) / count(*)::DOUBLE AS po FROM l), c AS (SELECT sum(x.n * y.n)::DOUBLE AS c FROM
+(SELECT a AS l, count(*) AS n FROM l GROUP BY a) x JOIN (SELECT b AS l, count(*) AS n FROM l GROUP BY b) y USING (l))
+SELECT n, round(po, 9) AS agreement, round(c / n / n, 9) AS chance, round((po - c / n / n) / (1 - c / n / n), 9) AS kappa FROM w, c""")
+def cohens_kappa(spark, sf_dir):
+    return evaluate.kappa(table(spark, sf_dir, "labels"), "quality", "toxic").select("n", *[F.round(c, 9).alias(c) for c in ("agreement", "chance", "kappa")])
+
+
+SIZED = f"{WIDTH.format('doc_id')} AS width, {HEIGHT.format('doc_id')} AS height"
+
+
+@query(f"""WITH d AS (SELECT lower(split_part(source || '.x', '.', 1)) AS s, {SIZED}, doc_id % 97 = 0 AS corrupt FROM documents),
+f AS (SELECT string_agg(k || '=' || n, ',' ORDER BY k || '=' || n) AS formats FROM (SELECT s AS k, count(*) AS n FROM d GROUP BY s)),
+o AS (SELECT string_agg(k || '=' || n, ',' ORDER BY k || '=' || n) AS orientations FROM (SELECT CASE WHEN height > width THEN 'portrait' WHEN width > height THEN 'landscape' ELSE 'square' END AS k, count(*) AS n FROM d WHERE NOT corrupt GROUP BY 1))
+SELECT count(*) AS total, count(*) FILTER (NOT corrupt) AS valid, count(*) FILTER (corrupt) AS corrupt,
+min(width) FILTER (NOT corrupt)::DOUBLE AS min_width, median(width) FILTER (NOT corrupt)::DOUBLE AS median_width, max(width) FILTER (NOT corrupt)::DOUBLE AS max_width,
+min(height) FILTER (NOT corrupt)::DOUBLE AS min_height, median(height) FILTER (NOT corrupt)::DOUBLE AS median_height, max(height) FILTER (NOT corrupt)::DOUBLE AS max_height,
+any_value(formats) AS formats, any_value(orientations) AS orientations FROM d, f, o""")
+def dataset_profile(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").selectExpr("'img/' || doc_id || '.' || source AS path", f"{WIDTH.format('doc_id')} AS width", f"{HEIGHT.format('doc_id')} AS height", "doc_id % 97 = 0 AS corrupt")
+    return catalog.profile(d)
+
+
+def pages_with_paths(spark, sf_dir):
+    return table(spark, sf_dir, "pages").selectExpr("page_id", f"{PATH} AS path")
+
+
+@query(f"SELECT page_id, substr(sha1({PATH}), 1, 16) AS image_id FROM pages")
+def image_ids(spark, sf_dir):
+    return pages_with_paths(spark, sf_dir).select("page_id", catalog.image_id(F.col("path")).alias("image_id"))
+
+
+CATALOG = f"p AS (SELECT page_id, {PATH} AS path FROM pages), c AS (SELECT * FROM p WHERE regexp_matches(path, '(?i)\\.(jpe?g|png|webp)$'))"
+
+
+@query(f"WITH {CATALOG} SELECT page_id, path FROM c")
+def catalog_discover(spark, sf_dir):
+    return catalog.in_order(catalog.only_images(pages_with_paths(spark, sf_dir)))
+
+
+@query(f"WITH {CATALOG} SELECT path FROM c ORDER BY sha256('17:' || path), path LIMIT 100")
+def deterministic_sample(spark, sf_dir):
+    return catalog.sample(catalog.only_images(pages_with_paths(spark, sf_dir)).select("path"), 100, 17)
+
+
+LINES = f"""{CATALOG}, l AS (SELECT page_id AS line_no, trim({LINE}) AS value FROM p),
+j AS (SELECT line_no, value, regexp_replace(value, '^\\./', '') AS path FROM l WHERE value <> '' AND value[1] <> '#'),
+k AS (SELECT j.*, CASE WHEN j.path LIKE '../%' THEN 'escapes' WHEN j.path NOT IN (SELECT path FROM c) THEN 'not a supported image' END AS problem FROM j)"""
+
+
+def judged(spark, sf_dir):
+    p = pages_with_paths(spark, sf_dir)
+    return catalog.judged_lines(p.selectExpr("page_id AS line_no", f"{LINE} AS text"), p)
+
+
+@query(f"WITH {LINES} SELECT min(line_no) AS line_no, path FROM k WHERE problem IS NULL GROUP BY path")
+def selection_resolve(spark, sf_dir):
+    return catalog.selected(judged(spark, sf_dir))
+
+
+@query(f"WITH {LINES} SELECT line_no, value, problem FROM k WHERE problem IS NOT NULL")
+def selection_rejects(spark, sf_dir):
+    return judged(spark, sf_dir).where("problem is not null").select("line_no", "value", "problem")
+
+
+def crops_sql(source: str, keys: str) -> str:
+    def part(no, crop):
+        name, x0, y0, x1, y1 = crop
+        r = lambda size, share, otherwise: otherwise if share is None else f"round_even({size} * {share}::DOUBLE, 0)::INT"
+        bottom = r("height", y1, "height")
+        return (f"SELECT {keys}, {no} AS region_no, '{name}' AS name, {r('width', x0, '0')} AS x0, {r('height', y0, '0')} AS y0, {r('width', x1, 'width')} AS x1, "
+                f"{f'greatest({bottom}, 1)' if name == 'upper' else bottom} AS y1 FROM {source}")
+    return " UNION ALL ".join(part(i, c) for i, c in enumerate(regions.CROPS))
+
+
+@query(f"WITH d AS (SELECT doc_id, {SIZED} FROM documents) " + crops_sql("d", "doc_id"))
+def heuristic_regions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").selectExpr("doc_id", f"{WIDTH.format('doc_id')} AS width", f"{HEIGHT.format('doc_id')} AS height")
+    return regions.heuristic(d).drop("width", "height")
+
+
+NAMES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(CATEGORIES))
+ROUNDED = [f"round_even({e}, 0)::INT" for e in (BOX[0], BOX[1], f"({BOX[0]}) + ({BOX[2]})", f"({BOX[1]}) + ({BOX[3]})")]
+BOXES = f"""o AS (SELECT o_orderkey, 'f' || o_orderkey || '.jpg' AS file_name, {WIDTH.format('o_orderkey')} AS width, {HEIGHT.format('o_orderkey')} AS height FROM orders),
+cat(id, category) AS (VALUES {NAMES}),
+b AS (SELECT file_name, l_orderkey * 10 + l_linenumber AS ann_no, 'annotation:' || coalesce(category, 'item') AS name, greatest(0, {ROUNDED[0]}) AS x0, greatest(0, {ROUNDED[1]}) AS y0,
+least(width, {ROUNDED[2]}) AS x1, least(height, {ROUNDED[3]}) AS y1 FROM lineitem JOIN o ON o_orderkey = l_orderkey LEFT JOIN cat ON id = l_suppkey % 12 WHERE {BOX[2]} > 1 AND {BOX[3]} > 1)"""
+
+
+def annotated(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS pos", "o_orderkey AS id", "'f' || o_orderkey || '.jpg' AS file_name",
+                                                  f"{WIDTH.format('o_orderkey')} AS width", f"{HEIGHT.format('o_orderkey')} AS height")
+    a = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS ann_no", "l_orderkey AS image_id", "l_suppkey % 12 AS category_id", f"array({', '.join(f'cast({b} as double)' for b in BOX)}) AS bbox")
+    c = spark.createDataFrame([(i, i, n) for i, n in enumerate(CATEGORIES)], "pos long, id long, name string")
+    return o, regions.boxes(o, c, a)
+
+
+@query(f"WITH {BOXES} SELECT *, x1 > x0 AND y1 > y0 AS valid FROM b")
+def annotation_boxes(spark, sf_dir):
+    return annotated(spark, sf_dir)[1]
+
+
+@query(f"""WITH {BOXES}, i AS (SELECT substr(sha1('img/' || file_name), 1, 16) AS image_id, file_name, width, height FROM o),
+n AS (SELECT image_id, row_number() OVER (PARTITION BY image_id ORDER BY ann_no, name, x0, y0, x1, y1) AS n, b.* FROM i JOIN b USING (file_name) WHERE x1 > x0 AND y1 > y0 QUALIFY n <= {regions.ANNOTATED})
+{crops_sql('i', 'image_id')} UNION ALL SELECT image_id, n + 6, name, x0, y0, x1, y1 FROM n""")
+def region_table(spark, sf_dir):
+    o, boxes = annotated(spark, sf_dir)
+    path = F.concat(F.lit("img/"), "file_name")
+    images = o.select(catalog.image_id(path).alias("image_id"), path.alias("path"), "width", "height")
+    return regions.table(images, boxes)
+
+
+@query("""WITH r AS (SELECT vec_id // 7 AS i, vec_id % 7 AS n, len(embedding) AS d FROM embeddings), g AS (SELECT i, count(*) AS n, min(d) AS lo, max(d) AS hi FROM r GROUP BY i)
+SELECT (SELECT count(*) FROM r WHERE n = 0) AS images, (SELECT count(DISTINCT i) FROM r WHERE n = 0) AS distinct_images, (SELECT min(d) FROM r WHERE n = 0) AS min_dimension,
+(SELECT max(d) FROM r WHERE n = 0) AS max_dimension, sum(n)::BIGINT AS regions, max(n) AS max_regions, min(lo) AS min_region_dimension, max(hi) AS max_region_dimension,
+(SELECT count(*) FROM g WHERE i NOT IN (SELECT i FROM r WHERE n = 0)) AS orphan_images FROM g""")
+def index_integrity(spark, sf_dir):
+    return store.integrity(*index(spark, sf_dir))
+
+
+@query("""SELECT query, coalesce(len(ids), 0) AS n_relevant FROM (SELECT (doc_id // 3)::VARCHAR AS query, list(d.doc_id) FILTER (quality = 1 AND toxic = 0) AS ids
+FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1) WHERE coalesce(len(ids), 0) = 0""")
+def judgments_validate(spark, sf_dir):
+    marked = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    judgments = marked.groupBy(F.expr("cast(doc_id div 3 as string)").alias("query")).agg(
+        F.collect_list(F.when(F.expr("quality = 1 and toxic = 0"), F.col("doc_id").cast("string"))).alias("relevant_image_ids"))
+    return evaluate.empty_judgments(judgments).select("query", F.size("relevant_image_ids").alias("n_relevant"))
+
+
+METRICS = f"""{TOP}, rel AS (SELECT q.vec_id AS query_id, i.image_id FROM e q JOIN e i ON i.label = q.label AND i.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+nrel AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id), h AS (SELECT t.query_id, t.cand_rank AS rank, r.image_id IS NOT NULL AS hit FROM top t LEFT JOIN rel r USING (query_id, image_id) WHERE t.cand_rank <= {K}),
+m AS (SELECT query_id, coalesce(1.0 / min(rank) FILTER (hit), 0)::DOUBLE AS reciprocal_rank, coalesce(count(*) FILTER (hit) / any_value(n)::DOUBLE, 0) AS recall,
+coalesce(sum(CASE WHEN hit THEN 1 / log2(rank + 1) ELSE 0 END) / any_value(list_sum(list_transform(range(1, least({K}, n) + 1), lambda i: 1 / log2(i + 1)))), 0) AS ndcg FROM h LEFT JOIN nrel USING (query_id) GROUP BY query_id)"""
+
+
+def measured(spark, sf_dir):
+    images = single(spark, sf_dir)
+    q = images.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    relevant = images.join(q, "label").where("vec_id <> query_id").select("query_id", "image_id")
+    ranked = candidates.top_k(images, vector_queries(images), CANDIDATES).withColumnRenamed("cand_rank", "rank")
+    return evaluate.metrics(ranked, relevant, K)
+
+
+@query(f"WITH {METRICS} SELECT query_id, round(reciprocal_rank, 9) AS reciprocal_rank, round(recall, 9) AS recall, round(ndcg, 9) AS ndcg FROM m")
+def eval_metrics(spark, sf_dir):
+    return measured(spark, sf_dir).select("query_id", *[F.round(c, 9).alias(c) for c in ("reciprocal_rank", "recall", "ndcg")])
+
+
+@query(f"WITH {METRICS} SELECT count(*) AS queries, round(avg(reciprocal_rank), 9) AS reciprocal_rank, round(avg(recall), 9) AS recall, round(avg(ndcg), 9) AS ndcg FROM m")
+def eval_macro(spark, sf_dir):
+    return evaluate.macro(measured(spark, sf_dir)).select("queries", *[F.round(c, 9).alias(c) for c in ("reciprocal_rank", "recall", "ndcg")])
+
+
+def texts(spark, sf_dir):
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS query_id", f"{TEXT} AS text")
+
+
+def alternatives(words) -> str:
+    return "|".join(words)
+
+
+def aliases_sql(aliases) -> str:
+    one = lambda name, a: f"CASE WHEN regexp_matches(t, '(^|[^0-9A-Za-z_])({alternatives(a)})($|[^0-9A-Za-z_])') THEN '{name}' END"
+    return "list_filter([" + ", ".join(one(n, a) for n, a in aliases.items()) + "], lambda x: x IS NOT NULL)"
+
+
+THING = alternatives(LEXICON.longest_first)
+COLOURED = rf"\b(?:({alternatives(LEXICON.intensifiers)})\s+)?({alternatives(LEXICON.colors)})\s+({THING})s?\b"
+once = "list_filter({0}, lambda x, i: list_position({0}, x) = i)".format
+PARSED = rf"""t0 AS (SELECT p_partkey AS query_id, {TEXT} AS text FROM part), t1 AS (SELECT *, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM t0),
+t2 AS (SELECT *, list_concat(list_transform(list_zip(regexp_extract_all(t, '{COLOURED}', 1), regexp_extract_all(t, '{COLOURED}', 2), regexp_extract_all(t, '{COLOURED}', 3)),
+  lambda p: trim(concat_ws(' ', p[1], p[2], p[3]))), regexp_extract_all(regexp_replace(t, '{COLOURED}', ' | ', 'g'), '\b({THING})s?\b', 1)) AS b,
+  list_transform(regexp_extract_all(t, '\b(?:without|not wearing|no)\s+([^,.;]+)', 1), lambda x: trim(x, ' .,;')) AS g FROM t1),
+parsed AS (SELECT query_id, text, {once('b')} AS bindings, {aliases_sql(LEXICON.scenes)} AS scenes, {aliases_sql(LEXICON.styles)} AS styles,
+  {aliases_sql({a: (a,) for a in LEXICON.actions})} AS actions, {once('g')} AS negatives FROM t2)"""
+PARTS = ("bindings", "scenes", "styles", "actions", "negatives")
+color_sql = lambda x: "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({x}, '\\b{c}\\b') THEN '{c}' END" for c in LEXICON.colors) + ")"
+garment_sql = lambda x: "coalesce(" + ", ".join(f"CASE WHEN regexp_matches({x}, '\\b{g}\\b') THEN '{g}' END" for g in LEXICON.longest_first) + f", {x})"
+listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+CONFUSED = "CASE garment " + " ".join(f"WHEN '{g}' THEN {listed(o)}" for g, o in LEXICON.confusable.items()) + f" ELSE {listed(LEXICON.otherwise)} END"
+FACETS = f"""{PARSED}, f0 AS (SELECT query_id, list_concat(list_transform(bindings, lambda x: {{'kind': 'binding', 'facet': x}}), list_transform(scenes, lambda x: {{'kind': 'scene', 'facet': x}}),
+  list_transform(styles, lambda x: {{'kind': 'style', 'facet': x}}), list_transform(actions, lambda x: {{'kind': 'action', 'facet': x}})) AS fs FROM parsed),
+f1 AS (SELECT query_id, generate_subscripts(fs, 1)::INT AS facet_no, unnest(fs) AS f FROM f0), facets AS (SELECT query_id, facet_no, f.kind AS kind, f.facet AS facet FROM f1),
+components AS (SELECT *, {color_sql('facet')} AS color, {garment_sql('facet')} AS garment FROM facets WHERE kind = 'binding'),
+colors AS (SELECT query_id, list(color ORDER BY facet_no) FILTER (color IS NOT NULL) AS cs FROM components GROUP BY query_id),
+d0 AS (SELECT c.*, CASE WHEN color IS NULL THEN []::VARCHAR[] ELSE list_concat(list_transform(list_filter({CONFUSED}, lambda g: g <> garment), lambda g: color || ' ' || g),
+  list_transform(list_filter(cs, lambda x: x <> color), lambda x: x || ' ' || garment)) END AS d FROM components c LEFT JOIN colors USING (query_id)),
+distractors AS (SELECT query_id, facet_no, facet, color, garment, {once('d')} AS ds FROM d0)"""
+
+
+@query(f"WITH {PARSED} SELECT query_id, " + ", ".join(f"array_to_string({p}, '|') AS {p}" for p in PARTS) + " FROM parsed")
+def parse_query(spark, sf_dir):
+    p = rerank.parsed_queries(texts(spark, sf_dir), LEXICON)
+    return p.select("query_id", *[F.array_join(c, "|").alias(c) for c in PARTS])
+
+
+def bound(spark, sf_dir):
+    p = rerank.parsed_queries(texts(spark, sf_dir), LEXICON)
+    f = rerank.facets(p).where("kind = 'binding'")
+    f = f.withColumn("color", parse.color_of(F.col("facet"), LEXICON)).withColumn("garment", parse.garment_of(F.col("facet"), LEXICON))
+    return f, p.select("query_id", F.array_compact(F.transform("bindings", lambda b: parse.color_of(b, LEXICON))).alias("colors"))
+
+
+@query(f"WITH {FACETS} SELECT query_id, facet_no, facet, color, garment FROM components")
+def binding_components(spark, sf_dir):
+    return bound(spark, sf_dir)[0].drop("kind")
+
+
+@query(f"WITH {FACETS} SELECT query_id, facet_no, facet, array_to_string(ds, '|') AS distractors FROM distractors")
+def binding_distractors(spark, sf_dir):
+    f, colors = bound(spark, sf_dir)
+    d = parse.distractors(F.col("color"), F.col("garment"), F.col("colors"), LEXICON)
+    return f.join(colors, "query_id").select("query_id", "facet_no", "facet", F.array_join(d, "|").alias("distractors"))
+
+
+def prompts_sql(kind: str, facet: str) -> str:
+    return "[" + ", ".join(f"replace('{t}', '{{}}', {facet})" for t in PROMPTS[kind]) + "]"
+
+
+BY_KIND = "CASE kind " + " ".join(f"WHEN '{k}' THEN {prompts_sql(k, 'facet')}" for k in ("binding", "scene", "style", "action")) + " END"
+
+
+@query(f"WITH {FACETS} SELECT query_id, facet_no, kind, array_to_string({BY_KIND}, '|') AS prompts FROM facets")
+def prompt_variants(spark, sf_dir):
+    f = rerank.facets(rerank.parsed_queries(texts(spark, sf_dir), LEXICON))
+    return f.select("query_id", "facet_no", "kind", F.array_join(parse.prompts(F.col("facet"), F.col("kind")), "|").alias("prompts"))
+
+
+EVIDENCE = f"""{FACETS.replace('FROM part)', 'FROM part WHERE p_partkey % 100 = 0)')}, e AS (SELECT vec_id, {UNIT.format('embedding')} AS v FROM embeddings),
+roles AS (SELECT query_id, 0 AS facet_no, 'query' AS kind, '' AS facet, 'full' AS role, 0 AS role_no, {prompts_sql('full', 'text')} AS ps FROM parsed
+  UNION ALL SELECT query_id, 0, 'query', '', 'negative', i, {prompts_sql('negative', 'n')} FROM (SELECT query_id, generate_subscripts(negatives, 1) - 1 AS i, unnest(negatives) AS n FROM parsed)
+  UNION ALL SELECT query_id, facet_no, kind, facet, 'phrase', 0, {prompts_sql('binding', 'facet')} FROM facets WHERE kind = 'binding'
+  UNION ALL SELECT query_id, facet_no, 'binding', facet, 'garment', 0, {prompts_sql('garment', 'garment')} FROM components
+  UNION ALL SELECT query_id, facet_no, 'binding', facet, 'distractor', i, {prompts_sql('binding', 'n')} FROM (SELECT *, generate_subscripts(ds, 1) - 1 AS i, unnest(ds) AS n FROM distractors)
+  UNION ALL SELECT query_id, facet_no, kind, facet, 'context', 0, {BY_KIND} FROM facets WHERE kind <> 'binding'),
+prompts AS (SELECT * EXCLUDE (ps), unnest(ps) AS prompt FROM roles),
+pv AS (SELECT p.* EXCLUDE (prompt), e.v FROM prompts p JOIN e ON e.vec_id = ('0x' || substr(md5(prompt), 1, 8))::BIGINT % (SELECT count(*) FROM embeddings)),
+pm AS (SELECT query_id, facet_no, kind, facet, role, role_no, pos, avg(x) AS x FROM (SELECT * EXCLUDE (v), generate_subscripts(v, 1) AS pos, unnest(v) AS x FROM pv) GROUP BY ALL),
+pl AS (SELECT query_id, facet_no, kind, facet, role, role_no, list(x ORDER BY pos) AS m FROM pm GROUP BY ALL), rv AS (SELECT * EXCLUDE (m), {UNIT.format('m')} AS v FROM pl),
+r AS (SELECT substr(sha1((vec_id // 7)::VARCHAR), 1, 16) AS image_id, vec_id % 7 AS region_no, v FROM e),
+cand AS (SELECT q.query_id, r.image_id, round(list_inner_product(q.v, r.v), 12) AS cosine, row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_inner_product(q.v, r.v), 12) DESC, r.image_id) AS cand_rank
+  FROM rv q, r WHERE q.role = 'full' AND r.region_no = 0 QUALIFY cand_rank <= {CANDIDATES}),
+dots AS (SELECT c.query_id, c.image_id, r.region_no, q.facet_no, q.kind, q.facet, q.role, list_inner_product(q.v, r.v) AS d FROM cand c JOIN r USING (image_id) JOIN rv q USING (query_id) WHERE q.role <> 'full'),
+local AS (SELECT query_id, image_id, facet_no, kind, facet, region_no, max(d) FILTER (role = 'phrase') AS p, max(d) FILTER (role = 'garment') AS g, max(d) FILTER (role = 'distractor') AS x,
+  max(d) FILTER (role IN ('context', 'negative') AND region_no = 0) AS c FROM dots GROUP BY ALL),
+ev AS (SELECT query_id, image_id, facet_no, CASE local.kind WHEN 'query' THEN 'negative' ELSE local.kind END AS kind, facet, max(p) AS phrase, max(g) AS garment,
+  CASE WHEN local.kind = 'binding' THEN coalesce(max(p - x), 0) END AS margin, max(c) AS context FROM local GROUP BY query_id, image_id, facet_no, local.kind, facet),
+raws AS (SELECT query_id, image_id, facet_no, kind, facet, CASE WHEN kind = 'binding' THEN 0.55 * phrase + 0.30 * garment + 0.45 * margin ELSE context END AS raw FROM ev),
+zs AS (SELECT *, {Z.format(x='raw', by='query_id, facet_no, kind')} AS z FROM raws)"""
+
+
+def structured_parts(spark, sf_dir):
+    images, crops = index(spark, sf_dir)
+    queries = texts(spark, sf_dir).where("query_id % 100 = 0")
+    vectors = plans.role_vectors(queries, lookup(spark, sf_dir), LEXICON)
+    found = plans.candidates_of(images, vectors, CANDIDATES)
+    return found, rerank.evidence(found, images, crops, vectors.where("role <> 'full'"))
+
+
+@query(f"WITH {EVIDENCE} SELECT query_id, image_id, facet_no, facet, round(phrase, 6) AS phrase, round(garment, 6) AS garment FROM ev WHERE kind = 'binding'")
+def region_evidence(spark, sf_dir):
+    e = structured_parts(spark, sf_dir)[1].where("kind = 'binding'")
+    return e.select("query_id", "image_id", "facet_no", "facet", F.round("phrase", 6).alias("phrase"), F.round("garment", 6).alias("garment"))
+
+
+@query(f"WITH {EVIDENCE} SELECT query_id, image_id, facet_no, round(margin, 6) AS margin FROM ev WHERE kind = 'binding'")
+def counterfactual_margin(spark, sf_dir):
+    return structured_parts(spark, sf_dir)[1].where("kind = 'binding'").select("query_id", "image_id", "facet_no", F.round("margin", 6).alias("margin"))
+
+
+@query(f"WITH {EVIDENCE} SELECT query_id, image_id, facet_no, kind, facet, round(raw, 6) AS raw FROM raws")
+def facet_raw_scores(spark, sf_dir):
+    return rerank.raw_scores(structured_parts(spark, sf_dir)[1]).withColumn("raw", F.round("raw", 6))
+
+
+@query(f"WITH {EVIDENCE} SELECT query_id, image_id, round(greatest(z, 0), 6) AS penalty FROM zs WHERE kind = 'negative'")
+def negative_penalty(spark, sf_dir):
+    raw = rerank.raw_scores(structured_parts(spark, sf_dir)[1]).where("kind = 'negative'")
+    return raw.select("query_id", "image_id", F.round(F.greatest(rerank.standardized(F.col("raw"), "query_id"), F.lit(0.0)), 6).alias("penalty"))
+
+
+STRUCTURED = f"""{EVIDENCE}, agg AS (SELECT query_id, image_id, -0.35 * ln(avg(exp(-z / 0.35)) FILTER (kind <> 'negative')) AS c, coalesce(avg(z) FILTER (kind = 'binding'), 0) AS b,
+  coalesce(avg(z) FILTER (kind NOT IN ('binding', 'negative')), 0) AS o, coalesce(greatest(max(z) FILTER (kind = 'negative'), 0), 0) AS n,
+  string_agg(kind || ':' || facet || '=' || printf('%.4f', round(z, 4)), ',' ORDER BY facet_no) FILTER (kind <> 'negative') AS facet_scores FROM zs GROUP BY ALL),
+base AS (SELECT query_id, image_id, cand_rank, {Z.format(x='cosine', by='query_id')} AS zg FROM cand),
+fin AS (SELECT *, CASE WHEN c IS NULL THEN zg - 0.2 * coalesce(n, 0) ELSE 0.15 * zg + 0.55 * c + 0.20 * b + 0.10 * o - 0.20 * n END AS final FROM base LEFT JOIN agg USING (query_id, image_id)),
+st AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, cand_rank) AS rank FROM fin)"""
+
+
+def structured(spark, sf_dir, k, strategy="structured"):
+    images, crops = index(spark, sf_dir)
+    queries = texts(spark, sf_dir).where("query_id % 100 = 0")
+    return plans.search(queries, images, crops, lookup(spark, sf_dir), k=k, candidate_k=CANDIDATES, strategy=strategy, lex=LEXICON)
+
+
+@query(f"WITH {STRUCTURED} SELECT query_id, rank, image_id, round(final, 6) AS score, round(zg, 6) AS global_score, round(coalesce(c, zg), 6) AS conjunction_score, facet_scores FROM st WHERE rank <= {K}")
+def search_structured(spark, sf_dir):
+    rows = structured(spark, sf_dir, K)
+    pairs = F.transform(F.map_entries("facet_scores"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])))
+    return rows.withColumn("facet_scores", F.array_join(pairs, ","))
+
+
+@query(f"WITH {STRUCTURED} SELECT query_id, image_id, cand_rank AS baseline_rank FROM st WHERE rank = 1")
+def rank_movement(spark, sf_dir):
+    return evaluate.movement(structured(spark, sf_dir, 1), structured(spark, sf_dir, CANDIDATES, "global"))
+
+
+BY_REGION = f"""regional AS (SELECT q.query_id, r.image_id, max(round(list_inner_product(q.v, r.v), 12)) AS cosine FROM rv q, r WHERE q.role = 'full' GROUP BY ALL),
+reg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, image_id) AS cand_rank FROM regional QUALIFY cand_rank <= {K})"""
+
+
+def regional(spark, sf_dir):
+    queries = texts(spark, sf_dir).where("query_id % 100 = 0")
+    vectors = plans.role_vectors(queries, lookup(spark, sf_dir), LEXICON).where("role = 'full'").select("query_id", "vec")
+    return candidates.region_max(index(spark, sf_dir)[1], vectors, K)
+
+
+@query(f"WITH {EVIDENCE}, {BY_REGION} SELECT query_id, image_id, round(cosine, 6) AS cosine, cand_rank FROM reg")
+def search_region_max(spark, sf_dir):
+    return regional(spark, sf_dir).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(f"""WITH {STRUCTURED}, {BY_REGION} SELECT query_id, image_id FROM st WHERE rank <= {K} UNION SELECT query_id, image_id FROM st WHERE cand_rank <= {K} UNION SELECT query_id, image_id FROM reg""")
+def label_pool(spark, sf_dir):
+    runs = [structured(spark, sf_dir, K), structured(spark, sf_dir, K, "global"), regional(spark, sf_dir).withColumnRenamed("cand_rank", "rank")]
+    return evaluate.pool(runs, K)
+
+
+@query(f"""WITH {CATALOG}, n AS (SELECT count(*) AS n FROM embeddings), d AS (SELECT DISTINCT path FROM c), old AS (SELECT DISTINCT path FROM c WHERE page_id % 3 <> 0),
+w AS (SELECT path, path IN (SELECT path FROM old) AS cached, ('0x' || substr(md5(path), 1, 8))::BIGINT % n AS vec_id FROM d, n)
+SELECT path, 'lookup' AS model_id, round(embedding[1]::DOUBLE + CASE WHEN cached THEN 1 ELSE 0 END, 6) AS x FROM w JOIN embeddings USING (vec_id)""")
+def embedding_backfill(spark, sf_dir):
+    images = catalog.only_images(pages_with_paths(spark, sf_dir))
+    vectors = table(spark, sf_dir, "embeddings")
+    n = vectors.count()
+
+    def coded(paths, plus):
+        at = paths.withColumn("vec_id", F.conv(F.substring(F.md5("path"), 1, 8), 16, 10).cast("long") % n)
+        return at.join(vectors, "vec_id").select("path", F.transform("embedding", lambda x: x.cast("double") + plus).alias("embedding"))
+
+    cached = coded(images.where("page_id % 3 <> 0").select("path").distinct(), 1.0).withColumn("model_id", F.lit("lookup"))
+    done = encode.backfilled(images.select("path").distinct(), cached, "lookup", lambda paths: coded(paths, 0.0))
+    return done.select("path", "model_id", F.round(F.element_at("embedding", 1), 6).alias("x"))
