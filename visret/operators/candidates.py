@@ -8,6 +8,8 @@ from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from visret.functions.vectors import dot, l2_normalized
 
@@ -41,7 +43,7 @@ def query_blocks(queries: DataFrame, key: str, block_bytes: int) -> Iterator[tup
         yield keys, unit_rows(rows)
 
 
-def local_best(shared, k: int):
+def local_best(shared, k: int, kind: pa.Schema):
     """For mapInArrow over (id, embedding): each task's ``k`` best ids of every query of the block,
     ties by id, so that no more than tasks x queries x k rows are shuffled."""
     def best(batches):
@@ -65,15 +67,7 @@ def local_best(shared, k: int):
         for i in range(0, len(rows), 10_000):
             yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "image_id", "cosine"), r, strict=True)) for r in rows[i:i + 10_000]], schema=kind)
 
-    kind = None
-
-    def typed(batches):
-        nonlocal kind
-        keys, _ = shared.value
-        kind = pa.schema([("query_id", pa.array(keys).type), ("image_id", pa.string()), ("cosine", pa.float64())])
-        yield from best(batches)
-
-    return typed
+    return best
 
 
 def top_k(images: DataFrame, queries: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -86,13 +80,12 @@ def top_k(images: DataFrame, queries: DataFrame, k: int, *, block_bytes: int = B
     if k < 1:
         raise ValueError("k must be positive")
     spark, parts = images.sparkSession, []
-    kind = queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {kind}, image_id string, cosine double"
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("image_id", T.StringType()), T.StructField("cosine", T.DoubleType())])
     for block in query_blocks(queries, "query_id", block_bytes):
         shared = spark.sparkContext.broadcast(block)
-        parts.append(images.select(F.col("image_id").cast("string"), "embedding").mapInArrow(local_best(shared, k), schema))
+        parts.append(images.select(F.col("image_id").cast("string"), "embedding").mapInArrow(local_best(shared, k, to_arrow_schema(schema)), schema))
     if not parts:
-        return spark.createDataFrame([], schema + ", cand_rank int")
+        return spark.createDataFrame([], T.StructType([*schema, T.StructField("cand_rank", T.IntegerType())]))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
