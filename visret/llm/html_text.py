@@ -217,7 +217,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
 class Trees:
     """Gradient-boosted regression trees on log-loss, over quantile bins."""
 
-    def __init__(self, rounds: int = 40, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 5.0):
+    def __init__(self, rounds: int = 60, depth: int = 5, rate: float = 0.25, bins: int = 32, ridge: float = 5.0):
         self.rounds, self.depth, self.rate, self.bins, self.ridge = rounds, depth, rate, bins, ridge
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> "Trees":
@@ -332,7 +332,7 @@ def layout(rng: np.random.Generator, pool: list[str]) -> str:
             body = f"<label>{short()}</label><input><button>{short()}</button>" + f"<p>{short()}</p>" * int(rng.random() < 0.5)
         else:
             body = pick(["{}", "<p>{}</p>", "<div>{}</div>", "<h3>{}</h3>"]).format(text() if rng.random() < 0.5 else short())
-        out = pick(LAYOUTS[kind]).format(body)
+        out = pick([x for x in LAYOUTS[kind] if not inside or x != "<div>{}</div>"]).format(body)
         return re.sub(r"^<(\w+)", r"<\1 data-main=0", out) if inside else out
 
     def paragraph() -> str:
@@ -342,14 +342,15 @@ def layout(rng: np.random.Generator, pool: list[str]) -> str:
         if r < 0.82:
             return f"<h2>{short()}</h2>"
         if r < 0.88:
-            return "<ul>" + "".join(f"<li>{short() if rng.random() < 0.5 else text()}</li>" for _ in range(rng.integers(2, 5))) + "</ul>"
+            how = pick(["<li>{}</li>", "<li>{}", '<li><a href="/x">{}</a></li>'])
+            return "<ul>" + "".join(how.format(short() if rng.random() < 0.5 else text()) for _ in range(rng.integers(2, 5))) + "</ul>"
         if r < 0.92:
             return f"<blockquote><p>{text()}</p></blockquote>"
-        if r < 0.95:
+        if r < 0.94:
             return f"<table><tr><td>{short()}</td><td>{short()}</td></tr></table>"
-        if r < 0.97:
+        if r < 0.96:
             return f"<figure><figcaption>{short()}</figcaption></figure>"
-        return f"<pre>{text()}</pre>" if rng.random() < 0.5 else f"<div>{text()}</div>"
+        return pick(["<pre>{}</pre>", "<pre><code>{}</code></pre>", "<div>{}</div>"]).format(text() if rng.random() < 0.5 else short())
 
     core = [f"<h1>{short()}</h1>"] * int(rng.random() < 0.8) + [paragraph() for _ in range(rng.integers(1, 10))]
     for kind in SIDE:
