@@ -44,25 +44,25 @@ def shape(word: bytes) -> bytes:
 
 
 class Seen(dict):
-    """word -> (number of the word, number of its shape), remembered up to a bound."""
+    """word -> number of the word << 32 | number of its shape, remembered up to a bound."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY:
             self.clear()
-        got = self[word] = (zlib.crc32(word.translate(ALNUM).strip()), zlib.crc32(shape(word), 1))
+        got = self[word] = zlib.crc32(word.translate(ALNUM).strip()) << 32 | zlib.crc32(shape(word), 1)
         return got
 
 
 SEEN = Seen()
 
 
-def features(text: bytes) -> np.ndarray:
-    """Distinct bucket numbers of the whole text's n-grams, sorted."""
+def buckets(text: bytes) -> np.ndarray:
+    """Bucket numbers of the whole text's n-grams, repeats included."""
     words = text.split()
     if not words:
         return np.zeros(0, np.int64)
-    both = np.array([SEEN[w] for w in words], np.uint64)
-    word, form = both[:, 0], both[:, 1]
+    both = np.fromiter(map(SEEN.__getitem__, words), np.uint64, len(words))
+    word, form = both >> 32, both & 0xFFFFFFFF
     form[1:][word[1:] == word[:-1]] = 7  # the word before again
     grams = [word * P2 + 1, (word[:-1] * P1 + word[1:]) * P2 + 2]
     run = form
@@ -70,14 +70,29 @@ def features(text: bytes) -> np.ndarray:
         grams.append(run * P2 + 2 + n)
         run = run[:-1] * P1 + form[n:]
     mixed = np.concatenate(grams)
-    return np.unique(((mixed ^ mixed >> 29) * P1 >> 20) % BUCKETS).astype(np.int64)
+    return (((mixed ^ mixed >> 29) * P1 >> 20) % BUCKETS).astype(np.int64)
+
+
+class Distinct:
+    """Distinct features among the known ones, without sorting: of equal ones the last stays."""
+
+    def __init__(self, known: np.ndarray | None = None):
+        self.known, self.place = known, np.zeros(BUCKETS, np.int64)
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        f = buckets(text)
+        if self.known is not None:
+            f = f[self.known[f]]
+        at = np.arange(len(f))
+        self.place[f] = at
+        return f[self.place[f] == at]
 
 
 def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(documents of each class, documents of each class with each feature) over all rows of
     ``labelled(text, y)``. Tasks sum first; the driver gets 2 x BUCKETS + 2 numbers at most."""
     def count(batches):
-        total = np.zeros((2, BUCKETS + 1), np.int64)
+        total, features = np.zeros((2, BUCKETS + 1), np.int64), Distinct()
         for batch in batches:
             for t, y in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 total[y, features(t)] += 1
@@ -143,12 +158,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_each: int = SAMPLE_EACH):
     ratio = np.where(seen.sum(0) >= RARE, np.log(p / q), 0.0)
     share = np.minimum(1.0, 1.5 * sample_each / n)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    kept = np.flatnonzero(ratio)
-    known = docs.sparkSession.sparkContext.broadcast(kept)
+    known = docs.sparkSession.sparkContext.broadcast(ratio != 0)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def of(text: pa.Array) -> pa.Array:
-        return pa.array([np.intersect1d(features(t), known.value, assume_unique=True) for t in texts(text)], pa.list_(pa.int64()))
+        features = Distinct(known.value)
+        return pa.array([np.sort(features(t)) for t in texts(text)], pa.list_(pa.int64()))
 
     rows, y = [], []
     for c in (0, 1):
@@ -177,11 +192,9 @@ def scorer(docs: DataFrame, model):
         out = []
         dense = np.zeros(BUCKETS)
         dense[kept] = weights
-        known = np.zeros(BUCKETS, bool)
-        known[kept] = True
+        features = Distinct(dense != 0)
         for t in texts(text):
             f = features(t)
-            f = f[known[f]]
             out.append(float(sigmoid(slope * (dense[f].sum() / np.sqrt(max(1, len(f))) + bias) + offset)))
         return pa.array(out, pa.float64())
 
