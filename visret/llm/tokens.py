@@ -3,12 +3,13 @@
 import json
 import re
 
+import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-#: Stretches and words that a worker remembers.
-MEMORY = 500_000
+#: Stretches and words that a worker remembers, and as many that it is about to forget.
+MEMORY = 300_000
 
 # Fixed value: the pattern by which word_bpe_49k.json cuts lower-cased text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -28,7 +29,25 @@ def byte_names() -> dict[int, str]:
 
 
 def packed(ids) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return np.array(ids, "<u4").tobytes()
+
+
+class Remembered(dict):
+    """A mapping that forgets what was not asked for since about MEMORY entries ago."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        if len(self) >= MEMORY:
+            self.old = dict(self)
+            self.clear()
+        got = self.old.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
 
 
 class WordTokenizer:
@@ -45,38 +64,28 @@ class WordTokenizer:
         self.by_stretch = cuts[:1] == [PATTERN]
         self.special = [] if ordinary else [a["content"] for a in how["added_tokens"]]
         self.names = byte_names()
-        self.stretches: dict[bytes, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words, self.stretches = Remembered(self.word), Remembered(self.stretch)
 
     def whole(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def word(self, word: str) -> bytes:
-        got = self.words.get(word)
-        if got is None:
-            named = word.encode().decode("latin-1").translate(self.names)
-            got = self.words[word] = packed([t.id for t in self.tokenizer.model.tokenize(named)])
-        return got
+        named = word.encode().decode("latin-1").translate(self.names)
+        return packed([t.id for t in self.tokenizer.model.tokenize(named)])
 
     def stretch(self, raw: bytes) -> bytes:
         text = raw.decode()
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            return b"".join(map(self.word, CUT.findall(text.lower())))
+        if PLAIN.fullmatch(text) and not (b"<" in raw and any(s in text for s in self.special)):
+            return b"".join(map(self.words.__getitem__, CUT.findall(text.lower())))
         return self.whole(text)
 
     def ids(self, texts: list[bytes]):
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
         for text in texts:
-            if not self.by_stretch:
+            if self.by_stretch:
+                yield b"".join(map(self.stretches.__getitem__, text.split()))
+            else:
                 yield self.whole(text.decode())
-                continue
-            if len(self.stretches) > MEMORY or len(self.words) > MEMORY:
-                self.stretches.clear()
-                self.words.clear()
-            split, known = text.split(), self.stretches
-            for raw in set(split).difference(known):
-                known[raw] = self.stretch(raw)
-            yield b"".join([known[raw] for raw in split])
 
 
 MADE: dict[tuple[str, bool], WordTokenizer] = {}
