@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
@@ -17,9 +18,20 @@ from visret.functions.vectors import dot, l2_normalized
 BLOCK_BYTES = 64 << 20
 
 
+def fitting(column: pa.Array, width: int) -> np.ndarray:
+    """Which vectors of a list column are not null and of the given length."""
+    return np.asarray(pa.compute.fill_null(pa.compute.equal(pa.compute.list_value_length(column), width), False).to_numpy(zero_copy_only=False), bool)
+
+
+def matrix(column) -> np.ndarray:
+    """A list column of vectors of one length, without nulls, as rows in double."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), float).reshape(len(column), -1)
+
+
 def unit_rows(rows) -> np.ndarray:
     """Rows as unit vectors in double; zero rows stay zero."""
-    x = np.array(rows, float)
+    x = np.asarray(rows, float)
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
@@ -50,12 +62,11 @@ def local_best(shared, k: int, kind: pa.Schema):
         keys, q = shared.value
         held: list[list[tuple[float, str]]] = [[] for _ in keys]
         for batch in batches:
-            ids, rows = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-            fits = [i for i, v in enumerate(rows) if v is not None and len(v) == q.shape[1]]
-            if not fits:
+            fits = fitting(batch.column(1), q.shape[1])
+            if not fits.any():
                 continue
-            score = cosines(q, [rows[i] for i in fits])
-            ids = ids[fits]
+            score = cosines(q, matrix(batch.column(1).filter(pa.array(fits))))
+            ids = np.array(batch.column(0).to_pylist(), object)[fits]
             for i, line in enumerate(score):
                 floor = held[i][-1][0] if len(held[i]) == k else -np.inf
                 if len(line) > k:
@@ -133,12 +144,12 @@ def facet_scores(images: DataFrame, facets: DataFrame, *, block_bytes: int = BLO
         def score(batches, shared=shared):
             keys, q = shared.value
             for batch in batches:
-                ids, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                fits = [i for i, v in enumerate(rows) if v is not None and len(v) == q.shape[1]]
-                if fits:
-                    s = cosines(q, [rows[i] for i in fits]).T
+                fits = fitting(batch.column(1), q.shape[1])
+                if fits.any():
+                    s = cosines(q, matrix(batch.column(1).filter(pa.array(fits)))).T
+                    ids = np.repeat(np.array(batch.column(0).to_pylist(), object)[fits], len(keys))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[i] for i in fits for _ in keys], pa.string()), pa.array(list(keys) * len(fits), pa.int64()), pa.array(s.ravel())],
+                        [pa.array(ids.tolist(), pa.string()), pa.array(list(keys) * len(s), pa.int64()), pa.array(s.ravel())],
                         ["image_id", "facet_no", "score"])
 
         parts.append(images.select(F.col("image_id").cast("string"), "embedding").mapInArrow(score, "image_id string, facet_no long, score double"))

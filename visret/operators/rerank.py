@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from visret.functions import parse
 from visret.functions.lexicon import DEFAULT, Lexicon
-from visret.operators.candidates import unit_rows
+from visret.operators.candidates import matrix, unit_rows
 
 # Weights of the scores.
 PHRASE, GARMENT, MARGIN = 0.55, 0.30, 0.45
@@ -75,33 +75,36 @@ def evidence(candidates: DataFrame, images: DataFrame, regions: DataFrame, vecto
     kind = candidates.schema["query_id"].dataType.simpleString()
 
     def weigh(key: tuple[pa.Scalar, ...], own: pa.Table, roles: pa.Table) -> pa.Table:
-        out = []
+        names = ("phrase", "garment", "margin", "context")
+        schema = pa.schema([("query_id", key[0].type), ("image_id", pa.string()), ("facet_no", pa.int32()), ("kind", pa.string()), ("facet", pa.string()), *[(n, pa.float64()) for n in names]])
+        parts = []
         if len(own) and len(roles):
-            v, x = unit_rows(roles["vec"].to_pylist()), unit_rows(own["embedding"].to_pylist())
-            dots, region, image = x @ v.T, own["region_no"].to_numpy(), np.array(own["image_id"].to_pylist(), object)
-            r = roles.select(["facet_no", "kind", "facet", "role"]).to_pylist()
+            own = own.sort_by([("image_id", "ascending"), ("region_no", "ascending")])
+            dots = unit_rows(matrix(own["embedding"])) @ unit_rows(matrix(roles["vec"])).T
+            region, image = own["region_no"].to_numpy(), np.array(own["image_id"].to_pylist(), object)
+            crop, full = dots[region >= 0], dots[region < 0]
+            cropped, begin = np.unique(image[region >= 0].astype(str), return_index=True)
+            whole = image[region < 0]
             of: dict[tuple, dict[str, list[int]]] = {}
-            for i, x in enumerate(r):
-                of.setdefault((x["facet_no"], x["kind"], x["facet"]), {}).setdefault(x["role"], []).append(i)
-            for name in sorted(set(image)):
-                mine = image == name
-                crop, full = dots[mine & (region >= 0)], dots[mine & (region < 0)]
-                for (no, kind, facet), at in of.items():
-                    row = {"image_id": name, "facet_no": no, "kind": kind, "facet": facet}
-                    if kind == "binding" and len(crop):
-                        phrase = crop[:, at["phrase"][0]]
-                        false = at.get("distractor")
-                        out.append(row | {"phrase": phrase.max(), "garment": crop[:, at["garment"][0]].max(),
-                                          "margin": (phrase - crop[:, false].max(1)).max() if false else 0.0})
-                    elif "context" in at and len(full):
-                        out.append(row | {"context": full[0, at["context"][0]]})
-                    elif "negative" in at and len(full):
-                        out.append(row | {"kind": "negative", "context": full[0, at["negative"]].max()})
-        for row in out:
-            row["query_id"] = key[0].as_py()
-        return pa.Table.from_pylist(out, schema=pa.schema([
-            ("query_id", key[0].type), ("image_id", pa.string()), ("facet_no", pa.int32()), ("kind", pa.string()), ("facet", pa.string()),
-            *[(n, pa.float64()) for n in ("phrase", "garment", "margin", "context")]]))
+            for i, r in enumerate(roles.select(["facet_no", "kind", "facet", "role"]).to_pylist()):
+                of.setdefault((r["facet_no"], r["kind"], r["facet"]), {}).setdefault(r["role"], []).append(i)
+            for (no, kind, facet), at in of.items():
+                got = dict.fromkeys(names)
+                if kind == "binding" and len(cropped):
+                    ids, phrase, false = cropped, crop[:, at["phrase"][0]], at.get("distractor")
+                    got["phrase"] = np.maximum.reduceat(phrase, begin)
+                    got["garment"] = np.maximum.reduceat(crop[:, at["garment"][0]], begin)
+                    got["margin"] = np.maximum.reduceat(phrase - crop[:, false].max(1), begin) if false else np.zeros(len(ids))
+                elif kind != "binding" and ("context" in at or "negative" in at) and len(whole):
+                    ids, kind = whole, kind if "context" in at else "negative"
+                    got["context"] = full[:, at.get("context") or at["negative"]].max(1)
+                else:
+                    continue
+                n = len(ids)
+                parts.append(pa.Table.from_arrays([
+                    pa.array([key[0].as_py()] * n, key[0].type), pa.array(ids.tolist(), pa.string()), pa.array([no] * n, pa.int32()), pa.array([kind] * n), pa.array([facet] * n),
+                    *[pa.nulls(n, pa.float64()) if got[c] is None else pa.array(got[c]) for c in names]], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return left.groupBy("query_id").cogroup(vectors.groupBy("query_id")).applyInArrow(
         weigh, f"query_id {kind}, image_id string, facet_no int, kind string, facet string, phrase double, garment double, margin double, context double")
