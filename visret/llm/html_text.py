@@ -374,7 +374,10 @@ def fit(pages: DataFrame, *, source: str = "html") -> Trees:
     """Trees fitted on a bounded sample of ``pages``, labelled by their own article and main
     elements, and on made layouts that carry the sample's texts. Without any text in the sample
     the layouts carry letters."""
-    rows = pages.where(F.length(source) <= SAMPLE_CHARS).select(source, F.xxhash64(source).alias("h")).orderBy("h", source).limit(SAMPLE).collect()
+    share = min(1.0, 2 * SAMPLE / max(1, pages.count()))  # so that tasks send the driver a few rows, not SAMPLE each
+    draw = F.pmod(F.xxhash64("page_id", "url", source), F.lit(1 << 30))
+    few = pages.where((F.length(source) <= SAMPLE_CHARS) & (draw < share * (1 << 30)))
+    rows = few.select(source, draw.alias("h")).orderBy("h", source).limit(SAMPLE).collect()
     real = [parse(r[0]) for r in rows]
     real = [p for p in real if labels_of(p).any()]
     pool = [t for p in real for t in p.texts if t] or ["A b c.", "D e f, g h i j k.", "l m"]
