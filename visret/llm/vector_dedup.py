@@ -251,7 +251,8 @@ def audited(classes: DataFrame, counted: DataFrame) -> float:
 
     The sample is broadcast and compared with every vector by brute force; each partition returns
     one row per sampled vector."""
-    some = classes.orderBy(F.pmod("h2", F.lit(1 << 30)), "h1", "h2").limit(AUDIT).select("node", "embedding").collect()
+    draw, share = F.pmod("h2", F.lit(1 << 30)), min(1.0, 2 * AUDIT / max(1, classes.count()))
+    some = classes.where(draw < share * (1 << 30)).orderBy(draw, "h1", "h2").limit(AUDIT).select("node", "embedding").collect()
     if not some:
         return 1.0
     shared = classes.sparkSession.sparkContext.broadcast([(r[0], list(r[1])) for r in some])
