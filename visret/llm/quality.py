@@ -20,13 +20,13 @@ from visret.llm.lang_id import held_out
 
 BUCKETS = 1 << 18
 #: Rows of each class at most that the margin model is fitted on, by the smallest hash of their id.
-SAMPLE_EACH = 3000
+SAMPLE_EACH = 2000
 #: Features in fewer training documents than this are left out.
 RARE = 8
 #: Labels are broadcast up to this many rows, beyond it documents and labels are shuffled.
 BROADCAST_ROWS = 2_000_000
 #: Words that a worker remembers.
-MEMORY = 400_000
+MEMORY = 200_000
 
 MARKS = re.compile(rb"[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+")
 P1, P2 = 0x9E3779B1, 0x85EBCA77  # odd multipliers that spread n-grams over the buckets
