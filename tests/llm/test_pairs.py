@@ -187,3 +187,43 @@ def test_embedding_recall_over_a_whole_table(spark):
     exact = dict(zip([i for i, _ in rows], ((x @ x.T >= 0.95).sum(1) - 1).tolist(), strict=True))
     got = {r.vec_id: r.n_links for r in vector_dedup.near_dups(v).collect()}
     assert all(got[i] <= exact[i] for i in exact) and sum(got.values()) >= 0.9 * sum(exact.values())
+
+
+def isolated_pairs(rng, pairs, singles, low, high):
+    x = vector_dedup.unit(rng.normal(size=(pairs + singles, 64)))
+    u = rng.normal(size=(pairs, 64))
+    u = vector_dedup.unit(u - (u * x[:pairs]).sum(1, keepdims=True) * x[:pairs])
+    cos = rng.uniform(low, high, size=(pairs, 1))
+    return np.concatenate([x, cos * x[:pairs] + np.sqrt(1 - cos**2) * u])
+
+
+def test_isolated_pairs_are_found_under_hundreds_of_centres(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "SHARD", 16)
+    monkeypatch.setattr(vector_dedup, "SAMPLE_BYTES", 8 * 64 * 2400)  # as of a large table, most pairs are not in the sample
+    rng = np.random.default_rng(4)
+    x = isolated_pairs(rng, 1500, 3000, 0.951, 0.97)
+    few = len(x)
+    x = np.concatenate([x, vector_dedup.unit(rng.normal(size=(1, 64)) + 0.01 * rng.normal(size=(300, 64)))])
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    n = {r.vec_id: r.n_links for r in vector_dedup.near_dups(v).collect()}
+    exact = (x @ x.T >= 0.95).sum(1) - 1
+    assert all(n[i] <= exact[i] for i in n)
+    assert sum(n[i] for i in range(few)) >= 0.985 * exact[:few].sum()
+
+
+def test_audit_is_not_drowned_by_a_dense_group(spark):
+    rng = np.random.default_rng(5)
+    group = vector_dedup.unit(rng.normal(size=(1, 64)) + 0.01 * rng.normal(size=(200, 64)))
+    x = np.concatenate([group, isolated_pairs(rng, 50, 0, 0.96, 0.99)])
+    classes = spark.createDataFrame([(i, i, i, 1, e.tolist()) for i, e in enumerate(x)], "node long, h1 long, h2 long, n long, embedding array<double>")
+    counted = spark.createDataFrame([(i, 199) for i in range(200)], "node long, links long")
+    assert abs(vector_dedup.audited(classes, counted) - 200 / 300) < 1e-6
+
+
+def test_comparing_all_pairs_takes_over_when_the_audit_fails(spark, monkeypatch):
+    monkeypatch.setattr(vector_dedup, "BLOCK_BYTES", 8 * 64 * 50)
+    monkeypatch.setattr(vector_dedup, "linked", lambda members: members.selectExpr("node a", "node b", "cast(null as long) n").limit(0))
+    x = isolated_pairs(np.random.default_rng(6), 60, 30, 0.96, 0.99)
+    v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = vector_dedup.near_dups(v).collect()
+    assert sum(r.n_links for r in rows) == 120 and sum(r.kept for r in rows) == 90 and {r.audit_recall for r in rows} == {1.0}

@@ -1,13 +1,15 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
 Vectors are dealt to the shards of their nearest cluster centres, ``overlap`` each, and a shard
-beyond ``CAP`` vectors to blocks. Every block gets a flat graph: near and random candidates of each
+beyond ``CAP`` vectors to blocks. The overlap is the least of 4, 8, ... at which made pairs, just as
+close as the limit and in random directions, nearly always have a shard in common. Every block gets a flat graph: near and random candidates of each
 vector, pruned robustly (Subramanya et al. 2019). The adjacency lists that a vector has in its
 several blocks are united. A search begins at a block's medoid, runs greedily with a beam, and goes
 on from every vector in range until no neighbour of one is left (range expansion). What it finds is
 verified, in double precision where single could err. A shard's blocks are searched pairwise, so a
-hot shard is spread over tasks. Recall is audited against brute force on a bounded sample; below
-``RECALL`` the graph is built again with more overlap.
+hot shard is spread over tasks. Recall is audited against brute force on a bounded sample, each
+vector that has links counting the same; below ``RECALL`` the graph is built again with twice the
+overlap, and if that is not enough all pairs are compared.
 
 Equal vectors are one node, so copies are never paired. Tasks return counts of links and a spanning
 forest of what they linked, never the pairs. A pair that two shards share counts in the smaller.
@@ -25,7 +27,11 @@ COSINE = 0.95
 #: Vectors of a block (as dealt by hash, so a few more); shards aimed at; centres at most.
 CAP, SHARD, CENTRES = 1024, 512, 1024
 #: Bytes of the sample that centres are fitted on; vectors that recall is audited on.
-SAMPLE_BYTES, AUDIT, RECALL = 16 << 20, 256, 0.9
+SAMPLE_BYTES, AUDIT, RECALL = 16 << 20, 1024, 0.98
+#: Overlap to begin with, and share of the made pairs at the limit that must meet in a shard.
+OVERLAP, MADE, MEET = 4, 2048, 0.99
+#: Bytes of vectors that are broadcast at a time to compare all pairs, and cosines taken at a time.
+BLOCK_BYTES, AT_ONCE = 16 << 20, 1 << 22
 #: Near candidates of a node, neighbours kept of them and slack of the pruning.
 NEAR, CLOSE, ALPHA = 48, 17, 1.2
 #: Random candidates, and by their rank in nearness the ones that are neighbours too.
@@ -49,15 +55,31 @@ def unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def centres(classes: DataFrame) -> dict[int, np.ndarray]:
-    """Length of vectors -> unit centres, by spherical k-means on a bounded sample."""
+def overlap_for(x: np.ndarray, c: np.ndarray, rng: np.random.Generator) -> int:
+    """The least overlap at which pairs made of rows of ``x`` and a vector at COSINE to each, in a
+    random direction, share one of their nearest centres ``c`` in ``MEET`` of the cases."""
+    x = x[rng.permutation(len(x))[:MADE]]
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(1, keepdims=True) * x
+    y = COSINE * x + np.sqrt(1 - COSINE**2) * u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
+    rank = [np.argsort(np.argsort(-(z @ c.T), axis=1, kind="stable"), axis=1) for z in (x, y)]
+    first = np.maximum(*rank).min(1)  # the overlap at which a pair meets is one more
+    overlap = OVERLAP
+    while overlap < len(c) and (first < overlap).mean() < MEET:
+        overlap *= 2
+    return overlap
+
+
+def centres(classes: DataFrame) -> tuple[dict[int, np.ndarray], int]:
+    """Length of vectors -> unit centres, by spherical k-means on a bounded sample; and the overlap
+    that all of them need."""
     n, width = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not n:
-        return {}
+        return {}, OVERLAP
     most = max(256, SAMPLE_BYTES // (8 * width))
     draw = F.pmod("h1", F.lit(1 << 30))
     rows = classes.where(draw < min(1.0, 1.5 * most / n) * (1 << 30)).orderBy(draw, "h1", "h2").limit(most).select("embedding").toPandas()
-    rng, out = np.random.default_rng(3), {}
+    rng, out, overlap = np.random.default_rng(3), {}, OVERLAP
     sizes = rows["embedding"].map(len)
     for size, some in rows["embedding"].groupby(sizes):
         x = unit(list(some))
@@ -70,7 +92,8 @@ def centres(classes: DataFrame) -> dict[int, np.ndarray]:
             norm = np.linalg.norm(total, axis=1, keepdims=True)
             c = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), c)
         out[int(size)] = c
-    return out
+        overlap = max(overlap, overlap_for(x, c, rng))
+    return out, overlap
 
 
 def dealt(classes: DataFrame, found: dict[int, np.ndarray], overlap: int) -> DataFrame:
@@ -202,6 +225,65 @@ def built(members: DataFrame) -> DataFrame:
     return each.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
 
 
+def forest(hit: np.ndarray, q: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Pairs of nodes that connect what ``hit`` links of nodes ``q`` and ``g``, no more than there
+    are nodes."""
+    # Connected nodes get the smallest place among them, by labels that run to and fro.
+    far, label = len(g), np.arange(len(g))
+    while True:
+        lq = np.where(hit, label[None, :], far).min(1)
+        lg = np.minimum(label, np.where(hit, lq[:, None], far).min(0))
+        if (lg == label).all():
+            break
+        label = lg
+    a = np.r_[q[lq < far], g[hit.any(0)]]
+    b = np.r_[g[lq[lq < far]], g[label[hit.any(0)]]]
+    return np.unique(np.c_[a, b][a != b], axis=0)
+
+
+def found_rows(node: np.ndarray, n: np.ndarray, edge: np.ndarray) -> pa.Table:
+    """Rows (a, b, n) of counts and of edges."""
+    some = n > 0
+    return pa.table({"a": np.r_[node[some], edge[:, 0]],
+                     "b": pa.array([None] * int(some.sum()) + edge[:, 1].tolist(), pa.int64()),
+                     "n": pa.array(n[some].tolist() + [None] * len(edge), pa.int64())})
+
+
+def every_link(classes: DataFrame) -> DataFrame:
+    """As ``linked``, by comparing all pairs: vectors are broadcast in blocks, one pass each."""
+    spark, parts, block, size = classes.sparkSession, [], [], 0
+
+    def against(block) -> DataFrame:
+        shared = spark.sparkContext.broadcast([
+            (width, np.array([r[0] for r in some]), unit([r[2] for r in some]), np.array([r[1] for r in some]))
+            for width in sorted({len(r[2]) for r in block}) for some in [[r for r in block if len(r[2]) == width]]])
+
+        def find(batches):
+            for batch in batches:
+                node, rows = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                sizes = np.array(list(map(len, rows)))
+                for width, other, g, n in shared.value:
+                    at, step = np.flatnonzero(sizes == width), max(1, AT_ONCE // len(g))
+                    for i in range(0, len(at), step):
+                        some = at[i:i + step]
+                        hit = (unit([rows[j] for j in some]) @ g.T >= COSINE) & (node[some][:, None] != other[None, :])
+                        yield from found_rows(node[some], hit @ n, forest(hit, node[some], other)).to_batches()
+
+        return classes.select("node", "embedding").mapInArrow(find, "a long, b long, n long")
+
+    for r in classes.select("node", "n", "embedding").toLocalIterator():
+        if block and size + 8 * len(r[2]) > BLOCK_BYTES:
+            parts.append(cut(against(block)))
+            block, size = [], 0
+        block.append(r)
+        size += 8 * len(r[2])
+    parts.append(cut(against(block)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def linked(members: DataFrame) -> DataFrame:
     """(a, b, n): n links counted for node a (b null), or that a and b are connected (n null)."""
     def find(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -217,26 +299,12 @@ def linked(members: DataFrame) -> DataFrame:
             padded[i, :len(nb)] = nb
         hit = search(x[iq], x[ig], padded)
         hit &= node[iq][:, None] != node[ig][None, :]
-        # Connected nodes get the smallest place among them, by labels that run to and fro.
-        far, label = len(ig), np.arange(len(ig))
-        while True:
-            lq = np.where(hit, label[None, :], far).min(1)
-            lg = np.minimum(label, np.where(hit, lq[:, None], far).min(0))
-            if (lg == label).all():
-                break
-            label = lg
-        a = np.r_[node[iq][lq < far], node[ig][hit.any(0)]]
-        b = np.r_[node[ig][lq[lq < far]], node[ig][label[hit.any(0)]]]
+        edge = forest(hit, node[iq], node[ig])
         for i in range(shards.shape[1]):  # pairs that a smaller shard has too count there
             for j in range(shards.shape[1]):
                 s, t = shards[iq, i], shards[ig, j]
                 hit &= ~((s[:, None] == t[None, :]) & (s < shard)[:, None])
-        n = hit @ size[ig]
-        some = n > 0
-        edge = np.unique(np.c_[a, b][a != b], axis=0)
-        return pa.table({"a": np.r_[node[iq][some], edge[:, 0]],
-                         "b": pa.array([None] * int(some.sum()) + edge[:, 1].tolist(), pa.int64()),
-                         "n": pa.array(n[some].tolist() + [None] * len(edge), pa.int64())})
+        return found_rows(node[iq], hit @ size[ig], edge)
 
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     pairs = F.array_distinct(F.concat(
@@ -247,7 +315,8 @@ def linked(members: DataFrame) -> DataFrame:
 
 
 def audited(classes: DataFrame, counted: DataFrame) -> float:
-    """Share of the links of a bounded sample of nodes that were counted; 1 if they have none.
+    """Share of its links that were counted, as a mean over those of a bounded sample of nodes that
+    have links to other nodes; 1 if none has, as then none can be lost.
 
     The sample is broadcast and compared with every vector by brute force; each partition returns
     one row per sampled vector."""
@@ -266,13 +335,16 @@ def audited(classes: DataFrame, counted: DataFrame) -> float:
                 mine = [i for i, (_, v) in enumerate(shared.value) if len(v) == size]
                 if mine:
                     at = np.flatnonzero(sizes == size)
-                    near = unit([shared.value[i][1] for i in mine]) @ unit([rows[i] for i in at]).T >= COSINE
-                    near &= np.array([shared.value[i][0] for i in mine])[:, None] != node[at][None, :]
-                    total[mine] += near @ n[at]
+                    x, own = unit([shared.value[i][1] for i in mine]), np.array([shared.value[i][0] for i in mine])
+                    for i in range(0, len(at), AUDIT):
+                        some = at[i:i + AUDIT]
+                        near = (x @ unit([rows[j] for j in some]).T >= COSINE) & (own[:, None] != node[some][None, :])
+                        total[mine] += near @ n[some]
         yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in shared.value], pa.int64()), pa.array(total)], ["node", "exact"])
 
     truth = classes.select("node", "embedding", "n").mapInArrow(exact, "node long, exact long").groupBy("node").agg(F.sum("exact").alias("exact"))
-    got = truth.join(counted, "node", "left").agg(F.sum(F.least("exact", F.coalesce("links", F.lit(0)))), F.sum("exact")).first()
+    share = F.least("exact", F.coalesce("links", F.lit(0))) / F.col("exact")
+    got = truth.where("exact > 0").join(counted, "node", "left").agg(F.sum(share), F.count("*")).first()
     return got[0] / got[1] if got[1] else 1.0
 
 
@@ -287,8 +359,13 @@ def near_dups(vectors: DataFrame) -> DataFrame:
                .select("vec_id", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.reverse("embedding"), F.lit(1)).alias("h2"), "embedding"))
     classes = cut(rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
                   .withColumn("node", F.monotonically_increasing_id()))
-    found, overlap = centres(classes), 2
-    while True:
+    found, begin = centres(classes)
+    for overlap in (begin, 2 * begin, None):
+        if overlap is None:
+            found_links = cut(every_link(classes))
+            counted = found_links.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
+            recall = audited(classes, counted)
+            break
         spread = dealt(classes.select("node", "n", "embedding"), found, overlap)
         members = cut(spread.withColumn("shard", F.explode("shards")))
         sizes = members.groupBy("shard").count().withColumn("blocks", F.ceil(F.col("count") / CAP).cast("int")).drop("count")
@@ -296,9 +373,8 @@ def near_dups(vectors: DataFrame) -> DataFrame:
         found_links = cut(linked(members.join(built(members), "node")))
         counted = found_links.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
         recall = audited(classes, counted)
-        if recall >= RECALL or overlap >= 8:
+        if recall >= RECALL:
             break
-        overlap *= 2
     comps = components(found_links.where("b is not null").select("a", "b")).withColumnRenamed("id", "node")
     within = comps.join(classes.select("node", "least"), "node")
     best = within.groupBy("component").agg(F.min("least").alias("best"))
