@@ -207,6 +207,18 @@ def test_templates_generalise_merge_and_reject(spark):
     assert all(r.purity >= url_filter.REJECT for r in rows if r.template == "/es|2/{n}")
 
 
+def test_urls_without_a_rule_get_the_verdict_of_labelled_neighbours(spark):
+    urls = [f"http://c.com/{i}" for i in range(400)] + [f"http://a.net/es/{i}" for i in range(40)] + [f"http://a.net/it/{i}" for i in range(10)]
+    urls += [f"http://a.net/u/{s}/{t}/{i}" for s in "pq" for t in "xy" for i in range(20)] + [f"http://d.net/es/{i}" for i in range(60)]
+    urls += ["http://d.net/odd/q", "http://e.org/es/1"]
+    rows = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")).collect()
+    of = {(r.host, r.path.rstrip("0123456789")): r for r in rows}
+    assert of["a.net", "/it/"].template == "/es|2/{n}" and of["a.net", "/it/"].verdict == "block"
+    assert {of["a.net", f"/u/{s}/{t}/"].template for s in "pq" for t in "xy"} == {"/u/p|2/x|2/{n}"}
+    assert of["d.net", "/odd/q"].verdict == "block"
+    assert of["e.org", "/es/"].verdict == "allow"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no</p>";</script></head><body>
 <header class="site-header"><p>Site name</p></header><nav><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></nav>
 <div class="cookie-consent"><p>We use cookies to improve this site.</p></div>

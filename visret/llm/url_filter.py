@@ -1,12 +1,15 @@
 """URL filter: rules first, then a path-template tree learned from what the rules label.
 
 Every host has a tree of path segments. Segments with digits are generalised by their form; a node
-whose children are many and thinly used gets a wildcard in their place; sibling branches with alike
-children and labels are merged. Each template of the resulting tree has a smoothed purity, the
-share of blocked among its rule-labelled urls, and is rejected from ``REJECT`` on. The tree is made
+whose children are many and thinly used gets a wildcard in their place; at every level sibling
+branches that a statistical test of how they go on cannot tell apart are merged, labelled or not.
+Each template of the resulting tree has a purity, the share of blocked among its rule-labelled urls
+smoothed towards that of its parent and host, and is rejected from ``REJECT`` on. The tree is made
 of counts of distinct (host, path form), so a host with many rows is no larger than its forms.
 """
 
+from math import log, sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ RULES = (
 MANY, THIN = 16, 4.0
 #: Weight of the prior in a purity, and the purity from which a template is rejected.
 PRIOR, REJECT = 4.0, 0.8
+#: Chance that branches of one kind are told apart; labels that both need for a comparison of rates.
+ALPHA, LABELS = 0.05, 8
 #: Segments beyond this depth make up one last segment.
 DEPTH = 6
 #: Forms of paths are broadcast up to this number, beyond it rows and forms are shuffled.
@@ -55,38 +60,67 @@ def form(path: Column) -> Column:
     return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9a-fA-F-]{16,}$", "{x}"), "[0-9]+", "{n}"))
 
 
+def bound(a: Column, b: Column) -> Column:
+    """How far shares among ``a`` and among ``b`` cases differ by chance (Hoeffding)."""
+    return F.lit(sqrt(log(2 / ALPHA) / 2)) * (1 / F.sqrt(a) + 1 / F.sqrt(b))
+
+
+def alike(spread: DataFrame) -> DataFrame:
+    """(host, made, s, step) for ``spread(host, made, s, next, n, blocked, allowed)``: the name of
+    each branch ``s`` below a node, one for all that are merged.
+
+    Branches that mostly go on alike are compared with the largest of them: by the total variation
+    between the shares of how they go on, and by their share of blocked urls where both have
+    ``LABELS`` labels. Branches without labels merge by their structure alone."""
+    node, sums = ["host", "made", "s"], [F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]
+    wide = spread.groupBy(node).agg((F.count("*") >= MANY) & (F.sum("n") < THIN * F.count("*")))
+    ways = cut(spread.join(wide.toDF(*node, "wide"), node).groupBy(*node, F.when(F.col("wide"), F.lit("*")).otherwise(F.col("next")).alias("next")).agg(*sums))
+    whole = ways.groupBy(node).agg(F.max_by("next", F.struct("n", "next")).alias("most"), *sums)
+    labels = F.col("blocked") + F.col("allowed")
+    whole = cut(whole.select(*node, "most", F.col("n").alias("all"), "blocked", labels.alias("labels")))
+    heads = (whole.groupBy("host", "made", "most").agg(F.max(F.struct("all", "s", "blocked", "labels")).alias("h"))
+             .select("host", "made", "most", *[F.col("h." + c).alias("head_" + c) for c in ("all", "s", "blocked", "labels")]))
+    pairs = whole.join(heads, ["host", "made", "most"])
+    of_head = ways.select("host", "made", F.col("s").alias("head_s"), "next", F.col("n").alias("head_n"))
+    apart = (ways.select(*node, "next", "n").join(pairs, node).join(of_head, ["host", "made", "head_s", "next"], "left").groupBy(node)
+             .agg(F.sum(F.greatest(F.lit(0.0), F.col("n") / F.col("all") - F.coalesce("head_n", F.lit(0)) / F.col("head_all"))).alias("apart")))
+    rates = F.abs(F.col("blocked") / F.col("labels") - F.col("head_blocked") / F.col("head_labels"))
+    known = (F.col("labels") >= LABELS) & (F.col("head_labels") >= LABELS)
+    same = (F.col("apart") <= bound(F.col("all"), F.col("head_all"))) & (~known | (rates <= bound(F.col("labels"), F.col("head_labels"))))
+    put = cut(pairs.join(apart, node).select(*node, F.when(same, F.col("head_s")).otherwise(F.col("s")).alias("head")))
+    named = put.groupBy("host", "made", "head").agg(F.min("s").alias("step"), F.count("*").alias("merged"))
+    step = F.when(F.col("merged") > 1, F.concat("step", F.lit("|"), F.col("merged"))).otherwise(F.col("step"))
+    return put.join(named.select("host", "made", "head", step.alias("step")), ["host", "made", "head"]).select(*node, "step")
+
+
 def templates(forms: DataFrame) -> DataFrame:
-    """``forms(host, form, n, blocked, allowed)`` with each form's template and its purity."""
-    depth = forms.agg(F.max(F.size("form"))).first()[0] or 1
-    tree = forms.withColumn("made", F.array().cast("array<string>"))
-    for d in range(depth):
-        here = F.try_element_at("form", F.lit(d + 1))
+    """``forms(host, form, n, blocked, allowed)`` with each form's template and its purity.
+
+    A purity is smoothed towards that of the node above, up to the host and from there to the
+    share of blocked in all labels."""
+    depth, blocked, labels = forms.agg(F.max(F.size("form")), F.sum("blocked"), F.sum("blocked") + F.sum("allowed")).first()
+    pure = lambda prior: (F.sum("blocked") + PRIOR * prior) / (F.sum("blocked") + F.sum("allowed") + PRIOR)
+    hosts = forms.groupBy("host").agg(pure(F.lit((blocked or 0) / max(1, labels or 0))).alias("purity"))
+    tree = forms.join(hosts, "host").withColumns({"made": F.array().cast("array<string>"), "above": F.col("purity")})
+    for d in range(depth or 1):
+        here, after = (F.try_element_at("form", F.lit(d + i)) for i in (1, 2))
         node = (tree.where(here.isNotNull()).groupBy("host", "made", here.alias("s")).agg(F.sum("n").alias("n"))
                 .groupBy("host", "made").agg(F.count("*").alias("children"), F.sum("n").alias("total")))
         wide = (F.col("children") >= MANY) & (F.col("total") < THIN * F.col("children"))
-        step = F.when(here.isNull(), F.col("made")).otherwise(
-            F.concat("made", F.array(F.when(wide, F.lit("*")).otherwise(here))))
-        tree = cut(tree.join(node, ["host", "made"], "left").withColumn("made", step).select(*forms.columns, "made"))
-    # Branches below the root with the same signature are merged: how an eighth or more of the
-    # branch's urls go on, and in eighths how many are labelled and blocked.
-    branch, rest = F.try_element_at("made", F.lit(1)), F.array_join(F.slice("made", 2, DEPTH), "/")
-    spread = (tree.groupBy("host", branch.alias("branch"), rest.alias("rest"))
-              .agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]))
-    whole = spread.groupBy("host", "branch").agg(*[F.sum(c).alias("all_" + c) for c in ("n", "blocked", "allowed")])
-    eighth = lambda a, b: F.floor(8 * a / b + 0.5)
-    near = (spread.join(whole, ["host", "branch"]).withColumn("q", eighth(F.col("n"), F.col("all_n")))
-            .groupBy("host", "branch").agg(
-                F.array_sort(F.collect_list(F.when(F.col("q") > 0, F.struct("rest", "q")))).alias("children"),
-                F.first(eighth(F.col("all_blocked"), F.col("all_n"))).alias("b"), F.first(eighth(F.col("all_allowed"), F.col("all_n"))).alias("a")))
-    alike = near.groupBy("host", "children", "a", "b").agg(F.min("branch").alias("head"), F.count("*").alias("merged"))
-    named = (near.join(alike, ["host", "children", "a", "b"])
-             .select("host", "branch", F.when(F.col("merged") > 1, F.concat("head", F.lit("|"), F.col("merged"))).otherwise(F.col("head")).alias("head")))
-    template = F.concat(F.lit("/"), "head", F.when(F.length("rest") > 0, F.concat(F.lit("/"), "rest")).otherwise(F.lit("")))
-    placed = tree.withColumn("branch", branch).withColumn("rest", rest).join(named, ["host", "branch"]).withColumn("template", template)
-    base = F.lit(forms.agg(F.sum("blocked") / F.greatest(F.sum("blocked") + F.sum("allowed"), F.lit(1))).first()[0] or 0.0)
-    pure = placed.groupBy("host", "template").agg(
-        ((F.sum("blocked") + PRIOR * base) / (F.sum("blocked") + F.sum("allowed") + PRIOR)).alias("purity"))
-    return placed.join(pure, ["host", "template"]).select("host", "form", "template", "purity")
+        tree = cut(tree.join(node, ["host", "made"], "left")
+                   .withColumn("s", F.when(here.isNull(), F.lit(None)).otherwise(F.when(wide, F.lit("*")).otherwise(here))).drop("children", "total"))
+        spread = (tree.where("s is not null").groupBy("host", "made", "s", F.coalesce(F.concat(F.lit("/"), after), F.lit("")).alias("next"))
+                  .agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]))
+        step = F.when(F.col("s").isNull(), F.col("made")).otherwise(F.concat("made", F.array("step")))
+        tree = cut(tree.join(alike(spread), ["host", "made", "s"], "left").withColumn("made", step).drop("step"))
+        below = tree.where("s is not null").groupBy("host", "made").agg(pure(F.first("purity")).alias("p"))
+        deeper = F.col("s").isNotNull()
+        tree = cut(tree.join(below, ["host", "made"], "left").select(
+            *forms.columns, "made", F.when(deeper, F.col("purity")).otherwise(F.col("above")).alias("above"),
+            F.when(deeper, F.col("p")).otherwise(F.col("purity")).alias("purity")))
+    placed = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("made", "/"))).drop("purity")
+    own = placed.groupBy("host", "template").agg(pure(F.first("above")).alias("purity"))
+    return placed.join(own, ["host", "template"]).select("host", "form", "template", "purity")
 
 
 def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
