@@ -201,14 +201,14 @@ def test_isolated_pairs_are_found_under_hundreds_of_centres(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "SHARD", 16)
     monkeypatch.setattr(vector_dedup, "SAMPLE_BYTES", 8 * 64 * 2400)  # as of a large table, most pairs are not in the sample
     rng = np.random.default_rng(4)
-    x = isolated_pairs(rng, 1500, 3000, 0.951, 0.97)
+    x = isolated_pairs(rng, 1500, 3000, 0.951, 0.953)
     few = len(x)
     x = np.concatenate([x, vector_dedup.unit(rng.normal(size=(1, 64)) + 0.01 * rng.normal(size=(300, 64)))])
     v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     n = {r.vec_id: r.n_links for r in vector_dedup.near_dups(v).collect()}
     exact = (x @ x.T >= 0.95).sum(1) - 1
     assert all(n[i] <= exact[i] for i in n)
-    assert sum(n[i] for i in range(few)) >= 0.985 * exact[:few].sum()
+    assert sum(n[i] for i in range(few)) >= 0.99 * exact[:few].sum()
 
 
 def test_audit_is_not_drowned_by_a_dense_group(spark):
