@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from visret.llm import html_text, lang_id, packing, quality, token_scan, tokens, url_filter
@@ -44,6 +45,45 @@ def test_language_of_odd_rows(spark):
     assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)}
 
 
+def test_languages_equal_brute_force(spark):
+    """Sizes taken one text at a time with dictionaries of the same passages."""
+    import zstandard
+
+    d = read(spark, SF, "documents")
+    learned = sorted(lang_id.dictionaries(d.where(~lang_id.held_out("doc_id", 5, 0))).items())
+    assert [n for n, _ in learned] == sorted({r.lang for r in d.select("lang").distinct().collect()})
+    got = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.predict(d).collect()}
+    level = lang_id.LEVEL
+    coders = [zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                                       write_content_size=False, write_dict_id=False) for _, raw in learned]
+    for r in d.where("doc_id % 7 = 0").collect():
+        raw = b" ".join("".join(c if "a" <= c <= "z" or c > "\x7f" else " " for c in r.text.lower()).encode().split())
+        size = [max(1, sum(len(c.compress(b" " + raw[i:i + lang_id.BLOCK] + b" " + lang_id.TAIL)) - len(c.compress(b" " + lang_id.TAIL))
+                           for i in range(0, len(raw), lang_id.BLOCK))) for c in coders]
+        low, next_ = sorted(size)[:2]
+        want = (learned[size.index(low)][0], 1 - low / next_) if any(map(str.isalpha, r.text)) else ("und", 0.0)
+        assert got[r.doc_id] == want
+
+
+def test_language_scores_mean_the_same_at_every_length(spark):
+    """No jump where a text grows by a word, from a few bytes to beyond a block."""
+    d = read(spark, SF, "documents")
+    words = " ".join(r.text for r in d.where("lang = 'fr' and doc_id % 5 = 3").limit(60).collect()).split()
+    rows = [(n, " ".join(words[:n]), None) for n in [*range(60, 160), 2000, 5000, 5001, len(words)]]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    guess = lang_id.guesser(made, lang_id.dictionaries(d))
+    got = {r.doc_id: r.g for r in made.select("doc_id", guess(F.col("text")).alias("g")).collect()}
+    assert {g.lang for g in got.values()} == {"fr"}
+    assert all(abs(got[n].score - got[n + 1].score) < 0.05 for n in range(60, 159)) and min(g.score for g in got.values()) > 0.05
+
+
+def test_every_part_of_a_text_can_teach(spark):
+    """Passages beyond the first are drawn too, and copies leave room for other texts."""
+    rows = [(1, "aaa " * 512 + "zebra " * 3000, "en")] + [(10 + i, "copy of one text", "en") for i in range(5000)] + [(9000 + i, f"text {i} ends", "en") for i in range(50)]
+    raw = lang_id.dictionaries(spark.createDataFrame(rows, DOCS.split(", found")[0].split(", guess")[0]))["en"]
+    assert b"zebra" in raw and raw.count(b"copy of one text") == 1 and raw.count(b"ends") > 20
+
+
 def test_language_is_learned_from_training_rows_only(spark):
     """Held-out labels never count: with all of them wrong, predictions stay the same."""
     d = read(spark, SF, "documents")
