@@ -113,6 +113,49 @@ def test_distinct_features_are_those_of_a_set():
     assert set(quality.Distinct()(text)) == set(quality.buckets(text)) and len(quality.Distinct()(text)) == len(set(quality.buckets(text)))
 
 
+def test_counts_and_sample_equal_brute_force(spark):
+    """Of a few labelled rows too: no feature is too rare, and every row is counted."""
+    rows = [(i, ["good words here", "BAD BAD BAD!!", None, "good again, and again"][i % 4] + f" {i}" if i % 4 != 2 else None, [1, 0, 0, 1][i % 4]) for i in range(40)]
+    found = quality.scanned(spark.createDataFrame(rows, "doc_id long, text string, y int").repartition(3), [0.5, 1.0])
+    n, seen = quality.class_counts(found)
+    for c in (0, 1):
+        own = [set(quality.buckets((t or "").encode()).tolist()) for _, t, y in rows if y == c]
+        assert n[c] == len(own)
+        count = np.zeros(quality.BUCKETS)
+        for f in own:
+            count[list(f)] += 1
+        assert (seen[c] == count).all()
+    features, y = quality.sampled(found, 1000, 1 << 20)
+    assert (y == 1).sum() == 20 and 0 < (y == 0).sum() < 20
+    some = quality.sampled(found, 1000, 8 * 60)[0]
+    assert 0 < len(some) < len(features) and all(4 * sum(map(len, s)) <= 8 * 60 for s in [some])
+
+
+def test_model_equals_a_plain_one(spark):
+    """Log-count ratios, hinge loss and scores against a slow fit of the same problem, of six rows."""
+    good, bad = ["The river was calm today.", "A calm evening by the river.", "They walked home slowly."], ["BUY NOW!!! cheap", "cheap cheap deals!!!", "CLICK here 99"]
+    d = spark.createDataFrame(list(enumerate(good + bad)), "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i < 3)) for i in range(6)], "doc_id long, quality int")
+    w, slope, offset = quality.fit(d, marks)
+    sets = [sorted(set(quality.buckets(t.encode()).tolist())) for t in good + bad]
+    used = sorted({f for s in sets for f in s})
+    ratio = {f: np.log((sum(f in s for s in sets[:3]) + quality.SMOOTH) / (sum(f in s for s in sets[3:]) + quality.SMOOTH)) for f in used}
+    x = np.array([[ratio[f] / np.sqrt(len(s)) if f in s else 0.0 for f in used] + [1.0] for s in sets])
+    y = np.array([1, 1, 1, -1, -1, -1])
+
+    def loss(v):
+        return v @ v / 2 + np.maximum(0, 1 - y * (x @ v)).sum()
+
+    plain = np.zeros(x.shape[1])
+    for t in range(20000):
+        plain -= (plain - x.T @ (y * (y * (x @ plain) < 1))) / (t + 10)
+    own = np.array([w[f] / ratio[f] if ratio[f] else 0.0 for f in used] + [w[-1]])
+    assert loss(own) <= 1.02 * loss(plain)
+    margin = [sum(w[f] for f in s) / np.sqrt(len(s)) + w[-1] for s in sets]
+    got = [r.s for r in d.select(quality.scorer(d, (w, slope, offset))(F.col("text")).alias("s")).collect()]
+    assert np.allclose(got, [1 / (1 + np.exp(-(slope * m + offset))) for m in margin]) and min(got[:3]) > max(got[3:])
+
+
 STRANGE = ["", " ", "don't WE'LL", "a<|endoftext|>b <|endoftext|>", "ΣΑΣ Σ. e\u0301 ý \u2003 x\u00a0y", "İ ﬁ ３ ½ 가\x1c\x1fq\x85r", "naïve Straße ÀÉ×÷ ŉ Ÿ", "1234 ,,, --- a1b2", "x" * 5000]
 
 

@@ -2,8 +2,9 @@
 
 Features are indicators of n-grams of word shapes (1 to 4) and of words (1 and 2), hashed to
 ``BUCKETS`` numbers. Each is scaled by its class log-count ratio, counted over all labelled
-training rows; a linear hinge-loss model is fitted on the scaled indicators of a bounded sample by
-dual coordinate descent and a logistic curve turns its margin into a score.
+training rows and smoothed, so that a rare feature says little; a linear hinge-loss model is fitted
+on the scaled indicators of a bounded sample by dual coordinate descent and a logistic curve turns
+its margin into a score. The training documents are read once, for the counts and the sample.
 """
 
 import re
@@ -15,16 +16,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visret.llm.common import ALNUM, texts
+from visret.llm.common import ALNUM, cut, texts
 from visret.llm.lang_id import held_out
 
 BUCKETS = 1 << 18
-#: Rows of each class at most that the margin model is fitted on, by the smallest hash of their id.
-SAMPLE_EACH = 2000
-#: Features in fewer training documents than this are left out.
-RARE = 8
-#: Labels are broadcast up to this many rows, beyond it documents and labels are shuffled.
-BROADCAST_ROWS = 2_000_000
+#: The margin model is fitted on so many rows of each class at most, those of the smallest hash of
+#: their id, and on so many bytes of their feature numbers (rows beyond either are not fitted on).
+SAMPLE_EACH, SAMPLE_BYTES = 1000, 32 << 20
+#: Labels (16 bytes a row) are broadcast up to this size, beyond it documents and labels are shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Pseudo-documents of each class with and without every feature.
+SMOOTH = 4.0
 #: Words that a worker remembers.
 MEMORY = 200_000
 
@@ -74,39 +76,71 @@ def buckets(text: bytes) -> np.ndarray:
 
 
 class Distinct:
-    """Distinct features among the known ones, without sorting: of equal ones the last stays."""
+    """Distinct features, without sorting: of equal ones the last stays."""
 
-    def __init__(self, known: np.ndarray | None = None):
-        self.known, self.place = known, np.zeros(BUCKETS, np.int64)
+    def __init__(self):
+        self.place = np.zeros(BUCKETS, np.int64)
 
     def __call__(self, text: bytes) -> np.ndarray:
         f = buckets(text)
-        if self.known is not None:
-            f = f[self.known[f]]
         at = np.arange(len(f))
         self.place[f] = at
         return f[self.place[f] == at]
 
 
-def class_counts(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(documents of each class, documents of each class with each feature) over all rows of
-    ``labelled(text, y)``. Tasks sum first; the driver gets 2 x BUCKETS + 2 numbers at most."""
-    def count(batches):
+def scanned(labelled: DataFrame, share: list[float]) -> DataFrame:
+    """Of ``labelled(doc_id, text, y)``: rows (f, n0, n1), how many documents of each class a task
+    has with feature f, f = BUCKETS counting all; and rows (y, draw, features) of the documents
+    whose draw, a hash of their id, is under their class's ``share``. Kept, as both are read."""
+    schema = "f long, n0 long, n1 long, y long, draw long, features array<int>"
+
+    def scan(batches):
         total, features = np.zeros((2, BUCKETS + 1), np.int64), Distinct()
         for batch in batches:
-            for t, y in zip(texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                total[y, features(t)] += 1
+            some = []
+            for t, y, draw in zip(texts(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                f = features(t)
+                total[y, f] += 1
                 total[y, BUCKETS] += 1
+                if draw < share[y] * (1 << 40):
+                    some.append((y, draw, np.sort(f).astype(np.int32)))
+            yield batch_of(len(some), dict(zip(("y", "draw", "features"), zip(*some, strict=True), strict=True)) if some else {})
         at = np.flatnonzero(total.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[0, at]), pa.array(total[1, at])], ["f", "n0", "n1"])
+        yield batch_of(len(at), {"f": at, "n0": total[0, at], "n1": total[1, at]})
+
+    kinds = {"f": pa.int64(), "n0": pa.int64(), "n1": pa.int64(), "y": pa.int64(), "draw": pa.int64(), "features": pa.list_(pa.int32())}
+
+    def batch_of(n, columns):
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], list(kinds))
+
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    return cut(labelled.select("text", "y", draw.alias("draw")).mapInArrow(scan, schema))
 
-    rows = (labelled.mapInArrow(count, "f long, n0 long, n1 long").groupBy("f")
-            .agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas())
+
+def class_counts(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(documents of each class, documents of each class with each feature) of ``scanned``; the
+    driver gets 2 x BUCKETS + 2 numbers at most."""
+    rows = found.where("f is not null").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
     out = np.zeros((2, BUCKETS + 1))
     out[:, rows["f"]] = rows[["n0", "n1"]].to_numpy().T
     return out[:, BUCKETS], out[:, :BUCKETS]
 
 
+def sampled(found: DataFrame, sample_each: int, sample_bytes: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and class of the sample: of each class the ``sample_each`` smallest draws of
+    ``scanned``, as long as their features take no more than half of ``sample_bytes``."""
+    rows, y = [], []
+    for c in (0, 1):
+        own = found.where(F.col("y") == c)
+        few = own.select("draw", F.size("features").alias("n")).orderBy("draw", "n").limit(sample_each).toPandas()
+        inside = few["draw"][few["n"].cumsum() * 4 <= sample_bytes // 2]
+        if len(inside):
+            some = own.where(F.col("draw") <= int(inside.iloc[-1])).select("features").orderBy("draw", "features").limit(len(inside)).toPandas()
+            rows += [np.asarray(f, np.int64) for f in some["features"]]
+            y += [c] * len(some)
+    return rows, np.array(y)
+
+
 def descend(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 12) -> np.ndarray:
     """Weights (bias last) of the L2-regularised hinge-loss model, by dual coordinate descent with
     a seeded order (Hsieh et al. 2008)."""
@@ -141,39 +175,29 @@ def logistic(margin: np.ndarray, y01: np.ndarray, weight: np.ndarray) -> tuple[f
     return float(b[0]), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample_each: int = SAMPLE_EACH):
+def fit(docs: DataFrame, labels: DataFrame, *, sample_each: int = SAMPLE_EACH, sample_bytes: int = SAMPLE_BYTES):
     """Weights, bias, slope and offset from the rows of ``docs`` that ``labels`` marks 0 or 1.
 
     Null texts count as empty, null or other marks are left out, repeated rows count as often as
     they stand. With one class or none there is nothing to tell apart: every score is then the
     share of 1 (0.5 without rows).
     """
-    marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").alias("y"))
-    few = marked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    labelled = docs.select("doc_id", "text").join(F.broadcast(marked) if few else marked, "doc_id")
-    n, seen = class_counts(labelled.select("text", "y"))
+    marked = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("quality").alias("y"))
+    size = {r["y"]: r["count"] for r in marked.groupBy("y").count().collect()}
+    few = 16 * sum(size.values()) <= BROADCAST_BYTES
+    share = [min(1.0, 2 * sample_each / max(1, size.get(c, 0))) for c in (0, 1)]
+    found = scanned(docs.select("doc_id", "text").join(F.broadcast(marked) if few else marked, "doc_id"), share)
+    n, seen = class_counts(found)
     if not n.all():
         return np.zeros(BUCKETS + 1), 1.0, float(np.log((n[1] + 0.5) / (n[0] + 0.5)))
-    p, q = (seen[1] + 1) / (n[1] + 2), (seen[0] + 1) / (n[0] + 2)
-    ratio = np.where(seen.sum(0) >= RARE, np.log(p / q), 0.0)
-    share = np.minimum(1.0, 1.5 * sample_each / n)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    known = docs.sparkSession.sparkContext.broadcast(ratio != 0)
-
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def of(text: pa.Array) -> pa.Array:
-        features = Distinct(known.value)
-        return pa.array([np.sort(features(t)) for t in texts(text)], pa.list_(pa.int64()))
-
-    rows, y = [], []
-    for c in (0, 1):
-        some = (labelled.where((F.col("y") == c) & (draw < share[c])).orderBy(draw, "doc_id").limit(sample_each)
-                .select(of("text").alias("f")).toPandas())
-        rows += [np.asarray(f, np.int64) for f in some["f"]]
-        y += [c] * len(some)
-    y = np.array(y)
-    each = np.array([n[c] / max(1, (y == c).sum()) for c in (0, 1)])
-    w = descend(rows, ratio, np.where(y > 0, 1.0, -1.0), np.where(y > 0, 1.0, len(y) / 2 / max(1, (y == 0).sum())))
+    p, q = (seen[1] + SMOOTH) / (n[1] + 2 * SMOOTH), (seen[0] + SMOOTH) / (n[0] + 2 * SMOOTH)
+    ratio = np.log(p / q)
+    ratio[seen.sum(0) == 0] = 0
+    rows, y = sampled(found, sample_each, sample_bytes)
+    if not (y == 0).any() or not (y == 1).any():
+        raise ValueError("sample_bytes holds no document of one class")
+    each = np.array([n[c] / (y == c).sum() for c in (0, 1)])
+    w = descend(rows, ratio, np.where(y > 0, 1.0, -1.0), np.where(y > 0, 1.0, len(y) / 2 / (y == 0).sum()))
     w[:-1] *= ratio
     margin = np.array([w[r].sum() / np.sqrt(max(1, len(r))) + w[-1] for r in rows])
     slope, offset = logistic(margin, y, each[y] / each.mean())
@@ -192,7 +216,7 @@ def scorer(docs: DataFrame, model):
         out = []
         dense = np.zeros(BUCKETS)
         dense[kept] = weights
-        features = Distinct(dense != 0)
+        features = Distinct()
         for t in texts(text):
             f = features(t)
             out.append(float(sigmoid(slope * (dense[f].sum() / np.sqrt(max(1, len(f))) + bias) + offset)))
@@ -202,7 +226,9 @@ def scorer(docs: DataFrame, model):
 
 
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row, learned from rows not held out."""
+    """doc_id, held_out, score and predicted of every row, repeated ones and those of a null text
+    or doc_id each, learned from rows not held out. Empty texts have the score of no feature;
+    other columns, whatever their names, are not read."""
     out = held_out("doc_id", 3, 1)
     model = fit(docs.where(~out), labels)
     return (docs.select("doc_id", out.alias("held_out"), scorer(docs, model)(F.col("text")).alias("score"))
