@@ -4,8 +4,10 @@ Every host has a tree of path segments. Segments with digits are generalised by
 whose children are many and thinly used gets a wildcard in their place; at every level sibling
 branches that a statistical test of how they go on cannot tell apart are merged, labelled or not.
 Each template of the resulting tree has a purity, the share of blocked among its rule-labelled urls
-smoothed towards that of its parent and host, and is rejected from ``REJECT`` on. The tree is made
-of counts of distinct (host, path form), so a host with many rows is no larger than its forms.
+smoothed towards that of its parent and host, and is rejected from ``REJECT`` on; a template
+without any label is never rejected. The tree is made of counts of distinct (host, path form), so a
+host with many rows is no larger than its forms. It grows branching by branching over all hosts at
+once: segments that all paths below a node share are passed in one step, however many.
 """
 
 from math import log, sqrt
@@ -29,10 +31,8 @@ MANY, THIN = 16, 4.0
 PRIOR, REJECT = 4.0, 0.8
 #: Chance that branches of one kind are told apart; labels that both need for a comparison of rates.
 ALPHA, LABELS = 0.05, 8
-#: Segments beyond this depth make up one last segment.
-DEPTH = 6
-#: Forms of paths are broadcast up to this number, beyond it rows and forms are shuffled.
-BROADCAST_ROWS = 200_000
+#: Forms of paths are broadcast up to this size, beyond it rows and forms are shuffled.
+BROADCAST_BYTES = 32 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,7 +56,6 @@ def ruled(rules=RULES) -> tuple[Column, Column]:
 def form(path: Column) -> Column:
     """The path's segments with runs of digits as {n} and long hexadecimal ids as {x}."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/")
-    parts = F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH - 1), F.array(F.array_join(F.slice(parts, DEPTH, 1 << 30), "/")))).otherwise(parts)
     return F.transform(parts, lambda s: F.regexp_replace(F.regexp_replace(s, r"^[0-9a-fA-F-]{16,}$", "{x}"), "[0-9]+", "{n}"))
 
 
@@ -93,48 +92,70 @@ def alike(spread: DataFrame) -> DataFrame:
     return put.join(named.select("host", "made", "head", step.alias("step")), ["host", "made", "head"]).select(*node, "step")
 
 
+def passed(live: DataFrame) -> DataFrame:
+    """``live`` beyond the segments that all paths of a node have in common."""
+    lo, hi = F.col("lo"), F.col("hi")
+    same = F.zip_with(lo, hi, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    first = F.array_position(same, F.lit(False))
+    node = live.groupBy("host", "made").agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+    node = node.select("host", "made", F.when(first == 0, F.size(same)).otherwise(first - 1).cast("int").alias("shared"))
+    return live.join(node, ["host", "made"]).withColumns({
+        "made": F.concat("made", F.slice("rest", F.lit(1), F.col("shared"))),
+        "rest": F.slice("rest", F.col("shared") + 1, F.size("rest"))}).drop("shared")
+
+
 def templates(forms: DataFrame) -> DataFrame:
-    """``forms(host, form, n, blocked, allowed)`` with each form's template and its purity.
+    """``forms(host, form, n, blocked, allowed)`` -> host, form, template, purity and labels, the
+    number of labelled urls of the template.
 
-    A purity is smoothed towards that of the node above, up to the host and from there to the
+    A purity is smoothed towards that of the branch above, up to the host and from there to the
     share of blocked in all labels."""
-    depth, blocked, labels = forms.agg(F.max(F.size("form")), F.sum("blocked"), F.sum("blocked") + F.sum("allowed")).first()
+    blocked, labels = forms.agg(F.sum("blocked"), F.sum("blocked") + F.sum("allowed")).first()
     pure = lambda prior: (F.sum("blocked") + PRIOR * prior) / (F.sum("blocked") + F.sum("allowed") + PRIOR)
     hosts = forms.groupBy("host").agg(pure(F.lit((blocked or 0) / max(1, labels or 0))).alias("purity"))
-    tree = forms.join(hosts, "host").withColumns({"made": F.array().cast("array<string>"), "above": F.col("purity")})
-    for d in range(depth or 1):
-        here, after = (F.try_element_at("form", F.lit(d + i)) for i in (1, 2))
-        node = (tree.where(here.isNotNull()).groupBy("host", "made", here.alias("s")).agg(F.sum("n").alias("n"))
+    live = cut(passed(forms.join(hosts, "host").withColumns({"made": F.array().cast("array<string>"), "rest": F.col("form"), "above": F.col("purity")})))
+    ended = []
+    while True:
+        ended.append(live.where(F.size("rest") == 0).drop("rest"))
+        live = live.where(F.size("rest") > 0)
+        if live.isEmpty():
+            break
+        here, after = (F.try_element_at("rest", F.lit(i)) for i in (1, 2))
+        node = (live.groupBy("host", "made", here.alias("s")).agg(F.sum("n").alias("n"))
                 .groupBy("host", "made").agg(F.count("*").alias("children"), F.sum("n").alias("total")))
         wide = (F.col("children") >= MANY) & (F.col("total") < THIN * F.col("children"))
-        tree = cut(tree.join(node, ["host", "made"], "left")
-                   .withColumn("s", F.when(here.isNull(), F.lit(None)).otherwise(F.when(wide, F.lit("*")).otherwise(here))).drop("children", "total"))
-        spread = (tree.where("s is not null").groupBy("host", "made", "s", F.coalesce(F.concat(F.lit("/"), after), F.lit("")).alias("next"))
+        live = cut(live.join(node, ["host", "made"]).withColumn("s", F.when(wide, F.lit("*")).otherwise(here)).drop("children", "total"))
+        spread = (live.groupBy("host", "made", "s", F.coalesce(F.concat(F.lit("/"), after), F.lit("")).alias("next"))
                   .agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")]))
-        step = F.when(F.col("s").isNull(), F.col("made")).otherwise(F.concat("made", F.array("step")))
-        tree = cut(tree.join(alike(spread), ["host", "made", "s"], "left").withColumn("made", step).drop("step"))
-        below = tree.where("s is not null").groupBy("host", "made").agg(pure(F.first("purity")).alias("p"))
-        deeper = F.col("s").isNotNull()
-        tree = cut(tree.join(below, ["host", "made"], "left").select(
-            *forms.columns, "made", F.when(deeper, F.col("purity")).otherwise(F.col("above")).alias("above"),
-            F.when(deeper, F.col("p")).otherwise(F.col("purity")).alias("purity")))
+        live = cut(live.join(alike(spread), ["host", "made", "s"])
+                   .withColumns({"made": F.concat("made", F.array("step")), "rest": F.slice("rest", F.lit(2), F.size("rest"))}).drop("s", "step"))
+        below = live.groupBy("host", "made").agg(pure(F.first("purity")).alias("p"))
+        branch = live.join(below, ["host", "made"]).withColumns({"above": F.col("purity"), "purity": F.col("p")}).drop("p")
+        going = F.size("rest") > 0
+        live = cut(branch.where(~going).unionByName(passed(branch.where(going))))
+    tree = ended[0]
+    for e in ended[1:]:
+        tree = tree.unionByName(e)
     placed = tree.withColumn("template", F.concat(F.lit("/"), F.array_join("made", "/"))).drop("purity")
-    own = placed.groupBy("host", "template").agg(pure(F.first("above")).alias("purity"))
-    return placed.join(own, ["host", "template"]).select("host", "form", "template", "purity")
+    own = placed.groupBy("host", "template").agg(pure(F.first("above")).alias("purity"), (F.sum("blocked") + F.sum("allowed")).alias("labels"))
+    return placed.join(own, ["host", "template"]).select("host", "form", "template", "purity", "labels")
 
 
 def judge(pages: DataFrame, *, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, template and purity of every row of ``pages``.
+    """page_id, host, path, rule, verdict, template, purity and labels of every row of ``pages``.
 
-    The verdict is the rule's, else ``block`` where the template is rejected, else ``allow``.
-    Repeated rows are judged each; a null url has an empty host and path and is allowed.
+    The verdict is the rule's, else ``block`` where the template has labels and is rejected, else
+    ``allow``. Repeated rows and null ids are judged each; a null url has an empty host and path
+    and is allowed. Urls of any length and depth are judged whole; other columns, whatever their
+    names, are not read.
     """
     name, verdict = ruled(rules)
     rows = parsed(pages).withColumns({"rule": name, "label": verdict, "form": form(F.col("path"))})
     forms = cut(rows.groupBy("host", "form").agg(
         F.count("*").alias("n"), F.count_if(F.col("label") == "block").alias("blocked"), F.count_if(F.col("label") == "allow").alias("allowed")))
     made = cut(templates(forms))
-    found = F.broadcast(made) if made.count() <= BROADCAST_ROWS else made
-    own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
+    size = made.agg(F.sum(64 + F.length("host") + F.length(F.array_join("form", "/")) + F.length("template"))).first()[0] or 0
+    found = F.broadcast(made) if size <= BROADCAST_BYTES else made
+    own = F.when((F.col("labels") > 0) & (F.col("purity") >= REJECT), "block").otherwise("allow")
     return rows.join(found, ["host", "form"]).select(
-        "page_id", "host", "path", "rule", F.coalesce("label", own).alias("verdict"), "template", "purity")
+        "page_id", "host", "path", "rule", F.coalesce("label", own).alias("verdict"), "template", "purity", "labels")
