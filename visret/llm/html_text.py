@@ -8,6 +8,7 @@ log-odds in which a kept node has a kept parent, so no choice contradicts one ab
 
 import html
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,8 @@ from pyspark.sql import types as T
 
 # HTML elements by what they do to the tree.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template svg math iframe noscript object canvas audio video textarea title".split())
+RAW = frozenset("script style title textarea".split())  # only their own closing tag ends them
+GONE = frozenset("template svg math iframe noscript object canvas audio video".split())  # elements without main text
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var label ruby rt rp".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre search section summary table ul".split())
 #: An opening tag closes an open element of its group, unless one of the named containers is between.
@@ -45,8 +47,9 @@ TAG = {**{t: TAGS.index(t) for t in TAGS if t not in ("headings", "lists", "quot
        **dict.fromkeys(("dt", "dd"), TAGS.index("li")), **dict.fromkeys(("tr", "td", "th", "tbody", "thead", "tfoot", "caption"), TAGS.index("table")),
        **dict.fromkeys(("blockquote", "pre", "q"), TAGS.index("quote")), "figcaption": TAGS.index("figure"), "picture": TAGS.index("figure"),
        **dict.fromkeys(("button", "select", "option", "fieldset", "search"), TAGS.index("form"))}
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>", re.S)
-ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+VALUE_OR_END = re.compile(r"=\s*([\"'])|>")
+ATTR = re.compile(r"(?<![^\s/\"'])([^\s=/\"'>]++)\s*+=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 HINTS = frozenset(("class", "id", "role", "itemprop", "aria-label", "data-component"))
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -66,8 +69,8 @@ class Page:
         return len(self.parent) - 1
 
 
-def hints(tag: str, attrs: str) -> tuple[int, bool, str | None]:
-    """Word bits of an element, whether it is hidden, and a training mark (data-main)."""
+def hints(tag: str, attrs: str, marks: bool) -> tuple[int, bool, str | None]:
+    """Word bits of an element, whether it is hidden, and with ``marks`` its data-main."""
     bits, hidden, mark = BIT.get(tag, 0), False, None
     for name, value in ATTR.findall(attrs) if "=" in attrs else ():
         name = name.lower()
@@ -76,16 +79,74 @@ def hints(tag: str, attrs: str) -> tuple[int, bool, str | None]:
                 bits |= BIT.get(w.lower(), 0)
         elif name == "style":
             hidden = bool(HIDDEN.search(value))
-        elif name == "data-main":
+        elif marks and name == "data-main":
             mark = value.strip("\"'")
     return bits, hidden, mark
 
 
-def parse(source: str) -> Page:
+def tokens(source: str):
+    """(text, tag, closes, attributes) of each piece of a page; either text or tag is empty.
+
+    Every search goes on from where the one before ended, and one that has found nothing is not
+    made again, so any page takes time in proportion to its length. A quoted value that nothing
+    closes ends with its tag, a tag that nothing closes is text, a comment or script that nothing
+    closes reaches to the end."""
+    at, n, quotes, tags = 0, len(source), {'"': True, "'": True}, True
+    while at < n:
+        lt = source.find("<", at) if tags else -1
+        if lt < 0:
+            yield source[at:], "", False, ""
+            return
+        if lt > at:
+            yield source[at:lt], "", False, ""
+        if source.startswith("<!--", lt):
+            end = source.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else n
+            continue
+        closes = source.startswith("</", lt)
+        name = NAME.match(source, lt + 1 + closes)
+        if not name:
+            end = source.find(">", lt) if source[lt + 1:lt + 2] in ("!", "?", "/") else -2
+            if end >= 0:
+                at = end + 1
+                continue
+            tags = end == -2
+            yield "<", "", False, ""
+            at = lt + 1
+            continue
+        stop = name.end()
+        while m := VALUE_OR_END.search(source, stop):
+            stop = m.end()
+            if not m[1]:
+                break
+            close = source.find(m[1], stop) if quotes[m[1]] else -1
+            if close < 0:
+                quotes[m[1]] = False
+            else:
+                stop = close + 1
+        if not m:  # quotes swallow all to the end: from here on they don't count
+            quotes = dict.fromkeys(quotes, False)
+            stop = source.find(">", name.end()) + 1
+            if not stop:
+                tags = False
+                yield "<", "", False, ""
+                at = lt + 1
+                continue
+        tag, at = name[0].lower(), stop
+        yield "", tag, closes, source[name.end():stop - 1]
+        if tag in RAW and not closes:
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+            at = (source.find(">", end.end()) + 1 or n) if end else n
+
+
+def parse(source: str, *, marks: bool = False) -> Page:
+    """The tree of a page; with ``marks`` (training pages only) data-main tells what is main."""
     page = Page()
     stack = [("#root", page.add(-1, TAG["html"], 0, 0))]  # (tag, node) of open elements; inline ones share their block's node
+    places: dict[str, list[int]] = {}  # tag -> where in the stack it is open
+    blocks = [0]  # where in the stack elements are open that part texts
     run: list[str] = []
-    links = linked = 0
+    links = linked = gone = 0
 
     def flush():
         nonlocal linked
@@ -97,81 +158,77 @@ def parse(source: str) -> Page:
         linked = 0
 
     def close(to: int):
-        nonlocal links
-        if any(t not in INLINE for t, _ in stack[to:]):
+        nonlocal links, gone
+        if blocks[-1] >= to:
             flush()
-        links = max(0, links - sum(t == "a" for t, _ in stack[to:]))
-        del stack[to:]
-
-    def words(piece: str):
-        nonlocal linked
-        piece = html.unescape(piece) if "&" in piece else piece
-        run.append(piece)
-        if links:
-            linked += len(piece)
-
-    at, n = 0, len(source)
-    while at < n:
-        m = TOKEN.search(source, at)
-        if not m:
-            words(source[at:])
-            break
-        if m.start() > at:
-            words(source[at:m.start()])
-        at = m.end()
-        if m[1]:
-            tag = m[1].lower()
-            if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                if not m[2].endswith("/") or tag in ("script", "style", "title", "textarea"):
-                    at = end.end() if end else n
-                continue
-            if tag in VOID:
-                if tag in ("br", "hr"):
-                    run.append(" ")
-                if tag == "hr":
-                    flush()
-                continue
-            if tag in ENDS_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+        while len(stack) > to:
+            tag = stack.pop()[0]
+            places[tag].pop()
+            links -= tag == "a"
+            gone -= tag in GONE
+        while blocks[-1] >= to:
+            blocks.pop()
+
+    def start(tag: str, node: int, block: bool = True):
+        nonlocal links, gone
+        links += tag == "a"
+        gone += tag in GONE
+        if block:
+            blocks.append(len(stack))
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
+
+    last = lambda tags: max((places[t][-1] for t in tags if places.get(t)), default=0)
+    for text, tag, closes, attrs in tokens(source):
+        if text:
+            if not gone:
+                piece = html.unescape(text) if "&" in text else text
+                run.append(piece)
+                if links:
+                    linked += len(piece)
+        elif closes:
+            at = last((tag,))
+            if at and (tag not in INLINE or at >= blocks[-1]):
+                close(at)
+            if tag == "br" and not gone:
+                run.append(" ")
+        elif tag in VOID:
+            if tag in ("br", "hr") and not gone:
+                run.append(" ")
+            if tag == "hr":
+                flush()
+        elif tag not in RAW:
+            if tag in ENDS_P and stack[blocks[-1]][0] == "p":
+                close(blocks[-1])
             if tag in GROUPS:
                 same, walls = GROUPS[tag]
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in walls:
-                        break
-                    if stack[i][0] in same:
-                        close(i)
-                        if tag != "tr":
-                            break
-            bits, hidden, mark = hints(tag, m[2])
+                wall, at = last(walls), last(same)
+                if at > wall:
+                    above = [x[bisect_right(x, wall)] for t in same if (x := places.get(t)) and x[-1] > wall]
+                    close(min(above) if tag == "tr" else at)
+            bits, hidden, mark = hints(tag, attrs, marks)
             node = stack[-1][1]
-            if tag in INLINE and not hidden and mark is None:
-                links += tag == "a"
-                stack.append((tag, node))
+            if gone or tag in GONE:  # open elements without nodes, which end with their parent at the latest
+                flush()
+                start(tag, node)
+            elif tag in INLINE and not hidden and mark is None:
+                start(tag, node, False)
             else:
                 flush()
-                stack.append((tag, page.add(node, TAG.get(tag, TAGS.index("other")), bits | (hidden and BIT["popup"]), page.depth[node] + 1, mark=mark)))
-            if m[2].endswith("/") and tag not in TAG:
+                start(tag, page.add(node, TAG.get(tag, TAGS.index("other")), bits | (hidden and BIT["popup"]), page.depth[node] + 1, mark=mark))
+            if attrs.endswith("/") and tag not in TAG:
                 close(len(stack) - 1)
-        elif m[3]:
-            tag = m[3].lower()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i][0] not in INLINE:
-                    break
-            if tag == "br":
-                run.append(" ")
     flush()
     return page
 
 
+def stacked(columns: list) -> np.ndarray:
+    out = np.empty((len(columns[0]), len(columns)), np.float32)
+    for i, c in enumerate(columns):
+        out[:, i] = c
+    return out
+
+
 def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
     """A row for each node of the pages, one page after another, and each node's parent."""
     base, rows, parents = 0, [], []
@@ -203,12 +260,12 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
         c, k, pos = np.array(chars, float), np.array(kids), np.array(before)
         same = np.array([alike.get((parent[i], p.tag[i], own[i] > 0), 1) for i in range(n)])
         marks = np.array([sum(map(t.count, ".,;:!?")) if t else 0 for t in p.texts], float)
-        rows.append(np.column_stack([
+        rows.append(stacked([
             p.depth, [t is not None for t in p.texts], np.log1p(c), np.array(linked) / np.maximum(c, 1), c / np.array(count),
             np.log1p(leaves), k, same, pos, (pos + 1) / np.maximum(k[up], 1), c / np.maximum(c[up], 1), c / total,
             np.log1p(prior), np.log1p(after), marks / np.maximum(c, 1), np.arange(n) / n, p.tag, np.array(p.tag)[up],
             *[(np.array(x)[:, None] >> np.arange(len(KINDS)) & 1).T[j] for x in (p.bits, above) for j in range(len(KINDS))],
-            *[np.array(p.tag) == t for t in range(len(TAGS))]]).astype(np.float32))
+            *[np.array(p.tag) == t for t in range(len(TAGS))]]))
         parents.append(np.where(q >= 0, q + base, -1))
         base += n
     return np.concatenate(rows), np.concatenate(parents)
@@ -222,7 +279,7 @@ class Trees:
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> "Trees":
         self.cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(x.shape[1])]
-        binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(self.cuts)])
+        binned = self.binned(x)
         self.start = float(np.log((y @ weight + 1) / ((1 - y) @ weight + 1)))
         score, self.made = np.full(len(y), self.start), []
         for _ in range(self.rounds):
@@ -250,8 +307,11 @@ class Trees:
             self.made.append((split, leaf))
         return self
 
+    def binned(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([np.searchsorted(c, x[:, f], side="left").astype(np.uint8) for f, c in enumerate(self.cuts)])
+
     def log_odds(self, x: np.ndarray) -> np.ndarray:
-        binned = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(self.cuts)])
+        binned = self.binned(x)
         out, every = np.full(len(x), self.start), np.arange(len(x))
         for split, leaf in self.made:
             node = np.zeros(len(x), np.int64)
@@ -262,8 +322,8 @@ class Trees:
         return out
 
 
-def decode(page: Page, odds: np.ndarray) -> list[str]:
-    """Texts of the kept leaves, in page order."""
+def kept(page: Page, odds: np.ndarray) -> list[bool]:
+    """The set of nodes with the largest sum of log-odds in which a kept node has a kept parent."""
     gain = [float(o) * (1 + np.log1p(c)) for o, c in zip(odds, page.chars, strict=True)]
     parent = page.parent
     for i in range(len(gain) - 1, 0, -1):
@@ -272,7 +332,12 @@ def decode(page: Page, odds: np.ndarray) -> list[str]:
     keep = [True] * len(gain)
     for i in range(1, len(gain)):
         keep[i] = keep[parent[i]] and gain[i] > 0
-    return [t for t, k in zip(page.texts, keep, strict=True) if t is not None and k]
+    return keep
+
+
+def decode(page: Page, odds: np.ndarray) -> list[str]:
+    """Texts of the kept leaves, in page order."""
+    return [t for t, k in zip(page.texts, kept(page, odds), strict=True) if t is not None and k]
 
 
 def labels_of(page: Page) -> np.ndarray:
@@ -352,7 +417,7 @@ def layout(rng: np.random.Generator, pool: list[str]) -> str:
             return f"<figure><figcaption>{short()}</figcaption></figure>"
         return pick(["<pre>{}</pre>", "<pre><code>{}</code></pre>", "<div>{}</div>"]).format(text() if rng.random() < 0.5 else short())
 
-    core = [f"<h1>{short()}</h1>"] * int(rng.random() < 0.8) + [paragraph() for _ in range(rng.integers(1, 10))]
+    core = [f"<h1>{short()}</h1>"] * int(rng.random() < 0.8) + [paragraph() for _ in range(pick([rng.integers(1, 10)] * 34 + [rng.integers(10, 60)] * 5 + [rng.integers(60, 300)]))]
     for kind in SIDE:
         if rng.random() < 0.12:
             core.insert(int(rng.integers(1, len(core) + 1)), part(kind, True))
@@ -366,23 +431,28 @@ def layout(rng: np.random.Generator, pool: list[str]) -> str:
     return f"<html><body>{body}</body></html>"
 
 
-#: Pages that the model is fitted on at most, those of the smallest hash; longer ones teach nothing.
-SAMPLE, SAMPLE_CHARS, MADE = 200, 100_000, 900
+#: The model is fitted on so many pages at most, those of the smallest hash, as long as they have no
+#: more than so many characters in all; and on so many made layouts.
+SAMPLE, SAMPLE_CHARS, MADE = 200, 8 << 20, 900
+#: Characters of pages whose nodes are scored at a time (one page at least).
+AT_ONCE = 1 << 20
 
 
 def fit(pages: DataFrame, *, source: str = "html") -> Trees:
     """Trees fitted on a bounded sample of ``pages``, labelled by their own article and main
-    elements, and on made layouts that carry the sample's texts. Without any text in the sample
-    the layouts carry letters."""
+    elements where they have any, and on made layouts that carry the texts of all sampled pages.
+    Without any text in the sample the layouts carry letters."""
     share = min(1.0, 2 * SAMPLE / max(1, pages.count()))  # so that tasks send the driver a few rows, not SAMPLE each
-    draw = F.pmod(F.xxhash64("page_id", "url", source), F.lit(1 << 30))
-    few = pages.where((F.length(source) <= SAMPLE_CHARS) & (draw < share * (1 << 30)))
-    rows = few.select(source, draw.alias("h")).orderBy("h", source).limit(SAMPLE).collect()
-    real = [parse(r[0]) for r in rows]
-    real = [p for p in real if labels_of(p).any()]
-    pool = [t for p in real for t in p.texts if t] or ["A b c.", "D e f, g h i j k.", "l m"]
+    draw = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
+    few = pages.where(draw < share * (1 << 30)).select(draw.alias("h"), F.coalesce(source, F.lit("")).alias("html"))
+    size = few.select("h", F.length("html").alias("n")).orderBy("h", "n").limit(SAMPLE).toPandas()
+    fits = size["h"][size["n"].cumsum() <= SAMPLE_CHARS]
+    rows = few.where(F.col("h") <= int(fits.iloc[-1])).orderBy("h", F.length("html"), "html").limit(len(fits)).collect() if len(fits) else []
+    every = [parse(r["html"]) for r in rows]
+    real = [p for p in every if labels_of(p).any()]
+    pool = [t for p in every for t in p.texts if t] or ["A b c.", "D e f, g h i j k.", "l m"]
     rng = np.random.default_rng(11)
-    made = [parse(layout(rng, pool)) for _ in range(MADE)]
+    made = [parse(layout(rng, pool), marks=True) for _ in range(MADE)]
     x, _ = features(real + made)
     y = np.concatenate([labels_of(p) for p in real + made])
     size = np.concatenate([[len(p.parent)] * len(p.parent) for p in real + made])
@@ -395,14 +465,24 @@ def extractor(spark, model: Trees):
 
     @F.arrow_udf(T.StringType())
     def extract(source: pa.Array) -> pa.Array:
-        out, sources = [], source.to_pylist()
-        for i in range(0, len(sources), 256):
-            pages = [parse(s or "") for s in sources[i:i + 256]]
-            x, _ = features(pages)
-            odds, at = shared.value.log_odds(x), 0
-            for p in pages:
-                out.append(" ".join(decode(p, odds[at:at + len(p.parent)])))
-                at += len(p.parent)
+        out, some, size = [], [], 0
+
+        def done():
+            if some:
+                x, _ = features(some)
+                odds, at = shared.value.log_odds(x), 0
+                for p in some:
+                    out.append(" ".join(decode(p, odds[at:at + len(p.parent)])))
+                    at += len(p.parent)
+                some.clear()
+
+        for s in source.to_pylist():
+            if size + len(s or "") > AT_ONCE:
+                done()
+                size = 0
+            some.append(parse(s or ""))
+            size += len(s or "")
+        done()
         return pa.array(out, pa.string())
 
     return extract.asNondeterministic()
@@ -410,7 +490,8 @@ def extractor(spark, model: Trees):
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row; null and empty pages have an empty text.
-    Repeated rows are read each; nothing of a kept block is dropped or cut."""
+    Repeated rows and null ids are read each; nothing of a kept block is dropped or cut. Pages of
+    any length are read whole, in time in proportion to it; other columns are not read."""
     f = extractor(pages.sparkSession, fit(pages))
     return (pages.select("page_id", "url", f(F.col("html")).alias("text"))
             .withColumn("n_chars", F.length("text").cast("long")))
