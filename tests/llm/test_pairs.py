@@ -198,7 +198,7 @@ def isolated_pairs(rng, pairs, singles, low, high):
 
 
 def test_isolated_pairs_are_found_under_hundreds_of_centres(spark, monkeypatch):
-    monkeypatch.setattr(vector_dedup, "SHARD", 16)
+    monkeypatch.setattr(vector_dedup, "CELL", 16)
     monkeypatch.setattr(vector_dedup, "SAMPLE_BYTES", 8 * 64 * 2400)  # as of a large table, most pairs are not in the sample
     rng = np.random.default_rng(4)
     x = isolated_pairs(rng, 1500, 3000, 0.951, 0.953)
@@ -211,6 +211,45 @@ def test_isolated_pairs_are_found_under_hundreds_of_centres(spark, monkeypatch):
     assert sum(n[i] for i in range(few)) >= 0.99 * exact[:few].sum()
 
 
+def test_hot_cells_are_searched_in_blocks(spark, monkeypatch):
+    """A wide cluster that no cells can part, cut into blocks, and near copies of one vector."""
+    monkeypatch.setattr(vector_dedup, "CAP", 300)
+    monkeypatch.setattr(vector_dedup, "CELL", 400)
+    rng = np.random.default_rng(7)
+    wide = vector_dedup.unit(rng.normal(size=(1, 32)) + 0.045 * rng.normal(size=(1200, 32)))
+    x = np.concatenate([wide, vector_dedup.unit(rng.normal(size=(1, 32)) + 1e-4 * rng.normal(size=(600, 32))), isolated_pairs(rng, 100, 200, 0.951, 0.99)[:, :32]])
+    x = vector_dedup.unit(x)
+    v = spark.createDataFrame([(i, e.tolist(), "clash") for i, e in enumerate(x)], "vec_id long, embedding array<double>, cell string").repartition(4)
+    rows = {r.vec_id: r for r in vector_dedup.near_dups(v).collect()}
+    near = x @ x.T >= 0.95
+    exact = near.sum(1) - 1
+    assert all(rows[i].n_links <= exact[i] for i in rows) and sum(r.n_links for r in rows.values()) >= 0.98 * exact.sum()
+    assert {i: r.component_id for i, r in rows.items()} == reach(list(range(len(x))), lambda a, b: near[a, b])
+
+
+def test_graph_search_finds_what_is_in_range():
+    """From the medoids alone too, among clusters of all widths, one of them around a tighter one."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(8, 48))
+    x = np.concatenate([rng.normal(size=(1500, 48)), *(b + w * rng.normal(size=(250, 48)) for b, w in zip(base, np.geomspace(1e-3, 0.3, 8), strict=True)), base[4] + 1e-3 * rng.normal(size=(40, 48))])
+    x = vector_dedup.unit(x)[rng.permutation(len(x))].astype(np.float32)
+    lists, medoids = vector_dedup.graph(x, rng)
+    assert lists.shape == (len(x), vector_dedup.DEGREE) and (lists < len(x)).all() and (lists != np.arange(len(x))[:, None]).all()
+    want = (x @ x.T >= 0.95).sum()
+    for own in (None, np.arange(len(x))):
+        a, b = vector_dedup.search(x, x, lists, medoids, own)
+        assert len(set(zip(a.tolist(), b.tolist(), strict=True))) == len(a) and len(a) >= 0.98 * want
+        assert (np.einsum("ij,ij->i", x[a], x[b]) >= 0.9498).all()
+
+
+def test_groups_of_pairs_equal_brute_force():
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 400, (2, 300))
+    label = vector_dedup.joined(vector_dedup.joined(np.arange(400), a[:150], b[:150]), a[150:], b[150:])
+    linked = {(int(i), int(j)) for i, j in zip(a, b, strict=True)}
+    assert dict(enumerate(label.tolist())) == reach(list(range(400)), lambda i, j: (i, j) in linked or (j, i) in linked)
+
+
 def test_audit_is_not_drowned_by_a_dense_group(spark):
     rng = np.random.default_rng(5)
     group = vector_dedup.unit(rng.normal(size=(1, 64)) + 0.01 * rng.normal(size=(200, 64)))

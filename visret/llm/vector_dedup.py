@@ -1,22 +1,28 @@
 """Embedding near-dedup over a robust-pruned flat graph.
 
-Vectors are dealt to the shards of their nearest cluster centres, ``overlap`` each, and a shard
-beyond ``CAP`` vectors to blocks. The overlap is the least of 4, 8, ... at which made pairs, just as
-close as the limit and in random directions, nearly always have a shard in common. Every block gets a flat graph: near and random candidates of each
-vector, pruned robustly (Subramanya et al. 2019). The adjacency lists that a vector has in its
-several blocks are united. A search begins at a block's medoid, runs greedily with a beam, and goes
+Vectors are dealt to the cells of their nearest cluster centres; the number of cells grows with the
+table. A vector goes to as many cells as it takes that made pairs, just as close as the limit and in
+random directions, nearly always have one in common. A cell beyond ``CAP`` vectors is cut into
+blocks and its blocks are searched pairwise, so a hot cell is spread over tasks.
+
+In a block the flat graph is built on small cluster shards that overlap: each shard's vectors are
+pruned robustly (Subramanya et al. 2019) and the adjacency lists that a vector has in its several
+shards, and those that lead to it, are united. A search begins at the shards' medoids (and at the
+vector itself where it is in the graph), runs greedily with a beam over the united lists, and goes
 on from every vector in range until no neighbour of one is left (range expansion). What it finds is
-verified, in double precision where single could err. A shard's blocks are searched pairwise, so a
-hot shard is spread over tasks. Recall is audited against brute force on a bounded sample, each
-vector that has links counting the same; below ``RECALL`` the graph is built again with twice the
-overlap, and if that is not enough all pairs are compared.
+verified, in double precision where single could err. Recall is audited against brute force on a
+bounded sample, each vector that has links counting the same; below ``RECALL`` vectors are dealt to
+twice as many cells, and if that is not enough all pairs are compared.
 
 Equal vectors are one node, so copies are never paired. Tasks return counts of links and a spanning
-forest of what they linked, never the pairs. A pair that two shards share counts in the smaller.
+forest of what they linked, never the pairs. A pair that two cells share counts in the smaller.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,21 +30,22 @@ from pyspark.sql import types as T
 from visret.llm.common import components, cut
 
 COSINE = 0.95
-#: Vectors of a block (as dealt by hash, so a few more); shards aimed at; centres at most.
-CAP, SHARD, CENTRES = 1024, 512, 1024
-#: Bytes of the sample that centres are fitted on; vectors that recall is audited on.
+#: Vectors of a cell aimed at and of a block at most (as dealt by hash, so a few more).
+CELL, CAP = 2048, 4096
+#: Bytes of the sample that centres are fitted on (an eighth of its rows become centres at most);
+#: vectors that recall is audited on.
 SAMPLE_BYTES, AUDIT, RECALL = 16 << 20, 1024, 0.98
-#: Overlap to begin with, and share of the made pairs at the limit that must meet in a shard.
-OVERLAP, MADE, MEET = 4, 2048, 0.99
+#: Cells of a vector to begin with, and share of the made pairs at the limit that must meet in one.
+OVERLAP, MADE, MEET = 2, 2048, 0.99
 #: Bytes of vectors that are broadcast at a time to compare all pairs, and cosines taken at a time.
 BLOCK_BYTES, AT_ONCE = 16 << 20, 1 << 22
-#: Near candidates of a node, neighbours kept of them and slack of the pruning.
-NEAR, CLOSE, ALPHA = 48, 17, 1.2
-#: Random candidates, and by their rank in nearness the ones that are neighbours too.
-FAR, RANKS = 64, (0, 1, 2, 4, 8, 16, 32)
-DEGREE = CLOSE + len(RANKS)
-#: Beam of the search, and nodes that it opens at a time.
-BEAM, STEP = 48, 8
+#: Vectors of a shard aimed at, shards of a vector, and vectors of a shard that are pruned together.
+SHARD, DEALT, PIECE = 128, 3, 512
+#: Near candidates of a vector in a shard, neighbours kept of them, slack of the pruning, random
+#: neighbours beside them, and neighbours of a vector when its lists are united.
+NEAR, CLOSE, ALPHA, FAR, DEGREE = 24, 6, 1.2, 4, 32
+#: Beam of the search, nodes that it opens at a time, and queries that are searched together.
+BEAM, STEP, TOGETHER = 8, 4, 256
 EDGE = 1e-4  # cosines this close to the limit are taken again in double precision
 
 
@@ -55,8 +62,21 @@ def unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def by_width(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, places, unit rows) of the vectors of each length in a list column without nulls."""
+    sizes, values = pc.list_value_length(vectors).to_numpy(), vectors.flatten().to_numpy(zero_copy_only=False)
+    begin = np.cumsum(sizes) - sizes
+    for width in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == width)
+        yield width, at, unit(values[begin[at][:, None] + np.arange(width)])
+
+
+def whole(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
 def overlap_for(x: np.ndarray, c: np.ndarray, rng: np.random.Generator) -> int:
-    """The least overlap at which pairs made of rows of ``x`` and a vector at COSINE to each, in a
+    """The least number of cells at which pairs made of rows of ``x`` and a vector at COSINE to each, in a
     random direction, share one of their nearest centres ``c`` in ``MEET`` of the cases."""
     x = x[rng.permutation(len(x))[:MADE]]
     u = rng.normal(size=x.shape)
@@ -64,15 +84,12 @@ def overlap_for(x: np.ndarray, c: np.ndarray, rng: np.random.Generator) -> int:
     y = COSINE * x + np.sqrt(1 - COSINE**2) * u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
     rank = [np.argsort(np.argsort(-(z @ c.T), axis=1, kind="stable"), axis=1) for z in (x, y)]
     first = np.maximum(*rank).min(1)  # the overlap at which a pair meets is one more
-    overlap = OVERLAP
-    while overlap < len(c) and (first < overlap).mean() < MEET:
-        overlap *= 2
-    return overlap
+    return int(max(OVERLAP, np.quantile(first, MEET, method="higher") + 1))
 
 
 def centres(classes: DataFrame) -> tuple[dict[int, np.ndarray], int]:
-    """Length of vectors -> unit centres, by spherical k-means on a bounded sample; and the overlap
-    that all of them need."""
+    """Length of vectors -> unit centres, by spherical k-means on a bounded sample; and the number of
+    cells a vector that all of them need."""
     n, width = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not n:
         return {}, OVERLAP
@@ -83,7 +100,7 @@ def centres(classes: DataFrame) -> tuple[dict[int, np.ndarray], int]:
     sizes = rows["embedding"].map(len)
     for size, some in rows["embedding"].groupby(sizes):
         x = unit(list(some))
-        k = int(min(CENTRES, max(1, n * len(x) / len(rows) / SHARD), max(1, len(x) // 8)))
+        k = int(max(1, min(n * len(x) / len(rows) / CELL, len(x) // 8)))
         c = x[rng.permutation(len(x))[:k]]
         for _ in range(6):
             best = (x @ c.T).argmax(1)
@@ -97,156 +114,217 @@ def centres(classes: DataFrame) -> tuple[dict[int, np.ndarray], int]:
 
 
 def dealt(classes: DataFrame, found: dict[int, np.ndarray], overlap: int) -> DataFrame:
-    """classes with ``shards``: the numbers of each vector's ``overlap`` nearest centres, sorted."""
+    """classes with ``cells``: the numbers of each vector's ``overlap`` nearest centres, sorted."""
     shared = classes.sparkSession.sparkContext.broadcast(found)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def nearest(vectors: pa.Array) -> pa.Array:
-        rows = vectors.to_pylist()
-        sizes, out = np.array(list(map(len, rows))), [None] * len(rows)
-        for size in set(sizes.tolist()):
-            at = np.flatnonzero(sizes == size)
-            c = shared.value.get(size)
-            if c is None:
-                near = np.zeros((len(at), 1), np.int64)
-            else:
-                near = np.argsort(-(unit([rows[i] for i in at]) @ c.T), axis=1, kind="stable")[:, :overlap]
-            for i, x in zip(at, np.sort(near + (size << 20), axis=1), strict=True):
-                out[i] = x
+        out = [None] * len(vectors)
+        for width, at, x in by_width(vectors):
+            c = shared.value.get(width)
+            near = np.zeros((len(at), 1), np.int64) if c is None or len(c) == 1 else most_like(x, c, overlap)
+            for i, cells in zip(at, np.sort(near + (width << 32), axis=1), strict=True):
+                out[i] = cells
         return pa.array(out, pa.list_(pa.int64()))
 
-    return classes.withColumn("shards", nearest.asNondeterministic()("embedding"))
+    return classes.withColumn("cells", nearest.asNondeterministic()("embedding"))
 
 
-def pruned(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Neighbours of each row of ``x``, DEGREE columns, -1 where there are fewer: near ones that
-    pruning leaves, and random ones at all distances, which no tight cluster can crowd out."""
-    n = len(x)
-    s = x @ x.T
+def most_like(x: np.ndarray, c: np.ndarray, k: int) -> np.ndarray:
+    """Places in ``c`` of the ``k`` rows most like each of ``x``, in no order."""
+    k = min(k, len(c))
+    return np.argpartition(-(x @ c.T), k - 1, axis=1)[:, :k]
+
+
+def pruned(s: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """From cosines of a shard's vectors, neighbours of each, -1 where there are fewer: CLOSE of its
+    near ones, nearest first, those that no neighbour already kept is much nearer to; and FAR random
+    ones, so that a tight cluster is not cut off from what is around it."""
+    n = len(s)
+    near = min(NEAR, n - 1)
+    out = np.full((n, CLOSE + FAR), -1)
+    if not near:
+        return out
+    far = (np.arange(n)[:, None] + rng.integers(1, n, (n, FAR))) % n
+    out[:, CLOSE:] = far
+    s = s.copy()
     np.fill_diagonal(s, -2)
-    near = np.argpartition(-s, min(NEAR, n - 1) - 1, axis=1)[:, :min(NEAR, n - 1)] if n > 1 else np.zeros((n, 0), np.int64)
-    rows = np.arange(n)[:, None]
-
-    def nearest_first(cand):
-        gap = 1 - s[rows, cand]
-        order = np.argsort(gap, axis=1, kind="stable")
-        return np.take_along_axis(cand, order, 1), np.take_along_axis(gap, order, 1)
-
-    out = np.full((n, DEGREE), -1)
-    far, _ = nearest_first(rng.integers(0, n, (n, FAR)))
-    out[:, CLOSE:] = np.where(far == rows, -1, far)[:, list(RANKS)]
-    cand, gap = nearest_first(near)
-    alive = np.ones(cand.shape, bool)
-    for k in range(CLOSE if cand.shape[1] else 0):
+    cand = np.argpartition(-s, near - 1, axis=1)[:, :near]
+    gap = 1 - np.take_along_axis(s, cand, 1)
+    order = np.argsort(gap, axis=1, kind="stable")
+    cand, gap = np.take_along_axis(cand, order, 1), np.take_along_axis(gap, order, 1)
+    alive, every = np.ones(cand.shape, bool), np.arange(n)
+    for k in range(CLOSE):
         first = alive.argmax(1)
-        some = alive[np.arange(n), first]
-        pick = cand[np.arange(n), first]
+        some = alive[every, first]
+        pick = cand[every, first]
         out[some, k] = pick[some]
-        closer = ALPHA * (1 - s[pick[:, None], cand]) <= gap
-        alive &= ~closer & (cand != pick[:, None]) & some[:, None]
+        alive &= (ALPHA * (1 - s[pick[:, None], cand]) > gap) & (cand != pick[:, None]) & some[:, None]
         if not alive.any():
             break
     return out
 
 
-def both_ways(out: np.ndarray) -> list[np.ndarray]:
-    """Adjacency lists with reverse edges, at most twice DEGREE each."""
-    n = len(out)
-    a, k = np.nonzero(out >= 0)
-    b = out[a, k]
-    pairs = np.unique(np.r_[np.c_[a, b, k], np.c_[b, a, k + DEGREE]], axis=0)
-    pairs = pairs[np.lexsort((pairs[:, 2], pairs[:, 0]))]
-    begin = np.searchsorted(pairs[:, 0], np.arange(n + 1))
-    return [np.unique(pairs[i:j, 1][: 2 * DEGREE]) for i, j in zip(begin[:-1], begin[1:], strict=True)]
-
-
-def scores(q: np.ndarray, g: np.ndarray, wanted: np.ndarray, into: np.ndarray) -> None:
-    """Cosines of the pairs in ``wanted``, in single precision."""
-    a, b = np.nonzero(wanted)
-    for i in range(0, len(a), 1 << 17):
-        j = slice(i, i + (1 << 17))
-        into[a[j], b[j]] = np.einsum("ij,ij->i", q[a[j]], g[b[j]])
-
-
-def search(q: np.ndarray, g: np.ndarray, lists: np.ndarray) -> np.ndarray:
-    """Which of ``g`` each of ``q`` finds within COSINE: greedy with a beam from the medoid, then
-    on from everything in range. ``lists`` has the neighbours of each of ``g``, padded with -1."""
-    q4, g4 = q.astype(np.float32), g.astype(np.float32)
-    graph = np.zeros((len(g), len(g)), np.float32)
-    a, k = np.nonzero(lists >= 0)
-    graph[a, lists[a, k]] = 1
-    d = np.full((len(q), len(g)), -2, np.float32)
-    done = np.zeros(d.shape, bool)
-    entry = [int((g4 @ g4.mean(0)).argmax())]  # the medoid, and where the graph has parts one of each
-    seen = np.zeros(len(g), bool)
-    while True:
-        front = np.zeros(len(g), bool)
-        front[entry[-1]] = True
-        while front.any():
-            seen |= front
-            front = (graph[front].any(0)) & ~seen
-        if seen.all():
+def graph(x: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Neighbours of each row of ``x``, DEGREE columns, -1 where there are fewer, united from
+    overlapping cluster shards; and the medoids of the shards."""
+    n = len(x)
+    c = x[rng.permutation(n)[:max(1, n // SHARD)]]
+    for _ in range(3):
+        best = (x @ c.T).argmax(1)
+        total = np.zeros_like(c)
+        np.add.at(total, best, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), c)
+    near = most_like(x, c, DEALT)
+    shard, node = near.ravel(), np.repeat(np.arange(n), near.shape[1])
+    order = np.lexsort((rng.random(len(node)), shard))
+    shard, node = shard[order], node[order]
+    medoids, parts = [], []
+    for run in np.split(node, np.flatnonzero(np.diff(shard)) + 1):
+        for piece in np.array_split(run, -(-len(run) // PIECE)):
+            own = x[piece]
+            medoids.append(piece[(own @ own.mean(0)).argmax()])
+            out = pruned(own @ own.T, rng)
+            a, k = np.nonzero(out >= 0)
+            parts.append((piece[a], piece[out[a, k]], k))
+    a, b, rank = (np.concatenate(p) for p in zip(*parts, strict=True))
+    a, b, rank = np.r_[a, b], np.r_[b, a], np.r_[2 * rank, 2 * rank + 1]  # with the way back
+    order = np.lexsort((rank, a * n + b))
+    a, b, rank = a[order], b[order], rank[order]
+    fresh = np.r_[True, (np.diff(a) != 0) | (np.diff(b) != 0)] if len(a) else np.zeros(0, bool)
+    a, b, rank = a[fresh], b[fresh], rank[fresh]
+    order = np.lexsort((rank, a))
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    lists = np.full((n, DEGREE), -1)
+    lists[a[place < DEGREE], place[place < DEGREE]] = b[place < DEGREE]
+    return lists, np.unique(medoids)
+
+
+def cosines(q: np.ndarray, x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the pairs of rows ``a`` of q and ``b`` of x."""
+    out = np.empty(len(a), q.dtype)
+    for i in range(0, len(a), 1 << 15):
+        j = slice(i, i + (1 << 15))
+        np.einsum("ij,ij->i", q[a[j]], x[b[j]], out=out[j])
+    return out
+
+
+def search(q: np.ndarray, x: np.ndarray, lists: np.ndarray, medoids: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of ``q``, row of ``x``) within COSINE less EDGE, by the graph of ``x``; ``own``
+    are the rows of ``x`` that the queries are themselves."""
+    d = np.full((len(q), len(x)), -2, np.float32)
+    every = np.arange(len(q))[:, None]
+    d[:, medoids] = q @ x[medoids].T
+    ids = np.broadcast_to(medoids, (len(q), len(medoids)))
+    if own is not None:
+        d[every[:, 0], own] = np.einsum("ij,ij->i", q, x[own])
+        ids = np.c_[own, np.where(medoids == own[:, None], -1, medoids)]
+    score = np.where(ids >= 0, d[every, ids], np.float32(-3))
+    opened = ids < 0
+    row = every[:, 0]
+    while len(row):
+        if ids.shape[1] > BEAM:
+            top = np.argpartition(-score, BEAM - 1, axis=1)[:, :BEAM]
+            ids, score, opened = (np.take_along_axis(v, top, 1) for v in (ids, score, opened))
+        go = ~opened.all(1)
+        ids, score, opened, row = ids[go], score[go], opened[go], row[go]
+        if not len(row):
             break
-        entry.append(int(np.flatnonzero(~seen)[0]))
-    wanted = np.zeros(d.shape, bool)
-    wanted[:, entry] = True
-    scores(q4, g4, wanted, d)
-    step, beam = min(STEP, len(g)), min(BEAM, len(g))
+        step = min(STEP, ids.shape[1])
+        top = np.argpartition(np.where(opened, np.float32(4), -score), step - 1, axis=1)[:, :step]
+        to = np.where(np.take_along_axis(opened, top, 1), -1, np.take_along_axis(ids, top, 1))
+        np.put_along_axis(opened, top, True, 1)
+        next_ = np.where(to[:, :, None] >= 0, lists[to], -1).reshape(len(row), -1)
+        next_.sort(axis=1)
+        fresh = (next_ >= 0) & np.c_[np.ones(len(row), bool), np.diff(next_, axis=1) > 0] & (d[row[:, None], next_] == -2)
+        a, k = np.nonzero(fresh)
+        b = next_[a, k]
+        got = cosines(q, x, row[a], b)
+        d[row[a], b] = got
+        width = int(fresh.sum(1).max(initial=0))
+        slot = np.arange(len(a)) - np.searchsorted(a, a)
+        more, value = np.full((len(row), width), -1), np.full((len(row), width), -3, np.float32)
+        more[a, slot], value[a, slot] = b, got
+        ids, score, opened = np.c_[ids, more], np.c_[score, value], np.c_[opened, more < 0]
     limit = np.float32(COSINE - EDGE)
-    while True:
-        open_ = np.where(done, np.float32(-3), d)
-        top = np.argpartition(-open_, step - 1, axis=1)[:, :step]
-        worst = -np.partition(-d, beam - 1, axis=1)[:, beam - 1:beam]
-        value = np.take_along_axis(open_, top, 1)
-        go = np.zeros(d.shape, bool)
-        np.put_along_axis(go, top, (value >= worst) & (value > -2), 1)
-        go |= (open_ >= limit)
-        if not go.any():
+    a, b = np.nonzero(d >= limit)
+    while len(a):  # on from what is in range
+        parts = []
+        for i in range(0, len(a), 1 << 14):
+            some, next_ = np.repeat(a[i:i + (1 << 14)], lists.shape[1]), lists[b[i:i + (1 << 14)]].ravel()
+            ok = (next_ >= 0) & (d[some, next_] == -2)
+            key = np.unique(some[ok] * len(x) + next_[ok])
+            u, v = key // len(x), key % len(x)
+            got = cosines(q, x, u, v)
+            d[u, v] = got
+            parts.append((u[got >= limit], v[got >= limit]))
+        a, b = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return np.nonzero(d >= limit)
+
+
+def joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label``, the smallest place of each place's group, after joining places ``a`` and ``b``."""
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        if (label[a] == low).all() and (label[b] == low).all():
             break
-        done |= go
-        active = np.flatnonzero(go.any(1))
-        reach = np.zeros(d.shape, bool)
-        reach[active] = go[active].astype(np.float32) @ graph > 0
-        scores(q4, g4, reach & (d == -2), d)
-    hit = d >= COSINE
-    a, b = np.nonzero(np.abs(d - COSINE) <= EDGE)
-    hit[a, b] = np.einsum("ij,ij->i", q[a], g[b]) >= COSINE
-    return hit
-
-
-def built(members: DataFrame) -> DataFrame:
-    """(node, nbrs): the adjacency lists that a node has in its blocks, united."""
-    def build(table: pa.Table) -> pa.Table:
-        node, rows = table["node"].to_numpy(), table["embedding"].to_pylist()
-        lists = both_ways(pruned(unit(rows), np.random.default_rng(5)))
-        return pa.table({"node": node, "nbrs": pa.array([node[x] for x in lists], pa.list_(pa.int64()))})
-
-    each = members.groupBy("shard", "block").applyInArrow(build, "node long, nbrs array<long>")
-    return each.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("nbrs"))).alias("nbrs"))
-
-
-def forest(hit: np.ndarray, q: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """Pairs of nodes that connect what ``hit`` links of nodes ``q`` and ``g``, no more than there
-    are nodes."""
-    # Connected nodes get the smallest place among them, by labels that run to and fro.
-    far, label = len(g), np.arange(len(g))
-    while True:
-        lq = np.where(hit, label[None, :], far).min(1)
-        lg = np.minimum(label, np.where(hit, lq[:, None], far).min(0))
-        if (lg == label).all():
-            break
-        label = lg
-    a = np.r_[q[lq < far], g[hit.any(0)]]
-    b = np.r_[g[lq[lq < far]], g[label[hit.any(0)]]]
-    return np.unique(np.c_[a, b][a != b], axis=0)
+        for v in (label[a], label[b]):  # their roots only, so that no group is parted
+            np.minimum.at(label, v, low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
 
+def found_rows(node: np.ndarray, n: np.ndarray, label: np.ndarray) -> pa.Table:
+    """Rows (a, b, n) of counts and of the edges of a spanning forest."""
+    some, moved = n > 0, label != np.arange(len(label))
+    return pa.table({"a": np.r_[node[some], node[moved]],
+                     "b": pa.array([None] * int(some.sum()) + node[label[moved]].tolist(), pa.int64()),
+                     "n": pa.array(n[some].tolist() + [None] * int(moved.sum()), pa.int64())})
 
-def found_rows(node: np.ndarray, n: np.ndarray, edge: np.ndarray) -> pa.Table:
-    """Rows (a, b, n) of counts and of edges."""
-    some = n > 0
-    return pa.table({"a": np.r_[node[some], edge[:, 0]],
-                     "b": pa.array([None] * int(some.sum()) + edge[:, 1].tolist(), pa.int64()),
-                     "n": pa.array(n[some].tolist() + [None] * len(edge), pa.int64())})
+
+def linked(members: DataFrame) -> DataFrame:
+    """(a, b, n): n links counted for node a (b null), or that a and b are connected (n null), of
+    ``members(cell, qb, gb, block, node, n, cells, embedding)``."""
+    def find(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        cell, qb, gb = (k.as_py() for k in key)
+        node, size, block = (table[c].to_numpy() for c in ("node", "n", "block"))
+        [(_, _, x)] = by_width(whole(table["embedding"]))
+        cells = np.array(table["cells"].to_pylist())
+        x4 = x.astype(np.float32)
+        iq, ig = np.flatnonzero(block == qb), np.flatnonzero(block == gb)
+        lists, medoids = graph(x4[ig], np.random.default_rng(5))
+        count, label = np.zeros(len(node), np.int64), np.arange(len(node))
+        for i in range(0, len(iq), TOGETHER):
+            some = iq[i:i + TOGETHER]
+            a, b = search(x4[some], x4[ig], lists, medoids, np.arange(i, i + len(some)) if qb == gb else None)
+            a, b = some[a], ig[b]
+            for j in range(0, len(a), 1 << 18):
+                u, v = a[j:j + (1 << 18)], b[j:j + (1 << 18)]
+                near = (u != v) & (cosines(x, x, u, v) >= COSINE)
+                u, v = u[near], v[near]
+                label = joined(label, u, v)
+                # what two cells share counts in the smaller
+                before = ((cells[u][:, :, None] == cells[v][:, None, :]) & (cells[u] < cell)[:, :, None]).any((1, 2))
+                np.add.at(count, u[~before], size[v[~before]])
+        return found_rows(node, count, label)
+
+    return members.groupBy("cell", "qb", "gb").applyInArrow(find, "a long, b long, n long")
+
+
+def in_cells(classes: DataFrame, found: dict[int, np.ndarray], overlap: int) -> DataFrame:
+    """``linked`` over all cells, each as one block or, beyond CAP vectors, as pairs of blocks."""
+    spread = cut(dealt(classes.select("node", "n", "embedding"), found, overlap))
+    sizes = spread.select(F.explode("cells").alias("cell")).groupBy("cell").count()
+    blocks = F.broadcast(sizes.select("cell", F.ceil(F.col("count") / CAP).cast("int").alias("blocks")))
+    members = spread.withColumn("cell", F.explode("cells")).join(blocks, "cell").withColumn("block", F.pmod(F.hash("node", F.lit(17)), F.col("blocks")))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    pairs = F.array_distinct(F.concat(
+        F.transform(every, lambda i: F.struct(F.col("block").alias("qb"), i.alias("gb"))),
+        F.transform(every, lambda i: F.struct(i.alias("qb"), F.col("block").alias("gb")))))
+    return linked(members.withColumn("pair", F.explode(pairs)).select("cell", "pair.qb", "pair.gb", "block", "node", "n", "cells", "embedding"))
 
 
 def every_link(classes: DataFrame) -> DataFrame:
@@ -254,20 +332,26 @@ def every_link(classes: DataFrame) -> DataFrame:
     spark, parts, block, size = classes.sparkSession, [], [], 0
 
     def against(block) -> DataFrame:
-        shared = spark.sparkContext.broadcast([
-            (width, np.array([r[0] for r in some]), unit([r[2] for r in some]), np.array([r[1] for r in some]))
-            for width in sorted({len(r[2]) for r in block}) for some in [[r for r in block if len(r[2]) == width]]])
+        shared = spark.sparkContext.broadcast({
+            width: (np.array([r[0] for r in some]), unit([r[2] for r in some]), np.array([r[1] for r in some]))
+            for width in {len(r[2]) for r in block} for some in [[r for r in block if len(r[2]) == width]]})
 
         def find(batches):
             for batch in batches:
-                node, rows = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-                sizes = np.array(list(map(len, rows)))
-                for width, other, g, n in shared.value:
-                    at, step = np.flatnonzero(sizes == width), max(1, AT_ONCE // len(g))
+                node = batch.column(0).to_numpy()
+                for width, at, x in by_width(batch.column(1)):
+                    if width not in shared.value:
+                        continue
+                    other, g, n = shared.value[width]
+                    step = max(1, AT_ONCE // len(g))
                     for i in range(0, len(at), step):
-                        some = at[i:i + step]
-                        hit = (unit([rows[j] for j in some]) @ g.T >= COSINE) & (node[some][:, None] != other[None, :])
-                        yield from found_rows(node[some], hit @ n, forest(hit, node[some], other)).to_batches()
+                        mine = node[at[i:i + step]]
+                        hit = (x[i:i + step] @ g.T >= COSINE) & (mine[:, None] != other[None, :])
+                        names, place = np.unique(np.r_[mine, other], return_inverse=True)
+                        a, b = np.nonzero(hit)
+                        count = np.zeros(len(names), np.int64)
+                        np.add.at(count, place[:len(mine)], hit @ n)
+                        yield from found_rows(names, count, joined(np.arange(len(names)), place[a], place[len(mine) + b])).to_batches()
 
         return classes.select("node", "embedding").mapInArrow(find, "a long, b long, n long")
 
@@ -284,36 +368,6 @@ def every_link(classes: DataFrame) -> DataFrame:
     return out
 
 
-def linked(members: DataFrame) -> DataFrame:
-    """(a, b, n): n links counted for node a (b null), or that a and b are connected (n null)."""
-    def find(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        shard, qb, gb = (k.as_py() for k in key)
-        block, node = table["block"].to_numpy(), table["node"].to_numpy()
-        x, size = unit(table["embedding"].to_pylist()), table["n"].to_numpy()
-        shards = np.array(table["shards"].to_pylist())
-        iq, ig = np.flatnonzero(block == qb), np.flatnonzero(block == gb)
-        place = {int(v): i for i, v in enumerate(node[ig])}
-        lists = [[place[v] for v in nb if v in place] for nb in table["nbrs"].take(pa.array(ig)).to_pylist()]
-        padded = np.full((len(ig), max(1, max(map(len, lists)))), -1)
-        for i, nb in enumerate(lists):
-            padded[i, :len(nb)] = nb
-        hit = search(x[iq], x[ig], padded)
-        hit &= node[iq][:, None] != node[ig][None, :]
-        edge = forest(hit, node[iq], node[ig])
-        for i in range(shards.shape[1]):  # pairs that a smaller shard has too count there
-            for j in range(shards.shape[1]):
-                s, t = shards[iq, i], shards[ig, j]
-                hit &= ~((s[:, None] == t[None, :]) & (s < shard)[:, None])
-        return found_rows(node[iq], hit @ size[ig], edge)
-
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    pairs = F.array_distinct(F.concat(
-        F.transform(every, lambda i: F.struct(F.col("block").alias("qb"), i.alias("gb"))),
-        F.transform(every, lambda i: F.struct(i.alias("qb"), F.col("block").alias("gb")))))
-    return (members.withColumn("pair", F.explode(pairs)).select("shard", "pair.qb", "pair.gb", "block", "node", "n", "shards", "embedding", "nbrs")
-            .groupBy("shard", "qb", "gb").applyInArrow(find, "a long, b long, n long"))
-
-
 def audited(classes: DataFrame, counted: DataFrame) -> float:
     """Share of its links that were counted, as a mean over those of a bounded sample of nodes that
     have links to other nodes; 1 if none has, as then none can be lost.
@@ -329,16 +383,14 @@ def audited(classes: DataFrame, counted: DataFrame) -> float:
     def exact(batches):
         total = np.zeros(len(shared.value), np.int64)
         for batch in batches:
-            node, rows, n = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            sizes = np.array(list(map(len, rows)))
-            for size in set(sizes.tolist()):
-                mine = [i for i, (_, v) in enumerate(shared.value) if len(v) == size]
+            node, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for width, at, y in by_width(batch.column(1)):
+                mine = [i for i, (_, v) in enumerate(shared.value) if len(v) == width]
                 if mine:
-                    at = np.flatnonzero(sizes == size)
                     x, own = unit([shared.value[i][1] for i in mine]), np.array([shared.value[i][0] for i in mine])
                     for i in range(0, len(at), AUDIT):
                         some = at[i:i + AUDIT]
-                        near = (x @ unit([rows[j] for j in some]).T >= COSINE) & (own[:, None] != node[some][None, :])
+                        near = (x @ y[i:i + AUDIT].T >= COSINE) & (own[:, None] != node[some][None, :])
                         total[mine] += near @ n[some]
         yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in shared.value], pa.int64()), pa.array(total)], ["node", "exact"])
 
@@ -353,7 +405,7 @@ def near_dups(vectors: DataFrame) -> DataFrame:
 
     Vectors that are null, empty, zero or have a null or non-finite component link with nothing,
     nor do vectors of different lengths. Repeated rows link with each other. Null vec_ids never
-    name a component and are not kept.
+    name a component and are not kept. Other columns, whatever their names, are not read.
     """
     rows = cut(vectors.select("vec_id", "embedding").where(usable(F.col("embedding")))
                .select("vec_id", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.reverse("embedding"), F.lit(1)).alias("h2"), "embedding"))
@@ -366,11 +418,7 @@ def near_dups(vectors: DataFrame) -> DataFrame:
             counted = found_links.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
             recall = audited(classes, counted)
             break
-        spread = dealt(classes.select("node", "n", "embedding"), found, overlap)
-        members = cut(spread.withColumn("shard", F.explode("shards")))
-        sizes = members.groupBy("shard").count().withColumn("blocks", F.ceil(F.col("count") / CAP).cast("int")).drop("count")
-        members = members.join(F.broadcast(sizes), "shard").withColumn("block", F.pmod(F.hash("node", F.lit(17)), F.col("blocks")))
-        found_links = cut(linked(members.join(built(members), "node")))
+        found_links = cut(in_cells(classes, found, overlap))
         counted = found_links.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
         recall = audited(classes, counted)
         if recall >= RECALL:
