@@ -5,9 +5,11 @@ import re
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -225,26 +227,43 @@ def test_examples_keep_all_limits(spark):
     assert sum(r.n_loss for b in bins.values() for r in b) / len(bins) / 600 > 0.75 or sum(r.n_tokens for b in bins.values() for r in b) / len(bins) / 1024 > 0.85
 
 
-def test_token_counts_equal_the_tokenizers(spark):
-    texts = {i: t for i, t in enumerate(STRANGE)} | {100: None, 101: "word " * 3000}
-    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)
-    plain = Tokenizer.from_file(tokens.WORDS)
-    plain.encode_special_tokens = True
-    want = {i: len(plain.encode(t or "", add_special_tokens=False).ids) for i, t in texts.items()}
-    assert {r.doc_id: r.n_tokens for r in token_scan.of_documents(d).collect()} == want
-    small = token_scan.count_tokens(token_scan.write_blocks(d, block_tokens=7)).collect()
-    assert {r.doc_id: r.n_tokens for r in small} == want and all(r.ended for r in small)
+@pytest.mark.parametrize("block", [7, token_scan.BLOCK_TOKENS])
+def test_token_counts_equal_the_tokenizers(spark, monkeypatch, block):
+    monkeypatch.setattr(token_scan, "BLOCK_TOKENS", block)
+    monkeypatch.setattr(token_scan.read_blocks, "__kwdefaults__", {"block_tokens": block})
+    texts = [(i, t) for i, t in enumerate(STRANGE)] + [(100, None), (101, "word " * 3000), (101, "again"), (None, "</s> <s>\x02\x00 none")]
+    d = spark.createDataFrame([(i, t, "clash", "clash") for i, t in texts], "doc_id long, text string, file string, names string").repartition(2)
+    plain = sentencepiece.SentencePieceProcessor(model_file=token_scan.PIECES)
+    want = sorted(((i or -1, len(plain.encode(t or ""))) for i, t in texts))
+    rows = token_scan.of_documents(d).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens) for r in rows) == sorted((i or -1, n) for i, n in want) and all(r.ended for r in rows)
+    assert len({(r.file, r.doc_no) for r in rows}) == len(rows)
     assert token_scan.of_documents(d.limit(0)).count() == 0
 
 
-def test_flat_files_are_stitched_over_blocks(spark, tmp_path, monkeypatch):
+def test_flat_files_hold_nothing_but_ids(spark, tmp_path):
+    d = spark.createDataFrame([(1, "one two"), (2, ""), (3, "three")], "doc_id long, text string").coalesce(1)
+    ids, _ = token_scan.write_files(d, str(tmp_path / "flat"))
+    [file] = Path(ids).glob("part-*")
+    plain = sentencepiece.SentencePieceProcessor(model_file=token_scan.PIECES)
+    assert np.fromfile(file, "<u2").tolist() == [*plain.encode("one two"), 2, 2, *plain.encode("three"), 2]
+    with pytest.raises(Exception, match="separator"):
+        token_scan.write_files(d, str(tmp_path / "not"), end=plain.encode("one")[0])
+
+
+@pytest.mark.parametrize("ranges", [True, False])
+def test_flat_files_are_stitched_over_blocks(spark, tmp_path, monkeypatch, ranges):
     monkeypatch.setattr(token_scan, "CHUNK", 3)
+    if not ranges:  # a store that only Spark can read
+        monkeypatch.setattr(token_scan, "range_reader", lambda path: token_scan.fs.FileSystem.from_uri("nowhere://x"))
     x = np.random.default_rng(0).integers(0, 9, 1000).astype("<u2")
     x[100:400] = 1
     files = {"a": x, "b": x[:400], "c": x[:0], "d": np.array([3, 3, 3], "<u2")}
     for name, ids in files.items():
         ids.tofile(tmp_path / f"{name}.bin")
-    rows = token_scan.count_tokens(token_scan.read_blocks(spark, str(tmp_path), block_tokens=50), end=3).collect()
+    blocks = token_scan.read_blocks(spark, str(tmp_path), block_tokens=50)
+    assert blocks.agg(F.max(F.length("data"))).first()[0] == 100  # whatever the size of the file
+    rows = token_scan.count_tokens(blocks, end=3).collect()
     for name, ids in files.items():
         got = sorted((r.doc_no, r.start, r.n_tokens, r.ended) for r in rows if r.file.endswith(f"{name}.bin"))
         ends = np.flatnonzero(ids == 3).tolist()

@@ -1,5 +1,6 @@
 """What several operators of this subpackage share."""
 
+import re
 import tempfile
 import uuid
 
@@ -13,11 +14,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; one of our own only where the session has none,
-    as in tests."""
+    """The folder that spark.checkpoint.dir names. Where the session names none, one of our own if
+    all runs on this machine, as in tests; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="visret-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="visret-"))
+    return named or spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -26,15 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written as a table in the shared folder and read again, and where that is."""
-    path = f"{shared_folder(df.sparkSession)}/visret-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path), path
+def new_folder(spark: SparkSession) -> str:
+    """A name for a folder in the shared one, which nothing has yet."""
+    return f"{shared_folder(spark)}/visret-{uuid.uuid4().hex}"
 
 
 def drop(spark: SparkSession, path: str) -> None:
-    """Remove a table that ``written`` made."""
+    """Remove a folder that was made by ``new_folder``'s name."""
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 

@@ -31,7 +31,7 @@ from visret.llm.common import components, cut
 
 COSINE = 0.95
 #: Vectors of a cell aimed at and of a block at most (as dealt by hash, so a few more).
-CELL, CAP = 2048, 4096
+CELL, CAP = 1024, 8192
 #: Bytes of the sample that centres are fitted on (an eighth of its rows become centres at most);
 #: vectors that recall is audited on.
 SAMPLE_BYTES, AUDIT, RECALL = 16 << 20, 1024, 0.98
