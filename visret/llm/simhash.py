@@ -110,8 +110,22 @@ def groups(docs: DataFrame, *, text: str = "text") -> DataFrame:
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Ids of documents that go (32 bytes each) are broadcast up to this size, beyond it documents and
+#: ids are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
 def keep_one(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents with one of each group, that of the smallest doc_id; of rows with the same
-    doc_id one stays. Rows without a doc_id stay, for nothing can name them."""
-    kept = groups(docs, text=text).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where("doc_id is null"))
+    doc_id one stays. Rows without a doc_id stay, for nothing can name them. Whole documents are
+    moved only where the ids of those that go are too many to broadcast."""
+    own = groups(docs, text=text).where("doc_id is not null").groupBy("doc_id")
+    ids = cut(own.agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n")))
+    lost, again = ids.where("not kept").select("doc_id"), ids.where("kept and n > 1").select("doc_id")
+    n_lost, n_again = ids.agg(F.count_if(~F.col("kept")), F.count_if(F.col("kept") & (F.col("n") > 1))).first()
+    sized = lambda d, n: F.broadcast(d) if 32 * n <= BROADCAST_BYTES else d
+    out = docs.join(sized(lost, n_lost), "doc_id", "left_anti")
+    if n_again:
+        few = sized(again, n_again)
+        out = out.join(few, "doc_id", "left_anti").unionByName(out.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(docs.columns)
