@@ -94,7 +94,7 @@ def exact_print(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash_groups_equal_brute_force(spark):
+def test_simhash_groups_equal_brute_force(spark, monkeypatch):
     d = read(spark, SF, "documents").select("doc_id", "text")
     rows = {r.doc_id: r.text for r in d.collect()} | {9001: None, 9002: "", 9003: "one two", 9004: "ONE two"}
     d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
@@ -102,8 +102,10 @@ def test_simhash_groups_equal_brute_force(spark):
     want = reach(sorted(rows), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.groups(d).collect()}
     assert got == {i: (f"{prints[i]:016x}", want[i]) for i in rows}
-    kept = {r.doc_id for r in simhash.keep_one(d).collect()}
-    assert kept == set(want.values())
+    for size in (simhash.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(simhash, "BROADCAST_BYTES", size)
+        kept = sorted(r.doc_id for r in simhash.keep_one(d).collect())
+        assert kept == sorted(set(want.values()))
 
 
 def test_fingerprints_of_two_bits_share_a_key(spark):
@@ -145,6 +147,56 @@ def test_license_base_equals_brute_force(spark):
     assert licenses.digest(odd(spark)).count() == len(ODD) and licenses.digest(odd(spark).limit(0)).count() == 0
 
 
+def exact_labels(text):
+    """Labels, and the largest cover, of notices on any band of diagonals, one by one."""
+    w, out, score = words(text), set(), 0.0
+    for phrase, label, exact in [(*x, True) for x in licenses.BASE] + [(*x, False) for x in licenses.NOTICES]:
+        p = phrase.split()
+        k = min(licenses.K, len(p))
+        at = {}
+        for i in range(len(p) - k + 1):
+            at.setdefault(tuple(p[i:i + k]), []).append(i)
+        places = {}
+        for i in range(len(w) - k + 1):
+            for j in at.get(tuple(w[i:i + k]), ()):
+                places.setdefault(i - j, set()).add(j)
+        for d in places:
+            near = set().union(*(places.get(e, set()) for e in range(d - licenses.BAND, d + licenses.BAND + 1)))
+            cover = len({x for j in near for x in range(j, j + k)}) / len(p)
+            score = max(score, cover)
+            if exact and len(places[d]) == len(p) - k + 1 or not exact and cover >= licenses.COVER:
+                out.add(label)
+    return ",".join(sorted(out)), score
+
+
+def test_license_labels_equal_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(r.doc_id, r.text) for r in read(spark, SF, "documents").select("doc_id", "text").collect()]
+    for n, (notice, _) in enumerate(licenses.NOTICES):
+        for m, edits in enumerate((0, 1, 3, 8, 20)):
+            w = notice.split()
+            for _ in range(min(edits, len(w) - 2)):
+                i = rng.randrange(max(1, len(w)))
+                w[i:i + rng.choice((0, 1, 2))] = rng.choice(([], ["new"], ["two", "more"]))
+            rows.append((9000 + 10 * n + m, " ".join([*words(rows[n][1]), *w, "and the rest."])))
+    rows.append((8000, "the software is provided as is " * 2000))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, text in rows:
+        assert got[i] == exact_labels(text)
+    assert {x for labels, _ in got.values() for x in labels.split(",")} >= {label for _, label in licenses.NOTICES}
+
+
+def test_license_spans_are_bounded(spark):
+    texts = ["x y " * 30 + notice + " z" for notice, _ in licenses.NOTICES] + ["permission is hereby granted free of charge " * 50]
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        size = max(len(notice.split()) for notice, _ in licenses.NOTICES)
+        assert all(s.last - s.first + 1 <= size + 2 * licenses.BAND and s.first >= -licenses.BAND for s in r.spans)
+        if r.doc_id < len(licenses.NOTICES):
+            notice, label = licenses.NOTICES[r.doc_id]
+            assert (label, 60, 59 + len(notice.split()), 1.0) in [tuple(s) for s in r.spans]
+
+
 def test_license_spans_hold_the_notice(spark):
     d = spark.createDataFrame([(1, "a b c. Released under the MIT License. d e")], "doc_id long, text string")
     spans = licenses.scan(d).first().spans
