@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from visret.operators import candidates, curate
+from visret.operators import candidates, curate, evaluate
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,9 +21,23 @@ def test_candidates_are_limited_before_the_shuffle(spark):
     assert text.count("WindowGroupLimit") == 2 and text.count("Exchange") == 1 and "ReadSchema: struct<vec_id:bigint,embedding" in text
 
 
-def test_rankings_beyond_a_thousand_are_limited_too(spark):
+def windows(text):
+    return [line for line in text.splitlines() if " Window " in line or "Window [" in line]
+
+
+def test_no_facet_is_ranked_or_halved_in_one_task(spark):
     s = images(spark).selectExpr("image_id", "cast(image_id as long) % 3 as facet_no", "cast(embedding[0] as double) as score")
-    assert "Partial" in plan(curate.rankings(s, 1500))
+    text = plan(curate.rankings(s))
+    assert all("part" in line for line in windows(text)) and windows(text)
+    report = plan(curate.report(s, s.select("facet_no").distinct()))
+    summary = plan(evaluate.time_summary(s, ["facet_no"], "score"))
+    assert not any(f in text for text in (report, summary) for f in ("median(", "percentile("))
+
+
+def test_scores_of_hot_groups_are_standardised_without_a_window(spark):
+    from visret import queries
+
+    assert not windows(plan(queries.standardize_scores(spark, SF)))
 
 
 def test_scans_read_only_what_is_needed(spark):

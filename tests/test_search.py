@@ -55,15 +55,70 @@ def test_top_k_equals_brute_force(spark, parts):
         candidates.top_k(images, queries, 0)
 
 
-def test_approximate_recall(spark):
+def clustered(rng, groups, each, width, noise):
+    base = rng.normal(size=(groups, width))
+    return np.concatenate([base + noise * rng.normal(size=base.shape) for _ in range(each)])
+
+
+def test_approximate_search_looks_at_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "CELL", 40)
     rng = np.random.default_rng(1)
-    base = rng.normal(size=(30, 16))
-    x = np.concatenate([base + 0.1 * rng.normal(size=base.shape) for _ in range(5)])
-    images = spark.createDataFrame([(f"{i:03}", v.tolist()) for i, v in enumerate(x)], "image_id string, embedding array<double>")
-    queries = spark.createDataFrame([(i, base[i].tolist()) for i in range(30)], "query_id int, vec array<double>")
+    x = clustered(rng, 60, 50, 24, 0.2)
+    x = np.concatenate([x, x[:1] + 0.01 * rng.normal(size=(1500, 24))])  # a hot cell
+    images = spark.createDataFrame([(f"{i:04}", v.tolist()) for i, v in enumerate(x)] + [("null", None), ("short", [1.0])], "image_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 3000, 30)], "query_id int, vec array<double>")
     exact = {(r.query_id, r.image_id) for r in candidates.top_k(images, queries, 5).collect()}
-    found = {(r.query_id, r.image_id) for r in candidates.approximate(images, queries, 5).collect()}
-    assert len(exact & found) >= 0.9 * len(exact)
+    for block in (candidates.BLOCK, 200):
+        monkeypatch.setattr(candidates, "BLOCK", block)
+        rows = candidates.approximate(images, queries, 5).collect()
+        found = {(r.query_id, r.image_id) for r in rows}
+        assert len(rows) == len(found) and len(exact & found) >= 0.9 * len(exact)
+    placed, asked, probes = candidates.probing(images.where("image_id < '3000'"), queries, 5)
+    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
+    scored = sum(sizes.get(c, 0) for r in asked.collect() for c in r.cells[:probes])
+    assert scored < 0.1 * 3000 * 100
+    assert candidates.approximate(images.limit(0), queries, 5).count() == candidates.approximate(images, queries.limit(0), 5).count() == 0
+
+
+def test_approximate_search_looks_further_where_nothing_is_clustered(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(2000, 32))
+    images = spark.createDataFrame([(f"{i:04}", v.tolist()) for i, v in enumerate(x)], "image_id string, embedding array<double>")
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 2000, 20)], "query_id int, vec array<double>")
+    exact = {(r.query_id, r.image_id) for r in candidates.top_k(images, queries, 5).collect()}
+    assert len(exact & {(r.query_id, r.image_id) for r in candidates.approximate(images, queries, 5).collect()}) >= 0.9 * len(exact)
+
+
+@pytest.mark.parametrize("rows", [candidates.AT_ONCE, 50])
+def test_region_max_equals_brute_force(spark, monkeypatch, rows):
+    """Ids that hold any character, an image of very many regions, regions in several tasks."""
+    monkeypatch.setattr(candidates, "AT_ONCE", rows)
+    rng = np.random.default_rng(3)
+    names = ["a#1", "a#2", "a", "#", "", *map(str, range(20))] + ["many"] * 300
+    x = rng.normal(size=(len(names) * 3, 6))
+    regions = [(names[i % len(names)], i, x[i].tolist()) for i in range(len(x))]
+    queries = [(i, rng.normal(size=6)) for i in range(4)]
+    got = candidates.region_max(spark.createDataFrame(regions, "image_id string, region_no int, embedding array<double>").repartition(5),
+                                spark.createDataFrame([(i, q.tolist()) for i, q in queries], "query_id int, vec array<double>"), 7).collect()
+    for i, q in queries:
+        best = {}
+        for name, _, v in regions:
+            best[name] = max(best.get(name, -2), round(float(np.dot(q, v) / np.linalg.norm(q) / np.linalg.norm(v)), 12))
+        want = sorted(best, key=lambda n: (-best[n], n))[:7]
+        assert [r.image_id for r in sorted(got, key=lambda r: r.cand_rank) if r.query_id == i] == want
+
+
+def test_numbers_and_medians_of_a_hot_group(spark):
+    from visret.operators import ordering
+
+    rng = np.random.default_rng(4)
+    rows = [(int(k), float(v), str(i)) for i, (k, v) in enumerate(zip(rng.choice([1, 1, 1, 1, 2, 3], 999), rng.integers(0, 50, 999), strict=True))]
+    d = spark.createDataFrame([*rows, (4, None, "x"), (5, 2.5, "y")], "k int, v double, id string").repartition(6)
+    got = {r.id: r.n for r in ordering.numbered(d.where("v is not null"), ["k"], [F.desc("v"), F.asc("id")], "n").collect()}
+    for k in (1, 2, 3):
+        assert [got[i] for _, i in sorted((-v, i) for kk, v, i in rows if kk == k)] == list(range(1, sum(kk == k for kk, *_ in rows) + 1))
+    middle = {r.k: r.m for r in ordering.medians(d, ["k"], "v", "m").collect()}
+    assert middle == {**{k: float(np.median([v for kk, v, _ in rows if kk == k])) for k in (1, 2, 3)}, 5: 2.5}
 
 
 def test_quota_allocation(spark):
@@ -74,7 +129,7 @@ def test_quota_allocation(spark):
     assert [(p.image_id, p.rank) for p in picks] == [("0", 1), ("2", 2), ("1", 2), ("3", 4)]
     with pytest.raises(ValueError, match="needed"):
         curate.allocated(s.where("image_id < '3'"), facets)
-    assert sum(f[2] for f in curate.COVERAGE) == 1000
+    assert sum(f[3] for f in curate.COVERAGE) == 1000
 
 
 def test_metrics_without_relevant_images(spark):
@@ -108,3 +163,16 @@ def test_backfill_encodes_what_is_missing(spark):
 
     got = {r.path: r.embedding for r in encode.backfilled(catalog, cached, "m", coded).collect()}
     assert got == {"a": [1.0], "b": [2.0]} and asked == ["b"]
+
+
+def test_settings_of_the_session_stay_as_they_are(spark):
+    before = spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")
+    s = spark.createDataFrame([(str(i), i % 2, float(i)) for i in range(30)], "image_id string, facet_no int, score double")
+    assert curate.rankings(s, 1500).count() == 30 and curate.rankings(s, 3).count() == 6
+    assert spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold") == before
+
+
+def test_comparison_of_strategies(spark):
+    run = lambda ids: spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(ids)], "query_id int, rank int, image_id string")
+    r = evaluate.comparison(run("cab"), run("abcd"), 2).first()
+    assert (r.image_id, r.baseline_rank, r.structured_top, r.baseline_top) == ("c", 3, ["c", "a"], ["a", "b"])

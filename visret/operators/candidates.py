@@ -5,17 +5,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from visret.functions.vectors import dot, l2_normalized
+from visret.operators.ordering import BEST, kept
+from visret.sources.lineage import cut
 
-#: Bytes of query vectors that are broadcast at a time; more queries take more passes.
-BLOCK_BYTES = 64 << 20
+#: Bytes of query vectors that are broadcast at a time, and rows of best images that a task keeps
+#: for them; more queries take more passes.
+BLOCK_BYTES, BEST_ROWS = 64 << 20, 1 << 21
+#: Cosines that a task has at a time.
+AT_ONCE = 1 << 21
+#: The approximate search: bytes of the sample that cells are fitted on, images of a cell aimed at and
+#: of a block at most, queries that the number of probed cells is measured on, and the share of
+#: their true best images that must lie in those cells.
+SAMPLE_BYTES, CELL, BLOCK, MEASURED, RECALL = 16 << 20, 256, 8192, 64, 0.95
 
 
 def fitting(column: pa.Array, width: int) -> np.ndarray:
@@ -40,12 +45,12 @@ def cosines(q: np.ndarray, rows) -> np.ndarray:
     return np.round(q @ unit_rows(rows).T, 12)
 
 
-def query_blocks(queries: DataFrame, key: str, block_bytes: int) -> Iterator[tuple[list, np.ndarray]]:
-    """Keys and unit vectors of ``queries(key, vec)`` in blocks of a checked size; only one of
-    them is on the driver at a time."""
+def query_blocks(queries: DataFrame, key: str, block_bytes: int, most: int = 1 << 62) -> Iterator[tuple[list, np.ndarray]]:
+    """Keys and unit vectors of ``queries(key, vec)`` in blocks of a checked size, ``most`` rows at
+    most; only one of them is on the driver at a time."""
     keys, rows, size = [], [], 0
     for r in queries.select(key, "vec").toLocalIterator():
-        if rows and (size + 8 * len(r[1]) > block_bytes or len(r[1]) != len(rows[0])):
+        if rows and (size + 8 * len(r[1]) > block_bytes or len(r[1]) != len(rows[0]) or len(rows) >= most):
             yield keys, unit_rows(rows)
             keys, rows, size = [], [], 0
         keys.append(r[0])
@@ -55,84 +60,171 @@ def query_blocks(queries: DataFrame, key: str, block_bytes: int) -> Iterator[tup
         yield keys, unit_rows(rows)
 
 
-def local_best(shared, k: int, kind: pa.Schema):
+def scored_best(best: pa.Table | None, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int, one_each: bool) -> pa.Table:
+    """``best`` (key: place of the query, score, id) with those of the given images that belong to
+    it. With ``one_each`` an id counts by its best row."""
+    step = max(1, AT_ONCE // len(q))
+    for i in range(0, len(ids), step):
+        own, score = ids[i:i + step], cosines(q, rows[i:i + step])
+        if one_each:
+            own, of = np.unique(own, return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            score = np.maximum.reduceat(score[:, order], np.searchsorted(of[order], np.arange(len(own))), axis=1)
+        floor = np.full(len(q), -np.inf)
+        if best is not None:  # sorted by query and score: the last of k rows is the least
+            have = np.bincount(best["key"].to_numpy(), minlength=len(q))
+            full = have == k
+            floor[full] = best["score"].to_numpy()[np.cumsum(have)[full] - 1]
+        if score.shape[1] > k:
+            floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+        a, b = np.nonzero(score >= floor[:, None])
+        new = pa.table({"key": pa.array(a, pa.int64()), "score": score[a, b], "id": pa.array(own[b].tolist(), pa.string())}, schema=BEST)
+        best = kept(new if best is None else pa.concat_tables([best, new]), k, one_each)
+    return best
+
+
+def local_best(shared, k: int, kind: pa.DataType, one_each: bool = False):
     """For mapInArrow over (id, embedding): each task's ``k`` best ids of every query of the block,
     ties by id, so that no more than tasks x queries x k rows are shuffled."""
     def best(batches):
-        keys, q = shared.value
-        held: list[list[tuple[float, str]]] = [[] for _ in keys]
+        (keys, q), held = shared.value, None
         for batch in batches:
             fits = fitting(batch.column(1), q.shape[1])
-            if not fits.any():
-                continue
-            score = cosines(q, matrix(batch.column(1).filter(pa.array(fits))))
-            ids = np.array(batch.column(0).to_pylist(), object)[fits]
-            for i, line in enumerate(score):
-                floor = held[i][-1][0] if len(held[i]) == k else -np.inf
-                if len(line) > k:
-                    floor = max(floor, -np.partition(-line, k - 1)[k - 1])
-                at = np.flatnonzero(line >= floor)
-                if len(at):
-                    held[i] = sorted(held[i] + list(zip(line[at].tolist(), ids[at].tolist(), strict=True)), key=lambda x: (-x[0], x[1]))[:k]
-        rows = [(key, image, s) for key, own in zip(keys, held, strict=True) for s, image in own]
-        for i in range(0, len(rows), 10_000):
-            yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "image_id", "cosine"), r, strict=True)) for r in rows[i:i + 10_000]], schema=kind)
+            if fits.any():
+                ids = np.array(batch.column(0).to_pylist(), object)[fits]
+                held = scored_best(held, q, ids, matrix(batch.column(1).filter(pa.array(fits))), k, one_each)
+        if held is not None:
+            names = pa.array(keys, kind).take(pa.array(held["key"].to_numpy()))
+            yield from pa.table({"query_id": names, "image_id": held["id"], "cosine": held["score"]}).to_batches(10_000)
 
     return best
 
 
-def top_k(images: DataFrame, queries: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, image_id, cosine, cand_rank): of ``queries(query_id, vec)`` the ``k`` nearest of
-    ``images(image_id, embedding)``, ties by image_id; fewer where there are fewer images.
-
-    Zero vectors have cosine 0 with everything, null vectors and those of another length are no
-    candidates; ``k`` under 1 is an error.
-    """
+def found_by(images: DataFrame, queries: DataFrame, k: int, block_bytes: int, one_each: bool) -> DataFrame:
+    """(query_id, image_id, cosine): the best of every task."""
     if k < 1:
         raise ValueError("k must be positive")
-    spark, parts = images.sparkSession, []
+    spark, out = images.sparkSession, None
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("image_id", T.StringType()), T.StructField("cosine", T.DoubleType())])
-    for block in query_blocks(queries, "query_id", block_bytes):
+    for block in query_blocks(queries, "query_id", block_bytes, max(1, BEST_ROWS // k)):
         shared = spark.sparkContext.broadcast(block)
-        parts.append(images.select(F.col("image_id").cast("string"), "embedding").mapInArrow(local_best(shared, k, to_arrow_schema(schema)), schema))
-    if not parts:
-        return spark.createDataFrame([], T.StructType([*schema, T.StructField("cand_rank", T.IntegerType())]))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    if k > 1000:  # beyond it Spark would not limit the ranking before the exchange
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(k))
+        kind = T.StructType([schema["query_id"]])
+        part = images.select(F.col("image_id").cast("string"), "embedding").mapInArrow(local_best(shared, k, arrow_type(kind), one_each), schema)
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema) if out is None else out
+
+
+def arrow_type(kind: T.StructType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(kind).field(0).type
+
+
+def cut_at(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "image_id")
     return found.withColumn("cand_rank", F.row_number().over(w)).where(F.col("cand_rank") <= k)
 
 
-def approximate(images: DataFrame, queries: DataFrame, k: int, *, width: float = 2.0, tables: int = 8, seed: int = 7) -> DataFrame:
-    """As ``top_k``, among the images that share a random-projection bucket with the query in any
-    of ``tables`` tables (Euclidean order of unit vectors is cosine order), rescored exactly."""
-    def prepared(d, key, vector):
-        return d.select(F.col(key), l2_normalized(F.col(vector)).alias("v")).withColumn("features", array_to_vector("v"))
+def top_k(images: DataFrame, queries: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(query_id, image_id, cosine, cand_rank): of ``queries(query_id, vec)`` the ``k`` nearest of
+    ``images(image_id, embedding)``, ties by image_id; fewer where there are fewer images.
 
-    a, q = prepared(images, "image_id", "embedding"), prepared(queries, "query_id", "vec")
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=width, numHashTables=tables, seed=seed).fit(a.limit(1))
-    bucketed = lambda d, key: (model.transform(d).select(key, F.posexplode("hashes").alias("t", "h"))
-                               .select(key, "t", F.col("h").cast("string").alias("h")))
-    pairs = bucketed(a, "image_id").join(bucketed(q, "query_id"), ["t", "h"]).select("query_id", "image_id").distinct()
-    scored = (pairs.join(a.select("image_id", F.col("v").alias("x")), "image_id").join(q.select("query_id", F.col("v").alias("y")), "query_id")
-              .select("query_id", "image_id", dot(F.col("x"), F.col("y")).alias("cosine")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "image_id")
-    return scored.withColumn("cand_rank", F.row_number().over(w)).where(F.col("cand_rank") <= k)
+    Zero vectors have cosine 0 with everything, null vectors and those of another length are no
+    candidates; ``k`` under 1 is an error.
+    """
+    return cut_at(found_by(images, queries, k, block_bytes, False), k)
 
 
 def region_max(regions: DataFrame, queries: DataFrame, k: int, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, image_id, cosine, cand_rank): images by their best region of
-    ``regions(image_id, region_no, embedding)``. An image has at most as many regions as the
-    largest, so its best is among the k x that many best regions."""
-    most = regions.groupBy("image_id").count().agg(F.max("count")).first()[0] or 1
-    flat = regions.select(F.concat_ws("#", "image_id", F.lpad(F.col("region_no").cast("string"), 6, "0")).alias("image_id"), "embedding")
-    best = (top_k(flat, queries, k * most, block_bytes=block_bytes)
-            .groupBy("query_id", F.substring_index("image_id", "#", 1).alias("image_id")).agg(F.max("cosine").alias("cosine")))
-    w = Window.partitionBy("query_id").orderBy(F.desc("cosine"), "image_id")
-    return best.withColumn("cand_rank", F.row_number().over(w)).where(F.col("cand_rank") <= k)
+    ``regions(image_id, region_no, embedding)``. A task keeps the k best images by their best region
+    there, so an image may have any number of regions, in any number of tasks."""
+    best = found_by(regions, queries, k, block_bytes, True)
+    return cut_at(best.groupBy("query_id", "image_id").agg(F.max("cosine").alias("cosine")), k)
+
+
+def cell_centres(images: DataFrame) -> np.ndarray | None:
+    """Unit centres of cells of about CELL images, by k-means on a bounded sample of the most
+    frequent length of vectors."""
+    n, width = images.where("embedding is not null").agg(F.count("*"), F.mode(F.size("embedding"))).first()
+    if not n:
+        return None
+    most = max(256, SAMPLE_BYTES // (8 * max(1, width)))
+    draw = F.pmod(F.xxhash64("image_id"), F.lit(1 << 30))
+    some = images.where((F.size("embedding") == width) & (draw < min(1.0, 1.5 * most / n) * (1 << 30)))
+    rows = some.orderBy(draw, "image_id").limit(most).select("embedding").toPandas()["embedding"]
+    x, rng = unit_rows(np.stack(rows)), np.random.default_rng(3)
+    c = x[rng.permutation(len(x))[:int(max(1, min(n // CELL, len(x) // 8)))]]
+    for _ in range(6):
+        total = np.zeros_like(c)
+        np.add.at(total, (x @ c.T).argmax(1), x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), c)
+    return c
+
+
+def nearest_cells(shared, probes: int):
+    """A column function: vector -> its ``probes`` nearest cells, nearest first; none for another
+    length than the cells'."""
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def nearest(vectors: pa.Array) -> pa.Array:
+        c = shared.value
+        fits = fitting(vectors, c.shape[1])
+        out = [[]] * len(vectors)
+        if fits.any():
+            near = np.argsort(-(unit_rows(matrix(vectors.filter(pa.array(fits)))) @ c.T), axis=1, kind="stable")[:, :probes]
+            for i, cells in zip(np.flatnonzero(fits), near, strict=True):
+                out[i] = cells
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return nearest
+
+
+def probing(images: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """Images with their ``cell``, queries with all ``cells`` nearest first, and how many of these it
+    takes for RECALL of the true ``k`` best of MEASURED queries."""
+    c = cell_centres(images)
+    shared = images.sparkSession.sparkContext.broadcast(np.zeros((1, 1)) if c is None else c)
+    placed = cut(images.select(F.col("image_id").cast("string").alias("image_id"), "embedding")
+                 .withColumn("cell", F.try_element_at(nearest_cells(shared, 1)("embedding"), F.lit(1))).where("cell is not null"))
+    asked = queries.select("query_id", "vec").withColumn("cells", nearest_cells(shared, len(shared.value))("vec"))
+    few = cut(asked.orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED))
+    true = top_k(placed, few, k).select("query_id", "image_id").join(placed.select("image_id", "cell"), "image_id")
+    place = true.join(few, "query_id").select(F.array_position("cells", F.col("cell")).alias("p"))
+    needed = [r["p"] for r in place.collect()]  # MEASURED x k numbers at most
+    return placed, asked, int(np.quantile(needed, RECALL, method="higher")) if needed else 1
+
+
+def approximate(images: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As ``top_k``, among the images in the cells nearest to the query, rescored exactly.
+
+    The number of cells grows with the table; how many of them a query looks into is measured, see
+    ``probing``: a few where images are clustered, most where they are not. Cells and their queries
+    are cut into blocks, so a hot cell is spread over tasks."""
+    if k < 1:
+        raise ValueError("k must be positive")
+    placed, asked, probes = probing(images, queries, k)
+    asked = cut(asked.withColumn("cell", F.explode(F.slice("cells", 1, probes))).drop("cells"))
+    blocks = lambda d, name: d.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = F.broadcast(blocks(placed, "ib").join(blocks(asked, "qb"), "cell"))  # a row a cell, which the sample bounds
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda key, c: F.pmod(F.hash(key), F.col(c))
+    left = placed.join(sizes, "cell").withColumn("i", own("image_id", "ib")).withColumn("q", every("qb"))
+    right = asked.join(sizes, "cell").withColumn("q", own("query_id", "qb")).withColumn("i", every("ib"))
+    schema = T.StructType([queries.schema["query_id"], T.StructField("image_id", T.StringType()), T.StructField("cosine", T.DoubleType())])
+    kind = arrow_type(T.StructType([queries.schema["query_id"]]))
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        held = None
+        if len(a) and len(b):
+            held = scored_best(None, unit_rows(matrix(b["vec"])), np.array(a["image_id"].to_pylist(), object), matrix(a["embedding"]), k, False)
+        if held is None:
+            return pa.table({"query_id": pa.array([], kind), "image_id": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
+        return pa.table({"query_id": b["query_id"].combine_chunks().take(pa.array(held["key"].to_numpy())), "image_id": held["id"], "cosine": held["score"]})
+
+    keys = ["cell", "i", "q"]
+    found = left.select(*keys, "image_id", "embedding").groupBy(*keys).cogroup(right.select(*keys, "query_id", "vec").groupBy(*keys)).applyInArrow(score, schema)
+    return cut_at(found, k)
 
 
 def facet_scores(images: DataFrame, facets: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -143,14 +235,17 @@ def facet_scores(images: DataFrame, facets: DataFrame, *, block_bytes: int = BLO
 
         def score(batches, shared=shared):
             keys, q = shared.value
+            step = max(1, AT_ONCE // len(q))
             for batch in batches:
                 fits = fitting(batch.column(1), q.shape[1])
                 if fits.any():
-                    s = cosines(q, matrix(batch.column(1).filter(pa.array(fits)))).T
-                    ids = np.repeat(np.array(batch.column(0).to_pylist(), object)[fits], len(keys))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(ids.tolist(), pa.string()), pa.array(list(keys) * len(s), pa.int64()), pa.array(s.ravel())],
-                        ["image_id", "facet_no", "score"])
+                    names, rows = batch.column(0).filter(pa.array(fits)), matrix(batch.column(1).filter(pa.array(fits)))
+                    for i in range(0, len(rows), step):
+                        s = cosines(q, rows[i:i + step]).T
+                        of = np.repeat(np.arange(i, i + len(s)), len(keys))
+                        yield pa.RecordBatch.from_arrays(
+                            [names.take(pa.array(of)).cast(pa.string()), pa.array(np.tile(np.array(keys, np.int64), len(s))), pa.array(s.ravel())],
+                            ["image_id", "facet_no", "score"])
 
         parts.append(images.select(F.col("image_id").cast("string"), "embedding").mapInArrow(score, "image_id string, facet_no long, score double"))
     out = parts[0] if parts else spark.createDataFrame([], "image_id string, facet_no long, score double")

@@ -54,6 +54,15 @@ def selected(judged: DataFrame) -> DataFrame:
     return judged.where("problem is null").groupBy("path").agg(F.min("line_no").alias("line_no")).select("line_no", "path").orderBy("line_no")
 
 
+def strictly_selected(judged: DataFrame) -> DataFrame:
+    """``selected``, or an error that names the first line with a problem, or the lack of lines."""
+    if bad := judged.where("problem is not null").orderBy("line_no").limit(1).collect():
+        raise ValueError(f"line {bad[0]['line_no']}, {bad[0]['value']!r}: {bad[0]['problem']}")
+    if judged.isEmpty():
+        raise ValueError("the selection names no image")
+    return selected(judged)
+
+
 def orientation(width: Column, height: Column) -> Column:
     return F.when(height > width, "portrait").when(width > height, "landscape").otherwise("square")
 

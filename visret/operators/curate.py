@@ -4,42 +4,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Axis, name, quota and prompts of the default facets.
+from visret.operators.ordering import best_rows, medians, numbered
+
+# Axis, name, prompts and quota of the default facets.
 COVERAGE = (
-    ("environment", "modern office", 80, ("professional fashion photo inside a modern office", "person in an office interior", "corporate workplace fashion")),
-    ("environment", "urban street", 80, ("street-style fashion on an urban sidewalk", "person walking on a city street", "downtown fashion photo")),
-    ("environment", "park", 80, ("fashion photo in a green park", "person near a park bench", "outfit photographed in a garden")),
-    ("environment", "home", 80, ("casual fashion photo inside a home", "person in a living room", "outfit photographed in a home interior")),
-    ("clothing", "formal", 80, ("formal business attire with blazer or suit", "professional button-down outfit", "elegant formal clothing")),
-    ("clothing", "casual", 80, ("casual weekend outfit with t-shirt or hoodie", "relaxed everyday clothing", "casual streetwear")),
-    ("clothing", "outerwear", 80, ("person wearing outerwear", "fashion photo of a coat or raincoat", "layered jacket outfit")),
-    ("color", "black", 40, ("person wearing black clothing", "black fashion outfit")),
-    ("color", "white", 40, ("person wearing white clothing", "white fashion outfit")),
-    ("color", "red", 40, ("person wearing red clothing", "red fashion outfit")),
-    ("color", "blue", 40, ("person wearing blue clothing", "blue fashion outfit")),
-    ("color", "yellow", 40, ("person wearing yellow clothing", "bright yellow fashion outfit")),
-    ("color", "green", 40, ("person wearing green clothing", "green fashion outfit")),
-    ("color", "orange", 40, ("person wearing orange clothing", "orange fashion outfit")),
-    ("color", "purple", 40, ("person wearing purple clothing", "purple fashion outfit")),
-    ("color", "pink", 40, ("person wearing pink clothing", "pink fashion outfit")),
-    ("color", "brown", 40, ("person wearing brown clothing", "brown fashion outfit")),
-    ("color", "beige", 40, ("person wearing beige clothing", "beige or cream fashion outfit")),
+    ("environment", "modern office", ("professional fashion photo inside a modern office", "person in an office interior", "corporate workplace fashion"), 80),
+    ("environment", "urban street", ("street-style fashion on an urban sidewalk", "person walking on a city street", "downtown fashion photo"), 80),
+    ("environment", "park", ("fashion photo in a green park", "person near a park bench", "outfit photographed in a garden"), 80),
+    ("environment", "home", ("casual fashion photo inside a home", "person in a living room", "outfit photographed in a home interior"), 80),
+    ("clothing", "formal", ("formal business attire with blazer or suit", "professional button-down outfit", "elegant formal clothing"), 80),
+    ("clothing", "casual", ("casual weekend outfit with t-shirt or hoodie", "relaxed everyday clothing", "casual streetwear"), 80),
+    ("clothing", "outerwear", ("person wearing outerwear", "fashion photo of a coat or raincoat", "layered jacket outfit"), 80),
+    ("color", "black", ("person wearing black clothing", "black fashion outfit"), 40),
+    ("color", "white", ("person wearing white clothing", "white fashion outfit"), 40),
+    ("color", "red", ("person wearing red clothing", "red fashion outfit"), 40),
+    ("color", "blue", ("person wearing blue clothing", "blue fashion outfit"), 40),
+    ("color", "yellow", ("person wearing yellow clothing", "bright yellow fashion outfit"), 40),
+    ("color", "green", ("person wearing green clothing", "green fashion outfit"), 40),
+    ("color", "orange", ("person wearing orange clothing", "orange fashion outfit"), 40),
+    ("color", "purple", ("person wearing purple clothing", "purple fashion outfit"), 40),
+    ("color", "pink", ("person wearing pink clothing", "pink fashion outfit"), 40),
+    ("color", "brown", ("person wearing brown clothing", "brown fashion outfit"), 40),
+    ("color", "beige", ("person wearing beige clothing", "beige or cream fashion outfit"), 40),
 )
 
 
 def default_facets(spark) -> DataFrame:
-    """(facet_no, axis, name, quota, prompts)."""
-    return spark.createDataFrame([(i, *f[:3], list(f[3])) for i, f in enumerate(COVERAGE)], "facet_no long, axis string, name string, quota int, prompts array<string>")
+    """(facet_no, axis, name, prompts, quota)."""
+    return spark.createDataFrame([(i, axis, name, list(prompts), quota) for i, (axis, name, prompts, quota) in enumerate(COVERAGE)], "facet_no long, axis string, name string, prompts array<string>, quota int")
 
 
 def rankings(scores: DataFrame, most: int | None = None) -> DataFrame:
     """``scores(image_id, facet_no, score)`` with ``rank`` within the facet, ties by image_id; with
-    ``most`` only that many of each facet, cut before the shuffle."""
-    if most is not None and most > 1000:
-        scores.sparkSession.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(most))
+    ``most`` only that many of each facet, cut in every task before the shuffle. All ranks are made
+    by ranges, so that a facet's images are never in one task."""
+    if most is None:
+        return numbered(scores, ["facet_no"], [F.desc("score"), F.asc("image_id")], "rank")
     w = Window.partitionBy("facet_no").orderBy(F.desc("score"), "image_id")
-    out = scores.withColumn("rank", F.row_number().over(w))
-    return out if most is None else out.where(F.col("rank") <= most)
+    short = best_rows(scores, "facet_no", "score", "image_id", most).select("image_id", "facet_no", "score")
+    return short.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
 def allocated(scores: DataFrame, facets: DataFrame) -> DataFrame:
@@ -80,11 +83,10 @@ def counts(picks: DataFrame, facets: DataFrame) -> DataFrame:
     return picks.join(facets.select("facet_no", "axis", "name"), "facet_no").groupBy("axis", F.col("name").alias("label")).agg(F.count("*").alias("n"))
 
 
-def report(scores: DataFrame, facets: DataFrame, top: int = 8, exact: bool = True) -> DataFrame:
-    """A row per facet: its fields, largest and median score (approximate for very many images if
-    not ``exact``) and the ``top`` best images."""
-    median = F.median("score") if exact else F.percentile_approx("score", 0.5, 10_000)
-    whole = scores.groupBy("facet_no").agg(F.round(F.max("score"), 6).alias("maximum"), F.round(median, 6).alias("median"))
+def report(scores: DataFrame, facets: DataFrame, top: int = 8) -> DataFrame:
+    """A row per facet: its fields, largest and median score and the ``top`` best images."""
+    whole = scores.groupBy("facet_no").agg(F.round(F.max("score"), 6).alias("maximum"))
+    middle = medians(scores, ["facet_no"], "score", "median").withColumn("median", F.round("median", 6))
     best = (rankings(scores, top).groupBy("facet_no")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "image_id", F.round("score", 6).alias("score")))).alias("best")))
-    return facets.join(whole, "facet_no").join(best, "facet_no")
+    return facets.join(whole, "facet_no").join(middle, "facet_no").join(best, "facet_no")

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from visret.operators.ordering import medians
+
 
 def empty_judgments(judgments: DataFrame) -> DataFrame:
     """Rows of ``judgments(query, relevant_image_ids)`` that name no relevant image."""
@@ -41,8 +43,21 @@ def movement(structured: DataFrame, baseline: DataFrame) -> DataFrame:
         baseline.select("query_id", "image_id", F.col("rank").alias("baseline_rank")), ["query_id", "image_id"], "left")
 
 
+def comparison(structured: DataFrame, baseline: DataFrame, depth: int = 10) -> DataFrame:
+    """(query_id, image_id, baseline_rank, structured_top, baseline_top): ``movement`` and beside it
+    the ids of the first ``depth`` of both, in order."""
+    def top(run, name):
+        first = run.where(F.col("rank") <= depth).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "image_id"))).alias("t"))
+        return first.select("query_id", F.transform("t", lambda s: s["image_id"]).alias(name))
+
+    return movement(structured, baseline).join(top(structured, "structured_top"), "query_id").join(top(baseline, "baseline_top"), "query_id", "left")
+
+
 def time_summary(runs: DataFrame, keys: list[str], seconds: str) -> DataFrame:
-    return runs.groupBy(*keys).agg(*[F.round(f(seconds), 6).alias(f"{n}_seconds") for n, f in (("mean", F.avg), ("median", F.median), ("max", F.max))])
+    """Mean, exact median and largest of ``seconds`` by ``keys``."""
+    whole = runs.groupBy(*keys).agg(F.round(F.avg(seconds), 6).alias("mean_seconds"), F.round(F.max(seconds), 6).alias("max_seconds"))
+    middle = medians(runs, keys, seconds, "median_seconds").withColumn("median_seconds", F.round("median_seconds", 6))
+    return whole.join(middle, keys, "left").select(*keys, "mean_seconds", "median_seconds", "max_seconds")
 
 
 def pool(runs: list[DataFrame], depth: int) -> DataFrame:

@@ -14,6 +14,7 @@ CROPS = (
     ("right", 0.42, 0.08, None, 0.92),
 )
 ANNOTATED = 12  # boxes of an image that are used at most
+BROADCAST_ROWS = 100_000  # categories (some 100 bytes each) that are broadcast at most
 
 
 def edge(size: Column, share: float | None, otherwise: Column) -> Column:
@@ -43,11 +44,12 @@ def boxes(images: DataFrame, categories: DataFrame, annotations: DataFrame) -> D
     last = lambda d: d.groupBy("id").agg(F.max_by(F.struct(*[c for c in d.columns if c != "id"]), "pos").alias("r")).select("id", "r.*")
     i = last(images).drop("pos").withColumnRenamed("id", "image_id")
     c = last(categories).select(F.col("id").alias("category_id"), F.col("name").alias("category"))
+    few = c.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     b = [F.try_element_at("bbox", F.lit(k)) for k in (1, 2, 3, 4)]
     x, y, w, h = b
     round_ = lambda v: F.rint(v).cast("int")
     return (annotations.where(F.size("bbox") == 4).where((w > 1) & (h > 1))
-            .join(i, "image_id").where("width > 0 and height > 0").join(c, "category_id", "left")
+            .join(i, "image_id").where("width > 0 and height > 0").join(F.broadcast(c) if few else c, "category_id", "left")
             .select("file_name", "ann_no", F.concat(F.lit("annotation:"), F.coalesce("category", F.lit("item"))).alias("name"),
                     F.greatest(F.lit(0), round_(x)).alias("x0"), F.greatest(F.lit(0), round_(y)).alias("y0"),
                     F.least("width", round_(x + w)).alias("x1"), F.least("height", round_(y + h)).alias("y1"))
@@ -59,8 +61,8 @@ def table(images: DataFrame, annotated: DataFrame, most: int = ANNOTATED) -> Dat
     the seven crops and then the first ``most`` valid annotated boxes of the file's name, in their
     order (ties by name and box)."""
     box = ["name", "x0", "y0", "x1", "y1"]
-    w = Window.partitionBy("image_id").orderBy("ann_no", *box)
+    w = Window.partitionBy("file_name").orderBy("ann_no", *box)  # images of one file name have the same boxes
+    first = annotated.where("valid").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
     own = (images.select("image_id", F.element_at(F.split("path", "/"), -1).alias("file_name"))
-           .join(annotated.where("valid"), "file_name").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
-           .select("image_id", (F.col("n") + len(CROPS) - 1).alias("region_no"), *box))
+           .join(first, "file_name").select("image_id", (F.col("n") + len(CROPS) - 1).alias("region_no"), *box))
     return heuristic(images.select("image_id", "width", "height")).select("image_id", "region_no", *box).unionByName(own)

@@ -13,6 +13,8 @@ from visret.operators.candidates import matrix, unit_rows
 PHRASE, GARMENT, MARGIN = 0.55, 0.30, 0.45
 GLOBAL, AND, BINDING, OTHER, NEGATIVE = 0.15, 0.55, 0.20, 0.10, 0.20
 TEMPERATURE, CLIP, FLAT = 0.35, 4.0, 1e-6
+#: Means and deviations of up to so many groups (some 100 bytes each) are broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def standardized(x: Column, *keys: str) -> Column:
@@ -23,6 +25,16 @@ def standardized(x: Column, *keys: str) -> Column:
     return F.when(sd < FLAT, F.lit(0.0)).otherwise(z)
 
 
+def standardized_rows(rows: DataFrame, value: str, keys: list[str], into: str) -> DataFrame:
+    """``rows`` with the z-score of ``value`` as ``standardized`` makes it, for groups of any size:
+    mean and deviation are aggregated and joined back."""
+    stats = rows.groupBy(*keys).agg(F.avg(value).alias("z_mean"), F.stddev_pop(value).alias("z_sd"))
+    few = stats.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    z = F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), (F.col(value) - F.col("z_mean")) / F.col("z_sd")))
+    return (rows.join(F.broadcast(stats) if few else stats, keys)
+            .withColumn(into, F.when(F.col("z_sd") < FLAT, F.lit(0.0)).otherwise(z)).drop("z_mean", "z_sd"))
+
+
 def soft_min(z: Column, temperature: float = TEMPERATURE) -> Column:
     """Aggregate: a low value pulls the whole down. Safe unshifted, as scores are clipped."""
     return -temperature * F.log(F.avg(F.exp(-z / temperature)))

@@ -12,7 +12,8 @@ from visret.functions.lexicon import PROMPTS, Lexicon
 from visret.functions.vectors import audit, l2_normalized, mean_vectors
 from visret.operators import candidates, catalog, curate, encode, evaluate, regions, rerank
 from visret.plans import search as plans
-from visret.sources import store
+from visret.sources import lineage, store
+from visret.streaming.append import append_stream, keyed
 
 K, CANDIDATES, QUOTA = 10, 100, 3
 LEXICON = Lexicon(
@@ -169,7 +170,7 @@ def facet_scores(spark, sf_dir):
 
 @query(f"WITH {SCORES} SELECT image_id, facet_no, rank FROM ranked")
 def facet_rankings(spark, sf_dir):
-    return curate.rankings(scored(spark, sf_dir)).select("image_id", "facet_no", "rank")
+    return curate.rankings(scored(spark, sf_dir)).select("image_id", "facet_no", F.col("rank").cast("long").alias("rank"))
 
 
 def picked(spark, sf_dir):
@@ -198,7 +199,8 @@ EVENT_Z = f"z AS (SELECT event_id, user_id, event_type, {Z.format(x='value', by=
 
 
 def event_z(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", rerank.standardized(F.col("value"), "event_type").alias("z"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    return rerank.standardized_rows(events, "value", ["event_type"], "z")
 
 
 @query(f"WITH {EVENT_Z} SELECT event_id, event_type, round(z, 6) AS z FROM z")
@@ -523,6 +525,14 @@ def rank_movement(spark, sf_dir):
     return evaluate.movement(structured(spark, sf_dir, 1), structured(spark, sf_dir, CANDIDATES, "global"))
 
 
+@query(f"""WITH {STRUCTURED}, tops AS (SELECT query_id, string_agg(image_id, ',' ORDER BY rank) FILTER (rank <= {K}) AS structured_top,
+  string_agg(image_id, ',' ORDER BY cand_rank) FILTER (cand_rank <= {K}) AS baseline_top FROM st GROUP BY query_id)
+SELECT query_id, image_id, cand_rank AS baseline_rank, structured_top, baseline_top FROM st JOIN tops USING (query_id) WHERE rank = 1""")
+def strategy_comparison(spark, sf_dir):
+    rows = evaluate.comparison(structured(spark, sf_dir, K), structured(spark, sf_dir, CANDIDATES, "global"), K)
+    return rows.withColumns({c: F.array_join(c, ",") for c in ("structured_top", "baseline_top")})
+
+
 BY_REGION = f"""regional AS (SELECT q.query_id, r.image_id, max(round(list_inner_product(q.v, r.v), 12)) AS cosine FROM rv q, r WHERE q.role = 'full' GROUP BY ALL),
 reg AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, image_id) AS cand_rank FROM regional QUALIFY cand_rank <= {K})"""
 
@@ -559,3 +569,17 @@ def embedding_backfill(spark, sf_dir):
     cached = coded(images.where("page_id % 3 <> 0").select("path").distinct(), 1.0).withColumn("model_id", F.lit("lookup"))
     done = encode.backfilled(images.select("path").distinct(), cached, "lookup", lambda paths: coded(paths, 0.0))
     return done.select("path", "model_id", F.round(F.element_at("embedding", 1), 6).alias("x"))
+
+
+@query("SELECT min(page_id) AS page_id, sha256(coalesce(html, '')) AS content_key FROM pages GROUP BY coalesce(html, '')")
+def incremental_append(spark, sf_dir):
+    """The pages as a stream into an empty table, in two goes; of pages of one content any one is
+    kept, and named by the smallest id."""
+    folder = lineage.new_folder(spark)
+    pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    for rest in (0, 1):
+        pages.where(F.expr(f"pmod(page_id, 2) = {rest}")).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(pages.schema).parquet(f"{folder}/in")
+        append_stream(stream, "html", f"{folder}/out", f"{folder}/state").awaitTermination()
+    kept = spark.read.parquet(f"{folder}/out").select("content_key")
+    return keyed(pages, "html").join(kept, "content_key").groupBy("content_key").agg(F.min("page_id").alias("page_id"))

@@ -1,5 +1,7 @@
 """Readers of image folders, selection lists, annotation files, query lists and judgments."""
 
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,16 @@ from visret.schemas import ANNOTATIONS, JUDGMENTS, QUERIES
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """(path, length) of the images under ``root``, paths relative to it; contents are not read. A
-    missing root is Spark's error."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    bare = root.split("://", 1)[-1].split(":", 1)[-1].rstrip("/") + "/"
-    inside = F.substring_index("path", bare, -1)
-    return only_images(files.select(inside.alias("path"), "length"))
+    missing root is Spark's error. Spark's list of files, which is on the driver in any case, has
+    the empty ones too, which its scan leaves out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    there = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toUri().getPath().rstrip("/") + "/"
+    names = [(unquote(urlparse(f).path)[len(base):],) for f in files.inputFiles()]
+    sizes = files.select(F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "").alias("path"), "length")
+    sizes = sizes.select(F.substring("path", len(base) + 1, 1 << 30).alias("path"), "length")
+    every = spark.createDataFrame(names, "path string").join(sizes, "path", "left")
+    return only_images(every.select("path", F.coalesce("length", F.lit(0)).alias("length")))
 
 
 def selection_lines(spark: SparkSession, path: str) -> DataFrame:

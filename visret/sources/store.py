@@ -40,7 +40,8 @@ def load(spark: SparkSession, path: str, model_id: str | None = None) -> tuple[D
         raise ValueError(f"the index was made by {m['model_id']!r}, the query vectors by {model_id!r}")
     images, regions = spark.read.parquet(f"{path}/images"), spark.read.parquet(f"{path}/regions")
     got = integrity(images, regions).first()
-    if (got["images"], got["distinct_images"], got["min_dimension"], got["max_dimension"]) != (m["image_count"], m["image_count"], m["dimension"], m["dimension"]):
+    dimensions = {got[f"{m_}_dimension"] for m_ in ("min", "max", "min_region", "max_region")} - {None}
+    if (got["images"], got["distinct_images"], got["max_regions"] or 0, got["orphan_images"]) != (m["image_count"], m["image_count"], m["max_regions"], 0) or dimensions != {m["dimension"]}:
         raise ValueError("vectors and manifest disagree")
     return images, regions, m
 
@@ -50,9 +51,17 @@ def size(spark: SparkSession, path: str) -> int:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("length").agg(F.sum("length")).first()[0] or 0
 
 
-def write_results(results: DataFrame, path: str) -> None:
-    """Nested results, a folder per query."""
-    results.write.mode("overwrite").partitionBy("query_id").json(path)
+def write_results(results: DataFrame, path: str, combined: bool = False) -> None:
+    """Nested results as JSON, a folder per query; or, ``combined``, one file of all of them."""
+    if combined:
+        results.orderBy("query_id").coalesce(1).write.mode("overwrite").json(path)
+    else:
+        results.write.mode("overwrite").partitionBy("query_id").json(path)
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report of a few rows as one JSON file."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_selection(picks: DataFrame, path: str) -> None:

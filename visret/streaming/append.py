@@ -4,13 +4,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def keyed(rows: DataFrame, content: str) -> DataFrame:
     return rows.withColumn("content_key", F.sha2(F.coalesce(F.col(content).cast("string"), F.lit("")), 256))
 
 
 def append_new(spark: SparkSession, batch: DataFrame, content: str, target: str) -> None:
-    """Append the rows of ``batch`` whose content ``target`` doesn't have, one for each content."""
+    """Append the rows of ``batch``, a table that is not a stream, whose content ``target`` doesn't
+    have, one for each content."""
     new = keyed(batch, content).dropDuplicates(["content_key"])
     try:
         have = spark.read.parquet(target).select("content_key")
@@ -24,8 +27,17 @@ def append_new(spark: SparkSession, batch: DataFrame, content: str, target: str)
 
 
 def append_stream(source: DataFrame, content: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Run ``append_new`` for every micro-batch of a streaming ``source`` that is there now. A batch
-    that is repeated after a failure appends nothing twice."""
+    """Append what is there now of a streaming ``source`` to the Parquet table ``target``, one row for
+    each content that the stream has not had before, with its ``content_key``.
+
+    The keys seen so far are the stream's state, by hash over tasks and on their disks, so a batch
+    reads neither the target nor its keys; state and file sink make a batch that is repeated after
+    a failure append nothing twice. ``checkpoint`` must be in a shared folder."""
     spark = source.sparkSession
-    return (source.writeStream.foreachBatch(lambda batch, _: append_new(spark, batch, content, target))
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    try:  # a query keeps the settings that it was started with
+        return (keyed(source, content).dropDuplicates(["content_key"]).writeStream.format("parquet").option("path", target)
+                .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
