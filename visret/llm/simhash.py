@@ -22,6 +22,7 @@ from visret.llm.common import LOWER, components, cut, starts_of, texts
 SEED, SHINGLE, NEAR = 42, 3, 2
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, of the binary Golay code
 SEGMENTS = ((0, 23), (23, 23), (46, 18))
+PARTS = 4096  # a fingerprint with more than one in PARTS of all rows is joined in several parts
 PART = 1 << 16  # shingles of one text that are counted at a time
 
 
@@ -102,12 +103,19 @@ def groups(docs: DataFrame, *, text: str = "text") -> DataFrame:
     belong to components but never name them.
     """
     each = cut(docs.select("doc_id", fingerprint.asNondeterministic()(F.col(text)).alias("fp")))
-    least = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    least = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = least.join(components(links(least.select("fp"))).withColumnRenamed("id", "fp"), "fp")
     best = linked.groupBy("component").agg(F.min("least").alias("best"))
     moved = linked.join(best, "component").select("fp", "best")
-    named = least.join(moved, "fp", "left").select("fp", F.coalesce("best", "least").alias("component_id"))
-    return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = least.join(moved, "fp", "left").select("fp", "n", F.coalesce("best", "least").alias("component_id"))
+    # Rows of a fingerprint that many rows have are dealt to several parts, each with its name.
+    share = max(1, (least.agg(F.sum("n")).first()[0] or 0) // PARTS)
+    parts = F.ceil(F.col("n") / share).cast("int")
+    hot = F.broadcast(least.where(F.col("n") > share).select("fp", parts.alias("parts")))  # no more than PARTS rows
+    part = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.coalesce("parts", F.lit(1)))
+    dealt = each.join(hot, "fp", "left").withColumn("part", part).drop("parts")
+    named = named.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("n")
+    return dealt.join(named, ["fp", "part"]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 #: Ids of documents that go (32 bytes each) are broadcast up to this size, beyond it documents and
