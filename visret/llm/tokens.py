@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 #: Stretches and words that a worker remembers, and as many that it is about to forget.
-MEMORY = 100_000
+MEMORY = 300_000
 
 # Fixed value: the pattern by which word_bpe_49k.json cuts lower-cased text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
