@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from visret.llm import common, decontam, licenses, simhash, vector_dedup
@@ -129,6 +130,65 @@ def test_simhash_of_odd_rows(spark):
     assert simhash.keep_one(odd(spark).limit(0)).count() == 0
 
 
+def five(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(AZ))
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return a == b or 5 * len(a & b) >= 4 * len(a | b)
+
+
+def near_copies(rng, text, times, share):
+    w = text.split()
+    for _ in range(times):
+        c = w[:]
+        for i in rng.sample(range(len(w)), max(1, int(share * len(w)))):
+            c[i] = f"new{rng.randrange(10**9)}"
+        yield " ".join(c)
+
+
+@pytest.mark.parametrize("parts", [simhash.SHARE, 8])
+def test_similar_documents_stay_once_and_others_stay(spark, monkeypatch, parts):
+    """Against all pairs of whole texts: what goes is in a brute-force group with one that stays,
+    clean documents stay, and near all pairs of 0.9 or more are found, in large groups too."""
+    monkeypatch.setattr(simhash, "SHARE", parts)
+    rng = random.Random(3)
+    d = [(r.doc_id, r.text) for r in read(spark, SF, "documents").select("doc_id", "text").collect() if r.text and len(r.text.split()) > 60][:250]
+    pairs = [(100_000 + i, t) for i, (_, s) in enumerate(d[:100]) for t in near_copies(rng, s, 1, 0.008)]
+    large = [(200_000 + i, t) for i, t in enumerate(near_copies(rng, " ".join(s for _, s in d[100:102]), 150, 0.004))]
+    far = [(300_000 + i, t) for i, (_, s) in enumerate(d[110:150]) for t in near_copies(rng, s, 1, 0.2)]
+    rows = d + pairs + large + far
+    got = {r.doc_id for r in simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: five(t) for i, t in rows}
+    want = reach(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
+    stays = {want[i] for i in got}
+    assert stays == set(want.values()) and all(i in got for i in set(want.values()))
+    assert {i for i, _ in far} <= got and len({i for i, _ in large} & got) <= 2
+    close = [i for i, _ in pairs if want[i] != i]
+    assert len(close) > 60 and sum(i not in got for i in close) >= 0.9 * len(close)
+
+
+def test_verification_is_exact():
+    rng = random.Random(5)
+    for _ in range(300):
+        a = " ".join(rng.choice("abcd") for _ in range(rng.randrange(40)))
+        b = " ".join(near_copies(rng, a, 1, rng.choice((0, 0.02, 0.1)))) if a and rng.random() < 0.9 else a
+        x, y = five(a), five(b)
+        assert simhash.are_similar(a.encode(), b.encode()) == (5 * len(x & y) >= 4 * len(x | y))
+
+
+def test_similar_documents_of_odd_rows(spark):
+    kept = simhash.keep_dissimilar(odd(spark))
+    assert kept.columns == odd(spark).columns and sorted(map(repr, (r.doc_id for r in kept.collect()))) == ["1", "4", "5", "6", "None"]
+    assert simhash.keep_dissimilar(odd(spark).limit(0)).count() == 0
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, words, 1), (1, "other words alone here now", 2), (2, words + " end", 3), (3, "x " * 300_000, 4), (4, "x " * 300_001, 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, low long")
+    got = simhash.keep_dissimilar(d).collect()
+    assert len({r.doc_id for r in got}) == len(got) and {r.doc_id for r in got} in ({1, 3}, {1, 2, 3})
+
+
 def test_license_base_equals_brute_force(spark):
     d = read(spark, SF, "documents").select("doc_id", "text")
     extra = [(9000 + i, t) for i, (_, t) in enumerate(ODD)] + [(9100, "cc by CC-BY, cc by General Public License all rights reserved reserved"), (9101, "Released under the MIT license."), (9102, "licensed under the very Apache License, Version 2.0")]

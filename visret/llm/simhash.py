@@ -6,6 +6,10 @@ segment is equal (pigeonhole) and the next one differs by two at most. The perfe
 within distance 4, six or one of them, and two words that differ by two bits or fewer always share
 one (the codeword nearest to a word halfway between lies within 3 + 1 of both). A key is an equal
 segment with a codeword index of the next; fingerprints are joined on keys and verified.
+
+``groups`` links fingerprints of two differing bits at most. ``keep_dissimilar`` takes its candidates
+from wider keys, codeword indices of two segments of three, and verifies the texts: those whose sets
+of five-word shingles are similar by 0.8 or more.
 """
 
 from itertools import combinations
@@ -123,17 +127,150 @@ def groups(docs: DataFrame, *, text: str = "text") -> DataFrame:
 BROADCAST_BYTES = 32 << 20
 
 
-def keep_one(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """The documents with one of each group, that of the smallest doc_id; of rows with the same
-    doc_id one stays. Rows without a doc_id stay, for nothing can name them. Whole documents are
-    moved only where the ids of those that go are too many to broadcast."""
-    own = groups(docs, text=text).where("doc_id is not null").groupBy("doc_id")
-    ids = cut(own.agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n")))
+def with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``ids(doc_id, kept, n)`` keeps, one of each doc_id (n counts its
+    rows); rows without a doc_id stay. Whole documents are moved only where the ids of those that
+    go are too many to broadcast."""
     lost, again = ids.where("not kept").select("doc_id"), ids.where("kept and n > 1").select("doc_id")
     n_lost, n_again = ids.agg(F.count_if(~F.col("kept")), F.count_if(F.col("kept") & (F.col("n") > 1))).first()
-    sized = lambda d, n: F.broadcast(d) if 32 * n <= BROADCAST_BYTES else d
     out = docs.join(sized(lost, n_lost), "doc_id", "left_anti")
     if n_again:
         few = sized(again, n_again)
         out = out.join(few, "doc_id", "left_anti").unionByName(out.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(docs.columns)
+
+
+def sized(ids: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(ids) if 32 * n <= BROADCAST_BYTES else ids
+
+
+def keep_one(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """The documents with one of each group, that of the smallest doc_id; of rows with the same
+    doc_id one stays. Rows without a doc_id stay, for nothing can name them."""
+    own = groups(docs, text=text).where("doc_id is not null").groupBy("doc_id")
+    return with_ids(docs, cut(own.agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n"))))
+
+
+WORDS, SIMILAR = 5, (4, 5)  # words of a verified shingle, and the similarity as a fraction
+WIDE = 12  # differing bits of candidates
+TRIPLE = (0, 20, 41)  # starts of three 23-bit segments that cover the 64 bits
+SHARE = 4096  # rows of one key in one part of a join
+
+
+@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("low", T.LongType()).add("high", T.LongType()))
+def sketch(text: pa.Array) -> pa.Array:
+    """Fingerprint, and 128 bits that tell the words of texts apart."""
+    own = [b" ".join(t.translate(LOWER).split()) for t in texts(text)]
+    fp = np.array([fingerprint_of(t) for t in own], np.uint64).view(np.int64)
+    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in own), np.int64).reshape(-1, 2)
+    return pa.StructArray.from_arrays([pa.array(fp), pa.array(both[:, 0]), pa.array(both[:, 1])], ["fp", "low", "high"])
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def wide_keys(prints: pa.Array) -> pa.Array:
+    """Every pair of the three segments with every pair of their codeword indices. Of 12 bits that
+    differ, two segments can be expected to hold 8 or fewer, 4 each."""
+    fp = np.asarray(prints).astype(np.int64).view(np.uint64)
+    own = [indices((fp >> np.uint64(a) & np.uint64(0x7FFFFF)).astype(np.int64)) for a in TRIPLE]
+    alone = [np.c_[np.ones(len(fp), bool), x[:, 1:] != x[:, :1]] for x in own]
+    out, keep = [], []
+    for p, (i, j) in enumerate(combinations(range(3), 2)):
+        out.append((p << 24 | own[i][:, :, None] << 12 | own[j][:, None, :]).reshape(-1, 36))
+        keep.append((alone[i][:, :, None] & alone[j][:, None, :]).reshape(-1, 36))
+    kept = np.concatenate(keep, axis=1)
+    return pa.ListArray.from_arrays(pa.array(starts_of(kept.sum(1)), pa.int32()), pa.array(np.concatenate(out, axis=1)[kept]))
+
+
+def shingles(text: bytes) -> set[bytes]:
+    """Runs of five words; of fewer words, but not none, the whole."""
+    words = text.translate(LOWER).split()
+    return {b" ".join(words[i:i + WORDS]) for i in range(max(1, len(words) - WORDS + 1))} if words else set()
+
+
+def are_similar(a: bytes, b: bytes) -> bool:
+    x, y = shingles(a), shingles(b)
+    up, down = SIMILAR
+    if min(len(x), len(y)) * down < max(len(x), len(y)) * up:
+        return False
+    both = len(x & y)
+    return down * both >= up * (len(x) + len(y) - both)
+
+
+@F.arrow_udf(T.BooleanType())
+def similar(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([are_similar(x, y) for x, y in zip(texts(a), texts(b), strict=True)], pa.bool_())
+
+
+def in_parts(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with a column ``part``, over which rows of a frequent key are dealt, and how many
+    ``parts`` each frequent key has."""
+    many = rows.groupBy(key).agg(F.ceil(F.count("*") / SHARE).cast("long").alias("parts")).where("parts > 1")
+    part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("parts", F.lit(1)))
+    return rows.join(many, key, "left").withColumn("part", part).drop("parts"), many
+
+
+def copied(rows: DataFrame, key: str, many: DataFrame) -> DataFrame:
+    """``rows`` once for every part of their key."""
+    last = F.coalesce("parts", F.lit(1)) - 1
+    return rows.join(many, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
+
+
+def near_pairs(nodes: DataFrame, *, least_only: bool) -> DataFrame:
+    """(a, b): nodes of ``nodes(node, fp)`` that share a wide key and differ by ``WIDE`` bits at
+    most, either each with the least node of its key alone, or all with all. Keys with more than
+    ``SHARE`` rows are joined in parts."""
+    keyed = nodes.select("node", "fp", F.explode(wide_keys("fp")).alias("key")).repartition("key")
+    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= WIDE) & (F.col("b") < F.col("node"))
+    if least_only:
+        first = keyed.groupBy("key").agg(F.min("node").alias("b"), F.min_by("fp", "node").alias("other"), F.count("*").alias("n"))
+        met = keyed.join(first.where("n > 1"), "key").where(near)
+    else:
+        other = keyed.select("key", F.col("node").alias("b"), F.col("fp").alias("other"))
+        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
+        met = keyed.join(sizes.where(f"n between 2 and {SHARE}"), "key").join(other, "key").where(near)
+        hot = cut(sizes.where(f"n > {SHARE}").select("key"))
+        if not hot.isEmpty():
+            left, many = in_parts(keyed.join(hot, "key", "left_semi"), "key")
+            right = copied(other.join(hot, "key", "left_semi"), "key", many)
+            met = met.select("node", "b").unionByName(left.join(right, ["key", "part"]).where(near).select("node", "b"))
+    return met.select(F.col("node").alias("a"), "b").distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose texts in ``docs(doc_id, text)`` are similar."""
+    pairs = cut(pairs)
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    some = docs.join(sized(wanted, wanted.count()), "doc_id", "left_semi")
+    left, many = in_parts(pairs, "b")
+    left = left.join(some.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    right = copied(some.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b", many)
+    return left.join(right, ["b", "part"]).where(similar("text_a", "text_b")).select("a", "b")
+
+
+def keep_dissimilar(docs: DataFrame, *, text: str = "text") -> DataFrame:
+    """The documents with one, that of the smallest doc_id, of each group that have the same words
+    or are similar: five-word shingles as sets, Jaccard similarity of 0.8 or more, candidates by
+    wide keys of the fingerprints. Of rows with the same doc_id one stays. Null texts have no words
+    and are copies of each other; rows without a doc_id stay. Empty tables give empty ones.
+
+    Texts with the same words are one node. Nodes first meet the least node of each key alone, so
+    that a large group is not paired out; then those that are left meet all that share a key with
+    them. The groups of each turn are the components of its verified pairs.
+    """
+    named = docs.where("doc_id is not null").select("doc_id", F.col(text).alias("text"))
+    each = cut(named.select("doc_id", sketch.asNondeterministic()("text").alias("s")).select("doc_id", "s.*"))
+    # Of rows with one doc_id, those of the least words stand for it.
+    one = [F.min_by(c, "low").alias(c) for c in ("fp", "high")]
+    own = cut(each.groupBy("doc_id").agg(*one, F.min("low").alias("low"), F.count("*").alias("n")))
+    again = own.where("n > 1").select("doc_id", "low")
+    if not again.isEmpty():
+        twice = named.join(again.select("doc_id"), "doc_id", "left_semi").withColumn("low", sketch("text")["low"])
+        twice = twice.join(again, ["doc_id", "low"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
+        named = named.join(again, "doc_id", "left_anti").unionByName(twice)
+    nodes = cut(own.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")).select("node", "fp"))
+    for least_only in (True, False):
+        same = verified(near_pairs(nodes, least_only=least_only), named)
+        lost = components(same).where("id <> component").select(F.col("id").alias("node"))
+        nodes = cut(nodes.join(lost, "node", "left_anti"))
+    kept = nodes.select(F.col("node").alias("doc_id"), F.lit(True).alias("kept"))
+    return with_ids(docs, cut(own.join(kept, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"), "n")))
