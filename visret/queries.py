@@ -195,6 +195,15 @@ def facet_report(spark, sf_dir):
     return rows.select("facet_no", "maximum", "median", F.array_join(F.transform("best", lambda b: b["image_id"]), ",").alias("best"))
 
 
+@query(f"WITH RECURSIVE {PICKS} SELECT pick_no - 1 AS line, 'images/' || image_id || '.jpg' AS path FROM picks WHERE pick_no > 0")
+def selection_written(spark, sf_dir):
+    """The selection as a text file, read again line by line."""
+    path = f"{lineage.new_folder(spark)}/selection"
+    store.write_selection(picked(spark, sf_dir)[0].withColumn("path", F.format_string("images/%s.jpg", "image_id")), path)
+    lines = spark.read.text(path, wholetext=True).select(F.split(F.rtrim("value", F.lit("\n")), "\n").alias("lines"))
+    return lines.select(F.posexplode("lines").alias("line", "path"))
+
+
 EVENT_Z = f"z AS (SELECT event_id, user_id, event_type, {Z.format(x='value', by='event_type')} AS z FROM events)"
 
 
@@ -338,6 +347,34 @@ def index_integrity(spark, sf_dir):
     return store.integrity(*index(spark, sf_dir))
 
 
+@query("""WITH r AS (SELECT vec_id // 7 AS i, vec_id % 7 AS n, embedding FROM embeddings)
+SELECT substr(sha1(r.i::VARCHAR), 1, 16) AS image_id, r.n AS region_no, len(r.embedding) AS dimension, round(r.embedding[1]::DOUBLE, 6) AS x, round(w.embedding[1]::DOUBLE, 6) AS whole
+FROM r JOIN r w ON w.i = r.i AND w.n = 0""")
+def index_written(spark, sf_dir):
+    """The index written, loaded with its checks, and its regions beside their images."""
+    path = f"{lineage.new_folder(spark)}/index"
+    store.write(*index(spark, sf_dir), path, "lookup")
+    images, parts, _ = store.load(spark, path, "lookup")
+    first = lambda name: F.round(F.col(name)[0].cast("double"), 6)
+    both = parts.join(images.select("image_id", F.col("embedding").alias("own")), "image_id")
+    return both.select("image_id", "region_no", F.size("embedding").alias("dimension"), first("embedding").alias("x"), first("own").alias("whole"))
+
+
+@query("""WITH g AS (SELECT vec_id // 7 AS i, count(*) AS n FROM embeddings GROUP BY 1)
+SELECT 1 AS version, 'lookup' AS model_id, max(len(embedding)) AS dimension, count(*) AS image_count, (SELECT max(n) FROM g) AS max_regions,
+'heuristic+annotations' AS region_strategy, 'cosine' AS metric FROM embeddings WHERE vec_id % 7 = 0""")
+def index_manifest(spark, sf_dir):
+    path = f"{lineage.new_folder(spark)}/index"
+    store.write(*index(spark, sf_dir), path, "lookup")
+    return store.manifest(spark, path)
+
+
+@query("SELECT vec_id, CASE label % 3 WHEN 0 THEN 'other' END AS model_id FROM embeddings WHERE label % 3 IN (0, 1)")
+def models_refused(spark, sf_dir):
+    model = F.expr("CASE label % 3 WHEN 0 THEN 'other' WHEN 2 THEN 'lookup' END")
+    return store.other_models(table(spark, sf_dir, "embeddings").select("vec_id", model.alias("model_id")), "lookup")
+
+
 @query("""SELECT query, coalesce(len(ids), 0) AS n_relevant FROM (SELECT (doc_id // 3)::VARCHAR AS query, list(d.doc_id) FILTER (quality = 1 AND toxic = 0) AS ids
 FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1) WHERE coalesce(len(ids), 0) = 0""")
 def judgments_validate(spark, sf_dir):

@@ -33,9 +33,19 @@ def integrity(images: DataFrame, regions: DataFrame) -> DataFrame:
     return a.crossJoin(b).crossJoin(orphans)  # a row each
 
 
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).json(f"{path}/manifest")
+
+
+def other_models(vectors: DataFrame, model_id: str) -> DataFrame:
+    """Rows of ``vectors(model_id, ...)`` that another model made, or none that is known: they can't
+    be compared with an index of ``model_id``."""
+    return vectors.where(~F.col("model_id").eqNullSafe(model_id))
+
+
 def load(spark: SparkSession, path: str, model_id: str | None = None) -> tuple[DataFrame, DataFrame, dict]:
     """Images, regions and manifest; an error if they disagree or the model is another."""
-    m = spark.read.schema(MANIFEST).json(f"{path}/manifest").first().asDict()
+    m = manifest(spark, path).first().asDict()
     if model_id is not None and m["model_id"] != model_id:
         raise ValueError(f"the index was made by {m['model_id']!r}, the query vectors by {model_id!r}")
     images, regions = spark.read.parquet(f"{path}/images"), spark.read.parquet(f"{path}/regions")
