@@ -3,6 +3,7 @@
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -51,11 +52,11 @@ ALNUM = bytes(
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def texts(array) -> list[bytes]:
-    """UTF-8 bytes of an Arrow string array; null as empty."""
+def texts(array) -> Iterator[bytes]:
+    """UTF-8 bytes of an Arrow string array, one text at a time; null as empty."""
     import pyarrow as pa
 
-    return [x or b"" for x in array.cast(pa.large_binary()).to_pylist()]
+    return (x.as_py() or b"" for x in array.cast(pa.large_binary()))
 
 
 def starts_of(counts: np.ndarray) -> np.ndarray:

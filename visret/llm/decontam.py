@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from visret.llm.common import ALNUM, cut, expand, starts_of, texts
 
 SHINGLE = 3
+AT_ONCE = 512  # texts that a task holds as word numbers at a time
 BITS = 21  # of a word number; three of them fill a key
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -55,7 +56,8 @@ class Windows:
         self.names.append(name)
         for i in range(max(1, len(ids) - self.window + 1)):
             self.rows.append((len(self.names) - 1, ids[i:i + self.window]))
-        self.bytes += 130 * len(words) + 8 * self.window * len(words)
+        # A word's entry, and its window's ids, size, item and shingles, each with key and place.
+        self.bytes += len(words) * (130 + 8 * self.window + 16 + 32 * (self.window - SHINGLE + 1))
 
     def close(self) -> "Windows":
         self.item = np.array([r[0] for r in self.rows], np.int64)
@@ -141,6 +143,10 @@ def blocks(items: DataFrame, item_id: str, item_text: str, window: int, block_by
         yield block.close()
 
 
+def portions(array: pa.Array) -> Iterator[pa.Array]:
+    return (array.slice(i, AT_ONCE) for i in range(0, len(array), AT_ONCE))
+
+
 def shingle_counts(docs: DataFrame, text: str, block: Windows) -> dict[int, np.ndarray]:
     """How often each shingle of the block's windows stands in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
@@ -148,8 +154,7 @@ def shingle_counts(docs: DataFrame, text: str, block: Windows) -> dict[int, np.n
     def count(batches):
         b = shared.value
         total = {s: np.zeros(len(k), np.int64) for s, k in b.all_keys.items()}
-        for batch in batches:
-            ids, starts = b.numbers(batch.column(0))
+        for ids, starts in (b.numbers(part) for batch in batches for part in portions(batch.column(0))):
             for s, keys in b.all_keys.items():
                 if len(keys):
                     here = keys_of(ids, s)
@@ -197,8 +202,7 @@ def matched(docs: DataFrame, items: DataFrame, *, text: str = "text", item_id: s
 
 
 def _finder(shared):
-    @F.arrow_udf(FOUND)
-    def find(text: pa.Array, before: pa.Array) -> pa.Array:
+    def find_some(text: pa.Array, before: pa.Array) -> pa.Array:
         b = shared.value
         ids, starts = b.numbers(text)
         doc, begin, window = b.occurrences(ids, starts)
@@ -232,6 +236,11 @@ def _finder(shared):
             pa.array([sorted(names.get(d, ())) for d in range(len(found))], pa.list_(pa.string())),
         ], ["n_words", "spans", "items"])
 
+    @F.arrow_udf(FOUND)
+    def find(text: pa.Array, before: pa.Array) -> pa.Array:
+        some = [find_some(a, b) for a, b in zip(portions(text), portions(before), strict=True)]
+        return pa.concat_arrays(some) if some else find_some(text, before)
+
     return find.asNondeterministic()  # so that it runs once a row, however many columns use it
 
 

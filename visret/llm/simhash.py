@@ -160,9 +160,11 @@ SHARE = 4096  # rows of one key in one part of a join
 @F.arrow_udf(T.StructType().add("fp", T.LongType()).add("low", T.LongType()).add("high", T.LongType()))
 def sketch(text: pa.Array) -> pa.Array:
     """Fingerprint, and 128 bits that tell the words of texts apart."""
-    own = [b" ".join(t.translate(LOWER).split()) for t in texts(text)]
-    fp = np.array([fingerprint_of(t) for t in own], np.uint64).view(np.int64)
-    both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(t) for t in own), np.int64).reshape(-1, 2)
+    fp, words = np.zeros(len(text), np.uint64), bytearray()
+    for i, t in enumerate(texts(text)):
+        fp[i] = fingerprint_of(t)
+        words += xxhash.xxh3_128_digest(b" ".join(t.translate(LOWER).split()))
+    both, fp = np.frombuffer(words, np.int64).reshape(-1, 2), fp.view(np.int64)
     return pa.StructArray.from_arrays([pa.array(fp), pa.array(both[:, 0]), pa.array(both[:, 1])], ["fp", "low", "high"])
 
 
