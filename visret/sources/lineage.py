@@ -28,3 +28,26 @@ def cut(df: DataFrame) -> DataFrame:
     again and a lost executor loses nothing."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def located(spark: SparkSession, path: str):
+    """(file system, path) as Spark sees them."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, there = located(spark, path)
+    return files.exists(there)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    files, there = located(spark, path)
+    files.create(there, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder, if it is there."""
+    files, there = located(spark, path)
+    files.delete(there, True)
