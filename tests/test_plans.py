@@ -45,3 +45,41 @@ def test_scans_read_only_what_is_needed(spark):
 
     text = plan(queries.image_ids(spark, SF))
     assert "ReadSchema: struct<page_id:bigint,url:string>" in text and "html" not in text
+
+
+def test_a_stored_index_is_joined_where_it_is(spark, tmp_path):
+    from visret import queries
+    from visret.operators import rerank
+    from visret.sources import store
+
+    store.write(*queries.index(spark, SF), str(tmp_path), "lookup")
+    index, crops, _ = store.load(spark, str(tmp_path), "lookup")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = plan(index.select("image_id", "embedding").join(crops.select("image_id", "region_no"), "image_id"))
+        assert "Exchange" not in both and both.count("Bucketed: true") == 2
+        found = spark.read.parquet(f"{SF}/embeddings.parquet").selectExpr("vec_id as query_id", "cast(label as string) as image_id")
+        roles = spark.createDataFrame([(q, 1, "binding", "x", r, 0, [0.1] * 64) for q in range(3) for r in ("phrase", "garment")],
+                                      "query_id long, facet_no int, kind string, facet string, role string, role_no int, vec array<double>")
+        text = plan(rerank.evidence(found, index, crops, roles))
+        assert text.count("Bucketed: true") == 2
+        for line in text.splitlines():  # what is shuffled are ids and scores
+            assert "Exchange" not in line or "embedding" not in line
+        below = [lines for lines in text.split("Exchange")[1:] if "Bucketed: true" in lines.split("SortMergeJoin")[0]]
+        assert not below
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_role_vectors_in_several_blocks_give_the_same_evidence(spark):
+    from visret import queries
+    from visret.operators import rerank
+    from visret.plans import search as plans
+
+    index, crops = queries.index(spark, SF)
+    vectors = plans.role_vectors(queries.texts(spark, SF).where("query_id % 20 = 0"), queries.lookup(spark, SF), queries.LEXICON)
+    found, others = plans.candidates_of(index, vectors, 7), vectors.where("role <> 'full'")
+    plain = lambda d: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in d.collect())
+    one, many = (plain(rerank.evidence(found, index, crops.repartition(n), others, block_bytes=size)) for n, size in ((1, 1 << 30), (5, 1)))
+    assert one == many and one

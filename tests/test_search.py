@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visret.functions import parse
-from visret.operators import candidates, curate, encode, evaluate, rerank
+from visret.operators import ann, candidates, curate, encode, evaluate, rerank
 
 
 def parsed(spark, text):
@@ -60,33 +60,59 @@ def clustered(rng, groups, each, width, noise):
     return np.concatenate([base + noise * rng.normal(size=base.shape) for _ in range(each)])
 
 
-def test_approximate_search_looks_at_few_pairs(spark, monkeypatch):
+def searched(spark, path, images, queries, k):
+    codes, index = ann.load(spark, path)
+    return index, {(r.query_id, r.image_id): r.cosine for r in ann.search(codes, index, images, queries, k).collect()}
+
+
+def best(images, queries, k):
+    return {(r.query_id, r.image_id): r.cosine for r in candidates.top_k(images, queries, k).collect()}
+
+
+def test_approximate_search_over_a_stored_index_of_clusters(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(candidates, "CELL", 40)
     rng = np.random.default_rng(1)
     x = clustered(rng, 60, 50, 24, 0.2)
     x = np.concatenate([x, x[:1] + 0.01 * rng.normal(size=(1500, 24))])  # a hot cell
     images = spark.createDataFrame([(f"{i:04}", v.tolist()) for i, v in enumerate(x)] + [("null", None), ("short", [1.0])], "image_id string, embedding array<double>")
-    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 3000, 30)], "query_id int, vec array<double>")
-    exact = {(r.query_id, r.image_id) for r in candidates.top_k(images, queries, 5).collect()}
-    for block in (candidates.BLOCK, 200):
-        monkeypatch.setattr(candidates, "BLOCK", block)
-        rows = candidates.approximate(images, queries, 5).collect()
-        found = {(r.query_id, r.image_id) for r in rows}
-        assert len(rows) == len(found) and len(exact & found) >= 0.9 * len(exact)
-    placed, asked, probes = candidates.probing(images.where("image_id < '3000'"), queries, 5)
-    sizes = {r["cell"]: r["count"] for r in placed.groupBy("cell").count().collect()}
-    scored = sum(sizes.get(c, 0) for r in asked.collect() for c in r.cells[:probes])
-    assert scored < 0.1 * 3000 * 100
-    assert candidates.approximate(images.limit(0), queries, 5).count() == candidates.approximate(images, queries.limit(0), 5).count() == 0
-
-
-def test_approximate_search_looks_further_where_nothing_is_clustered(spark):
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 3000, 30)] + [(-1, [1.0])], "query_id int, vec array<double>")
+    path = str(tmp_path / "ann")
+    ann.write(images, path)
+    index, found = searched(spark, path, images, queries, 5)
+    exact = best(images, queries.where("query_id >= 0"), 5)
+    assert len(found) == 500 and len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert all(abs(found[p] - exact[p]) < 1e-12 for p in exact.keys() & found.keys())
+    assert index.images == 4500
+    assert index.probes < 0.2 * len(index.cells) and ann.depth_for(index, 5) < 0.1 * 4500
+    monkeypatch.setattr(ann, "TABLE_BYTES", 5 * 4 * 256 * 6)  # several blocks of queries
+    assert searched(spark, path, images, queries, 5)[1] == found
+    assert searched(spark, path, images, queries.limit(0), 5)[1] == {}
+    with pytest.raises(ValueError, match="positive"):
+        searched(spark, path, images, queries, 0)
+    with pytest.raises(ValueError, match="no vectors"):
+        ann.write(images.where("image_id = 'null'"), path)
+
+
+def test_approximate_search_where_nothing_is_clustered(spark, tmp_path):
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(2000, 32))
+    x = rng.normal(size=(2000, 64))
     images = spark.createDataFrame([(f"{i:04}", v.tolist()) for i, v in enumerate(x)], "image_id string, embedding array<double>")
-    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 2000, 20)], "query_id int, vec array<double>")
-    exact = {(r.query_id, r.image_id) for r in candidates.top_k(images, queries, 5).collect()}
-    assert len(exact & {(r.query_id, r.image_id) for r in candidates.approximate(images, queries, 5).collect()}) >= 0.9 * len(exact)
+    queries = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(100)], "query_id int, vec array<double>")
+    ann.write(images, str(tmp_path / "ann"))
+    index, found = searched(spark, str(tmp_path / "ann"), images, queries, 10)
+    exact = best(images, queries, 10)
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact) and ann.depth_for(index, 10) < 0.1 * 2000
+
+
+def test_codes_are_the_nearest_centres():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(50, 6))
+    index = ann.Index(np.zeros((1, 6)), [rng.normal(size=(9, 4)), rng.normal(size=(3, 2))], 1, 1.0, 50)
+    codes, tables = index.codes(x), index.tables(x[:7])
+    for i in range(50):
+        assert codes[i].tolist() == [min(range(len(b)), key=lambda c: ((p - b[c]) ** 2).sum()) for p, b in zip((x[i, :4], x[i, 4:]), index.books, strict=True)]
+    whole = np.concatenate([index.books[0][codes[:, 0]], index.books[1][codes[:, 1]]], axis=1)
+    assert np.allclose(x[:7] @ whole.T, tables[:, 0][:, codes[:, 0]] + tables[:, 1][:, codes[:, 1]])
 
 
 @pytest.mark.parametrize("rows", [candidates.AT_ONCE, 50])

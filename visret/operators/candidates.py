@@ -10,17 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visret.operators.ordering import BEST, kept
-from visret.sources.lineage import cut
 
 #: Bytes of query vectors that are broadcast at a time, and rows of best images that a task keeps
 #: for them; more queries take more passes.
 BLOCK_BYTES, BEST_ROWS = 64 << 20, 1 << 21
 #: Cosines that a task has at a time.
 AT_ONCE = 1 << 21
-#: The approximate search: bytes of the sample that cells are fitted on, images of a cell aimed at and
-#: of a block at most, queries that the number of probed cells is measured on, and the share of
-#: their true best images that must lie in those cells.
-SAMPLE_BYTES, CELL, BLOCK, MEASURED, RECALL = 16 << 20, 256, 8192, 64, 0.95
+#: Bytes of the sample that cells are fitted on, and images of a cell aimed at.
+SAMPLE_BYTES, CELL = 16 << 20, 256
 
 
 def fitting(column: pa.Array, width: int) -> np.ndarray:
@@ -143,17 +140,21 @@ def region_max(regions: DataFrame, queries: DataFrame, k: int, *, block_bytes: i
     return cut_at(best.groupBy("query_id", "image_id").agg(F.max("cosine").alias("cosine")), k)
 
 
-def cell_centres(images: DataFrame) -> np.ndarray | None:
-    """Unit centres of cells of about CELL images, by k-means on a bounded sample of the most
-    frequent length of vectors."""
+def sample(images: DataFrame) -> tuple[np.ndarray, int] | None:
+    """Unit vectors of a bounded sample of the most frequent length, and how many vectors there are."""
     n, width = images.where("embedding is not null").agg(F.count("*"), F.mode(F.size("embedding"))).first()
-    if not n:
+    if not n or not width:
         return None
-    most = max(256, SAMPLE_BYTES // (8 * max(1, width)))
+    most = max(256, SAMPLE_BYTES // (8 * width))
     draw = F.pmod(F.xxhash64("image_id"), F.lit(1 << 30))
     some = images.where((F.size("embedding") == width) & (draw < min(1.0, 1.5 * most / n) * (1 << 30)))
     rows = some.orderBy(draw, "image_id").limit(most).select("embedding").toPandas()["embedding"]
-    x, rng = unit_rows(np.stack(rows)), np.random.default_rng(3)
+    return (unit_rows(np.stack(rows)), n) if len(rows) else None
+
+
+def cell_centres(x: np.ndarray, n: int) -> np.ndarray:
+    """Unit centres of cells of about CELL of ``n`` vectors, by k-means on the sample ``x`` of them."""
+    rng = np.random.default_rng(3)
     c = x[rng.permutation(len(x))[:int(max(1, min(n // CELL, len(x) // 8)))]]
     for _ in range(6):
         total = np.zeros_like(c)
@@ -163,70 +164,6 @@ def cell_centres(images: DataFrame) -> np.ndarray | None:
     return c
 
 
-def nearest_cells(shared, probes: int):
-    """A column function: vector -> its ``probes`` nearest cells, nearest first; none for another
-    length than the cells'."""
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def nearest(vectors: pa.Array) -> pa.Array:
-        c = shared.value
-        fits = fitting(vectors, c.shape[1])
-        out = [[]] * len(vectors)
-        if fits.any():
-            near = np.argsort(-(unit_rows(matrix(vectors.filter(pa.array(fits)))) @ c.T), axis=1, kind="stable")[:, :probes]
-            for i, cells in zip(np.flatnonzero(fits), near, strict=True):
-                out[i] = cells
-        return pa.array(out, pa.list_(pa.int32()))
-
-    return nearest
-
-
-def probing(images: DataFrame, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
-    """Images with their ``cell``, queries with all ``cells`` nearest first, and how many of these it
-    takes for RECALL of the true ``k`` best of MEASURED queries."""
-    c = cell_centres(images)
-    shared = images.sparkSession.sparkContext.broadcast(np.zeros((1, 1)) if c is None else c)
-    placed = cut(images.select(F.col("image_id").cast("string").alias("image_id"), "embedding")
-                 .withColumn("cell", F.try_element_at(nearest_cells(shared, 1)("embedding"), F.lit(1))).where("cell is not null"))
-    asked = queries.select("query_id", "vec").withColumn("cells", nearest_cells(shared, len(shared.value))("vec"))
-    few = cut(asked.orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED))
-    true = top_k(placed, few, k).select("query_id", "image_id").join(placed.select("image_id", "cell"), "image_id")
-    place = true.join(few, "query_id").select(F.array_position("cells", F.col("cell")).alias("p"))
-    needed = [r["p"] for r in place.collect()]  # MEASURED x k numbers at most
-    return placed, asked, int(np.quantile(needed, RECALL, method="higher")) if needed else 1
-
-
-def approximate(images: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """As ``top_k``, among the images in the cells nearest to the query, rescored exactly.
-
-    The number of cells grows with the table; how many of them a query looks into is measured, see
-    ``probing``: a few where images are clustered, most where they are not. Cells and their queries
-    are cut into blocks, so a hot cell is spread over tasks."""
-    if k < 1:
-        raise ValueError("k must be positive")
-    placed, asked, probes = probing(images, queries, k)
-    asked = cut(asked.withColumn("cell", F.explode(F.slice("cells", 1, probes))).drop("cells"))
-    blocks = lambda d, name: d.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    sizes = F.broadcast(blocks(placed, "ib").join(blocks(asked, "qb"), "cell"))  # a row a cell, which the sample bounds
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    own = lambda key, c: F.pmod(F.hash(key), F.col(c))
-    left = placed.join(sizes, "cell").withColumn("i", own("image_id", "ib")).withColumn("q", every("qb"))
-    right = asked.join(sizes, "cell").withColumn("q", own("query_id", "qb")).withColumn("i", every("ib"))
-    schema = T.StructType([queries.schema["query_id"], T.StructField("image_id", T.StringType()), T.StructField("cosine", T.DoubleType())])
-    kind = arrow_type(T.StructType([queries.schema["query_id"]]))
-
-    def score(a: pa.Table, b: pa.Table) -> pa.Table:
-        held = None
-        if len(a) and len(b):
-            held = scored_best(None, unit_rows(matrix(b["vec"])), np.array(a["image_id"].to_pylist(), object), matrix(a["embedding"]), k, False)
-        if held is None:
-            return pa.table({"query_id": pa.array([], kind), "image_id": pa.array([], pa.string()), "cosine": pa.array([], pa.float64())})
-        return pa.table({"query_id": b["query_id"].combine_chunks().take(pa.array(held["key"].to_numpy())), "image_id": held["id"], "cosine": held["score"]})
-
-    keys = ["cell", "i", "q"]
-    found = left.select(*keys, "image_id", "embedding").groupBy(*keys).cogroup(right.select(*keys, "query_id", "vec").groupBy(*keys)).applyInArrow(score, schema)
-    return cut_at(found, k)
-
-
 def facet_scores(images: DataFrame, facets: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(image_id, facet_no, score) for all images and ``facets(facet_no, vec)``."""
     spark, parts = images.sparkSession, []

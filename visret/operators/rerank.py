@@ -1,13 +1,18 @@
 """Scores of candidates: region evidence, standardised within a query, joined by a smooth AND."""
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from visret.functions import parse
 from visret.functions.lexicon import DEFAULT, Lexicon
-from visret.operators.candidates import matrix, unit_rows
+from visret.operators.candidates import arrow_type, fitting, matrix, unit_rows
 
 # Weights of the scores.
 PHRASE, GARMENT, MARGIN = 0.55, 0.30, 0.45
@@ -71,55 +76,117 @@ def roles(parsed: DataFrame, lex: Lexicon = DEFAULT) -> DataFrame:
     return facet_roles.unionByName(query_roles).select("query_id", "facet_no", "kind", "facet", "r.*")
 
 
-def evidence(candidates: DataFrame, images: DataFrame, regions: DataFrame, vectors: DataFrame) -> DataFrame:
+#: Bytes of role vectors that are broadcast at a time; more queries take further passes.
+ROLE_BYTES = 64 << 20
+EVIDENCE = ("phrase", "garment", "margin", "context")
+
+
+@dataclass
+class Facet:
+    """One facet of a query: its name, and by role the rows of the query's role vectors."""
+
+    no: int
+    kind: str
+    facet: str
+    at: dict[str, list[int]]
+
+
+def role_blocks(vectors: DataFrame, block_bytes: int) -> Iterator[tuple[list, list[tuple[list[Facet], np.ndarray]]]]:
+    """Queries, and of each its facets and unit role vectors, in blocks of a checked size (one query at
+    least); only one block is on the driver at a time."""
+    keys, block, size = [], [], 0
+    rows = vectors.select("query_id", "facet_no", "kind", "facet", "role", "vec").orderBy("query_id", "facet_no", "kind", "facet", "role")
+    for key, own in groupby(rows.toLocalIterator(), lambda r: r["query_id"]):
+        facets: dict[tuple, Facet] = {}
+        roles = []
+        for r in own:
+            name = (r["facet_no"], r["kind"], r["facet"])
+            facets.setdefault(name, Facet(*name, {})).at.setdefault(r["role"], []).append(len(roles))
+            roles.append(r["vec"])
+        here = 8 * len(roles) * len(roles[0])
+        if block and size + here > block_bytes:
+            yield keys, block
+            keys, block, size = [], [], 0
+        keys.append(key)
+        block.append((list(facets.values()), unit_rows(roles)))
+        size += here
+    if block:
+        yield keys, block
+
+
+def weighed(facets: list[Facet], roles: np.ndarray, ids: np.ndarray, x: np.ndarray, whole: bool):
+    """For one query, (facet, ids, scores by name) of each facet: of whole images, a row each, or of the
+    regions of images, of which those of one image stand together."""
+    dots = x @ roles.T
+    begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    for f in facets:
+        if whole and f.kind != "binding" and ("context" in f.at or "negative" in f.at):
+            kind = f.kind if "context" in f.at else "negative"
+            yield f, kind, ids, {"context": dots[:, f.at.get("context") or f.at["negative"]].max(1)}
+        elif not whole and f.kind == "binding":
+            phrase, false = dots[:, f.at["phrase"][0]], f.at.get("distractor")
+            margin = np.maximum.reduceat(phrase - dots[:, false].max(1), begin) if false else np.zeros(len(begin))
+            yield f, f.kind, ids[begin], {"phrase": np.maximum.reduceat(phrase, begin), "garment": np.maximum.reduceat(dots[:, f.at["garment"][0]], begin), "margin": margin}
+
+
+def weigher(shared, kind: pa.DataType, whole: bool):
+    """For mapInArrow over (image_id, embedding, places of the queries it is a candidate of): what the
+    rows of a batch say about each facet of each query."""
+    schema = pa.schema([("query_id", kind), ("image_id", pa.string()), ("facet_no", pa.int32()), ("kind", pa.string()), ("facet", pa.string()), *[(n, pa.float64()) for n in EVIDENCE]])
+
+    def some(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        keys, block = shared.value
+        rows = rows.filter(pa.array(fitting(rows.column(1), block[0][1].shape[1])))
+        if not len(rows):
+            return
+        places, x, image = rows.column(2), unit_rows(matrix(rows.column(1))), rows.column(0).dictionary_encode()
+        names, own = np.array(image.dictionary.to_pylist(), object), np.asarray(image.indices)
+        row, of = np.repeat(np.arange(len(rows)), np.asarray(places.value_lengths())), np.asarray(places.flatten())
+        order = np.lexsort((own[row], of))
+        row, of = row[order], of[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            at = row[i:j]
+            for f, kind_, ids, got in weighed(*block[of[i]], names[own[at]], x[at], whole):
+                n = len(ids)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([keys[of[i]]] * n, kind), pa.array(ids.tolist(), pa.string()), pa.array([f.no] * n, pa.int32()), pa.array([kind_] * n), pa.array([f.facet] * n),
+                    *[pa.array(got[c]) if c in got else pa.nulls(n, pa.float64()) for c in EVIDENCE]], schema=schema)
+
+    def weigh(batches):
+        for batch in batches:
+            yield from pa.Table.from_batches(some(batch), schema).combine_chunks().to_batches(10_000)
+
+    return weigh
+
+
+def evidence(candidates: DataFrame, images: DataFrame, regions: DataFrame, vectors: DataFrame, *, block_bytes: int = ROLE_BYTES) -> DataFrame:
     """(query_id, image_id, facet_no, kind, facet, phrase, garment, margin, context): what the
     regions of each candidate say about each facet.
 
     phrase and garment are the best regions' cosines, margin the best surplus of a region's phrase
     over its own best distractor (0 without distractors), context the cosine of the whole image,
     also for the largest negative (kind ``negative``, facet 0). Real regions only, however many an
-    image has. A query's candidates and their regions meet in one group, which candidate_k bounds.
-    """
-    wanted = candidates.select("image_id").distinct()
-    whole = images.join(wanted, "image_id").select("image_id", F.lit(-1).alias("region_no"), "embedding")
-    crops = regions.join(wanted, "image_id").select("image_id", "region_no", "embedding")
-    left = candidates.select("query_id", "image_id").join(whole.unionByName(crops), "image_id")
-    kind = candidates.schema["query_id"].dataType.simpleString()
-
-    def weigh(key: tuple[pa.Scalar, ...], own: pa.Table, roles: pa.Table) -> pa.Table:
-        names = ("phrase", "garment", "margin", "context")
-        schema = pa.schema([("query_id", key[0].type), ("image_id", pa.string()), ("facet_no", pa.int32()), ("kind", pa.string()), ("facet", pa.string()), *[(n, pa.float64()) for n in names]])
-        parts = []
-        if len(own) and len(roles):
-            own = own.sort_by([("image_id", "ascending"), ("region_no", "ascending")])
-            dots = unit_rows(matrix(own["embedding"])) @ unit_rows(matrix(roles["vec"])).T
-            region, image = own["region_no"].to_numpy(), np.array(own["image_id"].to_pylist(), object)
-            crop, full = dots[region >= 0], dots[region < 0]
-            cropped, begin = np.unique(image[region >= 0].astype(str), return_index=True)
-            whole = image[region < 0]
-            of: dict[tuple, dict[str, list[int]]] = {}
-            for i, r in enumerate(roles.select(["facet_no", "kind", "facet", "role"]).to_pylist()):
-                of.setdefault((r["facet_no"], r["kind"], r["facet"]), {}).setdefault(r["role"], []).append(i)
-            for (no, kind, facet), at in of.items():
-                got = dict.fromkeys(names)
-                if kind == "binding" and len(cropped):
-                    ids, phrase, false = cropped, crop[:, at["phrase"][0]], at.get("distractor")
-                    got["phrase"] = np.maximum.reduceat(phrase, begin)
-                    got["garment"] = np.maximum.reduceat(crop[:, at["garment"][0]], begin)
-                    got["margin"] = np.maximum.reduceat(phrase - crop[:, false].max(1), begin) if false else np.zeros(len(ids))
-                elif kind != "binding" and ("context" in at or "negative" in at) and len(whole):
-                    ids, kind = whole, kind if "context" in at else "negative"
-                    got["context"] = full[:, at.get("context") or at["negative"]].max(1)
-                else:
-                    continue
-                n = len(ids)
-                parts.append(pa.Table.from_arrays([
-                    pa.array([key[0].as_py()] * n, key[0].type), pa.array(ids.tolist(), pa.string()), pa.array([no] * n, pa.int32()), pa.array([kind] * n), pa.array([facet] * n),
-                    *[pa.nulls(n, pa.float64()) if got[c] is None else pa.array(got[c]) for c in names]], schema=schema))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
+    image has.
 
-    return left.groupBy("query_id").cogroup(vectors.groupBy("query_id")).applyInArrow(
-        weigh, f"query_id {kind}, image_id string, facet_no int, kind string, facet string, phrase double, garment double, margin double, context double")
+    Candidates travel to where images and regions are, as ids; role vectors are broadcast in blocks of
+    a checked size. Over an index that is bucketed by image no vector is shuffled.
+    """
+    spark, kind = candidates.sparkSession, T.StructType([candidates.schema["query_id"]])
+    names = ", ".join(f"{n} double" for n in EVIDENCE)
+    schema, out = f"query_id {kind[0].dataType.simpleString()}, image_id string, facet_no int, kind string, facet string, {names}", None
+    for block in role_blocks(vectors, block_bytes):
+        own = spark.createDataFrame([(k, i) for i, k in enumerate(block[0])], T.StructType([kind[0], T.StructField("place", T.IntegerType())]))
+        asked = candidates.select("query_id", "image_id").distinct().join(F.broadcast(own), "query_id").groupBy("image_id").agg(F.collect_list("place").alias("places"))
+        shared = spark.sparkContext.broadcast(block)
+        for table, whole in ((images, True), (regions, False)):
+            near = table.select("image_id", "embedding").join(asked, "image_id").select("image_id", "embedding", "places")
+            part = near.mapInArrow(weigher(shared, arrow_type(kind), whole), schema)
+            out = part if out is None else out.unionByName(part)
+    # All four are maxima over regions, wherever those of an image are. Ranking needs a query's rows
+    # together, so this is the exchange for both.
+    out = spark.createDataFrame([], schema) if out is None else out.repartition("query_id")
+    return out.groupBy("query_id", "image_id", "facet_no", "kind", "facet").agg(*[F.max(n).alias(n) for n in EVIDENCE])
 
 
 def raw_scores(found: DataFrame) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from visret.functions import parse
 from visret.functions.lexicon import PROMPTS, Lexicon
 from visret.functions.vectors import audit, l2_normalized, mean_vectors
-from visret.operators import candidates, catalog, curate, encode, evaluate, regions, rerank
+from visret.operators import ann, candidates, catalog, curate, encode, evaluate, regions, rerank
 from visret.plans import search as plans
 from visret.sources import lineage, store
-from visret.streaming.append import append_stream, keyed
+from visret.streaming.append import append_new, append_stream, keyed
 
 K, CANDIDATES, QUOTA = 10, 100, 3
 LEXICON = Lexicon(
@@ -54,6 +54,13 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(rows, folder):
+    """``rows`` computed, and the folder they came from removed."""
+    out = lineage.cut(rows)
+    lineage.remove(rows.sparkSession, folder)
+    return out
+
+
 def single(spark, sf_dir):
     """Every vector as an image."""
     return table(spark, sf_dir, "embeddings").select("vec_id", catalog.image_id(F.col("vec_id").cast("string")).alias("image_id"), "embedding", "label")
@@ -99,8 +106,26 @@ def candidate_topk(spark, sf_dir):
 
 @query()
 def candidate_ann(spark, sf_dir):
-    images = single(spark, sf_dir)
-    return candidates.approximate(images, vector_queries(images), K).withColumn("cosine", F.round("cosine", 6))
+    """The approximate index written, loaded and searched."""
+    images, path = single(spark, sf_dir), f"{lineage.new_folder(spark)}/ann"
+    ann.write(images, path)
+    return kept(ann.search(*ann.load(spark, path), images, vector_queries(images), K), path).withColumn("cosine", F.round("cosine", 6))
+
+
+@query(f"""WITH {SINGLE}, q AS (SELECT count(*) FILTER (vec_id % 100 = 0) AS n FROM e)
+SELECT count(*) AS images, true AS every_image_coded, true AS rescored_under_a_tenth, n * least({K}, count(*)) AS expected, true AS recall_of_nine_tenths FROM e, q GROUP BY n""")
+def ann_index(spark, sf_dir):
+    """What the approximate index promises, held against exact search: every image has a code, each
+    query rescores less than a tenth of them, and nine of ten of the true best are found."""
+    images, path = single(spark, sf_dir), f"{lineage.new_folder(spark)}/ann"
+    ann.write(images, path)
+    codes, index = ann.load(spark, path)
+    found = ann.search(codes, index, images, vector_queries(images), K).select("query_id", "image_id", F.lit(1).alias("found"))
+    true = candidates.top_k(images, vector_queries(images), K).join(found, ["query_id", "image_id"], "left").agg(F.count("*").alias("expected"), F.sum("found").alias("found"))
+    n = codes.agg(F.count("*").alias("images"), F.count_distinct("image_id").alias("coded"))
+    share = ann.depth_for(index, K) / max(1, index.images)
+    return kept(n.crossJoin(true).select("images", (F.col("images") == F.col("coded")).alias("every_image_coded"), F.lit(share < 0.1).alias("rescored_under_a_tenth"),
+                                         "expected", (F.col("found") >= 0.9 * F.col("expected")).alias("recall_of_nine_tenths")), path)  # a row each
 
 
 def globally(spark, sf_dir, k):
@@ -201,7 +226,7 @@ def selection_written(spark, sf_dir):
     path = f"{lineage.new_folder(spark)}/selection"
     store.write_selection(picked(spark, sf_dir)[0].withColumn("path", F.format_string("images/%s.jpg", "image_id")), path)
     lines = spark.read.text(path, wholetext=True).select(F.split(F.rtrim("value", F.lit("\n")), "\n").alias("lines"))
-    return lines.select(F.posexplode("lines").alias("line", "path"))
+    return kept(lines.select(F.posexplode("lines").alias("line", "path")), path)
 
 
 EVENT_Z = f"z AS (SELECT event_id, user_id, event_type, {Z.format(x='value', by='event_type')} AS z FROM events)"
@@ -357,7 +382,7 @@ def index_written(spark, sf_dir):
     images, parts, _ = store.load(spark, path, "lookup")
     first = lambda name: F.round(F.col(name)[0].cast("double"), 6)
     both = parts.join(images.select("image_id", F.col("embedding").alias("own")), "image_id")
-    return both.select("image_id", "region_no", F.size("embedding").alias("dimension"), first("embedding").alias("x"), first("own").alias("whole"))
+    return kept(both.select("image_id", "region_no", F.size("embedding").alias("dimension"), first("embedding").alias("x"), first("own").alias("whole")), path)
 
 
 @query("""WITH g AS (SELECT vec_id // 7 AS i, count(*) AS n FROM embeddings GROUP BY 1)
@@ -366,7 +391,7 @@ SELECT 1 AS version, 'lookup' AS model_id, max(len(embedding)) AS dimension, cou
 def index_manifest(spark, sf_dir):
     path = f"{lineage.new_folder(spark)}/index"
     store.write(*index(spark, sf_dir), path, "lookup")
-    return store.manifest(spark, path)
+    return kept(store.manifest(spark, path), path)
 
 
 @query("SELECT vec_id, CASE label % 3 WHEN 0 THEN 'other' END AS model_id FROM embeddings WHERE label % 3 IN (0, 1)")
@@ -557,6 +582,18 @@ def search_structured(spark, sf_dir):
     return rows.withColumn("facet_scores", F.array_join(pairs, ","))
 
 
+@query(ORACLE_SQL["search_structured"])
+def search_stored(spark, sf_dir):
+    """The same search over an index that is written in buckets and loaded."""
+    path = f"{lineage.new_folder(spark)}/index"
+    store.write(*index(spark, sf_dir), path, "lookup")
+    images, crops, _ = store.load(spark, path, "lookup")
+    queries = texts(spark, sf_dir).where("query_id % 100 = 0")
+    rows = kept(plans.search(queries, images, crops, lookup(spark, sf_dir), k=K, candidate_k=CANDIDATES, lex=LEXICON), path)
+    pairs = F.transform(F.map_entries("facet_scores"), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])))
+    return rows.withColumn("facet_scores", F.array_join(pairs, ","))
+
+
 @query(f"WITH {STRUCTURED} SELECT query_id, image_id, cand_rank AS baseline_rank FROM st WHERE rank = 1")
 def rank_movement(spark, sf_dir):
     return evaluate.movement(structured(spark, sf_dir, 1), structured(spark, sf_dir, CANDIDATES, "global"))
@@ -608,15 +645,32 @@ def embedding_backfill(spark, sf_dir):
     return done.select("path", "model_id", F.round(F.element_at("embedding", 1), 6).alias("x"))
 
 
-@query("SELECT min(page_id) AS page_id, sha256(coalesce(html, '')) AS content_key FROM pages GROUP BY coalesce(html, '')")
-def incremental_append(spark, sf_dir):
-    """The pages as a stream into an empty table, in two goes; of pages of one content any one is
-    kept, and named by the smallest id."""
+def appended(spark, sf_dir, filled):
+    """The pages as a stream, in two goes, into a table that has those of ``filled`` already. The rows
+    of the table and all pages by content; of pages of one content any one may be in the table."""
     folder = lineage.new_folder(spark)
     pages = table(spark, sf_dir, "pages").select("page_id", "html")
+    if filled:
+        append_new(spark, pages.where(filled), "html", f"{folder}/out")
     for rest in (0, 1):
         pages.where(F.expr(f"pmod(page_id, 2) = {rest}")).write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(pages.schema).parquet(f"{folder}/in")
         append_stream(stream, "html", f"{folder}/out", f"{folder}/state").awaitTermination()
-    kept = spark.read.parquet(f"{folder}/out").select("content_key")
-    return keyed(pages, "html").join(kept, "content_key").groupBy("content_key").agg(F.min("page_id").alias("page_id"))
+    have = spark.read.parquet(f"{folder}/out").groupBy("content_key").agg(F.count("*").alias("copies"))
+    rows = keyed(pages, "html").groupBy("content_key").agg(F.min("page_id").alias("page_id"))
+    return kept(rows.join(have, "content_key", "left"), folder)
+
+
+APPENDED = "SELECT min(page_id) AS page_id, sha256(coalesce(html, '')) AS content_key, 1 AS copies FROM pages GROUP BY coalesce(html, '')"
+
+
+@query(APPENDED.replace(", 1 AS copies", ""))
+def incremental_append(spark, sf_dir):
+    """The pages into an empty table."""
+    return appended(spark, sf_dir, None).where("copies = 1").drop("copies")
+
+
+@query(APPENDED)
+def incremental_append_filled(spark, sf_dir):
+    """The pages into a table that has a third of them: its rows stay, and no content comes twice."""
+    return appended(spark, sf_dir, "page_id % 3 = 0")

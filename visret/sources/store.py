@@ -1,26 +1,50 @@
 """The index on disk: images, region vectors and a manifest."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visret.schemas import MANIFEST
+from visret.schemas import LAYOUT, MANIFEST
 
 STRATEGY, METRIC, VERSION = "heuristic+annotations", "cosine", 1
+TABLES = ("images", "regions")
+
+
+def named(path: str, table: str) -> str:
+    """The session's name of a table of the index at ``path``."""
+    return f"visret_{hashlib.sha1(path.encode()).hexdigest()[:16]}_{table}"
 
 
-def write(images: DataFrame, regions: DataFrame, path: str, model_id: str) -> None:
+def write(images: DataFrame, regions: DataFrame, path: str, model_id: str, buckets: int | None = None) -> None:
     """Write ``images(image_id, path, width, height, embedding)`` and ``regions(image_id,
-    region_no, name, embedding)``, each sorted by image within hash parts so that they are joined
-    and pruned by image_id; an empty index is an error."""
-    for name, df in (("images", images), ("regions", regions)):
-        df.repartition("image_id").sortWithinPartitions("image_id").write.mode("overwrite").parquet(f"{path}/{name}")
+    region_no, name, embedding)``, both in the same buckets of image_id (as many as the session's
+    shuffle has partitions, if not said) and sorted by it, so that later joins on it move neither; an
+    empty index is an error."""
     spark = images.sparkSession
-    i = spark.read.parquet(f"{path}/images").agg(F.count("*").alias("image_count"), F.max(F.size("embedding")).alias("dimension")).first()
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for table, df in zip(TABLES, (images, regions), strict=True):
+        spark.sql(f"DROP TABLE IF EXISTS {named(path, table)}")
+        # Dealt as the buckets are, so that a task writes one bucket and a bucket is one file.
+        (df.repartition(buckets, "image_id").write.mode("overwrite").bucketBy(buckets, "image_id").sortBy("image_id")
+         .option("path", f"{path}/{table}").saveAsTable(named(path, table)))
+    i = spark.table(named(path, "images")).agg(F.count("*").alias("image_count"), F.max(F.size("embedding")).alias("dimension")).first()
     if not i["image_count"]:
         raise ValueError("there are no images to index")
-    most = spark.read.parquet(f"{path}/regions").groupBy("image_id").count().agg(F.max("count")).first()[0]
+    most = spark.table(named(path, "regions")).groupBy("image_id").count().agg(F.max("count")).first()[0]
     row = (VERSION, model_id, i["dimension"], i["image_count"], most or 0, STRATEGY, METRIC)
     spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    spark.createDataFrame([(buckets,)], LAYOUT).coalesce(1).write.mode("overwrite").json(f"{path}/layout")
+
+
+def bucketed(spark: SparkSession, path: str) -> list[DataFrame]:
+    """Images and regions as tables of the session that know their buckets."""
+    buckets = spark.read.schema(LAYOUT).json(f"{path}/layout").first()["buckets"]
+    for table in TABLES:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{table}").schema)
+        spark.sql(f"DROP TABLE IF EXISTS {named(path, table)}")
+        spark.sql(f"CREATE TABLE {named(path, table)} ({columns}) USING parquet CLUSTERED BY (image_id) SORTED BY (image_id) INTO {buckets} BUCKETS LOCATION '{path}/{table}'")
+    return [spark.table(named(path, table)) for table in TABLES]
 
 
 def integrity(images: DataFrame, regions: DataFrame) -> DataFrame:
@@ -48,7 +72,7 @@ def load(spark: SparkSession, path: str, model_id: str | None = None) -> tuple[D
     m = manifest(spark, path).first().asDict()
     if model_id is not None and m["model_id"] != model_id:
         raise ValueError(f"the index was made by {m['model_id']!r}, the query vectors by {model_id!r}")
-    images, regions = spark.read.parquet(f"{path}/images"), spark.read.parquet(f"{path}/regions")
+    images, regions = bucketed(spark, path)
     got = integrity(images, regions).first()
     dimensions = {got[f"{m_}_dimension"] for m_ in ("min", "max", "min_region", "max_region")} - {None}
     if (got["images"], got["distinct_images"], got["max_regions"] or 0, got["orphan_images"]) != (m["image_count"], m["image_count"], m["max_regions"], 0) or dimensions != {m["dimension"]}:
