@@ -74,18 +74,38 @@ def test_documents_equal_brute_force_and_long_texts_are_cut(spark, monkeypatch):
     d = read(spark, SF, "documents")
     want = brute([(r.doc_id, r.text) for r in d.collect()])
     assert got(d) == want and sum(r[2] for r in want) > 0
-    words = [b"%d" % (i * i % 97) for i in range(5000)]
-    h = substrings.word_hashes(words)
-    whole = substrings.anchors_of(h)
-    monkeypatch.setattr(substrings, "TOGETHER", 100)
-    assert all(np.array_equal(a, b) for a, b in zip(whole, substrings.anchors_of(h), strict=True))
-    monkeypatch.setattr(substrings, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(substrings, "SHARE", 1 << 20)  # every anchor of the sample is frequent
     assert got(d) == want
 
 
+def hashed(*some):
+    """Hashes of texts' words, and where each text's begin."""
+    raw = [t.encode() for t in some]
+    return substrings.word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+
+def test_words_are_hashed_alike_wherever_they_stand(monkeypatch):
+    h, at = hashed("a bc  d\x0be\n", "", " bc", "a", "d e\u00e9 bc")
+    assert at.tolist() == [0, 4, 4, 5, 6, 9]
+    monkeypatch.setattr(substrings, "TOGETHER", 3)
+    parts, same = hashed("a bc  d\x0be\n", "", " bc", "a", "d e\u00e9 bc")
+    assert parts.tolist() == h.tolist() and same.tolist() == at.tolist()
+    assert h[0] == h[5] and h[1] == h[4] == h[8] and h[2] == h[6] and len(set(h.tolist())) == 5
+
+
+def test_anchors_of_texts_together_are_those_of_each():
+    some = [t for _, t in made(5, 6)] + ["", "x", "a b " * 30]
+    h, at = hashed(*some)
+    text, key, place = substrings.anchors_of(h, at)
+    for i, t in enumerate(some):
+        one = substrings.anchors_of(*hashed(t))
+        assert key[text == i].tolist() == one[1].tolist() and place[text == i].tolist() == one[2].tolist()
+        assert (len(one[1]) > 0) == (len(t.split()) >= 13)
+
+
 def test_factors_leave_few_windows_to_check():
     """Of a long copy the factor holds all but the windows across its two boundaries."""
-    h = substrings.word_hashes([b"v%d" % (i * 7919 % 100_003) for i in range(1000)])
-    anchor, place = substrings.anchors_of(h)
+    h, at = hashed(" ".join(f"v{i * 7919 % 100_003}" for i in range(1000)))
+    _, anchor, place = substrings.anchors_of(h, at)
     starts, ends, check, *_ = substrings.parse(h, anchor, np.ones(len(anchor), bool), np.zeros(len(anchor), np.int64), place)
     assert len(starts) == 1 and ends[0] - starts[0] > 980 and len(check) <= 12
