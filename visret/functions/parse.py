@@ -1,9 +1,4 @@
-"""Queries as text -> bound facets, all as column expressions.
-
-Blanking the coloured phrases before bare garments are sought gives the same as an overlap test
-as long as no garment contains a colour word and garments match longest first; ``bindings`` checks
-the first for custom lexicons.
-"""
+"""Queries as text -> bound facets, all as column expressions."""
 
 import re
 
@@ -25,16 +20,36 @@ def contains(text: Column, phrase: str) -> Column:
     return F.regexp_like(text, F.lit(rf"(?U)(?<!\w){re.escape(phrase)}(?!\w)"))
 
 
+def spans(text: Column, pattern: str) -> Column:
+    """(start, end, word) of every match of ``pattern`` in order; word is its first group."""
+    begin, close = "\x01", "\x02"
+    parts = F.split(F.regexp_replace(F.translate(text, begin + close, "\x03\x03"), f"({pattern})", f"{begin}$1{close}"), f"[{begin}{close}]")
+    each = F.transform(parts, lambda p, i: F.struct((i % 2 == 1).alias("hit"), p.alias("p")))  # what matches stands between what doesn't
+    none = F.array().cast("array<struct<start: int, end: int, word: string>>")
+
+    def step(s: Column, p: Column) -> Column:
+        to = s["at"] + F.length(p["p"])
+        new = F.array(F.struct(s["at"].alias("start"), to.alias("end"), F.regexp_extract(p["p"], pattern, 1).alias("word")))
+        return F.struct(to.alias("at"), F.when(p["hit"], F.concat(s["found"], new)).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(each, F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
+
+
 def bindings(text: Column, lex: Lexicon = DEFAULT) -> Column:
-    """Coloured garments in order, then garments without a colour, each once."""
-    for g in lex.garments:
-        if any(re.search(rf"(?<!\w){re.escape(c)}(?!\w)", g) for c in lex.colors):
-            raise ValueError(f"the garment {g!r} contains a colour")
+    """Coloured garments in order, then garments without a colour, each once. A garment without a colour
+    is one that overlaps no coloured one: where garments contain no colour, what is left when the
+    coloured ones are blanked; else the spans of both are compared."""
     thing = words(lex.longest_first)
     coloured = rf"(?U)\b(?:({words(lex.intensifiers)})\s+)?({words(lex.colors)})\s+({thing})s?\b"
     parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(coloured), F.lit(k)).alias(f"p{k}") for k in (1, 2, 3)])
     phrases = F.transform(parts, lambda p: F.trim(F.concat_ws(" ", p["p1"], p["p2"], p["p3"])))
-    bare = F.regexp_extract_all(F.regexp_replace(text, coloured, " | "), F.lit(rf"(?U)\b({thing})s?\b"), F.lit(1))
+    alone = rf"(?U)\b({thing})s?\b"
+    if any(re.search(rf"(?<!\w){re.escape(c)}(?!\w)", g) for g in lex.garments for c in lex.colors):
+        taken = spans(text, coloured)
+        free = F.filter(spans(text, alone), lambda g: ~F.exists(taken, lambda t: (g["start"] < t["end"]) & (g["end"] > t["start"])))
+        bare = F.transform(free, lambda g: g["word"])
+    else:
+        bare = F.regexp_extract_all(F.regexp_replace(text, coloured, " | "), F.lit(alone), F.lit(1))
     return F.array_distinct(F.concat(phrases, bare))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from visret.functions import parse
 from visret.functions.lexicon import PROMPTS, Lexicon
 from visret.functions.vectors import audit, l2_normalized, mean_vectors
-from visret.operators import ann, candidates, catalog, curate, encode, evaluate, regions, rerank
+from visret.operators import ann, candidates, catalog, curate, encode, evaluate, intervals, regions, rerank
 from visret.plans import search as plans
 from visret.sources import lineage, store
 from visret.streaming.append import append_new, append_stream, keyed
@@ -476,6 +476,38 @@ def parse_query(spark, sf_dir):
     return p.select("query_id", *[F.array_join(c, "|").alias(c) for c in PARTS])
 
 
+SPANS = ("event_id * 13", "event_id * 13 + 1 + CAST(floor(value * 20) AS BIGINT)")
+
+
+@query(f"""WITH s AS (SELECT event_id, user_id, event_type, {SPANS[0]} AS start_at, {SPANS[1]} AS end_at FROM events)
+SELECT event_id, user_id, start_at, end_at FROM s a WHERE event_type = 'click' AND NOT EXISTS
+(SELECT 1 FROM s b WHERE b.event_type <> 'click' AND b.user_id = a.user_id AND b.start_at < a.end_at AND b.end_at > a.start_at)""")
+def interval_anti_join(spark, sf_dir):
+    """Clicks whose span overlaps that of no other kind of event of the user."""
+    spans = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "event_type", f"{SPANS[0]} AS start_at", f"{SPANS[1]} AS end_at")
+    return intervals.outside(spans.where("event_type = 'click'").drop("event_type"), spans.where("event_type <> 'click'"), ["user_id"], "start_at", "end_at", 100_000)
+
+
+MIXED = Lexicon(colors=("red", "small", "hot"), intensifiers=("bright",), garments=("small gear", "gear and", "gear", "anvil in", "anvil", "hot rod", "rod"),
+                scenes={}, styles={}, actions=(), confusable={}, otherwise=())
+MIXED_THING = alternatives(MIXED.longest_first)
+MIXED_COLOURED = rf"\b(?:bright\s+)?(?:{alternatives(MIXED.colors)})\s+(?:{MIXED_THING})s?\b"
+# chr(1) and chr(2) stand around matches; what matches is every second part.
+MARKED = "string_split_regex(regexp_replace(t, '({0})', chr(1) || '\\1' || chr(2), 'g'), '[\x01\x02]')"
+PLACED = "list_transform({0}, lambda p, i: {{'s': list_sum(list_transform({0}[1:i], lambda q: length(q))) - length(p), 'e': list_sum(list_transform({0}[1:i], lambda q: length(q))), 'p': p, 'hit': i % 2 = 0}})"
+
+
+@query(rf"""WITH t0 AS (SELECT p_partkey AS query_id, trim(regexp_replace(lower({TEXT}), '\s+', ' ', 'g')) AS t FROM part),
+t1 AS (SELECT query_id, t, {MARKED.format(MIXED_COLOURED)} AS c, {MARKED.format(rf'\b(?:{MIXED_THING})s?\b')} AS g FROM t0),
+t2 AS (SELECT query_id, list_filter({PLACED.format('c')}, lambda x: x.hit) AS c, list_filter({PLACED.format('g')}, lambda x: x.hit) AS g FROM t1),
+t3 AS (SELECT query_id, list_concat(list_transform(c, lambda x: regexp_extract(x.p, '^(.*?(?:{MIXED_THING}))s?$', 1)),
+  list_transform(list_filter(g, lambda x: len(list_filter(c, lambda y: x.s < y.e AND x.e > y.s)) = 0), lambda x: regexp_extract(x.p, '^({MIXED_THING})s?$', 1))) AS b FROM t2)
+SELECT query_id, array_to_string({once('b')}, '|') AS bindings FROM t3""")
+def parse_overlapping(spark, sf_dir):
+    """Bindings by a lexicon with colours inside its garments, where spans have to be compared."""
+    return texts(spark, sf_dir).select("query_id", F.array_join(parse.bindings(parse.normalized(F.col("text")), MIXED), "|").alias("bindings"))
+
+
 def bound(spark, sf_dir):
     p = rerank.parsed_queries(texts(spark, sf_dir), LEXICON)
     f = rerank.facets(p).where("kind = 'binding'")
