@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visret.functions import parse
-from visret.operators import ann, candidates, curate, encode, evaluate, rerank
+from visret.operators import ann, candidates, curate, encode, evaluate, ordering, rerank
 
 
 def parsed(spark, text):
@@ -158,6 +158,54 @@ def test_quota_allocation(spark):
     assert sum(f[3] for f in curate.COVERAGE) == 1000
 
 
+def serial(ranks, quotas):
+    used, out = set(), []
+    for turn in range(max(quotas.values())):
+        for f, quota in quotas.items():
+            if turn < quota:
+                rank, image = next((i + 1, x) for i, x in enumerate(ranks[f]) if x not in used)
+                used.add(image)
+                out.append((len(out) + 1, image, f, rank))
+    return out
+
+
+@pytest.mark.parametrize("alike", [0.0, 0.9])
+def test_allocation_in_runs_equals_turn_by_turn(spark, alike):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=200)
+    quotas = {0: 30, 1: 7, 3: 45, 4: 0, 9: 12}
+    scores = {f: np.round(alike * base + (1 - alike) * rng.normal(size=200), 1) for f in quotas}
+    rows = [(f"{i:03}", f, float(s)) for f, own in scores.items() for i, s in enumerate(own)]
+    s = spark.createDataFrame(rows, "image_id string, facet_no long, score double").repartition(3)
+    facets = spark.createDataFrame(list(quotas.items()), "facet_no long, quota int")
+    want = serial({f: [f"{i:03}" for i in np.lexsort((np.arange(200), -own))] for f, own in scores.items()}, quotas)
+    for at_once in (1 << 21, 100, 1):
+        got = curate.allocated(s, facets, at_once=at_once).select("pick_no", "image_id", "facet_no", "rank").orderBy("pick_no").collect()
+        assert list(map(tuple, got)) == want
+    for quotas_, most in (([3, 1, 3], 2), ([5], 100), ([0, 2], 1)):
+        runs = list(curate.turns(quotas_, most))
+        assert [a for a, _, _ in runs] == [0, *[b for _, b, _ in runs[:-1]]] and runs[-1][1] == max(quotas_) and sum(n for *_, n in runs) == sum(quotas_)
+    million = list(curate.turns([1_000_000] * 18, curate.AT_ONCE // 18))
+    assert max(n for *_, n in million) * 18 <= curate.AT_ONCE and len(million) < 200
+
+
+def test_medians_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    groups = {"a": [1.0], "b": [1.0, 2.0], "c": [-1e308, 1e308, 1e308], "d": [inf, -inf, 0.0], "e": [nan, nan, 3.0], "f": [inf, 5.0], "g": [None, None], "h": [0.0] * 9999 + [1e300], "i": [5e-324, 0.0, -5e-324, 1.0],
+              "j": np.random.default_rng(8).lognormal(0, 9, 20_001).tolist(), "k": [None, 4.0, 2.0]}
+    d = spark.createDataFrame([(k, v) for k, own in groups.items() for v in own], "k string, v double").repartition(5)
+    got = {r.k: r.m for r in ordering.medians(d, ["k"], "v", "m").collect()}
+    for k, own in groups.items():
+        some = sorted((v for v in own if v is not None), key=lambda v: (v != v, v))
+        if not some:
+            assert k not in got
+            continue
+        low, high = some[(len(some) - 1) // 2], some[len(some) // 2]
+        want = low if low == high else (low + high) / 2
+        assert got[k] == want or (want != want and got[k] != got[k]), k
+
+
+
 def test_metrics_without_relevant_images(spark):
     ranked = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "a")], "query_id int, rank int, image_id string")
     relevant = spark.createDataFrame([(1, "b"), (1, "c")], "query_id int, image_id string")

@@ -1,10 +1,14 @@
 """Curation: unique images for facets with quotas, and reports about them."""
 
+from collections.abc import Iterator
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from visret.operators.ordering import best_rows, medians, numbered
+from visret.sources.lineage import cut
 
 # Axis, name, prompts and quota of the default facets.
 COVERAGE = (
@@ -45,38 +49,77 @@ def rankings(scores: DataFrame, most: int | None = None) -> DataFrame:
     return short.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
 
 
-def allocated(scores: DataFrame, facets: DataFrame) -> DataFrame:
+#: Rows (image, facet) that the task which picks has at a time.
+AT_ONCE = 1 << 21
+PICKS = "pick_no long, image_id string, facet_no long, score double, rank int"
+
+
+def turns(quotas: list[int], most: int) -> Iterator[tuple[int, int, int]]:
+    """Turns cut into runs of ``most`` picks at most (one turn at least): first turn, last (excluded) and
+    how many picks it has. A turn has a pick of every facet with quota left."""
+    ends = np.sort(np.array(quotas))
+    first, last = 0, int(ends[-1]) if len(ends) else 0
+    while first < last:
+        each = int((ends > first).sum())  # facets that still pick in the first turn of the run
+        end = min(last, first + max(1, most // each))
+        yield first, end, int(np.clip(ends - first, 0, end - first).sum())
+        first = end
+
+
+def picker(quotas: dict[int, int], first: int, end: int, before: int):
+    """For applyInArrow over the best images, by facet, that are still free: the picks of the turns from
+    ``first`` to ``end``, numbered after the ``before`` earlier ones."""
+    return lambda table: picked(table, quotas, first, end, before)
+
+
+def picked(table: pa.Table, quotas: dict[int, int], first: int, end: int, before: int) -> pa.Table:
+    image = table["image_id"].combine_chunks().dictionary_encode()
+    code, facet, rank = np.asarray(image.indices), table["facet_no"].to_numpy(), table["rank"].to_numpy()
+    order = np.lexsort((rank, facet))
+    edges = {f: np.searchsorted(facet[order], [f, f + 1]) for f in quotas}
+    at, used, out = {f: int(e[0]) for f, e in edges.items()}, np.zeros(len(image.dictionary), bool), []
+    for turn in range(first, end):
+        for f, quota in quotas.items():
+            if turn < quota:
+                i = at[f]
+                while used[code[order[i]]]:
+                    i += 1
+                used[code[order[i]]] = True
+                out.append(order[i])
+                at[f] = i + 1
+    rows = table.select(["image_id", "facet_no", "score", "rank"]).take(pa.array(np.array(out, np.int64)))
+    return rows.add_column(0, "pick_no", pa.array(np.arange(before + 1, before + 1 + len(out))))
+
+
+def allocated(scores: DataFrame, facets: DataFrame, *, at_once: int = AT_ONCE) -> DataFrame:
     """(pick_no, image_id, facet_no, score, rank): in rounds, every facet of
     ``facets(facet_no, quota)`` with quota left takes its best image that no one has taken.
 
-    Before any pick fewer images than the sum R of quotas are taken, so each pick is among the
-    first R of its facet and only those are looked at: facets x R rows in one task, a bound that
-    the quotas set. Fewer than R images are an error.
+    Turns are taken in runs. Before any pick of a run fewer images than the run has picks are taken in
+    it, so each is among so many first free images of its facet and only those are looked at: facets x
+    picks of the run, ``at_once`` rows in the one task that picks, whatever the quotas are. Fewer images
+    than the sum of quotas are an error.
     """
-    quotas = {r[0]: r[1] for r in facets.select("facet_no", "quota").orderBy("facet_no").collect()}
-    need = sum(quotas.values())
+    quotas = {r[0]: max(0, r[1]) for r in facets.select("facet_no", "quota").orderBy("facet_no").collect()}
+    spark, need = scores.sparkSession, sum(quotas.values())
     have = scores.select("image_id").distinct().limit(need).count()
     if have < need:
         raise ValueError(f"{need} images are needed, {have} are there")
-    short = rankings(scores.join(F.broadcast(facets.select("facet_no")), "facet_no"), max(1, need)).select("facet_no", "rank", "image_id", "score")
-
-    def pick(table: pa.Table) -> pa.Table:
-        lines: dict[int, list] = {f: [] for f in quotas}
-        for r in sorted(table.to_pylist(), key=lambda r: (r["facet_no"], -r["rank"])):
-            lines[r["facet_no"]].append(r)
-        used, out = set(), []
-        for turn in range(max(quotas.values(), default=0)):
-            for f, quota in quotas.items():
-                if turn < quota:
-                    while (r := lines[f].pop())["image_id"] in used:
-                        pass
-                    used.add(r["image_id"])
-                    out.append(r | {"pick_no": len(out) + 1})
-        names = ["pick_no", "image_id", "facet_no", "score", "rank"]
-        return pa.table({n: pa.array([r[n] for r in out], k) for n, k in zip(names, (pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.int32()), strict=True)})
-
-    return short.groupBy(F.lit(1).alias("all")).applyInArrow(
-        lambda t: pick(t), "pick_no long, image_id string, facet_no long, score double, rank int")
+    own = scores.join(F.broadcast(facets.select("facet_no")), "facet_no").select("facet_no", "image_id", "score")
+    runs = list(turns(list(quotas.values()), max(1, at_once // max(1, len(quotas)))))
+    if not runs:
+        return spark.createDataFrame([], PICKS)
+    ranked = rankings(own, need) if len(runs) == 1 else cut(rankings(own).where(F.col("rank") <= need))
+    ranked, out, before = ranked.select("facet_no", F.col("rank").cast("int").alias("rank"), "image_id", "score"), None, 0
+    for first, end, n in runs:
+        free = ranked if out is None else ranked.join(out.select("image_id"), "image_id", "left_anti")
+        if len(runs) > 1:  # the first n free ones of each facet, cut in every task before the shuffle
+            best = best_rows(free.withColumn("order", -F.col("rank").cast("double")), "facet_no", "order", "image_id", n).select("facet_no", "image_id", (-F.col("order")).cast("int").alias("rank"))
+            top = best.withColumn("n", F.row_number().over(Window.partitionBy("facet_no").orderBy("rank"))).where(F.col("n") <= n).select("facet_no", "image_id")
+            free = free.join(top, ["facet_no", "image_id"])
+        picks = free.groupBy(F.lit(1).alias("all")).applyInArrow(picker(quotas, first, end, before), PICKS)
+        out, before = picks if len(runs) == 1 else cut(picks if out is None else out.unionByName(picks)), before + n
+    return out
 
 
 def counts(picks: DataFrame, facets: DataFrame) -> DataFrame:

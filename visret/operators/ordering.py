@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from visret.sources.lineage import cut
 
+#: Groups (some 100 bytes each) whose bounds are broadcast at most.
+BROADCAST = 100_000
 BEST = pa.schema([("key", pa.int64()), ("score", pa.float64()), ("id", pa.string())])
 
 
@@ -47,9 +49,55 @@ def numbered(rows: DataFrame, keys: list[str], order: list[Column], into: str) -
     return parts.withColumn("inside", inside).join(offset, [*keys, "part"]).withColumn(into, F.col("inside") + F.col("before")).drop("part", "inside", "before")
 
 
+#: Bins that the values of a group are counted in at a time.
+BINS = 4096
+
+
 def medians(rows: DataFrame, keys: list[str], value: str, into: str) -> DataFrame:
-    """keys and the exact median of ``value`` (nulls left out)."""
-    some = rows.where(F.col(value).isNotNull()).select(*keys, value)
-    n = some.groupBy(*keys).agg(F.count("*").alias("n"))
-    middle = (F.col("at") >= F.floor((F.col("n") + 1) / 2)) & (F.col("at") <= F.ceil((F.col("n") + 1) / 2))
-    return numbered(some, keys, [F.col(value)], "at").join(n, keys).where(middle).groupBy(*keys).agg(F.avg(value).alias(into))
+    """keys and the exact median of ``value`` (nulls left out).
+
+    The values in the middle are selected by counts: values between a group's bounds are counted in
+    bins, the bin that holds the middle one is found, and its least and largest value are the bounds of
+    the next count, until both are one value. So rows are neither sorted nor kept, only aggregated, and
+    a count of a group has ``BINS`` rows; each makes the bounds some thousand times as narrow. NaN is
+    larger than all other values."""
+    x = F.col(value).cast("double")
+    # Infinities and NaN are put beside the other values, so that bins can be reckoned.
+    apart = F.when(F.isnan(x), 2).when(x == float("inf"), 1).when(x == float("-inf"), -1).otherwise(0)
+    some = rows.where(F.col(value).isNotNull()).select(*keys, apart.alias("kind"), F.when(apart == 0, x).otherwise(0.0).alias("x"))
+    edges = [F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")]
+    each = [F.col(k) for k in keys]
+    bins = some.groupBy(*keys, "kind").agg(*edges).withColumn("bin", F.lit(0))
+    n = bins.groupBy(*keys).agg(F.sum("c").alias("n"))
+    middle = F.explode(F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.ceil((F.col("n") + 1) / 2)))).alias("at")
+    targets = cut(within(bins, n.select(*keys, F.col("n"), middle), keys, ["kind", "bin"]))
+    done = None
+    while True:
+        found = targets.where("lo >= hi")
+        done = found if done is None else done.unionByName(found)
+        targets = targets.where("lo < hi")
+        if targets.isEmpty():
+            break
+        few = targets.limit(BROADCAST + 1).count() <= BROADCAST
+        wanted = targets.select(*keys, "kind", "at", "n", "before", "lo", "hi")
+        part = some.join(F.broadcast(wanted) if few else wanted, [*keys, "kind"]).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+        # Halves of large ones, as the distance of two doubles may be more than the largest.
+        half = F.when(F.greatest(F.abs("lo"), F.abs("hi")) > 1e307, 0.5).otherwise(1.0)
+        place = F.least(F.lit(BINS - 1), F.floor((F.col("x") * half - F.col("lo") * half) / (F.col("hi") * half - F.col("lo") * half) * BINS).cast("int"))
+        counted = part.groupBy(*keys, "kind", "at", "n", "before", place.alias("bin")).agg(F.count("*").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        targets = cut(within(counted, None, [*keys, "kind", "at", "n", "before"], ["bin"]))
+    out = F.when(F.col("kind") == 2, float("nan")).when(F.col("kind") == 1, float("inf")).when(F.col("kind") == -1, float("-inf")).otherwise(F.col("lo"))
+    return done.select(*each, out.alias("v")).groupBy(*keys).agg(F.avg("v").alias(into))
+
+
+def within(bins: DataFrame, targets: DataFrame | None, keys: list[str], order: list[str]) -> DataFrame:
+    """Of counted ``bins``, in ``order`` within ``keys``, the one that holds each place ``at`` that is
+    wanted (counted from ``before``), with the places before it."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = bins.withColumn("below", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    if targets is not None:
+        earlier = earlier.join(targets, keys).withColumn("before", F.lit(0).cast("long"))
+    begin = F.col("before") + F.col("below")
+    here = earlier.where((F.col("at") > begin) & (F.col("at") <= begin + F.col("c")))
+    names = [k for k in keys if k not in ("kind", "at", "n", "before")]
+    return here.select(*names, "kind", "at", "n", begin.alias("before"), "lo", "hi")
