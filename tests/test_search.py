@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from visret.functions import parse
-from visret.operators import ann, candidates, curate, encode, evaluate, ordering, rerank
+from visret.operators import ann, candidates, curate, encode, evaluate, exact, ordering, rerank
 
 
 def parsed(spark, text):
@@ -79,9 +79,9 @@ def test_approximate_search_over_a_stored_index_of_clusters(spark, tmp_path, mon
     path = str(tmp_path / "ann")
     ann.write(images, path)
     index, found = searched(spark, path, images, queries, 5)
-    exact = best(images, queries.where("query_id >= 0"), 5)
-    assert len(found) == 500 and len(exact.keys() & found.keys()) >= 0.9 * len(exact)
-    assert all(abs(found[p] - exact[p]) < 1e-12 for p in exact.keys() & found.keys())
+    true = best(images, queries.where("query_id >= 0"), 5)
+    assert len(found) == 500 and len(true.keys() & found.keys()) >= 0.9 * len(true)
+    assert all(abs(found[p] - true[p]) < 1e-12 for p in true.keys() & found.keys())
     assert index.images == 4500
     assert index.probes < 0.2 * len(index.cells) and ann.depth_for(index, 5) < 0.1 * 4500
     monkeypatch.setattr(ann, "TABLE_BYTES", 5 * 4 * 256 * 6)  # several blocks of queries
@@ -100,8 +100,32 @@ def test_approximate_search_where_nothing_is_clustered(spark, tmp_path):
     queries = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(100)], "query_id int, vec array<double>")
     ann.write(images, str(tmp_path / "ann"))
     index, found = searched(spark, str(tmp_path / "ann"), images, queries, 10)
-    exact = best(images, queries, 10)
-    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact) and ann.depth_for(index, 10) < 0.1 * 2000
+    true = best(images, queries, 10)
+    assert len(true.keys() & found.keys()) >= 0.9 * len(true) and ann.depth_for(index, 10) < 0.1 * 2000
+
+
+def test_exact_search_skips_cells_and_loses_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(candidates, "CELL", 40)
+    rng = np.random.default_rng(1)
+    x = clustered(rng, 40, 50, 24, 0.1)
+    x[7] = x[8] = 0
+    rows = [(f"{i:04}", v.tolist()) for i, v in enumerate(x)] + [("null", None), ("short", [1.0]), ("short2", [-1.0])]
+    images = spark.createDataFrame(rows, "image_id string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in (0, 3, 7, *range(100, 160))] + [(-1, [2.0]), (-2, [1.0, 2.0])], "query_id int, vec array<double>")
+    exact.write(images, str(tmp_path / "cells"))
+    vectors, cells = exact.load(spark, str(tmp_path / "cells"))
+    for k in (1, 5, 2000):
+        want = sorted(map(tuple, candidates.top_k(images, queries, k).collect()))
+        assert sorted(map(tuple, exact.search(vectors, cells, queries, k).collect())) == want
+    q = candidates.unit_rows(x[100:160])
+    first = cells.nearest(q, 5)
+    floor = -np.sort(-(q @ candidates.unit_rows(x).T), axis=1)[:, 4]
+    looked = ((first | cells.others(q, first, floor)) * cells.images).sum()
+    assert looked < 0.3 * len(q) * len(x)
+    assert sorted(map(tuple, exact.search(vectors, cells, queries, 5, block_bytes=200).collect())) == sorted(map(tuple, candidates.top_k(images, queries, 5).collect()))
+    assert exact.search(vectors, cells, queries.limit(0), 5).count() == 0
+    with pytest.raises(ValueError, match="positive"):
+        exact.search(vectors, cells, queries, 0)
 
 
 def test_codes_are_the_nearest_centres():

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from visret.functions import parse
 from visret.functions.lexicon import PROMPTS, Lexicon
 from visret.functions.vectors import audit, l2_normalized, mean_vectors
-from visret.operators import ann, candidates, catalog, curate, encode, evaluate, intervals, regions, rerank
+from visret.operators import ann, candidates, catalog, curate, encode, evaluate, exact, intervals, regions, rerank
 from visret.plans import search as plans
 from visret.sources import lineage, store
 from visret.streaming.append import append_new, append_stream, keyed
@@ -104,6 +104,14 @@ def candidate_topk(spark, sf_dir):
     return candidates.top_k(images, vector_queries(images), CANDIDATES).withColumn("cosine", F.round("cosine", 6))
 
 
+@query(ORACLE_SQL["candidate_topk"])
+def candidate_topk_cells(spark, sf_dir):
+    """The same from stored cells, of which those that can't hold a best image are skipped."""
+    images, path = single(spark, sf_dir), f"{lineage.new_folder(spark)}/cells"
+    exact.write(images, path)
+    return kept(exact.search(*exact.load(spark, path), vector_queries(images), CANDIDATES), path).withColumn("cosine", F.round("cosine", 6))
+
+
 @query()
 def candidate_ann(spark, sf_dir):
     """The approximate index written, loaded and searched."""
