@@ -268,6 +268,16 @@ def test_token_counts_equal_the_tokenizers(spark, monkeypatch, block):
     assert token_scan.of_documents(d.limit(0)).count() == 0
 
 
+def test_token_counts_do_not_depend_on_the_session(spark):
+    d = read(spark, SF, "documents")
+    plain = sorted((r.doc_id, r.n_tokens) for r in token_scan.of_documents(d).collect())
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "30")
+    try:
+        assert sorted((r.doc_id, r.n_tokens) for r in token_scan.of_documents(d).collect()) == plain and len(plain) == d.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
 def test_flat_files_hold_nothing_but_ids(spark, tmp_path):
     d = spark.createDataFrame([(1, "one two"), (2, ""), (3, "three")], "doc_id long, text string").coalesce(1)
     ids, _ = token_scan.write_files(d, str(tmp_path / "flat"))
@@ -529,6 +539,18 @@ def test_sites_of_kinds_that_training_does_not_make(spark):
     assert sum(p > 0.95 and r > 0.95 for p, r in got.values()) >= 10, got
 
 
+def test_a_long_page_of_the_smallest_draw_is_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "SAMPLE_CHARS", 40_000)
+    monkeypatch.setattr(html_text, "MADE", 5)
+    pools = []
+    monkeypatch.setattr(html_text, "layout", lambda rng, pool, made=html_text.layout: pools.append(pool) or made(rng, pool))
+    pages = read(spark, SF, "pages").select("page_id", "url", "html")
+    draw = pages.select(F.min(F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)))).first()[0]
+    first = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)) == draw
+    html_text.fit(pages.withColumn("html", F.when(first, F.concat("html", F.repeat(F.lit("<p>long</p>"), 1000))).otherwise(F.col("html"))))
+    assert len(pools[0]) > 30 and "long" not in pools[0]
+
+
 def test_a_table_of_pages_without_main_elements(spark):
     """The texts of all sampled pages serve, also where no page tells its main part; and a page
     longer than all that the sample may hold is read whole."""

@@ -431,8 +431,9 @@ def layout(rng: np.random.Generator, pool: list[str]) -> str:
     return f"<html><body>{body}</body></html>"
 
 
-#: The model is fitted on so many pages at most, those of the smallest hash, as long as they have no
-#: more than so many characters in all; and on so many made layouts.
+#: The model is fitted on so many pages at most, those of the smallest hash that together have no more
+#: than so many characters (a page of more than a quarter of that is passed over); and on so many
+#: made layouts.
 SAMPLE, SAMPLE_CHARS, MADE = 200, 8 << 20, 900
 #: Characters of pages whose nodes are scored at a time (one page at least).
 AT_ONCE = 1 << 20
@@ -445,9 +446,12 @@ def fit(pages: DataFrame, *, source: str = "html") -> Trees:
     share = min(1.0, 2 * SAMPLE / max(1, pages.count()))  # so that tasks send the driver a few rows, not SAMPLE each
     draw = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
     few = pages.where(draw < share * (1 << 30)).select(draw.alias("h"), F.coalesce(source, F.lit("")).alias("html"))
-    size = few.select("h", F.length("html").alias("n")).orderBy("h", "n").limit(SAMPLE).toPandas()
-    fits = size["h"][size["n"].cumsum() <= SAMPLE_CHARS]
-    rows = few.where(F.col("h") <= int(fits.iloc[-1])).orderBy("h", F.length("html"), "html").limit(len(fits)).collect() if len(fits) else []
+    few, taken, total = few.where(F.length("html") <= SAMPLE_CHARS // 4), [], 0
+    for h, n in few.select("h", F.length("html").alias("n")).orderBy("h", "n").limit(SAMPLE).collect():
+        if total + n <= SAMPLE_CHARS:
+            taken.append(h)
+            total += n
+    rows = few.where(F.col("h").isin(taken)).orderBy("h", F.length("html"), "html").limit(len(taken)).collect() if taken else []
     every = [parse(r["html"]) for r in rows]
     real = [p for p in every if labels_of(p).any()]
     pool = [t for p in every for t in p.texts if t] or ["A b c.", "D e f, g h i j k.", "l m"]

@@ -53,7 +53,8 @@ def write_files(docs: DataFrame, folder: str, *, text: str = "text", path: str =
     # Sorted as the writer wants it, a file of each kind after the other, each in the order read.
     ordered = rows.withColumn("n", F.monotonically_increasing_id()).sortWithinPartitions("kind", "n")
     separator = int(end).to_bytes(2, "little").decode()
-    ordered.select("kind", F.col("value").cast("string")).write.partitionBy("kind").option("lineSep", separator).option("compression", "none").text(folder)
+    (ordered.select("kind", F.col("value").cast("string")).write.partitionBy("kind").option("lineSep", separator)
+     .option("compression", "none").option("maxRecordsPerFile", 0).text(folder))
     return f"{folder}/kind=ids", f"{folder}/kind=names"
 
 
@@ -129,14 +130,15 @@ def count_tokens(blocks: DataFrame, *, end: int = END) -> DataFrame:
 
 def named(counts: DataFrame, names: str, kind: T.DataType, *, end: int = END) -> DataFrame:
     """``counts`` of flat files with the number of the file for ``file`` and ``doc_id`` from the
-    files of names."""
+    files of names, each of which has the base name of its flat file."""
+    base = lambda c: F.regexp_extract(c, "[^/]+$", 0)
     number = lambda c: F.regexp_extract(c, r"part-(\d+)", 1).cast("long")
     separator = int(end).to_bytes(2, "little").decode()
-    files = counts.sparkSession.read.format("binaryFile").load(names).select(number("path").alias("file"), F.col("content").cast("string").alias("all"))
-    every = files.select("file", F.posexplode(F.split("all", separator)).alias("doc_no", "name"))
+    files = counts.sparkSession.read.format("binaryFile").load(names).select(base("path").alias("base"), F.col("content").cast("string").alias("all"))
+    every = files.select("base", F.posexplode(F.split("all", separator)).alias("doc_no", "name"))
     doc = F.when(F.col("name") != "", F.decode(F.unhex(F.substring("name", 2, 1 << 30)), "UTF-8").cast(kind))
-    every = every.select("file", F.col("doc_no").cast("long").alias("doc_no"), doc.alias("doc_id"))
-    return counts.withColumn("file", number("file")).join(every, ["file", "doc_no"])
+    every = every.select("base", F.col("doc_no").cast("long").alias("doc_no"), doc.alias("doc_id"))
+    return counts.withColumn("base", base("file")).withColumn("file", number("file")).join(every, ["base", "doc_no"]).drop("base").select("file", "doc_no", *counts.columns[2:], "doc_id")
 
 
 def of_documents(docs: DataFrame) -> DataFrame:
