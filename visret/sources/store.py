@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from visret.schemas import LAYOUT, MANIFEST
+from visret.sources.lineage import exists
 
 STRATEGY, METRIC, VERSION = "heuristic+annotations", "cosine", 1
 TABLES = ("images", "regions")
@@ -38,7 +39,10 @@ def write(images: DataFrame, regions: DataFrame, path: str, model_id: str, bucke
 
 
 def bucketed(spark: SparkSession, path: str) -> list[DataFrame]:
-    """Images and regions as tables of the session that know their buckets."""
+    """Images and regions as tables of the session that know their buckets; an index without a layout has
+    none."""
+    if not exists(spark, f"{path}/layout"):
+        return [spark.read.parquet(f"{path}/{table}") for table in TABLES]
     buckets = spark.read.schema(LAYOUT).json(f"{path}/layout").first()["buckets"]
     for table in TABLES:
         columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{table}").schema)
