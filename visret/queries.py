@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from visret.functions import parse
 from visret.functions.lexicon import PROMPTS, Lexicon
 from visret.functions.vectors import audit, l2_normalized, mean_vectors
-from visret.operators import ann, candidates, catalog, curate, encode, evaluate, exact, intervals, regions, rerank
+from visret.operators import ann, candidates, catalog, curate, encode, evaluate, exact, intervals, mentions, regions, rerank
 from visret.plans import search as plans
 from visret.sources import lineage, store
 from visret.streaming.append import append_new, append_stream, keyed
@@ -516,6 +516,18 @@ def parse_overlapping(spark, sf_dir):
     return texts(spark, sf_dir).select("query_id", F.array_join(parse.bindings(parse.normalized(F.col("text")), MIXED), "|").alias("bindings"))
 
 
+@query(f"""WITH t AS (SELECT p_partkey AS query_id, trim(regexp_replace(lower({TEXT}), '\\s+', ' ', 'g')) AS t FROM part),
+x AS (SELECT DISTINCT lower(p_name) AS phrase FROM part UNION SELECT DISTINCT lower(p_type) FROM part UNION SELECT DISTINCT lower(p_brand) FROM part)
+SELECT query_id, count(*) AS phrases, string_agg(phrase, '|' ORDER BY phrase) AS found FROM t JOIN x
+ON contains(t, phrase) AND regexp_matches(t, '(^|[^0-9A-Za-z_])' || regexp_escape(phrase) || '($|[^0-9A-Za-z_])') GROUP BY query_id""")
+def lexicon_mentions(spark, sf_dir):
+    """All names, types and brands as a lexicon, and which of them each text has."""
+    parts = table(spark, sf_dir, "part")
+    lexicon = parts.select(F.explode(F.array("p_name", "p_type", "p_brand")).alias("phrase")).distinct().withColumn("name", F.col("phrase"))
+    found = mentions.mentions(texts(spark, sf_dir), lexicon).select("query_id", "phrase").distinct()
+    return found.groupBy("query_id").agg(F.count("*").alias("phrases"), F.array_join(F.array_sort(F.collect_list("phrase")), "|").alias("found"))
+
+
 def bound(spark, sf_dir):
     p = rerank.parsed_queries(texts(spark, sf_dir), LEXICON)
     f = rerank.facets(p).where("kind = 'binding'")
