@@ -9,7 +9,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from visret.sources.lineage import exists, remove, touch
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Where a stream's state is. Stores are many and small, so they take no disk before they need it.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def keyed(rows: DataFrame, content: str) -> DataFrame:
@@ -93,10 +97,12 @@ def append_stream(source: DataFrame, content: str, target: str, checkpoint: str)
         as_stored(batch, there).write.mode("append").parquet(target)
         remove(batch.sparkSession, f"{marks}/{number - 1}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:  # a query keeps the settings that it was started with
         new = rows.groupBy("content_key").transformWithState(FirstOfContent(), rows.schema, "Append", "None", known.groupBy("content_key"))
-        return (new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+        return new.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
