@@ -76,11 +76,11 @@ def medians(rows: DataFrame, keys: list[str], value: str, into: str) -> DataFram
         found = targets.where("lo >= hi")
         done = found if done is None else done.unionByName(found)
         targets = targets.where("lo < hi")
-        if targets.isEmpty():
+        left = targets.count()
+        if not left:
             break
-        few = targets.limit(BROADCAST + 1).count() <= BROADCAST
         wanted = targets.select(*keys, "kind", "at", "n", "before", "lo", "hi")
-        part = some.join(F.broadcast(wanted) if few else wanted, [*keys, "kind"]).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+        part = some.join(F.broadcast(wanted) if left <= BROADCAST else wanted, [*keys, "kind"]).where((F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
         # Halves of large ones, as the distance of two doubles may be more than the largest.
         half = F.when(F.greatest(F.abs("lo"), F.abs("hi")) > 1e307, 0.5).otherwise(1.0)
         place = F.least(F.lit(BINS - 1), F.floor((F.col("x") * half - F.col("lo") * half) / (F.col("hi") * half - F.col("lo") * half) * BINS).cast("int"))
