@@ -350,7 +350,7 @@ def collocations(docs: DataFrame, *, text: str = "text", lang: str = "lang", lea
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"))
     counts = cut(word_counts(rows))
     ranges = ranges_of(counts, size)
-    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ranges.n // 4))
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges.n)
     phrases = cut(united(transducers(rows, ranges), tasks, least))
     n = counts.groupBy("lang").agg(F.sum("n").alias("n"))
     best = ranked(scored(phrases, counts.where(F.col("n") >= least)), top)
