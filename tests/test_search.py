@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -274,3 +275,25 @@ def test_comparison_of_strategies(spark):
     run = lambda ids: spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(ids)], "query_id int, rank int, image_id string")
     r = evaluate.comparison(run("cab"), run("abcd"), 2).first()
     assert (r.image_id, r.baseline_rank, r.structured_top, r.baseline_top) == ("c", 3, ["c", "a"], ["a", "b"])
+
+
+@pytest.mark.parametrize("one_each", [False, True])
+def test_rows_that_wait_for_the_best_are_bounded(monkeypatch, one_each):
+    """By queries and k, not by the images seen, here in an order where each is better than all before."""
+    monkeypatch.setattr(candidates, "WAITING", 64)
+    rng = np.random.default_rng(9)
+    q, x = candidates.unit_rows(rng.normal(size=(20, 6))), candidates.unit_rows(rng.normal(size=(4000, 6)))
+    x = x[np.argsort((q @ x.T).max(0))]
+    ids = [f"{i // 2 if one_each else i:04}" for i in range(4000)]
+    held, most = candidates.Best(q, 5, one_each), 0
+    for i in range(0, 4000, 25):
+        held.look(pa.array(ids[i:i + 25]), x[i:i + 25])
+        most = max(most, sum(len(r[0]) for r in held.rows))
+    assert most <= 20 * 5 + 100 + 20 * 25
+    got = [tuple(r.values()) for b in held.found(list(range(20)), pa.int64()) for r in b.to_pylist()]
+    for n in range(20):
+        best = {}
+        for name, s in zip(ids, np.round(q[n] @ x.T, 12).tolist(), strict=True):
+            best[name] = max(best.get(name, -2), s)
+        want = sorted(((n, name, s) for name, s in best.items()), key=lambda r: (-r[2], r[1]))[:5]
+        assert [r[:2] for r in got if r[0] == n] == [r[:2] for r in want]

@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from visret.operators.ann import result, together
-from visret.operators.candidates import AT_ONCE, BEST_ROWS, BLOCK_BYTES, arrow_type, cell_centres, cosines, cut_at, fitting, matrix, query_blocks, sample, unit_rows
-from visret.operators.ordering import BEST, kept
+from visret.operators.candidates import AT_ONCE, BLOCK_BYTES, KEPT_ROWS, Best, arrow_type, cell_centres, cut_at, fitting, matrix, query_blocks, sample, unit_rows
 
 #: What a bound may be off by, in cosine: roundings of the products and of the radii.
 SLACK = 1e-9
@@ -67,11 +66,12 @@ def placed(images: DataFrame, centres: np.ndarray) -> DataFrame:
             cell, angle = np.full(len(batch), len(c), np.int32), np.zeros(len(batch))
             if fits.any():
                 x = unit_rows(matrix(batch.column(1).filter(pa.array(fits))))
-                near = x @ c.T
                 real = np.any(x, axis=1)
-                at = np.flatnonzero(fits)[real]
-                cell[at] = near[real].argmax(1)
-                angle[at] = np.arccos(np.clip(near[real].max(1), -1, 1))
+                x, at, step = x[real], np.flatnonzero(fits)[real], max(1, AT_ONCE // len(c))
+                for i in range(0, len(x), step):
+                    near = x[i:i + step] @ c.T
+                    cell[at[i:i + step]] = near.argmax(1)
+                    angle[at[i:i + step]] = np.arccos(np.clip(near.max(1), -1, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell), pa.array(angle), batch.column(1)], ["image_id", "cell", "angle", "embedding"])
 
     schema = T.StructType([T.StructField("image_id", T.StringType()), T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType()), images.schema["embedding"]])
@@ -104,32 +104,16 @@ def best_open(shared, k: int, kind: pa.DataType):
     cells that are open to it; no product is made for other cells."""
     def best(batches):
         keys, q, open_ = shared.value
-        held = None
+        held = Best(q, k)
         for batch in batches:
-            fits = fitting(batch.column(2), q.shape[1])
-            at = np.flatnonzero(fits)
-            cell = batch.column(1).to_numpy()[at]
-            if not len(at):
+            batch = batch.filter(pa.array(fitting(batch.column(2), q.shape[1])))
+            if not len(batch):
                 continue
-            x, ids = matrix(batch.column(2).filter(pa.array(fits))), batch.column(0).take(pa.array(at))
+            x, ids, cell = unit_rows(matrix(batch.column(2))), batch.column(0), batch.column(1).to_numpy()
             order = np.argsort(cell, kind="stable")
-            parts = []
             for own in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1):
-                asked = np.flatnonzero(open_[:, cell[own[0]]])
-                step = max(1, AT_ONCE // max(1, len(asked)))
-                for i in range(0, len(own) if len(asked) else 0, step):
-                    some = own[i:i + step]
-                    score = cosines(q[asked], x[some])
-                    floor = -np.partition(-score, k - 1, axis=1)[:, k - 1] if score.shape[1] > k else np.full(len(asked), -np.inf)
-                    a, b = np.nonzero(score >= floor[:, None])
-                    parts.append(pa.table({"key": pa.array(asked[a], pa.int64()), "score": score[a, b], "id": ids.take(pa.array(some[b])).cast(pa.string())}, schema=BEST))
-                    if len(parts) > 64:
-                        parts = [kept(pa.concat_tables(parts), k)]
-            if parts:
-                held = kept(pa.concat_tables([*parts, *([held] if held is not None else [])]), k)
-        if held is not None:
-            names = pa.array(keys, kind).take(pa.array(held["key"].to_numpy()))
-            yield from pa.table({"query_id": names, "image_id": held["id"], "cosine": held["score"]}).to_batches(10_000)
+                held.look(ids.take(pa.array(own)), x[own], np.flatnonzero(open_[:, cell[own[0]]]))
+        yield from held.found(keys, kind)
 
     return best
 
@@ -147,7 +131,7 @@ def search(vectors: DataFrame, cells: Cells, queries: DataFrame, k: int, *, bloc
         some = vectors.where(F.col("cell").isin(used)) if len(used) < len(cells.images) // 2 else vectors
         return some.select("image_id", "cell", "embedding").mapInArrow(best_open(spark.sparkContext.broadcast((keys, q, open_)), k, kind), schema)
 
-    for keys, q in query_blocks(queries, "query_id", block_bytes, max(1, BEST_ROWS // k)):
+    for keys, q in query_blocks(queries, "query_id", block_bytes, max(1, KEPT_ROWS // k)):
         first = cells.nearest(q, k)
         near = cut_at(look(keys, q, first), k)
         floors = {r["query_id"]: r["f"] for r in near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("cosine").alias("f")).where(F.col("n") >= k).collect()}  # a row for each query of the block
