@@ -297,3 +297,26 @@ def test_rows_that_wait_for_the_best_are_bounded(monkeypatch, one_each):
             best[name] = max(best.get(name, -2), s)
         want = sorted(((n, name, s) for name, s in best.items()), key=lambda r: (-r[2], r[1]))[:5]
         assert [r[:2] for r in got if r[0] == n] == [r[:2] for r in want]
+
+
+def test_metrics_by_label_equal_those_of_pairs(spark):
+    images = [("a", 1), ("b", 1), ("c", 2), ("d", None), ("e", 1), ("e", 1), ("f", 3)]
+    queries = [(1, "a", 1), (2, "c", 2), (3, "d", None), (4, "x", 1), (5, "f", 4)]
+    pairs = [(q, i) for q, own, of in queries for i, label in images if of is not None and label == of and i != own]
+    ranked = spark.createDataFrame([(q, n + 1, i) for q in range(1, 7) for n, i in enumerate("bacdef")], "query_id int, rank int, image_id string")
+    labels = spark.createDataFrame(images, "image_id string, label int")
+    asked = spark.createDataFrame(queries, "query_id int, own string, label int")
+    got = evaluate.metrics_by_label(ranked, labels, asked, 3)
+    want = evaluate.metrics(ranked, spark.createDataFrame(pairs, "query_id int, image_id string"), 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_queries_share_facets_and_vectors_of_a_block(spark, monkeypatch):
+    v = spark.createDataFrame([(q, 1, "binding", "red tie", r, 0, x) for q in range(50) for r, x in (("phrase", [1.0, 0.0]), ("garment", [3.0, 4.0]), ("distractor", [0.0, 1.0]))],
+                              "query_id int, facet_no int, kind string, facet string, role string, role_no int, vec array<double>")
+    (block,) = rerank.role_blocks(v, 4000)  # 50 queries of 3 vectors each
+    assert len(block.keys) == 50 and len(block.facets) == 1 and block.roles.shape == (3, 2)
+    images = spark.createDataFrame([(f"{i}", [1.0, float(i)]) for i in range(4)], "image_id string, embedding array<double>")
+    c = spark.createDataFrame([(q, f"{i}") for q in range(50) for i in range(4)], "query_id int, image_id string")
+    got = {(r.query_id, r.image_id): (round(r.phrase, 9), round(r.margin, 9)) for r in rerank.evidence(c, images, images, v, block_bytes=700).collect()}
+    assert len(got) == 200 and all(got[q, f"{i}"] == (round(1 / np.hypot(1, i), 9), round((1 - i) / np.hypot(1, i), 9)) for q, i in [(0, 0), (7, 1), (49, 3)])
