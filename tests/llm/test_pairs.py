@@ -189,6 +189,49 @@ def test_similar_documents_of_odd_rows(spark):
     assert len({r.doc_id for r in got}) == len(got) and {r.doc_id for r in got} in ({1, 3}, {1, 2, 3})
 
 
+def test_candidates_of_every_similarity_are_found_and_few_by_chance():
+    rng = random.Random(11)
+    some = [" ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(100, 400))) for _ in range(1500)]
+    copies = [next(near_copies(rng, t, 1, rng.uniform(0.002, 0.025))) for t in some]
+    a, b = (simhash.bands([t.encode() for t in x])[1] for x in (some, copies))
+    found, by = (a == b).any(1).tolist(), {}
+    for s, c, hit in zip(some, copies, found, strict=True):
+        x, y = five(s), five(c)
+        by.setdefault(int(40 * len(x & y) / len(x | y)), []).append(hit)
+    assert all(np.mean(by[step]) >= 0.95 for step in range(32, 39)) and min(len(by[step]) for step in range(32, 39)) > 30
+    assert len(np.unique(a)) == a.size
+
+
+def test_shingles_are_counted_and_short_texts_have_no_keys():
+    some = ["", "a b c d", "a b c d e", "a b c d e a b c d e", "x " * 300_000]
+    size, keys = simhash.bands([t.encode() for t in some])
+    assert size.tolist() == [0, 0, 1, 5, 1] and len(keys) == 3 and len(np.unique(keys)) == keys.size
+
+
+def test_chains_are_one_group_whatever_is_merged_first(spark):
+    """The third text is similar to the second alone, which goes with the first; the fourth to the third."""
+    words = [f"w{i}" for i in range(400)]
+    steps = [words[i:] + [f"n{j}" for j in range(i)] for i in (0, 30, 60, 90)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(steps)] + [(9, " ".join(f"z{i}" for i in range(400)))]
+    sets = {i: five(t) for i, t in rows}
+    want = set(reach(sorted(sets), lambda a, b: alike(sets[a], sets[b])).values())
+    assert want == {0, 9} and not alike(sets[0], sets[2]) and not alike(sets[1], sets[3])
+    for order in (lambda i: i, lambda i: 9 - i, lambda i: (0, 3, 1, 2)[i] if i < 4 else i):
+        d = spark.createDataFrame([(order(i), t) for i, t in rows], "doc_id long, text string")
+        assert {r.doc_id for r in simhash.keep_dissimilar(d).collect()} == {min(map(order, range(4))), order(9)}
+
+
+@pytest.mark.parametrize("parts", [simhash.SHARE, 8])
+def test_nodes_of_one_component_are_not_paired(spark, monkeypatch, parts):
+    monkeypatch.setattr(simhash, "SHARE", parts)
+    rows = [(i, 100, [1, 2], 0) for i in range(300)] + [(i, 100 if i % 2 else 130, [2], i) for i in range(300, 330)]
+    got = simhash.other_pairs(spark.createDataFrame(rows, "node long, size long, keys array<long>, component long"))
+    odd_ones = range(301, 330, 2)
+    want = {(i, j) for i in odd_ones for j in [*range(300), *odd_ones] if j < i} | {(i, j) for i in range(300, 330, 2) for j in range(300, i, 2)}
+    assert got.count() == len(want) and {tuple(r) for r in got.collect()} == want
+    assert simhash.other_pairs(spark.createDataFrame(rows[:300], "node long, size long, keys array<long>, component long")).count() == 0
+
+
 def test_license_base_equals_brute_force(spark):
     d = read(spark, SF, "documents").select("doc_id", "text")
     extra = [(9000 + i, t) for i, (_, t) in enumerate(ODD)] + [(9100, "cc by CC-BY, cc by General Public License all rights reserved reserved"), (9101, "Released under the MIT license."), (9102, "licensed under the very Apache License, Version 2.0")]

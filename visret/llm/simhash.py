@@ -7,9 +7,10 @@ within distance 4, six or one of them, and two words that differ by two bits or
 one (the codeword nearest to a word halfway between lies within 3 + 1 of both). A key is an equal
 segment with a codeword index of the next; fingerprints are joined on keys and verified.
 
-``groups`` links fingerprints of two differing bits at most. ``keep_dissimilar`` takes its candidates
-from wider keys, codeword indices of two segments of three, and verifies the texts: those whose sets
-of five-word shingles are similar by 0.8 or more.
+``groups`` links fingerprints of two differing bits at most. Of texts whose sets of five-word shingles
+are similar by 0.8 or more it finds few, and wider keys of 64 bits meet by chance the more often the
+more texts there are. So ``keep_dissimilar`` takes its candidates from bands of the sets' least hashes
+(MinHash), whose keys have 64 bits each, and verifies the texts.
 """
 
 from itertools import combinations
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from visret.llm.common import LOWER, components, cut, starts_of, texts
+from visret.llm.common import LOWER, components, cut, expand, starts_of, texts
+from visret.llm.substrings import MIX, mixed, rolled, word_hashes
 
 SEED, SHINGLE, NEAR = 42, 3, 2
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, of the binary Golay code
@@ -152,35 +154,59 @@ def keep_one(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 WORDS, SIMILAR = 5, (4, 5)  # words of a verified shingle, and the similarity as a fraction
-WIDE = 12  # differing bits of candidates
-TRIPLE = (0, 20, 41)  # starts of three 23-bit segments that cover the 64 bits
+#: A candidate shares a band: the least hashes of its shingles by so many functions. Of pairs similar by 0.8
+#: 1 - (1 - 0.8 ** 5) ** 14 = 0.996 can be expected to share one, of those by 0.3 a thirtieth.
+BANDS, ROWS = 14, 5
+FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).reshape(BANDS, ROWS) | np.uint64(1)
+TOGETHER = 1 << 18  # bytes of texts that are hashed at a time (one text at least)
 SHARE = 4096  # rows of one key in one part of a join
 
 
-@F.arrow_udf(T.StructType().add("fp", T.LongType()).add("low", T.LongType()).add("high", T.LongType()))
+def bands(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts in lower case how many different shingles each has, and of those that have any, in order, a
+    key of 64 bits for each band. Texts of fewer than ``WORDS`` words have none: they are similar to
+    texts of the same words alone."""
+    h, at = word_hashes(np.frombuffer(b"".join(some), np.uint8), starts_of(np.fromiter(map(len, some), np.int64, len(some))))
+    text, place = expand(at[:-1], np.maximum(0, np.diff(at) - WORDS + 1))
+    runs = rolled(h, WORDS, MIX[1])[place]
+    order = np.lexsort((runs, text))
+    text, runs = text[order], runs[order]
+    new = np.r_[True, (text[1:] != text[:-1]) | (runs[1:] != runs[:-1])][:len(text)]
+    size, runs = np.bincount(text[new], minlength=len(some)), runs[new]
+    count = size[size > 0]
+    keys = np.zeros((len(count), BANDS), np.uint64)
+    if len(count):
+        begin = starts_of(count)[:-1]
+        for i, factors in enumerate(FACTORS):
+            keys[:, i] = i + 1
+            for f in factors:
+                keys[:, i] = mixed(keys[:, i] * np.uint64(MIX[0]) + np.minimum.reduceat(runs * f, begin))
+    return size, keys
+
+
+@F.arrow_udf(T.StructType().add("low", T.LongType()).add("high", T.LongType()).add("size", T.LongType()).add("keys", T.ArrayType(T.LongType())))
 def sketch(text: pa.Array) -> pa.Array:
-    """Fingerprint, and 128 bits that tell the words of texts apart."""
-    fp, words = np.zeros(len(text), np.uint64), bytearray()
-    for i, t in enumerate(texts(text)):
-        fp[i] = fingerprint_of(t)
-        words += xxhash.xxh3_128_digest(b" ".join(t.translate(LOWER).split()))
-    both, fp = np.frombuffer(words, np.int64).reshape(-1, 2), fp.view(np.int64)
-    return pa.StructArray.from_arrays([pa.array(fp), pa.array(both[:, 0]), pa.array(both[:, 1])], ["fp", "low", "high"])
-
-
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def wide_keys(prints: pa.Array) -> pa.Array:
-    """Every pair of the three segments with every pair of their codeword indices. Of 12 bits that
-    differ, two segments can be expected to hold 8 or fewer, 4 each."""
-    fp = np.asarray(prints).astype(np.int64).view(np.uint64)
-    own = [indices((fp >> np.uint64(a) & np.uint64(0x7FFFFF)).astype(np.int64)) for a in TRIPLE]
-    alone = [np.c_[np.ones(len(fp), bool), x[:, 1:] != x[:, :1]] for x in own]
-    out, keep = [], []
-    for p, (i, j) in enumerate(combinations(range(3), 2)):
-        out.append((p << 24 | own[i][:, :, None] << 12 | own[j][:, None, :]).reshape(-1, 36))
-        keep.append((alone[i][:, :, None] & alone[j][:, None, :]).reshape(-1, 36))
-    kept = np.concatenate(keep, axis=1)
-    return pa.ListArray.from_arrays(pa.array(starts_of(kept.sum(1)), pa.int32()), pa.array(np.concatenate(out, axis=1)[kept]))
+    """128 bits that tell the words of texts apart, the number of their shingles, and their bands' keys."""
+    words, size, keys = bytearray(), [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.uint64)]
+    some, held = [], 0
+
+    def done():
+        for out, x in zip((size, keys), bands(some), strict=True):
+            out.append(x)
+
+    for t in texts(text):
+        t = t.translate(LOWER)
+        words += xxhash.xxh3_128_digest(b" ".join(t.split()))
+        if some and held + len(t) > TOGETHER:
+            done()
+            some, held = [], 0
+        some.append(t)
+        held += len(t)
+    if some:
+        done()
+    both, size, keys = np.frombuffer(words, np.int64).reshape(-1, 2), np.concatenate(size), np.concatenate(keys)
+    each = pa.ListArray.from_arrays(pa.array(starts_of(np.where(size > 0, BANDS, 0)), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+    return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(size, pa.int64()), each], ["low", "high", "size", "keys"])
 
 
 def shingles(text: bytes) -> set[bytes]:
@@ -217,27 +243,38 @@ def copied(rows: DataFrame, key: str, many: DataFrame) -> DataFrame:
     return rows.join(many, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
 
 
-def near_pairs(nodes: DataFrame, *, least_only: bool) -> DataFrame:
-    """(a, b): nodes of ``nodes(node, fp)`` that share a wide key and differ by ``WIDE`` bits at
-    most, either each with the least node of its key alone, or all with all. Keys with more than
-    ``SHARE`` rows are joined in parts."""
-    keyed = nodes.select("node", "fp", F.explode(wide_keys("fp")).alias("key")).repartition("key")
-    near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= WIDE) & (F.col("b") < F.col("node"))
-    if least_only:
-        first = keyed.groupBy("key").agg(F.min("node").alias("b"), F.min_by("fp", "node").alias("other"), F.count("*").alias("n"))
-        met = keyed.join(first.where("n > 1"), "key").where(near)
-    else:
-        other = keyed.select("key", F.col("node").alias("b"), F.col("fp").alias("other"))
-        sizes = keyed.groupBy("key").agg(F.count("*").alias("n"))
-        met = keyed.join(sizes.where(f"n between 2 and {SHARE}"), "key").join(other, "key").where(near)
-        hot = cut(sizes.where(f"n > {SHARE}").select("key"))
-        if not hot.isEmpty():
-            left, many = in_parts(keyed.join(hot, "key", "left_semi"), "key")
-            right = copied(other.join(hot, "key", "left_semi"), "key", many)
-            met = met.select("node", "b").unionByName(left.join(right, ["key", "part"]).where(near).select("node", "b"))
+def keyed(nodes: DataFrame, *columns: str) -> DataFrame:
+    return nodes.select("node", "size", *columns, F.explode("keys").alias("key"))
+
+
+#: Sets of such sizes can be similar.
+FITTING = f"least(size, other) * {SIMILAR[1]} >= greatest(size, other) * {SIMILAR[0]}"
+
+
+def least_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): each of ``nodes(node, size, keys)`` with the least node of each of its keys."""
+    first = keyed(nodes).groupBy("key").agg(F.min("node").alias("b"), F.min_by("size", "node").alias("other"), F.count("*").alias("n"))
+    met = keyed(nodes).join(first.where("n > 1"), "key").where(F.col("b") < F.col("node")).where(FITTING)
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
+def other_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): those of ``nodes(node, size, keys, component)`` that share a key and are of two components.
+
+    Of a key that several components have, the nodes outside its largest one meet all. So nodes of one
+    component are not paired, however many share a key. Keys with more than ``SHARE`` such nodes are
+    joined in parts."""
+    each = keyed(nodes, "component")
+    shares = each.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed_keys = cut(shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("key", "main"))
+    some = cut(each.join(mixed_keys, "key"))
+    left, many = in_parts(some.where("component <> main").drop("main"), "key")
+    right = copied(some.select("key", F.col("node").alias("b"), F.col("size").alias("other"), F.col("component").alias("its"), (F.col("component") != F.col("main")).alias("too")), "key", many)
+    # Of two nodes that both meet all, the pair is taken once.
+    met = left.join(right, ["key", "part"]).where("component <> its and (not too or b < node)").where(FITTING)
+    return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts in ``docs(doc_id, text)`` are similar."""
     pairs = cut(pairs)
@@ -252,27 +289,30 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 def keep_dissimilar(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents with one, that of the smallest doc_id, of each group that have the same words
     or are similar: five-word shingles as sets, Jaccard similarity of 0.8 or more, candidates by
-    wide keys of the fingerprints. Of rows with the same doc_id one stays. Null texts have no words
+    bands of least hashes. Of rows with the same doc_id one stays. Null texts have no words
     and are copies of each other; rows without a doc_id stay. Empty tables give empty ones.
 
     Texts with the same words are one node. Nodes first meet the least node of each key alone, so
-    that a large group is not paired out; then those that are left meet all that share a key with
-    them. The groups of each turn are the components of its verified pairs.
+    that a large group is not paired out; then those of different components that share a key meet.
+    The groups are the components of all verified pairs of both turns.
     """
     named = docs.where("doc_id is not null").select("doc_id", F.col(text).alias("text"))
     each = cut(named.select("doc_id", sketch.asNondeterministic()("text").alias("s")).select("doc_id", "s.*"))
     # Of rows with one doc_id, those of the least words stand for it.
-    one = [F.min_by(c, "low").alias(c) for c in ("fp", "high")]
+    one = [F.min_by(c, "low").alias(c) for c in ("high", "size", "keys")]
     own = cut(each.groupBy("doc_id").agg(*one, F.min("low").alias("low"), F.count("*").alias("n")))
     again = own.where("n > 1").select("doc_id", "low")
     if not again.isEmpty():
         twice = named.join(again.select("doc_id"), "doc_id", "left_semi").withColumn("low", sketch("text")["low"])
         twice = twice.join(again, ["doc_id", "low"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
         named = named.join(again, "doc_id", "left_anti").unionByName(twice)
-    nodes = cut(own.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp")).select("node", "fp"))
-    for least_only in (True, False):
-        same = verified(near_pairs(nodes, least_only=least_only), named)
-        lost = components(same).where("id <> component").select(F.col("id").alias("node"))
-        nodes = cut(nodes.join(lost, "node", "left_anti"))
-    kept = nodes.select(F.col("node").alias("doc_id"), F.lit(True).alias("kept"))
+    nodes = cut(own.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")).select("node", "size", "keys"))
+    linked = cut(verified(least_pairs(nodes), named))
+    nodes = cut(nodes.join(components(linked).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    more = cut(verified(other_pairs(nodes), named))
+    of = nodes.select("node", "component")
+    if not more.isEmpty():
+        joined = components(more.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b")))
+        of = of.join(joined.toDF("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    kept = of.where("node = component").select(F.col("node").alias("doc_id"), F.lit(True).alias("kept"))
     return with_ids(docs, cut(own.join(kept, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"), "n")))
