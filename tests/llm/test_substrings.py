@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 
 import numpy as np
 
@@ -78,6 +79,21 @@ def test_documents_equal_brute_force_and_long_texts_are_cut(spark, monkeypatch):
     assert got(d) == want
 
 
+def test_frequent_anchors_are_not_joined(spark, monkeypatch, tmp_path):
+    """Documents that share one passage: its anchors are frequent and are in the small table alone."""
+    monkeypatch.setattr(substrings, "SAMPLE", 64)
+    monkeypatch.setattr(substrings, "SHARE", 32)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, f"o{i} " * 20 + passage + f" e{i}" * (i % 3)) for i in range(400)] + [(1000 + i, f"q{i} " + " ".join(f"r{i // 2}x{j}" for j in range(30))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    met, frequent = substrings.references(substrings.tagged(df, "text")[0], str(tmp_path / "anchors"))
+    assert min(frequent["first"].to_pylist()) == 0 and len(frequent) > 5
+    assert not re.search(r"\bJoin|Join\b", met._jdf.queryExecution().executedPlan().toString())
+    assert got(df) == brute(rows)
+    names = [(f"{i:05d}", t) for i, t in rows]
+    assert got(spark.createDataFrame(names, "doc_id string, text string")) == brute(names)
+
+
 def hashed(*some):
     """Hashes of texts' words, and where each text's begin."""
     raw = [t.encode() for t in some]

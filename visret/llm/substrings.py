@@ -8,7 +8,8 @@ The reference is indexed by anchors. Of the runs of ``ANCHOR`` words in a window
 hash is the window's anchor, so two equal windows have the same anchor wherever they stand, and the
 anchors of consecutive windows overlap or touch. The index, which is cut by hash into as many blocks
 as the shuffle has parts, names the first document of every anchor that two documents have and a
-place there. Anchors of every document meet every block by a join. In the parse, consecutive windows
+place there. Anchors of every document meet every block by a join; the index of frequent anchors is
+small and broadcast instead. In the parse, consecutive windows
 whose anchors lead to one document at one distance make a factor: all words between its first and
 last anchor are equal to the reference's. Windows that no factor holds but whose anchor is known
 (they cross a factor's boundary, or their anchor's first document goes on otherwise) are compared
@@ -181,9 +182,10 @@ def frequent_anchors(rows: DataFrame) -> np.ndarray:
     return np.sort(found.astype(np.int64).view(np.uint64))
 
 
-def references(rows: DataFrame, folder: str) -> DataFrame:
+def references(rows: DataFrame, folder: str) -> tuple[DataFrame, pa.Table]:
     """(anchor, doc_id, place, first, at): the anchors that two documents have, in every document, with
-    the first of these documents and a place there.
+    the first of these documents and a place there. Of a frequent anchor only that a document has it;
+    its first document and the place there are in the table beside it, FREQUENT rows at most.
 
     All anchors are shuffled once, to blocks of the index by their hash; documents of a frequent anchor
     are dealt to several parts, whose firsts are put together afterwards."""
@@ -194,22 +196,17 @@ def references(rows: DataFrame, folder: str) -> DataFrame:
     least_ = found.withColumn("first", F.min("doc_id").over(w)).withColumn("last", F.max("doc_id").over(w)).withColumn("at", F.min_by("place", "doc_id").over(w))
     least_.where((F.col("first") < F.col("last")) | F.col("part").isNotNull()).write.parquet(folder)
     met = spark.read.parquet(folder)
-    columns = ["anchor", "doc_id", "place", "first", "at"]
-    cold = met.where("part is null").select(columns)
-    if not len(frequent):
-        return cold
-    hot = met.where("part is not null")
-    index = hot.groupBy("anchor").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("at", "first").alias("at")).where(F.col("first") < F.col("last"))
-    return cold.unionByName(hot.drop("first", "last", "at").join(F.broadcast(index), "anchor").select(columns))  # FREQUENT rows at most
+    index = met.where("part is not null").groupBy("anchor").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("at", "first").alias("at")).where(F.col("first") < F.col("last"))
+    return met.drop("last"), index.select("anchor", "first", "at").toArrow()
 
 
-def parse(h: np.ndarray, anchor: np.ndarray, earlier: np.ndarray, first: np.ndarray, at: np.ndarray):
+def parse(h: np.ndarray, anchor: np.ndarray, earlier: np.ndarray, first: np.ndarray, at: np.ndarray, found=None):
     """Greedy factors of a document, whose words' hashes are ``h``, against the index: ``anchor`` are its
     anchors there, sorted, each with the number of the reference document, whether it is an ``earlier``
-    one, and the place in it. Returns starts and ends (words, ends excluded) of factors of WINDOW
+    one, and the place in it. ``found`` are its windows' anchors, if they are known. Returns starts and ends (words, ends excluded) of factors of WINDOW
     words or more, and the starts, hashes and anchors of the windows to be checked, and whether an
     earlier document may have them."""
-    own, place = least(rolled(h, ANCHOR, MIX[0]))
+    own, place = least(rolled(h, ANCHOR, MIX[0])) if found is None else found
     n = len(own)
     if not n or not len(anchor):
         none = np.zeros(0, np.int64)
@@ -234,25 +231,39 @@ def parse(h: np.ndarray, anchor: np.ndarray, earlier: np.ndarray, first: np.ndar
 PARSED = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("starts", "ends", "check", "window", "anchor", "ask")])
 
 
-@F.arrow_udf(PARSED)
-def parsed(text: pa.Array, doc: pa.Array, refs: pa.Array) -> pa.Array:
-    """Factors and windows to be checked of packed texts; refs are structs of anchor, first and at."""
-    cols: list[list[np.ndarray]] = [[] for _ in PARSED]
-    begin = starts_of(np.asarray(refs.value_lengths()))
-    flat = refs.flatten()
-    anchor, at = flat.field("anchor").to_numpy().view(np.uint64), flat.field("at").to_numpy()
-    # References that are one row have one number: documents by value, and tags.
-    first = np.asarray(flat.field("first").dictionary_encode().indices).astype(np.int64) << 32 | at >> 32
-    earlier = np.asarray(pc.less(flat.field("first"), doc.take(pa.array(np.repeat(np.arange(len(doc)), np.diff(begin))))))
-    for i, t in enumerate(text):
-        r = slice(begin[i], begin[i + 1])
-        order = np.argsort(anchor[r], kind="stable")
-        raw = np.frombuffer(zstandard.decompress(t.as_py()), np.uint8)
-        got = parse(word_hashes(raw, np.array([0, len(raw)]))[0], anchor[r][order], earlier[r][order], first[r][order], (at[r] & 0xFFFFFFFF)[order])
-        for c, x in zip(cols, got, strict=True):
-            c.append(x)
-    lists = [pa.ListArray.from_arrays(pa.array(starts_of(np.array([len(x) for x in c], np.int64)), pa.int32()), pa.array(np.concatenate(c) if c else np.zeros(0, np.int64))) for c in cols]
-    return pa.StructArray.from_arrays(lists, PARSED.names)
+def parser(frequent):
+    """Factors and windows to be checked of packed texts; refs are structs of anchor, first and at.
+    ``frequent`` is a broadcast table of such rows, in which every text's anchors are looked up."""
+    @F.arrow_udf(PARSED)
+    def parsed(text: pa.Array, doc: pa.Array, refs: pa.Array) -> pa.Array:
+        cols: list[list[np.ndarray]] = [[] for _ in PARSED]
+        begin = starts_of(np.asarray(refs.value_lengths()))
+        flat, hot = refs.flatten(), frequent.value.combine_chunks()
+        anchor, at = (np.concatenate([flat.field(c).to_numpy(), hot[c].to_numpy()]) for c in ("anchor", "at"))
+        anchor = anchor.view(np.uint64)
+        # References that are one row have one number: documents by value, and tags.
+        firsts = pa.chunked_array([flat.field("first"), *hot["first"].cast(flat.field("first").type).chunks]).combine_chunks()
+        first = np.asarray(firsts.dictionary_encode().indices).astype(np.int64) << 32 | at >> 32
+        earlier = np.asarray(pc.less(flat.field("first"), doc.take(pa.array(np.repeat(np.arange(len(doc)), np.diff(begin))))))
+        many = len(flat) + np.argsort(anchor[len(flat):])
+        known = anchor[many]
+        for i, t in enumerate(text):
+            raw = np.frombuffer(zstandard.decompress(t.as_py()), np.uint8)
+            h = word_hashes(raw, np.array([0, len(raw)]))[0]
+            windows = least(rolled(h, ANCHOR, MIX[0]))
+            slot = np.unique(np.minimum(np.searchsorted(known, windows[0]), max(0, len(known) - 1)))
+            some = many[slot[np.isin(known[slot], windows[0])]] if len(known) else many
+            r = np.r_[np.arange(begin[i], begin[i + 1]), some]
+            before = np.r_[earlier[begin[i]:begin[i + 1]], np.asarray(pc.less(firsts.take(pa.array(some)), doc[i])) if len(some) else np.zeros(0, bool)]
+            order = np.argsort(anchor[r], kind="stable")
+            r, before = r[order], before[order]
+            got = parse(h, anchor[r], before, first[r], at[r] & 0xFFFFFFFF, windows)
+            for c, x in zip(cols, got, strict=True):
+                c.append(x)
+        lists = [pa.ListArray.from_arrays(pa.array(starts_of(np.array([len(x) for x in c], np.int64)), pa.int32()), pa.array(np.concatenate(c) if c else np.zeros(0, np.int64))) for c in cols]
+        return pa.StructArray.from_arrays(lists, PARSED.names)
+
+    return parsed.asNondeterministic()
 
 
 @F.arrow_udf(T.BinaryType())
@@ -269,11 +280,13 @@ def spans(docs: DataFrame, *, text: str = "text") -> tuple[DataFrame, bool]:
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession)
     rows, alone = tagged(docs, text)
     low_half = F.lit((1 << 32) - 1)
-    met = references(rows, f"{folder}/anchors").select("doc_id", (F.col("place") - F.col("place").bitwiseAND(low_half)).alias("tag"), F.struct("anchor", "first", "at").alias("ref"))
-    # A set, as equal rows have equal anchors: no more of them than the text has.
+    met, frequent = references(rows, f"{folder}/anchors")
+    ref = F.when(F.col("part").isNull(), F.struct("anchor", "first", "at"))
+    met = met.select("doc_id", (F.col("place") - F.col("place").bitwiseAND(low_half)).alias("tag"), ref.alias("ref"))
+    # A set, as equal rows have equal anchors: no more of them than the text has, and no frequent ones.
     refs = met.groupBy("doc_id", "tag").agg(F.collect_set("ref").alias("refs"))
     packed = rows.select("doc_id", "tag", pack("text").alias("packed"))
-    packed.join(refs, ["doc_id", "tag"]).select("doc_id", "tag", parsed.asNondeterministic()("packed", "doc_id", "refs").alias("p")).select("doc_id", "tag", "p.*").write.parquet(f"{folder}/parsed")
+    packed.join(refs, ["doc_id", "tag"]).select("doc_id", "tag", parser(spark.sparkContext.broadcast(frequent))("packed", "doc_id", "refs").alias("p")).select("doc_id", "tag", "p.*").write.parquet(f"{folder}/parsed")
     got = spark.read.parquet(f"{folder}/parsed")
     each = got.select("doc_id", "tag", F.explode(F.arrays_zip("check", "window", "anchor", "ask")).alias("w")).select("doc_id", "tag", "w.*")
     low = each.groupBy("window", "anchor").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).drop("last")
