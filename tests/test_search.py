@@ -320,3 +320,13 @@ def test_queries_share_facets_and_vectors_of_a_block(spark, monkeypatch):
     c = spark.createDataFrame([(q, f"{i}") for q in range(50) for i in range(4)], "query_id int, image_id string")
     got = {(r.query_id, r.image_id): (round(r.phrase, 9), round(r.margin, 9)) for r in rerank.evidence(c, images, images, v, block_bytes=700).collect()}
     assert len(got) == 200 and all(got[q, f"{i}"] == (round(1 / np.hypot(1, i), 9), round((1 - i) / np.hypot(1, i), 9)) for q, i in [(0, 0), (7, 1), (49, 3)])
+
+
+def test_texts_are_normalized_once_and_phrases_looked_for_first(spark):
+    d = spark.createDataFrame([(0, "In a PARK, park-side"), (1, "parking"), (2, None), (3, "éparké car park.")], "query_id int, text string")
+    plan = rerank.parsed_queries(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(regexp_replace(lower(") == 1
+    found = d.select("query_id", parse.contains(F.lower("text"), "park").alias("p")).collect()
+    assert {r.query_id: r.p for r in found} == {0: True, 1: False, 2: None, 3: True}
+    made = spark.createDataFrame([(r"a $1 \ {} tie",)], "f string").select(parse.prompts(F.col("f"), "binding").alias("p")).first().p
+    assert all(r"a $1 \ {} tie" in p for p in made)
