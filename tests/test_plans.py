@@ -83,3 +83,13 @@ def test_role_vectors_in_several_blocks_give_the_same_evidence(spark):
     plain = lambda d: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in d.collect())
     one, many = (plain(rerank.evidence(found, index, crops.repartition(n), others, block_bytes=size)) for n, size in ((1, 1 << 30), (5, 1)))
     assert one == many and one
+
+
+def test_both_rankings_share_candidates(spark, monkeypatch):
+    from visret import queries
+    from visret.plans import search
+
+    calls, find = [], search.candidates_of
+    monkeypatch.setattr(search, "candidates_of", lambda *a: calls.append(1) or find(*a))
+    queries.rank_movement(spark, "/root/testdata/sf0.001")
+    assert len(calls) == 1
