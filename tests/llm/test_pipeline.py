@@ -2,10 +2,11 @@
 
 import subprocess
 import sys
+import tracemalloc
 from pathlib import Path
 
 import corpus_pipeline
-from visret.llm import queries
+from visret.llm import common, quality, queries
 from visret.llm.common import read
 
 SF = "/root/testdata/sf0.01"
@@ -69,3 +70,40 @@ def test_entry_stands_without_this_subpackage_or_what_it_needs():
                 "            raise ModuleNotFoundError(name, name=name)\nsys.meta_path.insert(0, No())\nimport __spark_entry__ as e\n"
                 "assert 'search_structured' in e.queries() and 'pipeline' not in e.queries() and 'pipeline' not in e.oracle_sql()\n")
         subprocess.run([sys.executable, "-c", code], check=True, cwd=str(Path(corpus_pipeline.__file__).parent))
+
+
+def test_sample_comes_to_the_driver_without_an_object_for_each_number(spark):
+    """A number takes some bytes, not the 40 of an object in a list; features and order are whole."""
+    found = spark.range(50).selectExpr("id % 2 as y", "id as draw", "transform(sequence(1, 20000), x -> int(x * 13 + id)) as features")
+    tracemalloc.start()
+    try:
+        rows, y = quality.sampled(found, 1000, 1 << 30)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16 * 50 * 20000
+    assert y.tolist() == [0] * 25 + [1] * 25
+    for i, r in zip([*range(0, 50, 2), *range(1, 50, 2)], rows, strict=True):
+        assert len(r) == 20000 and r[0] == 13 + i and r[-1] == 13 * 20000 + i
+
+
+def test_a_round_of_components_has_few_tasks(spark):
+    """The driver keeps record of every task: with 16 partitions and nothing coalesced a settled star takes
+    two rounds."""
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    sc = spark.sparkContext
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("components", "")
+        got = common.components(spark.range(1, 41).selectExpr("id as a", "0L as b"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds}
+    tasks = sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s)))
+    assert {r.component for r in got.collect()} == {0} and got.count() == 41
+    assert 0 < tasks < 300, tasks  # 406 with tables of both orders of every edge

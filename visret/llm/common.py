@@ -79,20 +79,21 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbours to the smallest among them, by joins on minima that are aggregated map-side, until
     every edge points at a root. The edges never grow in number by more than one per id, and
     neither edges nor components come to the driver, only a count and a checksum per round.
+    Edges are kept as (larger, smaller) and each end is looked up in that order, so a round
+    has few stages and no table of both orders: the driver keeps record of every task.
     Empty edges give an empty result.
     """
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
             .where("u <> v").distinct())
     seen = None
     for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        e = (both.where("v > u").join(low, "u")
-             .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        # Large star: the smallest neighbour of v, or v itself where it has no smaller one.
+        low = e.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        e = e.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(e.join(low, "u").where("v <> m")
-                .select(F.col("v").alias("u"), F.col("m").alias("v"))
-                .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        pairs = F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("pair")
+        e = cut(e.join(low, "u").select(pairs).select("pair.u", F.col("pair.m").alias("v"))
+                .where("u <> v").distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

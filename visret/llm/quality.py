@@ -119,24 +119,27 @@ def scanned(labelled: DataFrame, share: list[float]) -> DataFrame:
 
 def class_counts(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(documents of each class, documents of each class with each feature) of ``scanned``; the
-    driver gets 2 x BUCKETS + 2 numbers at most."""
-    rows = found.where("f is not null").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
+    driver gets 2 x BUCKETS + 2 numbers at most, as Arrow's columns."""
+    rows = found.where("f is not null").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     out = np.zeros((2, BUCKETS + 1))
-    out[:, rows["f"]] = rows[["n0", "n1"]].to_numpy().T
+    out[:, rows["f"].to_numpy()] = rows["n0"].to_numpy(), rows["n1"].to_numpy()
     return out[:, BUCKETS], out[:, :BUCKETS]
 
 
 def sampled(found: DataFrame, sample_each: int, sample_bytes: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and class of the sample: of each class the ``sample_each`` smallest draws of
-    ``scanned``, as long as their features take no more than half of ``sample_bytes``."""
+    ``scanned``, as long as their features take no more than half of ``sample_bytes``. They come as
+    Arrow's columns, four bytes a number: as rows the driver would hold an object for each."""
     rows, y = [], []
     for c in (0, 1):
         own = found.where(F.col("y") == c)
-        few = own.select("draw", F.size("features").alias("n")).orderBy("draw", "n").limit(sample_each).toPandas()
-        inside = few["draw"][few["n"].cumsum() * 4 <= sample_bytes // 2]
+        few = own.select("draw", F.size("features").alias("n")).orderBy("draw", "n").limit(sample_each).toArrow()
+        inside = few["draw"].to_numpy()[few["n"].to_numpy().cumsum(dtype=np.int64) * 4 <= sample_bytes // 2]
         if len(inside):
-            some = own.where(F.col("draw") <= int(inside.iloc[-1])).select("features").orderBy("draw", "features").limit(len(inside)).toPandas()
-            rows += [np.asarray(f, np.int64) for f in some["features"]]
+            some = own.where(F.col("draw") <= int(inside[-1])).select("features").orderBy("draw", "features").limit(len(inside)).toArrow()
+            for part in filter(len, some["features"].chunks):
+                at = np.asarray(part.offsets)
+                rows += np.split(np.asarray(part.flatten()), at[1:-1] - at[0])
             y += [c] * len(some)
     return rows, np.array(y)
 
