@@ -232,6 +232,46 @@ def test_nodes_of_one_component_are_not_paired(spark, monkeypatch, parts):
     assert simhash.other_pairs(spark.createDataFrame(rows[:300], "node long, size long, keys array<long>, component long")).count() == 0
 
 
+@pytest.mark.parametrize("parts", [simhash.SHARE, 8])
+def test_texts_with_a_passage_in_common_are_not_paired(spark, monkeypatch, parts):
+    """A passage that is over half of many dissimilar texts gives them bands in common; those that it makes
+    similar, and near copies among the others, are found all the same."""
+    monkeypatch.setattr(simhash, "SHARE", parts)
+    rng, seen, verified = random.Random(13), [], simhash.verified
+    passage = " ".join(f"p{i}" for i in range(200))
+    own = lambda n: " ".join(f"o{rng.randrange(10**9)}" for _ in range(n))
+    far = [f"{passage} {own(100)}" for _ in range(600)]
+    close = [f"{passage} {own(10)}" for _ in range(30)]
+    copies = [c for t in far[:60] for c in near_copies(rng, t, 2, 0.004)]
+    rows = list(enumerate(far + close + copies))
+    rng.shuffle(rows)
+
+    def spy(pairs, docs):
+        seen.append(pairs.count())
+        return verified(pairs, docs)
+
+    monkeypatch.setattr(simhash, "verified", spy)
+    got = {r.doc_id for r in simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: five(t) for i, t in rows}
+    assert got == set(reach(sorted(sets), lambda a, b: alike(sets[a], sets[b])).values()) and len(got) == 601
+    assert sum(seen) < 5 * len(rows), seen
+
+
+@pytest.mark.parametrize("parts", [simhash.SHARE, 8])
+def test_rarest_shingles_find_every_similar_pair(spark, monkeypatch, parts):
+    monkeypatch.setattr(simhash, "SHARE", parts)
+    rng = random.Random(17)
+    passages = [" ".join(f"p{i}.{j}" for j in range(rng.randrange(8, 60))) for i in range(12)]
+    some = [" ".join(rng.choice(passages) for _ in range(rng.randrange(1, 6))) for _ in range(120)]
+    rows = list(enumerate(some + [next(near_copies(rng, t, 1, rng.choice((0.001, 0.02)))) for t in some] + ["a b c d", "", "a b c d e", "a b c d e a b c d e"]))
+    sets = {i: five(t) for i, t in rows if len(t.split()) > 4}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = spark.createDataFrame([(i, len(x), i % 100) for i, x in sets.items()], "node long, size long, component long")
+    got = {tuple(r) for r in simhash.other_pairs(simhash.rarest(nodes, docs)).collect()}
+    want = {(i, j) for i in sets for j in sets if j < i and i % 100 != j % 100 and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(want) > 150 and want <= got and all(i % 100 != j % 100 for i, j in got)
+
+
 def test_license_base_equals_brute_force(spark):
     d = read(spark, SF, "documents").select("doc_id", "text")
     extra = [(9000 + i, t) for i, (_, t) in enumerate(ODD)] + [(9100, "cc by CC-BY, cc by General Public License all rights reserved reserved"), (9101, "Released under the MIT license."), (9102, "licensed under the very Apache License, Version 2.0")]

@@ -10,9 +10,11 @@ segment with a codeword index of the next; fingerprints are joined on keys and v
 ``groups`` links fingerprints of two differing bits at most. Of texts whose sets of five-word shingles
 are similar by 0.8 or more it finds few, and wider keys of 64 bits meet by chance the more often the
 more texts there are. So ``keep_dissimilar`` takes its candidates from bands of the sets' least hashes
-(MinHash), whose keys have 64 bits each, and verifies the texts.
+(MinHash), whose keys have 64 bits each, and verifies the texts. A passage that many dissimilar texts hold
+gives them bands in common; texts that such bands leave apart meet by their rarest shingles instead.
 """
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -162,17 +164,22 @@ TOGETHER = 1 << 18  # bytes of texts that are hashed at a time (one text at leas
 SHARE = 4096  # rows of one key in one part of a join
 
 
-def bands(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts in lower case how many different shingles each has, and of those that have any, in order, a
-    key of 64 bits for each band. Texts of fewer than ``WORDS`` words have none: they are similar to
-    texts of the same words alone."""
+def runs_of(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts in lower case how many different shingles each has, and their hashes, text by text. Texts of
+    fewer than ``WORDS`` words have none: they are similar to texts of the same words alone."""
     h, at = word_hashes(np.frombuffer(b"".join(some), np.uint8), starts_of(np.fromiter(map(len, some), np.int64, len(some))))
     text, place = expand(at[:-1], np.maximum(0, np.diff(at) - WORDS + 1))
     runs = rolled(h, WORDS, MIX[1])[place]
     order = np.lexsort((runs, text))
     text, runs = text[order], runs[order]
     new = np.r_[True, (text[1:] != text[:-1]) | (runs[1:] != runs[:-1])][:len(text)]
-    size, runs = np.bincount(text[new], minlength=len(some)), runs[new]
+    return np.bincount(text[new], minlength=len(some)), runs[new]
+
+
+def bands(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts in lower case how many different shingles each has, and of those that have any, in order, a
+    key of 64 bits for each band."""
+    size, runs = runs_of(some)
     count = size[size > 0]
     keys = np.zeros((len(count), BANDS), np.uint64)
     if len(count):
@@ -184,31 +191,43 @@ def bands(some: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return size, keys
 
 
+def together(some: Iterable[bytes]) -> Iterator[list[bytes]]:
+    """Texts as they come, so many at a time."""
+    out, held = [], 0
+    for t in some:
+        if out and held + len(t) > TOGETHER:
+            yield out
+            out, held = [], 0
+        out.append(t)
+        held += len(t)
+    if out:
+        yield out
+
+
 @F.arrow_udf(T.StructType().add("low", T.LongType()).add("high", T.LongType()).add("size", T.LongType()).add("keys", T.ArrayType(T.LongType())))
 def sketch(text: pa.Array) -> pa.Array:
     """128 bits that tell the words of texts apart, the number of their shingles, and their bands' keys."""
     words, size, keys = bytearray(), [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.uint64)]
-    some, held = [], 0
-
-    def done():
+    for some in together(t.translate(LOWER) for t in texts(text)):
+        for t in some:
+            words += xxhash.xxh3_128_digest(b" ".join(t.split()))
         for out, x in zip((size, keys), bands(some), strict=True):
             out.append(x)
-
-    for t in texts(text):
-        t = t.translate(LOWER)
-        words += xxhash.xxh3_128_digest(b" ".join(t.split()))
-        if some and held + len(t) > TOGETHER:
-            done()
-            some, held = [], 0
-        some.append(t)
-        held += len(t)
-    if some:
-        done()
     both, size, keys = np.frombuffer(words, np.int64).reshape(-1, 2), np.concatenate(size), np.concatenate(keys)
     each = pa.ListArray.from_arrays(pa.array(starts_of(np.where(size > 0, BANDS, 0)), pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
     return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(size, pa.int64()), each], ["low", "high", "size", "keys"])
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def hashes(text: pa.Array) -> pa.Array:
+    """Those of a text's different shingles."""
+    size, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for some in together(t.translate(LOWER) for t in texts(text)):
+        for out, x in zip((size, runs), runs_of(some), strict=True):
+            out.append(x)
+    return pa.ListArray.from_arrays(pa.array(starts_of(np.concatenate(size)), pa.int32()), pa.array(np.concatenate(runs).view(np.int64)))
+
+
 def shingles(text: bytes) -> set[bytes]:
     """Runs of five words; of fewer words, but not none, the whole."""
     words = text.translate(LOWER).split()
@@ -231,8 +250,8 @@ def similar(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def in_parts(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """``rows`` with a column ``part``, over which rows of a frequent key are dealt, and how many
-    ``parts`` each frequent key has."""
-    many = rows.groupBy(key).agg(F.ceil(F.count("*") / SHARE).cast("long").alias("parts")).where("parts > 1")
+    ``parts`` each frequent key has; there is one such key in ``SHARE`` rows at most, so they are broadcast."""
+    many = F.broadcast(rows.groupBy(key).agg(F.ceil(F.count("*") / SHARE).cast("long").alias("parts")).where("parts > 1"))
     part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("parts", F.lit(1)))
     return rows.join(many, key, "left").withColumn("part", part).drop("parts"), many
 
@@ -243,18 +262,23 @@ def copied(rows: DataFrame, key: str, many: DataFrame) -> DataFrame:
     return rows.join(many, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last))).drop("parts")
 
 
-def keyed(nodes: DataFrame, *columns: str) -> DataFrame:
-    return nodes.select("node", "size", *columns, F.explode("keys").alias("key"))
+def keyed(nodes: DataFrame) -> DataFrame:
+    """A row for each key, with how many shingles come before it in the order of ``rarest``, if it is one."""
+    before = "before" if "before" in nodes.columns else F.lit(None).cast("long").alias("before")
+    each = nodes.select("node", "size", "component", before, F.posexplode("keys").alias("place", "key"))
+    return each.select("node", "size", "component", F.expr("coalesce(before + place, 0)").alias("at"), "key")
 
 
-#: Sets of such sizes can be similar.
-FITTING = f"least(size, other) * {SIMILAR[1]} >= greatest(size, other) * {SIMILAR[0]}"
+#: Sets of such sizes, whose first shingle in common has so many before it, can be similar.
+FITTING = f"least(size - at, other - there) * {sum(SIMILAR)} >= (size + other) * {SIMILAR[0]}"
 
 
 def least_pairs(nodes: DataFrame) -> DataFrame:
-    """(a, b): each of ``nodes(node, size, keys)`` with the least node of each of its keys."""
-    first = keyed(nodes).groupBy("key").agg(F.min("node").alias("b"), F.min_by("size", "node").alias("other"), F.count("*").alias("n"))
-    met = keyed(nodes).join(first.where("n > 1"), "key").where(F.col("b") < F.col("node")).where(FITTING)
+    """(a, b): each of ``nodes(node, size, keys, component)`` with the least node of each of its keys, if
+    that is of another component."""
+    its = [F.min_by(c, "node").alias(name) for c, name in (("size", "other"), ("at", "there"), ("component", "its"))]
+    first = keyed(nodes).groupBy("key").agg(F.min("node").alias("b"), *its, F.count("*").alias("n"))
+    met = keyed(nodes).join(first.where("n > 1"), "key").where("b < node and component <> its").where(FITTING)
     return met.select(F.col("node").alias("a"), "b").distinct()
 
 
@@ -264,17 +288,49 @@ def other_pairs(nodes: DataFrame) -> DataFrame:
     Of a key that several components have, the nodes outside its largest one meet all. So nodes of one
     component are not paired, however many share a key. Keys with more than ``SHARE`` such nodes are
     joined in parts."""
-    each = keyed(nodes, "component")
+    each = keyed(nodes)
     shares = each.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed_keys = cut(shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("components")).where("components > 1").select("key", "main"))
     some = cut(each.join(mixed_keys, "key"))
     left, many = in_parts(some.where("component <> main").drop("main"), "key")
-    right = copied(some.select("key", F.col("node").alias("b"), F.col("size").alias("other"), F.col("component").alias("its"), (F.col("component") != F.col("main")).alias("too")), "key", many)
+    renamed = [F.col(c).alias(name) for c, name in (("node", "b"), ("size", "other"), ("at", "there"), ("component", "its"))]
+    right = copied(some.select("key", *renamed, (F.col("component") != F.col("main")).alias("too")), "key", many)
     # Of two nodes that both meet all, the pair is taken once.
     met = left.join(right, ["key", "part"]).where("component <> its and (not too or b < node)").where(FITTING)
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
+def left_apart(nodes: DataFrame) -> DataFrame:
+    """Those of ``nodes(node, size, keys, component)`` with a key that nodes of another component have."""
+    each = keyed(nodes)
+    ends = each.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    some = each.join(cut(ends.where("least < most").select("key")), "key").select("node").distinct()
+    return nodes.join(some, "node", "left_semi")
+
+
+def rarest(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``nodes(node, size, component)`` with other ``keys``: the first shingles of each text in ``docs(doc_id,
+    text)`` by how many of ``nodes`` have them, so many that two similar ones share one of them.
+
+    A set of n is similar only to sets that have 4 n / 5 of it, so all but that many and one more are
+    looked at (prefix filter), and what many dissimilar texts share comes last. Shingles of one node alone
+    come first and meet nothing; they are only counted, in ``before``. Nodes without keys are left out."""
+    nodes = cut(nodes.select("node", "size", "component"))
+    some = docs.join(sized(nodes.select(F.col("node").alias("doc_id")), nodes.count()), "doc_id", "left_semi")
+    each = some.select(F.col("doc_id").alias("node"), F.explode(hashes("text")).alias("key"))
+    shared = cut(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    met = each.join(shared, "key").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "key")))["key"].alias("keys"))
+    up, down = SIMILAR
+    looked_at = F.expr(f"greatest(0, size - (size * {up} + {down - 1}) div {down} + 1 - before)").cast("int")
+    before = nodes.join(met, "node").withColumn("before", F.col("size") - F.size("keys"))
+    return cut(before.withColumn("keys", F.slice("keys", F.lit(1), looked_at)).where("size(keys) > 0"))
+
+
+def joined(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` with the components that ``names(component, whole)`` are parts of."""
+    return rows.join(names, "component", "left").withColumn("component", F.coalesce("whole", "component")).drop("whole")
+
+
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose texts in ``docs(doc_id, text)`` are similar."""
     pairs = cut(pairs)
@@ -293,8 +349,9 @@ def keep_dissimilar(docs: DataFrame, *, text: str = "text") -> DataFrame:
     and are copies of each other; rows without a doc_id stay. Empty tables give empty ones.
 
     Texts with the same words are one node. Nodes first meet the least node of each key alone, so
-    that a large group is not paired out; then those of different components that share a key meet.
-    The groups are the components of all verified pairs of both turns.
+    that a large group is not paired out. Nodes that share a key with another component then meet in
+    the same way by their rarest shingles, and at last all of different components that share one of those:
+    what they would find by their bands is among it. The groups are the components of all verified pairs.
     """
     named = docs.where("doc_id is not null").select("doc_id", F.col(text).alias("text"))
     each = cut(named.select("doc_id", sketch.asNondeterministic()("text").alias("s")).select("doc_id", "s.*"))
@@ -306,13 +363,16 @@ def keep_dissimilar(docs: DataFrame, *, text: str = "text") -> DataFrame:
         twice = named.join(again.select("doc_id"), "doc_id", "left_semi").withColumn("low", sketch("text")["low"])
         twice = twice.join(again, ["doc_id", "low"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text")
         named = named.join(again, "doc_id", "left_anti").unionByName(twice)
-    nodes = cut(own.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys")).select("node", "size", "keys"))
+    nodes = own.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.any_value("size").alias("size"), F.any_value("keys").alias("keys"))
+    nodes = cut(nodes.select("node", "size", "keys", F.col("node").alias("component")))
     linked = cut(verified(least_pairs(nodes), named))
-    nodes = cut(nodes.join(components(linked).withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node")))
-    more = cut(verified(other_pairs(nodes), named))
-    of = nodes.select("node", "component")
-    if not more.isEmpty():
-        joined = components(more.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b").select(F.col("u").alias("a"), F.col("v").alias("b")))
-        of = of.join(joined.toDF("component", "whole"), "component", "left").select("node", F.coalesce("whole", "component").alias("component"))
+    nodes = cut(joined(nodes, components(linked).toDF("component", "whole")))
+    some, of = rarest(left_apart(nodes), named), nodes.select("node", "component")
+    for pairs in (least_pairs, other_pairs):
+        more = cut(verified(pairs(some), named))
+        if not more.isEmpty():
+            ends = more.join(of.toDF("a", "u"), "a").join(of.toDF("b", "v"), "b")
+            names = components(ends.select(F.col("u").alias("a"), F.col("v").alias("b"))).toDF("component", "whole")
+            of, some = cut(joined(of, names).select("node", "component")), cut(joined(some, names))
     kept = of.where("node = component").select(F.col("node").alias("doc_id"), F.lit(True).alias("kept"))
     return with_ids(docs, cut(own.join(kept, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit(False)).alias("kept"), "n")))
