@@ -257,6 +257,40 @@ def test_texts_with_a_passage_in_common_are_not_paired(spark, monkeypatch, parts
     assert sum(seen) < 5 * len(rows), seen
 
 
+def test_similar_texts_that_share_no_band_are_one_group(spark):
+    """Bands miss some pairs of 0.8; each one here is such a pair, in texts of several lengths."""
+    rng, rows = random.Random(19), []
+    while len(rows) < 12:
+        t = " ".join(f"w{rng.randrange(10**6)}" for _ in range((60, 130, 600)[len(rows) // 2 % 3]))
+        words = t.split()
+        c = " ".join(words[:-max(1, len(words) // 10)] + [f"n{rng.randrange(10**6)}" for _ in range(len(words) // 10)])
+        a, b = simhash.bands([t.encode(), c.encode()])[1]
+        if alike(five(t), five(c)) and not (a == b).any():
+            rows += [(len(rows), t), (len(rows) + 1, c)]
+    got = simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == set(range(0, 12, 2))
+
+
+def test_least_hashes_leave_no_similar_pair_out(spark):
+    """Sets of all sizes, one within the other or crossing: what is similar is left apart; texts with a short
+    passage in common are not."""
+    rng, rows = random.Random(23), []
+    for n in [*range(5, 60), *range(60, 400, 17)]:
+        w = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        rows += [" ".join(w), " ".join(w[:max(5, int((n - 4) * 0.8) + 4)]), " ".join(w[n // 3:] + [f"v{i}.{n}" for i in range(n)])]
+        rows += list(near_copies(rng, " ".join(w), 1, 0.02))
+    far = range(len(rows), len(rows) + 100)
+    rows += [" ".join([*(f"p{j}" for j in range(20)), *(f"f{i}.{j}" for j in range(80))]) for i in far]
+    rows = list(enumerate(rows))
+    sets = {i: five(t) for i, t in rows}
+    nodes = spark.createDataFrame([(i, len(x), i) for i, x in sets.items()], "node long, size long, component long")
+    got = {r.node for r in simhash.left_apart(nodes, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    similar = {k for i in sets for j in sets if i < j and alike(sets[i], sets[j]) for k in (i, j)}
+    assert len(similar) > 80 and similar <= got and not got & set(far)
+    one = nodes.withColumn("component", nodes.node * 0)
+    assert simhash.left_apart(one, spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
 @pytest.mark.parametrize("parts", [simhash.SHARE, 8])
 def test_rarest_shingles_find_every_similar_pair(spark, monkeypatch, parts):
     monkeypatch.setattr(simhash, "SHARE", parts)

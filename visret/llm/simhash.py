@@ -9,18 +9,19 @@ segment with a codeword index of the next; fingerprints are joined on keys and v
 
 ``groups`` links fingerprints of two differing bits at most. Of texts whose sets of five-word shingles
 are similar by 0.8 or more it finds few, and wider keys of 64 bits meet by chance the more often the
-more texts there are. So ``keep_dissimilar`` takes its candidates from bands of the sets' least hashes
-(MinHash), whose keys have 64 bits each, and verifies the texts. A passage that many dissimilar texts hold
-gives them bands in common; texts that such bands leave apart meet by their rarest shingles instead.
+more texts there are. So ``keep_dissimilar`` takes its first candidates from bands of the sets' least hashes
+(MinHash), whose keys have 64 bits each, and verifies the texts. Bands miss some pairs and bring dissimilar
+texts together that hold one passage. So then every text's least hashes are held against those of all others:
+of texts that are similar so many must be equal. Those that have as many meet by their rarest shingles.
 """
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,9 +157,11 @@ def keep_one(docs: DataFrame, *, text: str = "text") -> DataFrame:
 
 
 WORDS, SIMILAR = 5, (4, 5)  # words of a verified shingle, and the similarity as a fraction
-#: A candidate shares a band: the least hashes of its shingles by so many functions. Of pairs similar by 0.8
-#: 1 - (1 - 0.8 ** 5) ** 14 = 0.996 can be expected to share one, of those by 0.3 a thirtieth.
+#: A first candidate shares a band: the least hashes of its shingles by so many functions. Of pairs similar by
+#: 0.8 1 - (1 - 0.8 ** 5) ** 14 = 0.996 can be expected to share one, of those by 0.3 a thirtieth.
 BANDS, ROWS = 14, 5
+#: Of a set of n, 1 + n // TENTH more hashes than a shared one needs are held against others, so that as many are shared.
+TENTH = 10
 FACTORS = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)).reshape(BANDS, ROWS) | np.uint64(1)
 TOGETHER = 1 << 18  # bytes of texts that are hashed at a time (one text at least)
 SHARE = 4096  # rows of one key in one part of a join
@@ -218,16 +221,33 @@ def sketch(text: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(size, pa.int64()), each], ["low", "high", "size", "keys"])
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def hashes(text: pa.Array) -> pa.Array:
-    """Those of a text's different shingles."""
+def listed(text: pa.Array, count: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """Hashes of each text's different shingles, the least first, ``count`` of them by how many there are."""
     size, runs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
     for some in together(t.translate(LOWER) for t in texts(text)):
-        for out, x in zip((size, runs), runs_of(some), strict=True):
-            out.append(x)
+        n, own = runs_of(some)
+        size.append(count(n))
+        runs.append(own[expand(starts_of(n)[:-1], size[-1])[1]])
     return pa.ListArray.from_arrays(pa.array(starts_of(np.concatenate(size)), pa.int32()), pa.array(np.concatenate(runs).view(np.int64)))
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def hashes(text: pa.Array) -> pa.Array:
+    """Those of a text's different shingles."""
+    return listed(text, lambda n: n)
+
+
+def least_count(n: np.ndarray) -> np.ndarray:
+    """How many of ``n`` hashes are held against others."""
+    up, down = SIMILAR
+    return np.minimum(n, n - (up * n + down - 1) // down + 1 + n // TENTH)
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def least_hashes(text: pa.Array) -> pa.Array:
+    return listed(text, least_count)
+
+
 def shingles(text: bytes) -> set[bytes]:
     """Runs of five words; of fewer words, but not none, the whole."""
     words = text.translate(LOWER).split()
@@ -300,12 +320,23 @@ def other_pairs(nodes: DataFrame) -> DataFrame:
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
-def left_apart(nodes: DataFrame) -> DataFrame:
-    """Those of ``nodes(node, size, keys, component)`` with a key that nodes of another component have."""
-    each = keyed(nodes)
-    ends = each.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    some = each.join(cut(ends.where("least < most").select("key")), "key").select("node").distinct()
-    return nodes.join(some, "node", "left_semi")
+def left_apart(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of ``nodes(node, size, component)`` that may be similar to a node of another component, by their
+    texts in ``docs(doc_id, text)``, which may hold copies of nodes.
+
+    Similar sets of n and m have the 4 n / 5 and 4 m / 5 greater of all their hashes in common, or more, so of
+    those in common the k least are among the n / 5 + k least of n and the m / 5 + k least of m. With k of
+    1 + n / 10 a node whose least hashes are not shared so often, by whichever nodes of other components,
+    is similar to none of them: no pair is missed. A passage in common makes few texts share as many."""
+    others = docs.select("doc_id").join(nodes.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
+    others = cut(others.where("component is null or component <> doc_id").withColumn("known", F.lit(True)))
+    some = docs.join(sized(others, others.count()), "doc_id", "left").where("known is null or component is not null")
+    each = some.select(F.col("doc_id").alias("node"), F.coalesce("component", "doc_id").alias("component"), F.explode(least_hashes("text")).alias("key"))
+    of = Window.partitionBy("key")
+    shared = each.withColumns({"first": F.min("component").over(of), "last": F.max("component").over(of)}).where("first < last")
+    up, down = SIMILAR
+    enough = f"n >= 1 + ((size * {up} + {down - 1}) div {down}) div {TENTH}"
+    return nodes.join(shared.groupBy("node").agg(F.count("*").alias("n")), "node").where(enough).drop("n")
 
 
 def rarest(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -344,14 +375,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def keep_dissimilar(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents with one, that of the smallest doc_id, of each group that have the same words
-    or are similar: five-word shingles as sets, Jaccard similarity of 0.8 or more, candidates by
-    bands of least hashes. Of rows with the same doc_id one stays. Null texts have no words
+    or are similar: five-word shingles as sets, Jaccard similarity of 0.8 or more, all such pairs. Of rows with the same doc_id one stays. Null texts have no words
     and are copies of each other; rows without a doc_id stay. Empty tables give empty ones.
 
-    Texts with the same words are one node. Nodes first meet the least node of each key alone, so
-    that a large group is not paired out. Nodes that share a key with another component then meet in
-    the same way by their rarest shingles, and at last all of different components that share one of those:
-    what they would find by their bands is among it. The groups are the components of all verified pairs.
+    Texts with the same words are one node. Nodes first meet the least node of each band alone, so
+    that a large group is not paired out. Those that may be similar to a node of another component then
+    meet in the same way by their rarest shingles, and at last all of different components that share one of
+    those. The groups are the components of all verified pairs.
     """
     named = docs.where("doc_id is not null").select("doc_id", F.col(text).alias("text"))
     each = cut(named.select("doc_id", sketch.asNondeterministic()("text").alias("s")).select("doc_id", "s.*"))
@@ -367,7 +397,7 @@ def keep_dissimilar(docs: DataFrame, *, text: str = "text") -> DataFrame:
     nodes = cut(nodes.select("node", "size", "keys", F.col("node").alias("component")))
     linked = cut(verified(least_pairs(nodes), named))
     nodes = cut(joined(nodes, components(linked).toDF("component", "whole")))
-    some, of = rarest(left_apart(nodes), named), nodes.select("node", "component")
+    some, of = rarest(left_apart(nodes.select("node", "size", "component"), named), named), nodes.select("node", "component")
     for pairs in (least_pairs, other_pairs):
         more = cut(verified(pairs(some), named))
         if not more.isEmpty():
